@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftline.llm import jaccard_join
+from driftline.llm import jaccard_join, line_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": jaccard_join.op1,
+    "op7_link_graph": url_filter.op7,
+    "op8_line_dedup": line_dedup.op8,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_line_dedup": line_dedup.OP8_SQL,
+}
