@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftline.session import ship
+
 #: Characters that separate words, as a Java and SQL character class.
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -64,7 +66,8 @@ def parts(df: DataFrame) -> int:
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches of at most so many rows, as texts can be long."""
+    """Readies the session for Python tasks: Arrow batches of at most so many rows, as texts can be long."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:

@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftline.llm import jaccard_join, line_dedup, url_filter
+from driftline.llm import jaccard_join, line_dedup, media_chunks, packing, piece_tokens, quality, token_files, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": jaccard_join.op1,
+    "op4_piece_tokens": piece_tokens.op4,
+    "op5_quadratic_discriminant": quality.op5,
+    "op6_bin_completion": packing.op6,
     "op7_link_graph": url_filter.op7,
     "op8_line_dedup": line_dedup.op8,
+    "op9_media_chunks": media_chunks.op9,
+    "op10_token_files": token_files.op10,
 }
 
 ORACLES: dict[str, str] = {
