@@ -24,7 +24,7 @@ SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: Bytes of text that one numpy pass handles; temporaries are some 60 times that.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Rows of an id set that may be broadcast (about 64 MB as a hash relation); a larger one is shuffled.
 BROADCAST_IDS = 1_000_000
 

@@ -5,7 +5,8 @@ sets with Jaccard similarity t share a shingle among the first
 ``n - ceil(t * n) + 1`` of each, whatever the order, so long as both use the
 same one. Here every order puts the corpus-wide frequent shingles last, and
 orders the others by differently seeded hashes. A pair is a candidate only if
-its prefixes meet under every order; only then are the sets compared.
+its prefixes meet under every order, and in enough shingles that what follows
+the prefixes could make up for the rest; only then are the sets compared.
 
 Steps, all of them Spark jobs over all documents:
 
@@ -167,7 +168,7 @@ def _postings(docs: DataFrame, width: int, percent: int, frequent) -> DataFrame:
 
 
 def _pairs(postings: DataFrame, percent: int) -> DataFrame:
-    """(u, v) that share a rare prefix shingle under every order and could reach the threshold by size."""
+    """(u, v) whose prefixes share enough rare shingles under every order, and whose sizes can reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] | None = None
@@ -181,16 +182,20 @@ def _pairs(postings: DataFrame, percent: int) -> DataFrame:
                 if not len(same):
                     break
                 i, j = same, same + step
-                ok = (node[i] != node[j]) & (100 * np.minimum(size[i], size[j]).astype(np.int64) >= percent * np.maximum(size[i], size[j]).astype(np.int64))
+                i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
+                small, large = np.minimum(size[i], size[j]).astype(np.int64), np.maximum(size[i], size[j]).astype(np.int64)
+                ok = (node[i] != node[j]) & (100 * small >= percent * large)
                 i, j = i[ok], j[ok]
-                found.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), np.left_shift(1, order[i].astype(np.int64)), (full[i] & full[j]).astype(np.int64)]))
+                found.append(np.stack([node[i], node[j], order[i].astype(np.int64), size[i].astype(np.int64), size[j].astype(np.int64), (full[i] & full[j]).astype(np.int64)]))
                 step += 1
-            out = np.concatenate(found, axis=1) if found else np.empty((4, 0), np.int64)
+            out = np.concatenate(found, axis=1) if found else np.empty((6, 0), np.int64)
+            times = np.ones(out.shape[1], np.int64)
             if out.shape[1]:
-                by = np.lexsort(out[::-1])
-                out = out[:, by]
-                out = out[:, np.concatenate([[True], (out[:, 1:] != out[:, :-1]).any(axis=0)])]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["u", "v", "orders", "saturated"])
+                out = out[:, np.lexsort(out[:3])]
+                first = np.flatnonzero(np.concatenate([[True], (out[:3, 1:] != out[:3, :-1]).any(axis=0)]))
+                times = np.diff(np.append(first, out.shape[1]))
+                out = out[:, first]
+            return pa.RecordBatch.from_arrays([*[pa.array(x) for x in out], pa.array(times)], ["u", "v", "order_no", "size_u", "size_v", "saturated", "shared"])
 
         for batch in batches:
             cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("order_no", "shingle", "set_id", "size", "saturated")]
@@ -207,10 +212,16 @@ def _pairs(postings: DataFrame, percent: int) -> DataFrame:
             yield pair(kept)
 
     rows = postings.where("not hot").repartition("order_no", "shingle").sortWithinPartitions("order_no", "shingle")
-    pairs = rows.select("order_no", "shingle", "set_id", "size", "saturated").mapInArrow(run, "u long, v long, orders long, saturated long")
-    every = (1 << len(ORDER_SEEDS)) - 1
-    # Two saturated sets may meet in rare shingles under one order and in frequent ones under another: any order will do.
-    return pairs.groupBy("u", "v").agg(F.bit_or("orders").alias("orders"), F.max("saturated").alias("saturated")).where(f"orders = {every} or saturated = 1").select("u", "v")
+    pairs = rows.select("order_no", "shingle", "set_id", "size", "saturated").mapInArrow(run, "u long, v long, order_no long, size_u long, size_v long, saturated long, shared long")
+    shared = [F.sum(F.when(F.col("order_no") == k, F.col("shared")).otherwise(0)).alias(f"shared_{k}") for k in range(len(ORDER_SEEDS))]
+    pairs = pairs.groupBy("u", "v").agg(F.max("size_u").alias("a"), F.max("size_v").alias("b"), F.max("saturated").alias("saturated"), *shared)
+    # Beyond what the prefixes share, the overlap is at most what one of the sets has after its prefix: ceil(t * size) - 1.
+    overlap = F.ceil(percent * (F.col("a") + F.col("b")) / (100 + percent))
+    after = F.greatest(*[F.ceil(percent * F.col(c) / 100) - 1 for c in "ab"])
+    least = F.greatest(overlap - after, F.lit(1))
+    every = F.least(*[F.col(f"shared_{k}") for k in range(len(ORDER_SEEDS))]) >= least
+    # Two saturated sets share frequent shingles too, which are not counted here.
+    return pairs.where(every | (F.col("saturated") == 1)).select("u", "v")
 
 
 def _verify(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
