@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftline.llm import jaccard_join, line_dedup, media_chunks, packing, piece_tokens, quality, token_files, url_filter
+from driftline.llm import digest, jaccard_join, katz, line_dedup, media_chunks, packing, piece_tokens, quality, token_files, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": jaccard_join.op1,
+    "op2_katz": katz.op2,
+    "op3_feature_digest": digest.op3,
     "op4_piece_tokens": piece_tokens.op4,
     "op5_quadratic_discriminant": quality.op5,
     "op6_bin_completion": packing.op6,
