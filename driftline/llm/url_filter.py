@@ -20,7 +20,7 @@ from driftline.llm.common import lower_ascii, read_table, stage
 #: (host, start of path, verdict); a longer host and path wins. A small list: it becomes one CASE expression.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: Parts of host names that make a host a blocked seed.
-BLOCKED_NAMES = ("casino", "pills", "viagra", "porn", "xxx")
+BLOCKED_NAMES = ("casino", "pills", "viagra", "porn", "xxx", "adult", "bets", "spam", "ads-track")
 DAMPING, ITERATIONS, CUT_EVERY = 0.85, 20, 5
 
 
