@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -49,11 +50,24 @@ def stage_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/driftline-{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def release_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the writes made within go as soon as the written table is complete."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends here."""
     spark = df.sparkSession
     path = stage_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    with release_shuffles(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
