@@ -1,11 +1,677 @@
-"""The queries of the library's own operators, with their SQL."""
+"""The queries of the library's own operators, with their SQL.
+
+Vectors come from the embeddings table. Where sums are compared with SQL the
+components are whole multiples of a thousandth, so that they are exact in any
+order; results are rounded alike on both sides.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from driftline.functions import vectors as V
+from driftline.functions.expansions import expand, sigmoid_features
+from driftline.operators import estimators as E
+from driftline.operators import graphs as G
+from driftline.operators import heads as H
+from driftline.operators import moments as M
+from driftline.plans import network as N
+from driftline.sources import files, synthetic
+from driftline.streaming.folds import windowed_deltas
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "classify_slow_features"
+GRAIN = 0.001
+
+
+def query(sql: str | None = None):
+    def put(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def four(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four components in thousandths."""
+    return synthetic.embeddings(spark, sf_dir, 4, GRAIN)
+
+
+def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synthetic.embeddings(spark, sf_dir)
+
+
+def _f(size: int) -> str:
+    return ", ".join(f"round(embedding[{k}]::DOUBLE / 0.001)" for k in range(1, size + 1))
+
+
+S4 = f"s AS (SELECT vec_id AS ord, label AS class, [{_f(4)}] AS f FROM embeddings), c AS (SELECT count(*) AS n FROM s)"
+LONG = f"{S4}, l AS (SELECT ord, class, i - 1 AS i, f[i] AS x FROM s, (SELECT unnest([1, 2, 3, 4]) AS i))"
+
+
+def r(x: Column, digits: int = 6) -> Column:
+    """Rounded, and no negative zero."""
+    return F.round(x, digits) + 0.0
+
+
+# Moments under each training mode, against the graph's pairs one by one.
+
+
+def moments_rows(spark: SparkSession, m: M.Moments) -> DataFrame:
+    size = len(m.sx)
+    rows = [(i, j, float(m.q), float(m.r), float(m.sx[i]), float(m.sxx[i, j]), float(m.sdd[i, j])) for i in range(size) for j in range(size)]
+    out = spark.createDataFrame(rows, "i int, j int, q double, r double, sx double, sxx double, sdd double")
+    return out.select("i", "j", *[r(F.col(c), 3).alias(c) for c in ("q", "r", "sx", "sxx", "sdd")])
+
+
+def moments_sql(nodes: str, edges: str, q: str = "(SELECT sum(v) FROM v)", more: str = "") -> str:
+    return f"""
+WITH {S4}{more}, v AS ({nodes}), e AS ({edges}), k AS (SELECT unnest([1, 2, 3, 4]) AS k),
+x AS (SELECT a.k AS i, b.k AS j, sum(v.v * s.f[a.k]) AS sx, sum(v.v * s.f[a.k] * s.f[b.k]) AS sxx FROM s JOIN v USING (ord), k a, k b GROUP BY ALL),
+d AS (SELECT a.k AS i, b.k AS j, sum(e.w * (t.f[a.k] - s.f[a.k]) * (t.f[b.k] - s.f[b.k])) AS sdd
+  FROM e JOIN s ON e.src = s.ord JOIN s t ON e.dst = t.ord, k a, k b GROUP BY ALL)
+SELECT (i - 1)::INT AS i, (j - 1)::INT AS j, round({q}, 3) + 0.0 AS q, round((SELECT sum(w) FROM e), 3) + 0.0 AS r,
+  round(sx, 3) + 0.0 AS sx, round(sxx, 3) + 0.0 AS sxx, round(sdd, 3) + 0.0 AS sdd FROM x JOIN d USING (i, j)
+"""
+
+
+ALL_ONE = "SELECT ord, 1.0::DOUBLE AS v FROM s"
+_BLOCK = 50
+_K = f", b AS (SELECT ord, ord // {_BLOCK} AS k, (SELECT n FROM c) // {_BLOCK} - 1 AS last FROM s)"
+_ENDS = "CASE WHEN b.k IN (0, b.last) THEN 1.0 ELSE 2.0 END"
+_SERIAL = f"SELECT b.ord AS src, t.ord AS dst, 1.0 / {_BLOCK} AS w FROM b JOIN b t ON abs(b.k - t.k) = 1"
+_INNER = f"SELECT b.ord AS src, t.ord AS dst, (CASE WHEN b.k IN (0, b.last) THEN 2.0 ELSE 1.0 END) / {_BLOCK} AS w FROM b JOIN b t ON b.k = t.k"
+
+
+@query(moments_sql(ALL_ONE, "SELECT a.ord AS src, b.ord AS dst, 1.0 AS w FROM s a JOIN s b ON b.ord = a.ord + 1"))
+def moments_regular(spark, sf_dir):
+    return moments_rows(spark, M.train(four(spark, sf_dir), "regular"))
+
+
+@query(moments_sql(ALL_ONE, "SELECT a.ord AS src, b.ord AS dst, 1.0 / z.n AS w FROM s a JOIN s b ON a.class = b.class JOIN (SELECT class, count(*) AS n FROM s GROUP BY 1) z ON z.class = a.class"))
+def moments_classification(spark, sf_dir):
+    return moments_rows(spark, M.train(four(spark, sf_dir), "classification", key=F.col("class")))
+
+
+@query(moments_sql(ALL_ONE, "SELECT a.ord AS src, b.ord AS dst, 1.0 / (z.n - 1) AS w FROM s a JOIN s b ON a.class = b.class AND a.ord != b.ord JOIN (SELECT class, count(*) AS n FROM s GROUP BY 1) z ON z.class = a.class"))
+def moments_clustered_without_loops(spark, sf_dir):
+    rows = four(spark, sf_dir)
+    return moments_rows(spark, M.merge(M.clustered(rows, 4, F.col("class"), loops=False), 4))
+
+
+@query(moments_sql(f"SELECT ord, {_ENDS} AS v FROM b", _SERIAL, more=_K))
+def moments_serial(spark, sf_dir):
+    return moments_rows(spark, M.train(four(spark, sf_dir), "serial", block=_BLOCK))
+
+
+@query(moments_sql(f"SELECT ord, 3.0 AS v FROM b", f"{_SERIAL} UNION ALL {_INNER}", more=_K))
+def moments_mixed(spark, sf_dir):
+    return moments_rows(spark, M.train(four(spark, sf_dir), "mixed", block=_BLOCK))
+
+
+@query(moments_sql(f"SELECT ord, {_ENDS} AS v FROM b", _SERIAL, more=f", o AS (SELECT ord, row_number() OVER (ORDER BY class, ord) - 1 AS p FROM s), b AS (SELECT ord, p // {_BLOCK} AS k, (SELECT n FROM c) // {_BLOCK} - 1 AS last FROM o)"))
+def moments_serial_regression(spark, sf_dir):
+    return moments_rows(spark, M.train(four(spark, sf_dir), "serial_regression", key=F.col("class"), block=_BLOCK))
+
+
+_RAMP = "SELECT ord, least(least(ord + 3, n - 1 - ord + 3), 6) / 6.0 AS v FROM s, c"
+
+
+@query(moments_sql(_RAMP, "SELECT a.ord AS src, b.ord AS dst, 1.0 AS w FROM s a JOIN s b ON b.ord - a.ord BETWEEN 1 AND 3", q="(SELECT n - 1.0 FROM c)"))
+def moments_window(spark, sf_dir):
+    return moments_rows(spark, M.train(four(spark, sf_dir), "window3"))
+
+
+@query(moments_sql(_RAMP, "SELECT a.ord AS src, b.ord AS dst, 1.0 AS w FROM s a JOIN s b ON abs(b.ord - a.ord) BETWEEN 1 AND 3", q="(SELECT n - 1.0 FROM c)"))
+def moments_window_both_ways(spark, sf_dir):
+    return moments_rows(spark, M.train(four(spark, sf_dir), "fwindow3"))
+
+
+@query(moments_sql(ALL_ONE, "SELECT ord AS src, CASE WHEN ord + d < 0 THEN -1 - ord - d WHEN ord + d >= n THEN 2 * n - 1 - ord - d ELSE ord + d END AS dst, 1.0 AS w FROM s, c, (SELECT unnest([-3, -2, -1, 1, 2, 3]) AS d)"))
+def moments_mirror_window(spark, sf_dir):
+    return moments_rows(spark, M.train(four(spark, sf_dir), "mirror_window3"))
+
+
+_RING = "SELECT ord AS src, (ord * 7 + 3) % n AS dst, 1.0 + ord % 5 AS w FROM s, c"
+
+
+def ring(spark: SparkSession, n: int) -> tuple[DataFrame, DataFrame]:
+    rows = spark.range(n)
+    return rows.select(F.col("id").alias("sample_id"), (1.0 + F.col("id") % 3).alias("v")), rows.select(F.col("id").alias("src"), ((F.col("id") * 7 + 3) % n).alias("dst"), (1.0 + F.col("id") % 5).alias("w"))
+
+
+@query(moments_sql("SELECT ord, 1.0 + ord % 3 AS v FROM s", _RING))
+def moments_graph(spark, sf_dir):
+    rows = four(spark, sf_dir)
+    nodes, edges = ring(spark, rows.count())
+    return moments_rows(spark, M.train(rows, "graph", nodes=nodes, edges=edges))
+
+
+_HALVES = ", b AS (SELECT ord, ord // 125 AS k FROM s), g AS (SELECT b.ord, b.k, j.j, CASE j.j WHEN 0 THEN 2 * (k // 2 % 2) - 1 WHEN 1 THEN 2 * (k % 2) - 1 ELSE -(2 * (k // 2 % 2) - 1) * (2 * (k % 2) - 1) END AS sign, (CASE j.j WHEN 2 THEN 0.5 ELSE 1.0 END) / 2.5 AS wj FROM b, (SELECT unnest([0, 1, 2]) AS j) j), z AS (SELECT j, sign, count(*) AS n FROM g GROUP BY 1, 2)"
+
+
+def moments_compact_classes(spark, sf_dir):
+    rows = four(spark, sf_dir)
+    return moments_rows(spark, M.train(rows, "compact_classes3", block=rows.count() // 4))
+
+
+query(moments_sql("SELECT ord, 1.0::DOUBLE AS v FROM b", "SELECT a.ord AS src, b2.ord AS dst, a.wj / z.n AS w FROM g a JOIN g b2 ON a.j = b2.j AND a.sign = b2.sign JOIN z ON z.j = a.j AND z.sign = a.sign", more=_HALVES.replace("// 125", "// (SELECT n // 4 FROM c)")))(moments_compact_classes)
+
+
+@query(f"WITH {LONG} SELECT a.i::INT AS i, b.i::INT AS j, round(covar_pop(a.x, b.x), 4) + 0.0 AS covariance FROM l a JOIN l b USING (ord) GROUP BY 1, 2")
+def covariance(spark, sf_dir):
+    _, cov, _ = M.train(four(spark, sf_dir), "unlabeled").fix()
+    rows = [(i, j, float(cov[i, j])) for i in range(4) for j in range(4)]
+    return spark.createDataFrame(rows, "i int, j int, covariance double").select("i", "j", r(F.col("covariance"), 4).alias("covariance"))
+
+
+# Slowness of series.
+
+
+@query("""
+WITH d AS (SELECT user_id, value, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS d, count(*) OVER (PARTITION BY user_id) AS n,
+  avg(value) OVER (PARTITION BY user_id) AS m, stddev_pop(value) OVER (PARTITION BY user_id) AS s FROM events)
+SELECT user_id, count(*) AS n, round(avg(d * d), 4) AS delta, round(any_value(n) / (2 * pi()) * sqrt(avg(d * d)), 4) AS eta, round(avg((d / s) * (d / s)), 4) AS normalised_delta
+FROM d GROUP BY user_id
+""")
+def event_slowness(spark, sf_dir):
+    """Mean squared difference of each user's values in order of time, eta = n / (2 pi) sqrt(delta), and delta at variance 1."""
+    by = W.partitionBy("user_id")
+    rows = table(spark, sf_dir, "events").select("user_id", "value", (F.col("value") - F.lag("value").over(by.orderBy("ts", "event_id"))).alias("d"))
+    out = rows.groupBy("user_id").agg(F.count("*").alias("n"), F.avg(F.col("d") * F.col("d")).alias("delta"), F.var_pop("value").alias("v"))
+    return out.select("user_id", "n", F.round("delta", 4).alias("delta"), F.round(F.col("n") / (2 * math.pi) * F.sqrt("delta"), 4).alias("eta"), F.round(F.col("delta") / F.col("v"), 4).alias("normalised_delta"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, user_id, count(*) AS n, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS spread FROM events GROUP BY 1, 2")
+def event_windows(spark, sf_dir):
+    return windowed_deltas(table(spark, sf_dir, "events")).select(F.col("window.start").alias("start"), "user_id", "n", F.round("mean", 4).alias("mean"), F.round("spread", 4).alias("spread"))
+
+
+@query(f"WITH {LONG}, m AS (SELECT class, i, count(*) AS n, avg(x) AS m FROM l GROUP BY 1, 2) SELECT i::INT AS i, round(sum(2.0 * n / (n - 1) * (q / n - m * m) * n) / (SELECT n FROM c), 4) AS delta FROM m JOIN (SELECT class, i, sum(x * x) AS q FROM l GROUP BY 1, 2) USING (class, i) GROUP BY i")
+def typical_delta_of_classes(spark, sf_dir):
+    """The mean squared difference of two different samples of one class."""
+    m = M.merge(M.clustered(four(spark, sf_dir), 4, F.col("class"), loops=False), 4)
+    rows = [(i, float(m.sdd[i, i] / m.r)) for i in range(4)]
+    return spark.createDataFrame(rows, "i int, delta double").select("i", F.round("delta", 4).alias("delta"))
+
+
+# Projections and expansions, a row for each number.
+
+
+def long_rows(rows: DataFrame, column: str = "y", digits: int = 4) -> DataFrame:
+    return rows.select(F.col("sample_id").alias("ord"), F.posexplode(column).alias("k", "v")).select("ord", "k", r(F.col("v"), digits).alias("v"))
+
+
+def long_sql(terms: list[str], digits: int = 4, source: str = S4) -> str:
+    return f"WITH {source}, t AS (SELECT ord, [{', '.join(terms)}]::DOUBLE[] AS y FROM s) SELECT ord, (k - 1)::INT AS k, round(y[k], {digits}) + 0.0 AS v FROM t, (SELECT unnest(range(1, {len(terms) + 1})) AS k)"
+
+
+def _expanded(spark, sf_dir, *names: str, scale: float = 1.0) -> DataFrame:
+    x = F.transform("features", lambda v: v * scale)
+    return long_rows(four(spark, sf_dir).withColumn("y", expand(x, 4, *names)))
+
+
+def _multisets(degree: int) -> list[tuple[int, ...]]:
+    import itertools
+
+    return list(itertools.combinations_with_replacement(range(1, 5), degree))
+
+
+def _scaled(k: int) -> str:
+    return f"(f[{k}] * 0.001)"
+
+
+@query(long_sql(["f[3]", "f[1]", "f[1]", "f[4]"]))
+def gather_components(spark, sf_dir):
+    return long_rows(four(spark, sf_dir).withColumn("y", V.gather(F.col("features"), [2, 0, 0, 3])))
+
+
+@query(long_sql(["f[1]", "f[2]", "0", "0"]))
+def head_and_its_inverse(spark, sf_dir):
+    return long_rows(four(spark, sf_dir).withColumn("y", V.head_inverse(V.head(F.col("features"), 2), 4)))
+
+
+@query(long_sql(["f[1] / sqrt(2)", "f[1] / sqrt(2)", "f[3]", "f[2] / sqrt(3)", "f[2] / sqrt(3)", "f[2] / sqrt(3)"]))
+def switchboard(spark, sf_dir):
+    return long_rows(four(spark, sf_dir).withColumn("y", V.switchboard(F.col("features"), [0, 0, 2, 1, 1, 1])))
+
+
+@query(long_sql(["f[1]", "f[2]", "f[3]", "0"]))
+def switchboard_and_its_inverse(spark, sf_dir):
+    wired = [0, 0, 2, 1, 1, 1]
+    return long_rows(four(spark, sf_dir).withColumn("y", V.switchboard_inverse(V.switchboard(F.col("features"), wired), wired, 4)))
+
+
+@query(long_sql(["f[1]", "f[1]", "f[2]", "f[2]", "f[3]", "f[3]", "f[4]", "f[4]"]))
+def wider(spark, sf_dir):
+    return long_rows(four(spark, sf_dir).withColumn("y", V.wider(F.col("features"), 2)))
+
+
+@query(long_sql(["least(greatest(f[1], -50), 80)", "least(greatest(f[2], -50), 80)", "100 * tanh(f[3] / 100)", "sqrt((f[1] ** 2 + f[2] ** 2 + f[3] ** 2 + f[4] ** 2) / 4)"]))
+def clipped_values(spark, sf_dir):
+    x = F.col("features")
+    y = F.array(F.get(V.clip(x, -50, 80), 0), F.get(V.clip(x, -50, 80), 1), F.get(V.soft_clip(x, 100.0), 2), V.root_mean_square(x))
+    return long_rows(four(spark, sf_dir).withColumn("y", y))
+
+
+@query(long_sql([" * ".join(_scaled(k) for k in t) for t in _multisets(2)], 6))
+def expand_quadratic(spark, sf_dir):
+    rows = four(spark, sf_dir)
+    return long_rows(rows.withColumn("y", expand(F.transform("features", lambda v: v * 0.001), 4, "QT")), digits=6)
+
+
+@query(long_sql([" * ".join(_scaled(k) for k in t) for t in _multisets(3)], 6))
+def expand_cubic(spark, sf_dir):
+    return long_rows(four(spark, sf_dir).withColumn("y", expand(F.transform("features", lambda v: v * 0.001), 4, "CT")), digits=6)
+
+
+@query(long_sql([f"f[{i}] * f[{i + d}]" for i in (1, 2, 3) for d in (0, 1)] + [f"sqrt(abs(f[{i}] - f[{i + 2}]))" for i in (1, 2)]))
+def expand_neighbours(spark, sf_dir):
+    return _expanded(spark, sf_dir, "product_adj2", "sqrt_abs_dif_mix2")
+
+
+@query(long_sql([f"cos(pi() * ({' + '.join(_scaled(k) for k in t)}))" for d in (1, 2) for t in _multisets(d)], 6))
+def expand_cosines(spark, sf_dir):
+    return long_rows(four(spark, sf_dir).withColumn("y", expand(F.transform("features", lambda v: v * 0.001), 4, "cos1", "cos2")), digits=6)
+
+
+@query(long_sql([f"pow(abs({_scaled(k)}), 0.8)" for k in (1, 2, 3, 4)] + [f"sign(f[{k}]) * pow(abs({_scaled(k)}), 1.5)" for k in (1, 2, 3, 4)] + [f"exp(-{_scaled(k)} * {_scaled(k)})" for k in (1, 2, 3, 4)], 6))
+def expand_powers(spark, sf_dir):
+    return long_rows(four(spark, sf_dir).withColumn("y", expand(F.transform("features", lambda v: v * 0.001), 4, "u08", "s15", "gauss")), digits=6)
+
+
+@query(long_sql(["f[1] * f[1]", "f[1] * f[3]", "f[3] * f[3]", "greatest(f[1], f[2])", "greatest(f[2], f[3])", "greatest(f[3], f[4])", "f[1] * f[3]", "f[1] * f[4]", "f[2] * f[3]", "f[2] * f[4]"]))
+def expand_channels(spark, sf_dir):
+    return _expanded(spark, sf_dir, "ch2_o0_s1_QT", "neighbour_max", "halves_product")
+
+
+_NORM = "sqrt(list_sum([v * v for v in [" + ", ".join(" * ".join(_scaled(k) for k in t) for t in _multisets(2)) + "]]))"
+
+
+@query(long_sql([f"{' * '.join(_scaled(k) for k in t)} / (1 + pow({_NORM}, 0.6))" for t in _multisets(2)], 6))
+def expand_normalised_output(spark, sf_dir):
+    return long_rows(four(spark, sf_dir).withColumn("y", expand(F.transform("features", lambda v: v * 0.001), 4, "Q_N")), digits=6)
+
+
+@query(long_sql([" * ".join(f"({_scaled(k)} / (1 + pow(abs({_scaled(k)}), 0.6)))" for k in t) for t in [*[(k,) for k in (1, 2, 3, 4)], *_multisets(2)]], 6))
+def expand_normalised_input(spark, sf_dir):
+    return long_rows(four(spark, sf_dir).withColumn("y", expand(F.transform("features", lambda v: v * 0.001), 4, "Q_AN_exp")), digits=6)
+
+
+@query(f"WITH {S4} SELECT ord AS sample_id, class || ' ' || array_to_string([z[1]::INT || ':' || z[2] for z in list_zip([1.0, 2.0, 3.0, 4.0]::DOUBLE[], f)], ' ') AS line FROM s")
+def libsvm_lines(spark, sf_dir):
+    return four(spark, sf_dir).select("sample_id", files.libsvm_line(F.col("class"), F.col("features")).alias("line"))
+
+
+# Ranges, cut-off, equalisation.
+
+
+@query(f"WITH {LONG} SELECT i::INT AS i, min(x) AS low, max(x) AS high FROM l GROUP BY i")
+def component_ranges(spark, sf_dir):
+    return E.ranges(four(spark, sf_dir))
+
+
+@query(f"""WITH {LONG}, b AS (SELECT i, min(x) AS low, max(x) AS high FROM l WHERE class < 2 GROUP BY i),
+d AS (SELECT ord, i, least(greatest(x, low), high) AS y, abs(x - least(greatest(x, low), high)) AS d FROM l JOIN b USING (i))
+SELECT ord, round(sum(y), 4) + 0.0 AS total, round(product(1 - pow(d / (d + 150), 2)), 6) AS correction FROM d GROUP BY ord""")
+def cut_off(spark, sf_dir):
+    """All samples cut to the bounds that those of classes 0 and 1 have."""
+    rows = four(spark, sf_dir)
+    low, high = E.bounds(rows.where("class < 2"))
+    out = E.cut_off(rows, low, high, 150.0)
+    return out.select(F.col("sample_id").alias("ord"), r(V.total(F.col("features")), 4).alias("total"), F.round("correction", 6).alias("correction"))
+
+
+@query(f"WITH {LONG}, b AS (SELECT i, min(x) AS low, max(x) AS high FROM l GROUP BY i) SELECT ord, i::INT AS k, round(-1 + 2 * (x - low) / (high - low), 6) + 0.0 AS v FROM l JOIN b USING (i)")
+def normalise_to_range(spark, sf_dir):
+    rows = four(spark, sf_dir)
+    return long_rows(rows.withColumn("y", E.fit_range(rows)), digits=6)
+
+
+@query(f"WITH {LONG}, b AS (SELECT i, avg(x) AS m, stddev_pop(x) AS s FROM l GROUP BY i) SELECT ord, i::INT AS k, round((x - m) / s, 6) + 0.0 AS v FROM l JOIN b USING (i)")
+def standardise(spark, sf_dir):
+    return long_rows(E.standardise(four(spark, sf_dir)), "features", 6)
+
+
+@query("""
+WITH o AS (SELECT l_extendedprice AS x, row_number() OVER (ORDER BY l_extendedprice) - 1 AS p, count(*) OVER () AS n FROM lineitem),
+w AS (SELECT k, round(k * (n - 1) / 10.0)::BIGINT AS p FROM (SELECT unnest(range(0, 11)) AS k), (SELECT any_value(n) AS n FROM o)),
+p AS (SELECT k, x AS low, lead(x) OVER (ORDER BY k) AS high, 0.5 - 0.5 * cos(k / 10.0 * pi()) AS a, 0.5 - 0.5 * cos((k + 1) / 10.0 * pi()) AS b FROM o JOIN w USING (p))
+SELECT l_orderkey, l_linenumber, l_extendedprice, round(least(greatest(a + (l_extendedprice - low) * ((b - a) / (high - low)), 0), 1), 6) + 0.0 AS equalised
+FROM lineitem JOIN p ON high IS NOT NULL AND (l_extendedprice > low OR k = 0) AND l_extendedprice <= high
+""")
+def equalise_prices(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem")
+    at = E.pivots(rows.select(F.col("l_extendedprice").alias("x")), 11)
+    return rows.select("l_orderkey", "l_linenumber", "l_extendedprice", r(E.equalise(F.col("l_extendedprice"), at)).alias("equalised"))
+
+
+# Graphs.
+
+_N = 60
+
+
+def edge_rows(edges: DataFrame) -> DataFrame:
+    return edges.select("src", "dst", r(F.col("w")).alias("w"))
+
+
+def edges_sql(body: str, head: str = "") -> str:
+    return f"WITH n AS (SELECT unnest(range(0, {_N})) AS id){head}, e AS ({body}) SELECT src, dst, round(sum(w), 6) + 0.0 AS w FROM e GROUP BY 1, 2"
+
+
+_GB = ", b AS (SELECT id, id // 10 AS k FROM n)"
+_G_SERIAL = "SELECT b.id AS src, t.id AS dst, 1.0 AS w FROM b JOIN b t ON abs(b.k - t.k) = 1"
+_G_MIXED = f"{_G_SERIAL} UNION ALL SELECT b.id, t.id, CASE WHEN b.k IN (0, 5) THEN 2.0 ELSE 1.0 END FROM b JOIN b t ON b.k = t.k"
+
+
+@query(edges_sql(f"SELECT a.id AS src, b.id AS dst, 1.0 AS w FROM n a JOIN n b ON abs(a.id - b.id) = 1 UNION ALL SELECT id, id, 1.0 FROM n WHERE id IN (0, {_N - 1})"))
+def graph_linear(spark, sf_dir):
+    return edge_rows(G.linear(spark, _N)[1])
+
+
+@query("WITH z AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1) SELECT a.vec_id AS src, b.vec_id AS dst, round(1.0 / (n - 1), 6) + 0.0 AS w FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id != b.vec_id JOIN z ON z.label = a.label")
+def graph_clustered(spark, sf_dir):
+    return edge_rows(G.clustered(whole(spark, sf_dir).select("sample_id", F.col("class").alias("cluster")))[1])
+
+
+@query(edges_sql(_G_SERIAL, _GB))
+def graph_serial(spark, sf_dir):
+    return edge_rows(G.serial(spark, _N, 10)[1])
+
+
+@query(edges_sql(_G_MIXED, _GB))
+def graph_mixed(spark, sf_dir):
+    return edge_rows(G.mixed(spark, _N, 10)[1])
+
+
+@query(edges_sql(f"{_G_SERIAL} UNION ALL SELECT b.id, t.id, 0.5 * CASE WHEN b.k IN (0, 5) THEN 2.0 ELSE 1.0 END FROM b JOIN b t ON b.k = t.k AND b.id != t.id", _GB))
+def graph_improved(spark, sf_dir):
+    return edge_rows(G.improved(spark, _N, 10, 0.5)[1])
+
+
+_WINDOW = f", p AS (SELECT a.id AS src, b.id AS dst, (CASE WHEN a.id + b.id + 2 <= 5 OR a.id + b.id + 2 >= {2 * _N - 1} THEN 2.0 ELSE 1.0 END) / 8 AS w FROM n a JOIN n b ON a.id != b.id AND abs(a.id - b.id) <= 4)"
+
+
+@query(edges_sql("SELECT * FROM p UNION ALL SELECT src, src, 1 - sum(w) FROM p GROUP BY src HAVING sum(w) < 1 - 1e-12", _WINDOW))
+def graph_sliding_window(spark, sf_dir):
+    return edge_rows(G.sliding_window(spark, _N, 4)[1])
+
+
+@query(edges_sql("SELECT a.id AS src, b.id AS dst, a.wj / 29.0 AS w FROM g a JOIN g b ON a.j = b.j AND a.sign = b.sign AND a.id != b.id", ", g AS (SELECT id, j, CASE j WHEN 0 THEN id // 30 ELSE id // 15 % 2 END AS sign, 0.5 AS wj FROM n, (SELECT unnest([0, 1]) AS j))"))
+def graph_compact_classes(spark, sf_dir):
+    return edge_rows(G.compact_classes(spark, 4, 15)[1])
+
+
+_RG = ", g AS (SELECT id AS src, (id * 7 + 3) % 60 AS dst, (1.0 + id % 5)::DOUBLE AS w FROM n), v AS (SELECT id, (1.0 + id % 3)::DOUBLE AS v FROM n)"
+
+
+@query(edges_sql("SELECT src, dst, w / 2 AS w FROM g UNION ALL SELECT dst, src, w / 2 FROM g", _RG))
+def graph_symmetric(spark, sf_dir):
+    return edge_rows(G.symmetric(ring(spark, _N)[1]))
+
+
+@query(edges_sql("SELECT src, dst, w / sqrt(a.v * b.v) AS w FROM g JOIN v a ON a.id = src JOIN v b ON b.id = dst", _RG))
+def graph_normalised(spark, sf_dir):
+    nodes, edges = ring(spark, _N)
+    return edge_rows(G.normalised(nodes, edges))
+
+
+@query(edges_sql("SELECT src, dst, w / (1 + k * q * q / r) AS w FROM (SELECT src, dst, w - 4.0 AS w FROM g UNION ALL SELECT a.id, b.id, k * a.v * b.v FROM v a, v b, t), t", _RG + ", t AS (SELECT -min((w - 4.0) / (a.v * b.v)) AS k, (SELECT sum(v) FROM v) AS q, sum(w - 4.0) AS r FROM g JOIN v a ON a.id = src JOIN v b ON b.id = dst)"))
+def graph_without_negative_weights(spark, sf_dir):
+    nodes, edges = ring(spark, _N)
+    return edge_rows(G.without_negative_weights(nodes, edges.withColumn("w", F.col("w") - 4.0)))
+
+
+@query(edges_sql("SELECT * FROM g UNION ALL SELECT id, u, 0.5 * q / 6 / 60 FROM n, t, (SELECT unnest(range(100, 106)) AS u) UNION ALL SELECT u, id, 0.5 * q / 6 / 60 FROM n, t, (SELECT unnest(range(100, 106)) AS u)", _RG + ", t AS (SELECT sum(v) AS q FROM v)"))
+def graph_with_unlabelled(spark, sf_dir):
+    nodes, edges = ring(spark, _N)
+    return edge_rows(G.add_unlabelled(nodes, edges, spark.range(100, 106).select(F.col("id").alias("sample_id")))[1])
+
+
+@query(f"WITH n AS (SELECT unnest(range(0, {_N})) AS id){_RG}, o AS (SELECT src AS id, sum(w) AS o FROM g GROUP BY 1), i AS (SELECT dst AS id, sum(w) AS i FROM g GROUP BY 1), t AS (SELECT sum(v) AS q, (SELECT sum(w) FROM g) AS r FROM v) SELECT id AS sample_id, round(v / q, 6) AS node_share, round(coalesce(o, 0) / r, 6) AS out_share, round(coalesce(i, 0) / r, 6) AS in_share, abs(v / q - coalesce(o, 0) / r) <= 1e-6 AND abs(v / q - coalesce(i, 0) / r) <= 1e-6 AS consistent FROM v LEFT JOIN o USING (id) LEFT JOIN i USING (id), t")
+def graph_consistency(spark, sf_dir):
+    rows = G.consistency(*ring(spark, _N))
+    return rows.select("sample_id", *[F.round(c, 6).alias(c) for c in ("node_share", "out_share", "in_share")], "consistent")
+
+
+@query(f"WITH {S4}, e AS ({_RING}) SELECT (k - 1)::INT AS i, round(sum(w * (t.f[k] - s.f[k]) ** 2) / sum(w), 4) AS delta FROM e JOIN s ON s.ord = e.src JOIN s t ON t.ord = e.dst, (SELECT unnest([1, 2, 3, 4]) AS k) GROUP BY k")
+def graph_deltas(spark, sf_dir):
+    rows = four(spark, sf_dir)
+    return G.graph_deltas(rows, ring(spark, rows.count())[1]).select("i", F.round("delta", 4).alias("delta"))
+
+
+@query("WITH v AS (SELECT vec_id, label, 1.0 + vec_id % 3 AS v FROM embeddings), m AS (SELECT sum(v * label) / sum(v) AS m, sum(v * label * label) / sum(v) AS q FROM v) SELECT vec_id AS sample_id, round((label - m) / sqrt(q - m * m), 6) + 0.0 AS response FROM v, m")
+def free_response_of_label(spark, sf_dir):
+    rows = G.free_responses(whole(spark, sf_dir), [F.col("class")], 1.0 + F.col("sample_id") % 3)
+    return rows.select("sample_id", r(F.get("free", 1)).alias("response"))
+
+
+# Heads and measures.
+
+S64 = f"s AS (SELECT vec_id AS ord, label AS class, [{_f(64)}] AS f FROM embeddings)"
+_DIST = "list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(a.f, b.f)])"
+
+
+def thousandths(spark, sf_dir):
+    return synthetic.embeddings(spark, sf_dir, grain=GRAIN)
+
+
+@query("SELECT label AS class, k AS i, round(avg(round(embedding[k + 1]::DOUBLE / 0.001)), 4) + 0.0 AS mean FROM embeddings, (SELECT unnest(range(0, 64))::INT AS k) GROUP BY 1, 2")
+def class_means(spark, sf_dir):
+    rows = H.class_means(thousandths(spark, sf_dir)).select("class", F.posexplode("mean").alias("i", "mean"))
+    return rows.select(F.col("class").cast("int").alias("class"), "i", r(F.col("mean"), 4).alias("mean"))
+
+
+@query(f"""WITH {S64}, m AS (SELECT class, list(m ORDER BY k) AS f FROM (SELECT class, k, avg(f[k]) AS m FROM s, (SELECT unnest(range(1, 65)) AS k) GROUP BY 1, 2) GROUP BY 1),
+d AS (SELECT a.ord, a.class, b.class AS guess, row_number() OVER (PARTITION BY a.ord ORDER BY {_DIST}, b.class) AS p FROM s a, m b)
+SELECT class::INT AS truth, guess::BIGINT AS guess, count(*) AS n FROM d WHERE p = 1 GROUP BY 1, 2""")
+def nearest_mean_confusion(spark, sf_dir):
+    rows = thousandths(spark, sf_dir)
+    return H.confusion(H.nearest_mean(rows, H.class_means(rows)), "class", "predicted")
+
+
+def _near(spark, sf_dir, k: int) -> DataFrame:
+    rows = thousandths(spark, sf_dir)
+    return H.nearest_neighbours(rows.select(F.col("sample_id").alias("query_id"), "features"), rows.select(F.col("sample_id").alias("reference_id"), "features"), k, skip_same=True)
+
+
+_NEAR = f"{S64}, d AS (SELECT a.ord AS query_id, b.ord AS reference_id, b.class, {_DIST} AS d FROM s a, s b), p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, reference_id) AS rank FROM d WHERE d > 0)"
+
+
+@query(f"WITH {_NEAR} SELECT query_id, reference_id, rank::INT AS rank, d AS distance2 FROM p WHERE rank <= 3")
+def three_nearest(spark, sf_dir):
+    return _near(spark, sf_dir, 3)
+
+
+@query(f"WITH {_NEAR}, v AS (SELECT query_id, class, count(*) AS n FROM p WHERE rank <= 5 GROUP BY 1, 2), w AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, class) AS q FROM v) SELECT w.query_id, w.class::INT AS predicted, round(a.a, 6) AS average FROM w JOIN (SELECT query_id, avg(class) AS a FROM p WHERE rank <= 5 GROUP BY 1) a USING (query_id) WHERE q = 1")
+def neighbour_votes(spark, sf_dir):
+    labels = whole(spark, sf_dir).select(F.col("sample_id").alias("reference_id"), F.col("class").alias("label"))
+    return H.neighbour_votes(_near(spark, sf_dir, 5), labels).select("query_id", "predicted", F.round("average", 6).alias("average"))
+
+
+@query("SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept FROM lineitem")
+def price_regression(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.array("l_quantity").alias("features"), "l_extendedprice")
+    m = E.fit_regression(rows, F.col("l_extendedprice"))
+    slope = float(m.weights[0, 0])
+    return spark.createDataFrame([(slope, float(m.shift[0] - m.mean[0] * slope))], "slope double, intercept double").select(F.round("slope", 4).alias("slope"), F.round("intercept", 3).alias("intercept"))
+
+
+def guesses(spark, sf_dir):
+    """Quantities guessed from prices."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("truth"), F.floor(F.col("l_extendedprice") / 2000).cast("double").alias("guess"))
+
+
+_GUESS = "g AS (SELECT l_quantity AS truth, floor(l_extendedprice / 2000) AS guess FROM lineitem)"
+
+
+@query(f"WITH {_GUESS} SELECT round(avg(abs(truth - guess)), 6) AS mae, round(avg((truth - guess) ** 2), 6) AS mse, round(sqrt(avg((truth - guess) ** 2)), 6) AS rmse, round(avg((truth::BIGINT = guess::BIGINT)::INT), 6) AS rate FROM g")
+def error_measures(spark, sf_dir):
+    t, g = F.col("truth"), F.col("guess")
+    return guesses(spark, sf_dir).agg(*[F.round(x, 6).alias(n) for n, x in (("mae", H.mean_absolute_error(t, g)), ("mse", H.mean_squared_error(t, g)), ("rmse", H.root_mean_squared_error(t, g)), ("rate", H.classification_rate(t, g)))])
+
+
+@query(f"WITH {_GUESS}, m AS (SELECT truth AS m FROM (SELECT truth, row_number() OVER (ORDER BY truth) - 1 AS p, count(*) OVER () AS n FROM g) WHERE p = n // 2) SELECT round(stddev_pop(truth), 6) AS rmse, round(avg(abs(truth - m)), 6) AS mae FROM g, m")
+def chance_levels(spark, sf_dir):
+    return H.chance_levels(guesses(spark, sf_dir), "truth").select(F.round("rmse", 6).alias("rmse"), F.round("mae", 6).alias("mae"))
+
+
+@query(f"WITH {_GUESS} SELECT j::INT AS error, round(avg((abs(truth - guess) <= j)::INT), 6) AS score FROM g, (SELECT unnest(range(0, 31)) AS j) GROUP BY j")
+def cumulative_scores(spark, sf_dir):
+    return H.cumulative_scores(guesses(spark, sf_dir), F.col("truth"), F.col("guess")).select("error", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_GUESS} SELECT truth, count(*) AS n, round(avg(abs(guess - truth)), 6) AS mae, round(avg(guess), 6) AS mean_guess, round(avg(guess - truth), 6) + 0.0 AS bias FROM g GROUP BY truth")
+def errors_by_label(spark, sf_dir):
+    rows = H.error_table(guesses(spark, sf_dir), "truth", "guess")
+    return rows.select("truth", "n", F.round("mae", 6).alias("mae"), F.round("mean_guess", 6).alias("mean_guess"), r(F.col("bias")).alias("bias"))
+
+
+@query("SELECT quality AS truth, 1 - toxic AS guess, count(*) AS n FROM labels GROUP BY 1, 2")
+def label_confusion(spark, sf_dir):
+    return H.confusion(table(spark, sf_dir, "labels").withColumn("g", 1 - F.col("toxic")), "quality", "g")
+
+
+@query("""WITH m AS (SELECT o_orderpriority AS p, avg(o_totalprice) AS a FROM orders GROUP BY 1), k AS (SELECT p, a, row_number() OVER (ORDER BY a) - 1 AS class, lag(a) OVER (ORDER BY a) AS b, lead(a) OVER (ORDER BY a) AS c FROM m)
+SELECT o_orderkey, class::INT AS class FROM orders JOIN k ON (b IS NULL OR o_totalprice > (a + b) / 2) AND (c IS NULL OR o_totalprice <= (a + c) / 2)""")
+def nearest_class_label(spark, sf_dir):
+    """Orders to the priority whose mean price is nearest, priorities counted in order of it."""
+    rows = table(spark, sf_dir, "orders")
+    means = sorted(x["label"] for x in H.class_labels(rows, "o_orderpriority", "o_totalprice").collect())
+    return rows.select("o_orderkey", H.label_to_class(F.col("o_totalprice"), means, list(range(len(means)))).alias("class"))
+
+
+@query("SELECT vec_id AS sample_id, label AS class FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS p FROM embeddings) WHERE p <= 20")
+def at_most_per_class(spark, sf_dir):
+    return synthetic.at_most_per_class(whole(spark, sf_dir), 20).select("sample_id", "class")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def without_identities(spark, sf_dir):
+    held = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return synthetic.without_identities(table(spark, sf_dir, "customer"), held, "c_custkey").select("c_custkey")
+
+
+@query("SELECT a.a + 4 * b.b + 12 * c.c AS ord, 'age' || c.c || '_pose' || a.a || '_light' || b.b || '.jpg' AS file FROM (SELECT unnest(range(0, 4)) AS a) a, (SELECT unnest(range(0, 3)) AS b) b, (SELECT unnest(range(0, 5)) AS c) c")
+def factor_files(spark, sf_dir):
+    return synthetic.file_names(synthetic.factor_grid(spark, pose=4, light=3, age=5), "age%d_pose%d_light%d.jpg", "age", "pose", "light").select("ord", "file")
+
+
+@query("SELECT o.x + 4 * o.y AS node_id, (o.y * 2 + b) * 8 + o.x * 2 + a AS input FROM (SELECT x, y FROM (SELECT unnest(range(0, 4)) AS x), (SELECT unnest(range(0, 4)) AS y)) o, (SELECT unnest(range(0, 2)) AS a), (SELECT unnest(range(0, 2)) AS b)")
+def lattice_inputs(spark, sf_dir):
+    rows = [(k, i) for k, c in enumerate(N.lattice_connections(8, 8, 2, 2, 2, 2)) for i in c]
+    return spark.createDataFrame(rows, "node_id long, input long")
+
+
+# Learnt models: rows only; tests hold their invariants.
+
+
+def slow_model(rows: DataFrame, outputs: int = 9) -> E.Linear:
+    return E.slow_features(M.train(rows, "classification", key=F.col("class")), outputs)
+
+
+@query()
+def classify_slow_features(spark, sf_dir):
+    """The share of samples whose nine slowest features lie nearest their own class's mean."""
+    rows = whole(spark, sf_dir)
+    slow = E.map_vectors(rows, slow_model(rows))
+    guessed = H.nearest_mean(slow, H.class_means(slow))
+    return guessed.agg(F.count("*").alias("n"), F.round(H.classification_rate(F.col("class"), F.col("predicted")), 6).alias("rate"))
+
+
+@query()
+def slow_features(spark, sf_dir):
+    rows = whole(spark, sf_dir)
+    return long_rows(E.map_vectors(rows, slow_model(rows)), "features", 6)
+
+
+@query()
+def principal_components(spark, sf_dir):
+    rows = whole(spark, sf_dir)
+    return long_rows(E.map_vectors(rows, E.principal_components(M.train(rows, "unlabeled"), 0.5)), "features", 6)
+
+
+@query()
+def whitened(spark, sf_dir):
+    rows = whole(spark, sf_dir)
+    return long_rows(E.map_vectors(rows, E.principal_components(M.train(rows, "unlabeled"), 8, whiten=True)), "features", 6)
+
+
+@query()
+def slow_features_and_rest(spark, sf_dir):
+    rows = synthetic.embeddings(spark, sf_dir, 8)
+    model = E.fit_slow_and_rest(rows, "classification", delta_threshold=1.98, key=F.col("class"))
+    return long_rows(model.apply(rows), "features", 6)
+
+
+@query()
+def gaussian_classes(spark, sf_dir):
+    rows = synthetic.embeddings(spark, sf_dir, 8)
+    probabilities, classes = H.gaussian_classifier(rows, 8)
+    p = H.with_probabilities(rows, probabilities)
+    label = F.round(H.expected_label(F.col("p"), classes), 6)
+    return p.select("sample_id", "class", label.alias("expected"), H.median_label(F.col("p"), classes).alias("median"))
+
+
+@query()
+def two_layer_network(spark, sf_dir):
+    rows = whole(spark, sf_dir)
+    return long_rows(N.train_network(rows, N.NETWORKS["two_layers"], "class")[1], "features", 6)
+
+
+@query()
+def shared_weights_network(spark, sf_dir):
+    rows = whole(spark, sf_dir)
+    return long_rows(N.train_network(rows, N.NETWORKS["shared_two_layers"], "class")[1], "features", 6)
+
+
+@query()
+def label_graph_slow_features(spark, sf_dir):
+    """Slow features of the graph that the labels alone define; its edges are never made."""
+    rows = G.free_responses(synthetic.embeddings(spark, sf_dir, 16), [F.col("class")], F.lit(1.0)).withColumn("v", F.lit(1.0))
+    m = G.label_moments(rows, 16, [0.0])
+    return long_rows(E.map_vectors(rows.select("sample_id", "features"), E.slow_features(m, 2)), "features", 6)
+
+
+@query()
+def graph_responses(spark, sf_dir):
+    """Deltas of the free responses of a small graph, by its eigenvalues."""
+    nodes, edges = G.serial(spark, _N, 10)
+    values, _, _ = G.eigenvectors(nodes, edges)
+    q, w = nodes.agg(F.sum("v")).first()[0], edges.agg(F.sum("w")).first()[0]
+    return spark.createDataFrame([(k, float(d)) for k, d in enumerate(G.deltas_of(values, q, w))], "k int, delta double").select("k", r(F.col("delta")).alias("delta"))
+
+
+@query()
+def nonlinear_components(spark, sf_dir):
+    rows = synthetic.embeddings(spark, sf_dir, 8)
+    stages = E.nonlinear_components(rows, 8, 2)
+    return spark.createDataFrame([(k, float(a.values[0])) for k, (a, _) in enumerate(stages)], "k int, variance double")
+
+
+@query()
+def random_latent_source(spark, sf_dir):
+    return synthetic.splits(synthetic.random_latent(spark, 2000, 16)).groupBy("class", "split").agg(F.count("*").alias("n"), F.round(F.avg("label"), 6).alias("label"))
+
+
+@query()
+def sigmoid_expansion(spark, sf_dir):
+    rng = np.random.default_rng(0)
+    weights = rng.normal(size=(4, 6))
+    rows = synthetic.embeddings(spark, sf_dir, 4)
+    return long_rows(rows.withColumn("y", sigmoid_features(weights.tolist(), [0.1, 0.2, 0.8, 1.0, -0.3, 0.0])(F.col("features"), 4)))
+
+
