@@ -55,7 +55,7 @@ def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _f(size: int) -> str:
-    return ", ".join(f"round(embedding[{k}]::DOUBLE / 0.001)" for k in range(1, size + 1))
+    return ", ".join(f"round(embedding[{k}]::DOUBLE / 0.001) + 0.0" for k in range(1, size + 1))
 
 
 S4 = f"s AS (SELECT vec_id AS ord, label AS class, [{_f(4)}] AS f FROM embeddings), c AS (SELECT count(*) AS n FROM s)"

@@ -52,7 +52,7 @@ def embeddings(spark: SparkSession, sf_dir: str, size: int | None = None, grain:
     """The embeddings table as samples (sample_id, ord, class, features), the first components of it, as whole multiples of the grain."""
     x = F.col("embedding").cast("array<double>")
     x = F.slice(x, 1, size) if size else x
-    x = F.transform(x, lambda v: F.round(v / grain)) if grain else x
+    x = F.transform(x, lambda v: F.round(v / grain) + 0.0) if grain else x
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("sample_id"), F.col("vec_id").alias("ord"), F.col("label").cast("int").alias("class"), x.alias("features"))
 
 
