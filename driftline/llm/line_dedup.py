@@ -62,7 +62,9 @@ def keep_bitmaps(docs: DataFrame, least_docs: int = 10, keep_first: bool = False
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """docs with the columns _lines (all lines) and _kept (those the bitmap keeps)."""
+    """doc_id, text, the struct _rest of docs' other columns (if any), _lines (all lines) and _kept (those the bitmap keeps)."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    docs = docs.select("doc_id", "text", *([F.struct(*[F.col(f"`{c}`") for c in others]).alias("_rest")] if others else []))
     held = bitmaps.select(F.col("row_key").alias("_key"), "dropped")
     rows = docs.withColumn("_row", _row_key()).join(held, F.col("_row") == F.col("_key"), "left")
     rows = rows.withColumn("_map", F.map_from_entries("dropped")).withColumn("_last", F.element_at("dropped", -1)["word"])
@@ -82,8 +84,7 @@ def drop_frequent_lines(docs: DataFrame, least_docs: int = 10, keep_first: bool
     one document and are all kept; rows of one doc_id with other texts are
     documents of their own. All rows of docs stay, and its columns and types.
     """
-    wide = docs.select(F.col("doc_id"), F.col("text"), F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")]).alias("_rest")) if len(docs.columns) > 2 else docs
-    out = apply_bitmaps(wide, keep_bitmaps(docs.select("doc_id", "text"), least_docs, keep_first)).withColumn("text", F.array_join("_kept", "\n"))
+    out = apply_bitmaps(docs, keep_bitmaps(docs.select("doc_id", "text"), least_docs, keep_first)).withColumn("text", F.array_join("_kept", "\n"))
     value = {c: F.col(c) if c in ("doc_id", "text") else F.length("text").cast(docs.schema[c].dataType) if c == "n_chars" else F.col(f"_rest.`{c}`") for c in docs.columns}
     return out.select(*[v.alias(c) for c, v in value.items()])
 
