@@ -3,7 +3,7 @@
 An expansion is a function of a Column. Names follow a grammar rather than a
 list: ``identity``; ``QT``, ``CT``, ``P4`` to ``P9`` (all monomials of a
 degree); ``<u|s><power>`` (absolute or signed power, 08 is 0.8); ``adjK`` and
-``mixK`` (a pair function at index distances below or of K); ``selN_<name>``
+``mixK`` (a pair function at index distances 0 to K - 1, or 1 to K); ``selN_<name>``
 (of the first N components); ``chC_oO_sS_<name>`` (a slice of each of C equal
 channels); ``<QT|CT>_<n>_AP<power>`` and ``<Q|C>_<AN|N|E|AE|AP>`` (monomials
 with normalised input or output); ``cosD`` (cosines of sums of D components).
@@ -229,7 +229,7 @@ def expansion(name: str) -> Expansion:
     if m := re.fullmatch(r"(\w+?)_(adj|mix)(\d+)", name):
         if m[1] in PAIRS:
             k = int(m[3])
-            return pairs_at(PAIRS[m[1]], range(k) if m[2] == "adj" else [k])
+            return pairs_at(PAIRS[m[1]], range(k) if m[2] == "adj" else range(1, k + 1))
     if m := re.fullmatch(r"sel(\d+)_(\w+)", name):
         return first(int(m[1]), expansion(m[2]))
     if m := re.fullmatch(r"div(\d+)_sel(\d+)_(\w+)", name):

@@ -278,7 +278,7 @@ def expand_cubic(spark, sf_dir):
     return long_rows(four(spark, sf_dir).withColumn("y", expand(F.transform("features", lambda v: v * 0.001), 4, "CT")), digits=6)
 
 
-@query(long_sql([f"f[{i}] * f[{i + d}]" for i in (1, 2, 3) for d in (0, 1)] + [f"sqrt(abs(f[{i}] - f[{i + 2}]))" for i in (1, 2)]))
+@query(long_sql([f"f[{i}] * f[{i + d}]" for i in (1, 2, 3) for d in (0, 1)] + [f"sqrt(abs(f[{i}] - f[{i + d}]))" for i in (1, 2) for d in (1, 2)]))
 def expand_neighbours(spark, sf_dir):
     return _expanded(spark, sf_dir, "product_adj2", "sqrt_abs_dif_mix2")
 
