@@ -68,7 +68,7 @@ def test_expansions_have_their_sizes(spark, name, size, count):
     assert len(one(spark, X.expand(x, size, name))) == count
 
 
-def test_expansion_errors():
+def test_expansion_errors(spark):
     with pytest.raises(ValueError):
         X.expansion("nothing_like_it")
     with pytest.raises(ValueError):
