@@ -34,6 +34,7 @@ PAIRS: dict[str, Pair] = {
     "unsigned_sqrt": lambda a, b: F.sqrt(F.abs(a * b)),
     "max": lambda a, b: F.greatest(a, b),
     "min": lambda a, b: F.least(a, b),
+    "folded_gauss": lambda a, b: folded_gauss(a * b),
 } | {f"signed_{p:02d}": (lambda a, b, p=p: signed_power(a * b, p / 10)) for p in (2, 3, 4, 6, 8)}
 
 
@@ -172,9 +173,21 @@ def pair_with_next(fn: Pair) -> Expansion:
     return lambda x, size: F.zip_with(F.slice(x, 1, size - 1), F.slice(x, 2, size - 1), fn)
 
 
-def middle_of_three(x: Column, size: int) -> Column:
-    """The median of each component and the two after it."""
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 3)), lambda k: F.get(F.sort_array(F.slice(x, k + 1, 3)), 1))
+def of_three(fn: Callable[[Column], Column]) -> Expansion:
+    """fn of each component and the two after it, as a sorted vector; under three components there are none."""
+
+    def made(x: Column, size: int) -> Column:
+        if size < 3:
+            return F.array().cast("array<double>")
+        return F.transform(F.sequence(F.lit(0), F.lit(size - 3)), lambda k: fn(F.sort_array(F.slice(x, k + 1, 3))))
+
+    return made
+
+
+def folded_gauss(v: Column, width: float = 1.0) -> Column:
+    """exp(-(v / width)^2), and 2 less that for negative values: a falling sigmoid."""
+    bell = F.exp(-(v / width) * (v / width))
+    return F.when(v < 0, 2 - bell).otherwise(bell)
 
 
 def piecewise_power(v: Column, inside: float, outside: float) -> Column:
@@ -203,8 +216,17 @@ SIMPLE: dict[str, Expansion] = {
     "gauss": each(lambda v: F.exp(-v * v)),
     "neighbour_max": pair_with_next(PAIRS["max"]),
     "neighbour_sign": pair_with_next(lambda a, b: F.signum(a) * b),
-    "median3": middle_of_three,
+    "median3": of_three(lambda t: F.get(t, 1)),
+    "max3": of_three(lambda t: F.get(t, 2)),
+    "midrange3": of_three(lambda t: (F.get(t, 0) + F.get(t, 2)) / 2),
     "piecewise_2_08": each(lambda v: piecewise_power(v, 2.0, 0.8)),
+    "abs_piecewise_2_08": each(lambda v: F.abs(piecewise_power(v, 2.0, 0.8))),
+    "folded_gauss": each(lambda v: folded_gauss(v)),
+    "folded_gauss_wide": each(lambda v: folded_gauss(v, 2.0)),
+    "tanh_s15_05": each(lambda v: F.tanh(0.5 * signed_power(v, 1.5)) / 0.5),
+    "tanh_s15_0125": each(lambda v: F.tanh(0.125 * signed_power(v, 1.5)) / 0.125),
+    "modulate_sign_08": pair_with_next(lambda a, b: F.signum(a) * signed_power(b, 0.8)),
+    "modulate_02_07": pair_with_next(lambda a, b: signed_power(a, 0.2) * signed_power(b, 0.7)),
     "halves_product": halves(PAIRS["product"]),
     "pair_abs_sum": lambda x, size: F.concat(x, pairs_at(PAIRS["abs_sum"], range(1, size), size - 1)(x, size) if size < 2 else F.flatten(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.transform(F.slice(x, i + 1, size - i), lambda v: F.abs(F.get(x, i) + v))))),
     "norm_scaled": lambda x, size: F.transform(x, lambda v: v / root_mean_square(x)),

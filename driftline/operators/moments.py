@@ -362,6 +362,25 @@ def with_unlabelled(labelled: Moments, more: DataFrame, share: float = 0.2, inne
     return Moments(n1 + v2 * n2, labelled.r * w1 + w12 * 2 * n1 * n2, labelled.sx + v2 * new.sx, labelled.sxx + v2 * new.sxx, labelled.sdd * w1 + w12 * ties) + inner
 
 
+def with_unlabelled_in_classes(labelled: Moments, more: DataFrame, classes: int = 10, weight: float = 2**-9.5) -> Moments:
+    """Adds unlabelled samples that belong to every class a little: each has the weight in all, evenly over the classes.
+
+    The labelled samples lie in classes of one size. Within a class all pairs
+    are tied by the product of their weights, over what a sample reaches; the
+    labelled ones' node weights stay 1.
+    """
+    size = len(labelled.sx)
+    new = merge(unlabelled(more, size), size)
+    n1, n2, share = labelled.q / classes, new.q, weight / classes
+    reach1, reach2 = n1 - 1 + share * n2, n1 + share * (n2 - 1)
+    tie, inner = share * (1 / reach1 + 1 / reach2), share**2 / reach2 * (n2 - 1) * classes
+    cross = np.outer(labelled.sx, new.sx)
+    ties = tie * (new.sxx * labelled.q - cross - cross.T + labelled.sxx * n2)
+    among = inner * 2 * (new.sxx - np.outer(new.sx, new.sx) / n2)
+    old = labelled.scaled((n1 - 1) / reach1)
+    return Moments(labelled.q + weight * n2, old.r + labelled.q * n2 * tie + inner * n2, labelled.sx + weight * new.sx, labelled.sxx + weight * new.sxx, old.sdd + ties + among)
+
+
 def train(samples: DataFrame, mode: str, *, size: int | None = None, block: int | None = None, key: Column | None = None, nodes: DataFrame | None = None, edges: DataFrame | None = None, labels: int | None = None) -> Moments:
     """The moments of samples under a mode, by its name.
 

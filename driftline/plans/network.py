@@ -8,7 +8,7 @@ weights there is one model for all fields.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -96,19 +96,50 @@ def fields(samples: DataFrame, layer: Layer) -> DataFrame:
 
 
 def _states(rows: DataFrame, group: Column, size: int) -> dict[int, Moments]:
-    """The clustered moments of every node: pairs of samples of one group, the node's own moments less its groups' means."""
-    ship(rows.sparkSession)
+    """The clustered moments of every node: pairs of samples of one group, the node's own moments less its groups' means.
 
-    def work(table: pa.Table) -> pa.Table:
+    A task keeps a state for each node it sees; a hot group is shuffled as one
+    sum a batch and node.
+    """
+    ship(rows.sparkSession)
+    numbers = pa.list_(pa.float64())
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        states: dict[int, Moments] = {}
+        for batch in batches:
+            if batch.num_rows:
+                node, x = batch.column("node_id").to_numpy(), matrix(batch)
+                for k in np.unique(node).tolist():
+                    mine = x[node == k]
+                    s = states.setdefault(k, Moments.zero(size))
+                    s.nodes(mine)
+                    s.r += len(mine)
+        for s in states.values():
+            s.sdd = 2 * s.sxx
+        yield pa.RecordBatch.from_arrays([pa.array(list(states), pa.int32()), pa.array([s.flat().tolist() for s in states.values()], numbers)], ["node_id", "state"])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                groups = batch.column("_g").dictionary_encode(null_encoding="encode")
+                pairs = np.stack([batch.column("node_id").to_numpy(), groups.indices.to_numpy()], axis=1)
+                cells, which = np.unique(pairs, axis=0, return_inverse=True)
+                x = matrix(batch)
+                total = np.zeros((len(cells), x.shape[1]))
+                np.add.at(total, which.reshape(-1), x)
+                columns = [pa.array(cells[:, 0].astype(np.int32)), groups.dictionary.take(pa.array(cells[:, 1])), pa.array(np.bincount(which.reshape(-1))), pa.array(total.tolist(), numbers)]
+                yield pa.RecordBatch.from_arrays(columns, ["node_id", "_g", "n", "total"])
+
+    def less(table: pa.Table) -> pa.Table:
+        total = matrix(table, "total").sum(axis=0)
         s = Moments.zero(size)
-        x = matrix(table)
-        s.nodes(x)
-        total = x.sum(axis=0)
-        s.r = float(len(x))
-        s.sdd = 2 * (s.sxx - np.outer(total, total) / len(x))
-        return pa.table({"node_id": table.column("node_id")[:1], "state": pa.array([s.flat().tolist()], pa.list_(pa.float64()))})
-
-    partials = rows.withColumn("_g", group).groupBy("node_id", "_g").applyInArrow(work, "node_id int, state array<double>")
+        s.sdd = np.outer(total, total) * (-2 / table.column("n").to_numpy().sum())
+        return pa.table({"node_id": table.column("node_id")[:1], "state": pa.array([s.flat().tolist()], numbers)})
+
+    grouped = rows.select("node_id", group.cast("string").alias("_g"), "features")
+    schema = "node_id int, state array<double>"
+    totals = grouped.mapInArrow(sums, "node_id int, _g string, n long, total array<double>")
+    partials = grouped.mapInArrow(own, schema).union(totals.groupBy("node_id", "_g").applyInArrow(less, schema))
     cells = partials.select("node_id", F.posexplode("state").alias("cell", "value")).groupBy("node_id", "cell").agg(F.sum("value").alias("value"))
     out: dict[int, np.ndarray] = {}
     for r in cells.collect():
@@ -117,7 +148,7 @@ def _states(rows: DataFrame, group: Column, size: int) -> dict[int, Moments]:
 
 
 def train_layer(samples: DataFrame, layer: Layer, group: str) -> TrainedLayer:
-    """group: the column whose equal values tie samples (a class, or a block of the order); groups are to fit in a task."""
+    """group: the column whose equal values tie samples (a class, or a block of the order)."""
     rows = fields(samples, layer)
     if layer.shared:
         rows = rows.withColumn("node_id", F.lit(0))

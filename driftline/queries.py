@@ -20,7 +20,9 @@ from driftline.functions.expansions import expand, sigmoid_features
 from driftline.operators import estimators as E
 from driftline.operators import graphs as G
 from driftline.operators import heads as H
+from driftline.operators import inversion as I
 from driftline.operators import moments as M
+from driftline.operators import selection as S
 from driftline.plans import network as N
 from driftline.sources import files, synthetic
 from driftline.streaming.folds import windowed_deltas
@@ -171,6 +173,19 @@ def moments_compact_classes(spark, sf_dir):
 query(moments_sql("SELECT ord, 1.0::DOUBLE AS v FROM b", "SELECT a.ord AS src, b2.ord AS dst, a.wj / z.n AS w FROM g a JOIN g b2 ON a.j = b2.j AND a.sign = b2.sign JOIN z ON z.j = a.j AND z.sign = a.sign", more=_HALVES.replace("// 125", "// (SELECT n // 4 FROM c)")))(moments_compact_classes)
 
 
+_MORE = """, p AS (SELECT n1, n2, n1 / 10.0 - 1 + u * n2 AS a, n1 / 10.0 + u * (n2 - 1) AS b, u FROM (SELECT count(*) FILTER (ord % 2 = 0)::DOUBLE AS n1, count(*) FILTER (ord % 2 = 1)::DOUBLE AS n2, pow(2::DOUBLE, -9.5) / 10 AS u FROM s)),
+o AS (SELECT ord FROM s WHERE ord % 2 = 1), h AS (SELECT ord, class, count(*) OVER (PARTITION BY class) AS n FROM s WHERE ord % 2 = 0)"""
+
+
+@query(moments_sql("SELECT ord, CASE WHEN ord % 2 = 0 THEN 1.0::DOUBLE ELSE pow(2::DOUBLE, -9.5) END AS v FROM s", """SELECT x.ord AS src, y.ord AS dst, (p.n1 / 10.0 - 1) / p.a / x.n AS w FROM h x JOIN h y ON x.class = y.class, p
+UNION ALL SELECT h.ord, o.ord, p.u * (1 / p.a + 1 / p.b) FROM h, o, p UNION ALL SELECT o.ord, t.ord, p.u * p.u / p.b * (p.n2 - 1) * 10 / p.n2 FROM o, o t, p""", more=_MORE))
+def moments_unlabelled_in_classes(spark, sf_dir):
+    """The samples of odd order without their labels."""
+    rows = four(spark, sf_dir)
+    labelled = M.train(rows.where("ord % 2 = 0"), "classification", key=F.col("class"))
+    return moments_rows(spark, M.with_unlabelled_in_classes(labelled, rows.where("ord % 2 = 1")))
+
+
 @query(f"WITH {LONG} SELECT a.i::INT AS i, b.i::INT AS j, round(covar_pop(a.x, b.x), 4) + 0.0 AS covariance FROM l a JOIN l b USING (ord) GROUP BY 1, 2")
 def covariance(spark, sf_dir):
     _, cov, _ = M.train(four(spark, sf_dir), "unlabeled").fix()
@@ -298,6 +313,23 @@ def expand_channels(spark, sf_dir):
     return _expanded(spark, sf_dir, "ch2_o0_s1_QT", "neighbour_max", "halves_product")
 
 
+_G = [f"f[{k}] * 0.001" for k in (1, 2, 3, 4)]
+
+
+def _signed(x: str, p: float) -> str:
+    return f"sign({x}) * pow(abs({x}), {p})"
+
+
+@query(long_sql(
+    [f"CASE WHEN {x} < 0 THEN 2 - exp(-pow({x}, 2)) ELSE exp(-pow({x}, 2)) END" for x in _G]
+    + [f"tanh(0.5 * {_signed(x, 1.5)}) / 0.5" for x in _G]
+    + [f"{_signed(_G[k], 0.2)} * {_signed(_G[k + 1], 0.7)}" for k in range(3)]
+    + [f"(least({a}, {b}, {c}) + greatest({a}, {b}, {c})) / 2" for a, b, c in (_G[:3], _G[1:])]
+    + [f"greatest({a}, {b}, {c})" for a, b, c in (_G[:3], _G[1:])], 6))
+def expand_folded_and_modulated(spark, sf_dir):
+    return long_rows(four(spark, sf_dir).withColumn("y", expand(F.transform("features", lambda v: v * 0.001), 4, "folded_gauss", "tanh_s15_05", "modulate_02_07", "midrange3", "max3")), digits=6)
+
+
 _NORM = "sqrt(list_sum([v * v for v in [" + ", ".join(" * ".join(_scaled(k) for k in t) for t in _multisets(2)) + "]]))"
 
 
@@ -502,6 +534,67 @@ def neighbour_votes(spark, sf_dir):
     return H.neighbour_votes(_near(spark, sf_dir, 5), labels).select("query_id", "predicted", F.round("average", 6).alias("average"))
 
 
+@query(f"WITH {_NEAR}, m AS (SELECT query_id, k, avg(s.f[k]) AS made FROM p JOIN s ON s.ord = reference_id, (SELECT unnest(range(1, 65)) AS k) WHERE rank <= 3 GROUP BY 1, 2) SELECT (SELECT count(*) FROM s) AS n, round(1 - sum((s.f[k] - made) ** 2) / (SELECT sum(var_pop) FROM (SELECT var_pop(f[k]) * count(*) AS var_pop FROM s, (SELECT unnest(range(1, 65)) AS k) GROUP BY k)), 6) + 0.0 AS explained FROM m JOIN s ON s.ord = query_id")
+def explained_by_neighbours(spark, sf_dir):
+    """The share of variance that the mean of the three nearest explains."""
+    return _reconstructed(spark, sf_dir, "mean")
+
+
+@query()
+def explained_by_local_fits(spark, sf_dir):
+    return _reconstructed(spark, sf_dir, "linear")
+
+
+def _reconstructed(spark, sf_dir, kind: str) -> DataFrame:
+    rows = thousandths(spark, sf_dir)
+    reference = rows.select(F.col("sample_id").alias("reference_id"), "features", F.col("features").alias("input"))
+    queries = rows.select(F.col("sample_id").alias("query_id"), "features")
+    made = I.from_neighbours(_near(spark, sf_dir, 3), queries, reference, kind)
+    return I.explained_by(made.join(queries, "query_id"), "features", "made").select("n", r(F.col("explained")).alias("explained"))
+
+
+_EACH = ", ".join(f"({k}, {' * '.join(f'f[{p}]' for p in t)})" for k, t in enumerate(_multisets(2)))
+
+
+@query(f"WITH {LONG}, q AS (SELECT ord, u.k, u.v FROM s, LATERAL (SELECT * FROM (VALUES {_EACH}) AS z(k, v)) u), c2 AS (SELECT k, i, covar_pop(v, x) AS c, var_pop(v) AS v FROM q JOIN l USING (ord) GROUP BY 1, 2) SELECT k::INT AS place, round(sum(c * c / v) / (SELECT sum(w) FROM (SELECT var_pop(x) AS w FROM l GROUP BY i)), 6) + 0.0 AS explained FROM c2 GROUP BY k")
+def explained_by_each_monomial(spark, sf_dir):
+    """The share of the vectors' variance that each monomial of degree 2 explains by itself."""
+    joint, n = S.joint_moments(four(spark, sf_dir), expand(F.col("features"), 4, "QT"), F.col("features"))
+    rows = [(k, float(v)) for k, v in enumerate(S.explained_by_each(joint, n))]
+    return spark.createDataFrame(rows, "place int, explained double").select("place", r(F.col("explained")).alias("explained"))
+
+
+@query()
+def ranked_expansion(spark, sf_dir):
+    """Components of an expansion in the order in which they explain the class best."""
+    rows = synthetic.embeddings(spark, sf_dir, 8)
+    ranked = S.rank_expansion(rows, ("identity", "u08"), 10, F.array(F.col("class").cast("double")))
+    return spark.createDataFrame([(k, x.place, x.gain, x.explained) for k, x in enumerate(ranked)], "rank int, place int, gain double, explained double")
+
+
+@query()
+def expansion_search(spark, sf_dir):
+    rows = synthetic.embeddings(spark, sf_dir, 8)
+    choices = {"linear": ("identity",), "powers": ("identity", "u08"), "quadratic": ("identity", "QT")}
+    return spark.createDataFrame(S.search_expansions(rows, choices, F.array(F.col("class").cast("double"))), "choice string, size int, explained double")
+
+
+@query()
+def adapted_sigmoid_features(spark, sf_dir):
+    rows = synthetic.embeddings(spark, sf_dir, 8)
+    model = S.adapt_sigmoids(rows, "classification", 24, 4, key=F.col("class"))
+    return long_rows(E.map_vectors(rows, model), "features", 6)
+
+
+@query()
+def network_inversion(spark, sf_dir):
+    """Vectors near the samples for which a network gives half its outputs."""
+    rows = whole(spark, sf_dir)
+    trained, out = N.train_network(rows, N.NETWORKS["shared_two_layers"], "class")
+    both = rows.join(out.select("sample_id", F.transform("features", lambda v: v / 2).alias("_wanted")), "sample_id")
+    return long_rows(I.network_inverse(trained, both, F.col("_wanted")), "inverted", 6)
+
+
 @query("SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept FROM lineitem")
 def price_regression(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(F.array("l_quantity").alias("features"), "l_extendedprice")
