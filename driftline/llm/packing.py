@@ -16,6 +16,7 @@ pieces is no hot group.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,9 +32,11 @@ from driftline.llm.word_tokens import BATCH_BYTES, default_path, word_tokens
 
 CAPACITY = 2048
 END_ID = 0
-#: Steps of the search, and completions tried at each.
-STEPS, WIDTH = 1_200, 8
-#: Up to so many pieces, patterns are laid one sequence at a time, so that the search is complete.
+#: Steps of the search at least, and for each different length: one descent takes some one to one and a half a length.
+STEPS, STEPS_A_LENGTH = 20_000, 16
+#: Completions tried at each step, and fills looked at to find them.
+WIDTH, FILLS = 8, 400
+#: Up to so many pieces, patterns are laid one sequence at a time, so that no number of equal sequences is left out.
 EXACT_PIECES = 40
 
 Pattern = tuple[tuple[int, ...], int]
@@ -71,30 +74,30 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return [p for group in open_.values() for p in group if p[1]]
 
 
-def completions(counts: Counter, room: int, width: int) -> list[tuple[int, ...]]:
-    """Up to width ways to fill room, the least waste first; none could be improved by a swap for or addition of one piece left."""
-    sizes = sorted((s for s, n in counts.items() if n and s <= room), reverse=True)
+def completions(counts: dict[int, int], sizes: list[int], room: int, width: int, waste: int) -> list[tuple[int, ...]]:
+    """Up to width ways to fill room that leave at most waste, the least first; none of those found could be improved by a swap for or addition of one piece left. sizes: those that counts has, ascending."""
     found: dict[tuple[int, ...], int] = {}
-    budget = [400]
-
-    def extend(start: int, rest: int, taken: tuple[int, ...]) -> None:
-        budget[0] -= 1
-        more = False
-        lo = int(np.searchsorted(negative[start:], -rest)) + start
-        for k in range(lo, len(sizes)):
-            if budget[0] <= 0 or sum(w == 0 for w in found.values()) >= width:
-                break
+    budget, exact = FILLS, 0
+
+    def extend(top: int, rest: int, taken: tuple[int, ...], spare: bool) -> None:
+        """Goes on with sizes under place top, many pieces first; spare: one more of the last size would fit."""
+        nonlocal budget, exact
+        budget -= 1
+        fitting = min(top, bisect_right(sizes, rest))
+        if not fitting:
+            if not spare and rest <= waste:
+                found[taken] = rest
+                exact += rest == 0
+            return
+        for k in range(fitting - 1, -1, -1):
             size = sizes[k]
-            if counts[size] > taken.count(size):
-                more = True
-                extend(k, rest - size, (*taken, size))
-        if not more:
-            found[taken] = rest
-
-    negative = np.array([-s for s in sizes])
-    extend(0, room, ())
-    if not found:
-        found[()] = room
+            most = min(counts[size], rest // size)
+            for n in range(most, 0, -1):
+                if budget <= 0 or exact >= width:
+                    return
+                extend(k, rest - n * size, taken + (size,) * n, n < most)
+
+    extend(len(sizes), room, (), False)
     ranked = sorted(found, key=lambda t: (found[t], [-x for x in t]))
     kept: list[tuple[int, ...]] = []
     for t in ranked:
@@ -136,21 +139,34 @@ def least_sequences(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def pack_lengths(counts: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -> list[Pattern]:
-    """Patterns (lengths, number of sequences) that use every piece once."""
+def pack_lengths(counts: dict[int, int], capacity: int = CAPACITY, steps: int | None = None) -> list[Pattern]:
+    """Patterns (lengths, number of sequences) that use every piece once. steps: as many as the different lengths need, unless given."""
     counts = {s: n for s, n in counts.items() if n}
+    steps = max(STEPS, STEPS_A_LENGTH * len(counts)) if steps is None else steps
     best = best_fit(counts, capacity)
     least, total = least_sequences(counts, capacity), sum(counts.values())
     used = sum(n for _, n in best)
     one = total <= EXACT_PIECES
-    left, laid, waste = Counter(counts), [], 0
+    left, sizes, laid, waste = dict(counts), sorted(counts), [], 0
     weight = sum(s * n for s, n in counts.items())
     stack: list[list[Pattern]] = []
 
+    def take(size: int, n: int) -> None:
+        """n pieces of a size less, or more where n is negative; sizes stays in order."""
+        had = left.get(size, 0)
+        left[size] = had - n
+        if had == n:
+            del left[size], sizes[bisect_left(sizes, size)]
+        elif not had:
+            insort(sizes, size)
+
     def choices() -> list[Pattern]:
-        big = max(left)
+        big = sizes[-1]
+        take(big, 1)
+        fills = completions(left, sizes, capacity - big, WIDTH, spare - waste)
+        take(big, -1)
         out = []
-        for fill in completions(left - Counter([big]), capacity - big, WIDTH):
+        for fill in fills:
             pattern = (big, *fill)
             need = Counter(pattern)
             out.append((pattern, 1 if one else min(left[s] // k for s, k in need.items())))
@@ -159,18 +175,19 @@ def pack_lengths(counts: dict[int, int], capacity: int = CAPACITY, steps: int =
     def change(pattern: Pattern, sign: int) -> None:
         items, n = pattern
         for s, k in Counter(items).items():
-            left[s] -= sign * k * n
-            if not left[s]:
-                del left[s]
+            take(s, sign * k * n)
 
     while used > least and steps:
         steps -= 1
+        # A better packing has used - 1 sequences at most, so it may waste no more than this.
+        spare = (used - 1) * capacity - weight
         if left:
             stack.append(choices())
         else:
             number = sum(n for _, n in laid)
             if number < used:
                 best, used = list(laid), number
+                spare = (used - 1) * capacity - weight
             stack.append([])
         while stack:
             if not stack[-1]:
@@ -184,8 +201,7 @@ def pack_lengths(counts: dict[int, int], capacity: int = CAPACITY, steps: int =
                 continue
             items, n = stack[-1].pop()
             lost = (capacity - sum(items)) * n
-            # A better packing has used - 1 sequences at most, so it may waste no more than this.
-            if waste + lost > (used - 1) * capacity - weight:
+            if waste + lost > spare:
                 continue
             laid.append((items, n))
             waste += lost
