@@ -2,7 +2,8 @@
 
 Hosts are nodes. Edges are the links of the pages (``href`` with a host) and,
 since a site's hosts vouch for one another, one each way between a host and
-the host that it is a sub-domain of. Trust is personalised PageRank from the
+its parent, the name without its first label, if the parent is a host of the
+pages or links itself or has two such hosts below it. Trust is personalised PageRank from the
 trusted seeds along the edges; distrust is the same from the blocked seeds
 along the reversed edges, as who links to a bad host is suspect. A host is
 blocked if its distrust outweighs its trust.
@@ -19,8 +20,8 @@ from driftline.llm.common import lower_ascii, read_table, stage
 
 #: (host, start of path, verdict); a longer host and path wins. A small list: it becomes one CASE expression.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: Parts of host names that make a host a blocked seed.
-BLOCKED_NAMES = ("casino", "pills", "viagra", "porn", "xxx", "adult", "bets", "spam", "ads-track")
+#: Words that make a host a blocked seed where they are whole parts of its name, between dots and hyphens.
+BLOCKED_NAMES = ("casino", "pills", "viagra", "porn", "xxx")
 DAMPING, ITERATIONS, CUT_EVERY = 0.85, 20, 5
 
 
@@ -47,13 +48,17 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, weight): links between different hosts, and sub-domains with the host above."""
+    """(src, dst, weight): links between different hosts, and hosts with the parent that they share or that is found."""
     links = pages.select(F.col("_host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit("(?i)href\\s*=\\s*[\"']?([^\"' >]+)"), F.lit(1))).alias("link"))
     linked = links.where(F.instr("link", "://") > 0).select("src", host_of(F.col("link")).alias("dst"))
     linked = linked.where("src != '' and dst != '' and src != dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
-    hosts = pages.where("_host != ''").select("_host").distinct()
-    above = F.when(F.size(F.split("_host", "\\.")) >= 4, F.expr("substring(_host, instr(_host, '.') + 1)"))
-    pairs = hosts.select(F.col("_host").alias("src"), above.alias("dst")).where("dst is not null")
+    hosts = pages.where("_host != ''").select(F.col("_host").alias("src")).union(linked.select("dst")).distinct()
+    # Two labels at least, no address, and no suffix that is sold by the name (co.uk).
+    above = F.when(F.size(F.split("src", "\\.")) >= 3, F.expr("substring(src, instr(src, '.') + 1)"))
+    below = hosts.withColumn("dst", above).where(F.col("dst").isNotNull() & ~F.col("dst").rlike("[.][0-9:]+$|^[^.]{0,3}[.][a-z]{2}$"))
+    shared = below.groupBy("dst").agg(F.count("*").alias("n")).where("n > 1").select("dst")
+    found = shared.union(hosts.select("src")).distinct()
+    pairs = below.join(found, "dst", "left_semi").select("src", "dst")
     both = pairs.union(pairs.select("dst", "src")).withColumn("weight", F.lit(1.0))
     return linked.union(both).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
@@ -80,12 +85,14 @@ def propagate(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return score.groupBy("host").agg(pick(0).alias("trust"), pick(1).alias("distrust"))
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, blocked_names: Sequence[str] = BLOCKED_NAMES, threshold: float = 0.5) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, blocked_names: Sequence[str] = BLOCKED_NAMES, threshold: float = 0.5, given: DataFrame | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) of every row of pages (page_id, url, html).
 
     Trusted seeds are hosts of which half of the pages or more match an allow
     rule, blocked seeds those of which half or more match a block rule, and
-    hosts named like blocked_names. Without a rule a page is blocked if
+    hosts with a word of blocked_names in their names. given (host, kind), a
+    host at most once, are seeds beside them, kind 0 trusted and 1 blocked;
+    they need no page, and go before what rules and names say. Without a rule a page is blocked if
     distrust / (trust + distrust) of its host exceeds the threshold, else
     allowed; so are pages of no host (null url, no ``://``) or of a host that
     no score reaches. Null html has no links. Repeated rows are judged alike.
@@ -95,11 +102,12 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     marked = marked.withColumn("_rule", rule_of(F.col("_host"), F.col("_path"), rules))
     share = lambda verdict: F.avg(F.when(F.col("_rule.verdict") == verdict, 1.0).otherwise(0.0))
     hosts = marked.where("_host != ''").groupBy("_host").agg(share("allow").alias("allowed"), share("block").alias("blocked"))
-    named = F.lit(False)
-    for name in blocked_names:
-        named = named | F.contains("_host", F.lit(name))
+    named = F.arrays_overlap(F.split("_host", "[.:-]"), F.array(*[F.lit(name) for name in blocked_names]).cast("array<string>"))
     kind = F.when(named | (F.col("blocked") >= 0.5), 1).when(F.col("allowed") >= 0.5, 0)
     seeds = hosts.select(F.col("_host").alias("host"), kind.alias("kind")).where("kind is not null")
+    if given is not None:
+        given = given.select(lower_ascii(F.col("host")).alias("host"), F.col("kind").cast("int").alias("kind"))
+        seeds = seeds.join(given, "host", "left_anti").union(given)
     scores = propagate(host_edges(marked), seeds)
     scores = scores.select(F.col("host").alias("_of"), "trust", "distrust", (F.col("distrust") > threshold * (F.col("trust") + F.col("distrust")) + 1e-12).alias("_bad"))
     out = marked.drop("html").join(scores, F.col("_host") == F.col("_of"), "left")
