@@ -25,6 +25,8 @@ from driftline.llm.hashing import U64, mix, span_hashes
 
 #: Bytes of a window, by the least number of code points that a text has: eight windows at least, 4 bytes for the shortest texts.
 WINDOWS = ((256, 32), (128, 16), (64, 8), (0, 4))
+#: A text below this many times the least number of its width has features of the next narrower width too.
+NEAR = 2
 #: Steps that entropies are rounded to, and the step below which a window tells little.
 BINS, DULL = 1000, 400
 #: A feature is the best in at least this share of the neighbourhoods it could be the best in.
@@ -36,10 +38,20 @@ BATCH_BYTES = 1 << 20
 _BYTES = mix(np.arange(256, dtype=np.uint64) + np.uint64(0x3C6EF372))
 
 
+Fingerprint = tuple[tuple[int, np.ndarray], ...]
+
+
 def window_of(n_chars: int) -> int:
     return next(w for least, w in WINDOWS if n_chars >= least)
 
 
+def windows_of(n_chars: int) -> tuple[int, ...]:
+    """The width of a text, and the narrower one if it is near enough to the boundary."""
+    k = next(k for k, (least, _) in enumerate(WINDOWS) if n_chars >= least)
+    near = k + 1 < len(WINDOWS) and n_chars < NEAR * WINDOWS[k][0]
+    return tuple(w for _, w in WINDOWS[k : k + 1 + near])
+
+
 def entropies(buf: np.ndarray, width: int) -> np.ndarray:
     """The entropy of buf[i : i + width] for each i, in steps from 0 to BINS (all bytes different).
 
@@ -161,33 +173,38 @@ def filters(hashes: np.ndarray, doc: np.ndarray, docs: int) -> tuple[np.ndarray,
     return np.packbits(bits, axis=1), at
 
 
-def fingerprints(texts: list[str | None], ranks: dict[int, np.ndarray]) -> list[tuple[int, np.ndarray]]:
-    """(window width, filters) of each text."""
-    out: list[tuple[int, np.ndarray]] = [(0, np.empty((0, FILTER_BITS // 8), np.uint8))] * len(texts)
-    for w, chosen in _by_window(texts).items():
+def fingerprints(texts: list[str | None], ranks: dict[int, np.ndarray]) -> list[Fingerprint]:
+    """(window width, filters) of each text, for each of its widths, the widest first."""
+    out: list[Fingerprint] = [()] * len(texts)
+    for _, w in WINDOWS:
+        chosen = [(k, x or "") for k, x in enumerate(texts) if w in windows_of(len(x or ""))]
+        if not chosen:
+            continue
         buf, off = text_buffer(pa.array([x for _, x in chosen], pa.large_string()))
         made, at = filters(*features(buf, off, w, ranks[w]), len(chosen))
         for (k, _), a, b in zip(chosen, at[:-1].tolist(), at[1:].tolist(), strict=True):
-            out[k] = w, made[a:b]
+            out[k] += ((w, made[a:b]),)
     return out
 
 
-def written(fingerprint: tuple[int, np.ndarray]) -> str:
-    return f"{fingerprint[0]}:{base64.b64encode(fingerprint[1].tobytes()).decode()}"
+def written(fingerprint: Fingerprint) -> str:
+    return ",".join(f"{w}:{base64.b64encode(f.tobytes()).decode()}" for w, f in fingerprint)
 
 
-def parsed(text: str) -> tuple[int, np.ndarray]:
-    width, blob = text.split(":")
-    return int(width), np.frombuffer(base64.b64decode(blob), np.uint8).reshape(-1, FILTER_BITS // 8)
+def parsed(text: str) -> Fingerprint:
+    cut = [x.split(":") for x in text.split(",")]
+    return tuple((int(w), np.frombuffer(base64.b64decode(blob), np.uint8).reshape(-1, FILTER_BITS // 8)) for w, blob in cut)
 
 
-def likeness(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> float:
-    """From 0 to 1; 1 for equal fingerprints, those of empty texts among them, and 0 for those of other window widths."""
-    if a[0] != b[0] or (len(a[1]) == 0) != (len(b[1]) == 0):
+def likeness(one: Fingerprint, other: Fingerprint) -> float:
+    """From 0 to 1, at the widest width that both have; 1 for equal fingerprints, those of empty texts among them, and 0 for those without a common width."""
+    there = dict(other)
+    a, b = next(((f, there[w]) for w, f in one if w in there), (None, None))
+    if a is None or (len(a) == 0) != (len(b) == 0):
         return 0.0
-    if a[1].shape == b[1].shape and (a[1] == b[1]).all():
+    if a.shape == b.shape and (a == b).all():
         return 1.0
-    x, y = (np.unpackbits(f[1], axis=1).astype(np.float32) for f in (a, b))
+    x, y = (np.unpackbits(f, axis=1).astype(np.float32) for f in (a, b))
     m, n = x.sum(axis=1), y.sum(axis=1)
     chance = np.outer(m, n) / FILTER_BITS
     most = np.minimum(m[:, None], n[None, :])

@@ -1,0 +1,28 @@
+"""Near copies on both sides of a boundary of window widths."""
+
+import numpy as np
+import pytest
+
+from driftline.llm import digest
+
+RANKS = digest.rarity({w: np.ones(digest.BINS + 1, np.int64) for _, w in digest.WINDOWS})
+
+
+def text(n: int, seed: int) -> str:
+    rng = np.random.default_rng(seed)
+    return " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9))) for _ in range(n))[:n]
+
+
+@pytest.mark.parametrize("least", [64, 128, 256])
+def test_a_character_over_the_boundary(least):
+    whole, other = text(least, 1), text(least, 2)
+    a, b, c = digest.fingerprints([whole, whole[:-1], other[:-1]], RANKS)
+    assert digest.likeness(a, b) > 0.6 and digest.likeness(b, a) > 0.6
+    assert digest.likeness(a, c) < 0.2
+    assert digest.likeness(digest.parsed(digest.written(a)), digest.parsed(digest.written(b))) == digest.likeness(a, b)
+
+
+def test_edited_by_an_empty_text():
+    x = text(300, 3)
+    a, b = digest.fingerprints([x, digest.edited(x, "")], RANKS)
+    assert digest.likeness(a, b) > 0.3
