@@ -7,10 +7,11 @@ with it.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +36,12 @@ def lower_ascii(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one is made only where none is set."""
+    """The folder all executors share. Where none is set, one is made on a local master; a cluster has to name its own."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = getattr(spark.sparkContext, "_driftline_dir", None)
     if own is None:
         own = spark.sparkContext._driftline_dir = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
@@ -79,13 +82,38 @@ def parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+#: Bytes of an Arrow batch that goes to a Python task.
+ARROW_BYTES = 8 << 20
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Readies the session for Python tasks: Arrow batches of at most so many rows, as texts can be long."""
+    """Readies the session for Python tasks: Arrow batches of at most so many rows and ARROW_BYTES, as texts can be long.
+
+    A lazy result reads these settings when it runs, so they stay lowered for
+    the session; results do not depend on them.
+    """
     ship(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        try:
+            now = int("".join(c for c in spark.conf.get(key) if c in "-0123456789"))
+        except Exception:  # a setting that this Spark does not have
+            continue
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, whose worker gives freed memory back to the system when the task ends: workers are kept for later stages."""
+
+    def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return done
 
 
 def keep_ids(docs: DataFrame, ids: DataFrame, n_ids: int, how: str = "left_semi") -> DataFrame:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import stage
+from driftline.llm.common import giving_back, stage
 
 
 class Forest:
@@ -64,7 +64,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     once. No edges: no rows. The loop ends when the edges no longer change.
     """
     now = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    now = stage(now.mapInArrow(_shrink, "u long, v long"), "edges")
+    now = stage(now.mapInArrow(giving_back(_shrink), "u long, v long"), "edges")
     seen = None
     while True:
         mark = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v").cast("long"))).first())

@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.common import parts, read_table, slices, small_batches, text_buffer
-from driftline.llm.hashing import U64, mix, span_hashes
+from driftline.llm.common import giving_back, parts, read_table, slices, small_batches, text_buffer
+from driftline.llm.hashing import U64, span_hashes
 
 #: Bytes of a window, by the least number of code points that a text has: eight windows at least, 4 bytes for the shortest texts.
 WINDOWS = ((256, 32), (128, 16), (64, 8), (0, 4))
@@ -35,7 +35,6 @@ FILTER_BITS, FILTER_FEATURES, HASHES = 2048, 160, 5
 #: Overlap that counts as none: this share of the way from chance to the most.
 NOISE = 0.1
 BATCH_BYTES = 1 << 20
-_BYTES = mix(np.arange(256, dtype=np.uint64) + np.uint64(0x3C6EF372))
 
 
 Fingerprint = tuple[tuple[int, np.ndarray], ...]
@@ -104,7 +103,7 @@ def entropy_counts(docs: DataFrame) -> dict[int, np.ndarray]:
                     counts[w] += np.bincount(bins[np.arange(len(bins)) + w <= _ends(off)[: len(bins)]], minlength=BINS + 1)
         yield pa.RecordBatch.from_arrays([pa.array([w for w in counts], pa.int32()), pa.array([x.tolist() for x in counts.values()], pa.list_(pa.int64()))], ["width", "counts"])
 
-    cells = docs.select("text").mapInArrow(run, "width int, counts array<long>").select("width", F.posexplode("counts").alias("bin", "n"))
+    cells = docs.select("text").mapInArrow(giving_back(run), "width int, counts array<long>").select("width", F.posexplode("counts").alias("bin", "n"))
     out = {w: np.zeros(BINS + 1, np.int64) for _, w in WINDOWS}
     for r in cells.where("n > 0").groupBy("width", "bin").agg(F.sum("n").alias("n")).collect():
         out[r["width"]][r["bin"]] = r["n"]
@@ -151,7 +150,7 @@ def features(buf: np.ndarray, off: np.ndarray, width: int, ranks: np.ndarray) ->
     stops = found + width
     short = np.flatnonzero((np.diff(off) > 0) & (np.diff(off) < 2 * width))
     found, stops, doc = np.concatenate([found, off[short]]), np.concatenate([stops, off[short + 1]]), np.concatenate([doc, short])
-    hashes = span_hashes(buf, found, stops, _BYTES)
+    hashes = span_hashes(buf, found, stops)
     order = np.lexsort((found, hashes, doc))
     first = np.ones(len(order), bool)
     first[1:] = (hashes[order][1:] != hashes[order][:-1]) | (doc[order][1:] != doc[order][:-1])
@@ -294,7 +293,7 @@ def digest_documents(docs: DataFrame) -> DataFrame:
         if held:
             yield results(held)
 
-    return with_following(docs).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return with_following(docs).mapInArrow(giving_back(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.llm import packed
-from driftline.llm.common import keep_ids, parts, read_table, slices, small_batches, stage, text_buffer
+from driftline.llm.common import giving_back, keep_ids, parts, read_table, slices, small_batches, stage, text_buffer
 from driftline.llm.components import Forest, connected_components
 from driftline.llm.hashing import U64, mix, mix_int, shingle_sets
 
@@ -71,7 +71,7 @@ def document_sets(docs: DataFrame, width: int = 5) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(n), pa.array(_set_ids(values, at), mask=n == 0)], ["doc_id", "n_shingles", "set_id"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, set_id long")
+    return docs.select("doc_id", "text").mapInArrow(giving_back(run), f"doc_id {kind}, n_shingles long, set_id long")
 
 
 def _frequencies(docs: DataFrame, width: int, shards: int) -> DataFrame:
@@ -106,8 +106,8 @@ def _frequencies(docs: DataFrame, width: int, shards: int) -> DataFrame:
             often = df >= FREQUENT
             yield pa.RecordBatch.from_arrays([pa.array(keys[first[often]].view(np.int64)), pa.array(df[often])], ["bucket", "df"])
 
-    cells = docs.select("doc_id", "text").mapInArrow(send, "shard int, keys binary")
-    return cells.repartition("shard").sortWithinPartitions("shard").mapInArrow(count, "bucket long, df long")
+    cells = docs.select("doc_id", "text").mapInArrow(giving_back(send), "shard int, keys binary")
+    return cells.repartition("shard").sortWithinPartitions("shard").mapInArrow(giving_back(count), "bucket long, df long")
 
 
 def _frequent(table: DataFrame) -> np.ndarray:
@@ -164,7 +164,7 @@ def _postings(docs: DataFrame, width: int, percent: int, frequent) -> DataFrame:
                             ["order_no", "shingle", "set_id", "size", "saturated", "hot"],
                         )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "order_no byte, shingle long, set_id long, size int, saturated boolean, hot boolean")
+    return docs.select("doc_id", "text").mapInArrow(giving_back(run), "order_no byte, shingle long, set_id long, size int, saturated boolean, hot boolean")
 
 
 def _pairs(postings: DataFrame, percent: int) -> DataFrame:
@@ -212,7 +212,7 @@ def _pairs(postings: DataFrame, percent: int) -> DataFrame:
             yield pair(kept)
 
     rows = postings.where("not hot").repartition("order_no", "shingle").sortWithinPartitions("order_no", "shingle")
-    pairs = rows.select("order_no", "shingle", "set_id", "size", "saturated").mapInArrow(run, "u long, v long, order_no long, size_u long, size_v long, saturated long, shared long")
+    pairs = rows.select("order_no", "shingle", "set_id", "size", "saturated").mapInArrow(giving_back(run), "u long, v long, order_no long, size_u long, size_v long, saturated long, shared long")
     shared = [F.sum(F.when(F.col("order_no") == k, F.col("shared")).otherwise(0)).alias(f"shared_{k}") for k in range(len(ORDER_SEEDS))]
     pairs = pairs.groupBy("u", "v").agg(F.max("size_u").alias("a"), F.max("size_v").alias("b"), F.max("saturated").alias("saturated"), *shared)
     # Beyond what the prefixes share, the overlap is at most what one of the sets has after its prefix: ceil(t * size) - 1.
@@ -323,12 +323,12 @@ def jaccard_join(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFram
                     [piece.column("component").take(pa.array(keep)), piece.column("blocks").take(pa.array(keep)), pa.array(ids[keep]), pa.array([values[at[k] : at[k + 1]].tobytes() for k in keep], pa.binary())], ["component", "blocks", "set_id", "shingles"]
                 )
 
-    rows = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_id"])).select("text", "component", "blocks", "_set").mapInArrow(pack, "component long, blocks int, set_id long, shingles binary")
+    rows = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_id"])).select("text", "component", "blocks", "_set").mapInArrow(giving_back(pack), "component long, blocks int, set_id long, shingles binary")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
     rows = rows.withColumn("task", F.xxhash64("component", "low", "high")).drop("other")
-    found = rows.repartition("task").sortWithinPartitions("task").mapInArrow(_verify(percent), "node long, root long, links long, many boolean")
+    found = rows.repartition("task").sortWithinPartitions("task").mapInArrow(giving_back(_verify(percent)), "node long, root long, links long, many boolean")
     found = stage(found, "links")
     split = connected_components(found.where("many and node != root").select(F.col("node").alias("u"), F.col("root").alias("v")))
     whole = found.where("not many").select("node", F.col("root").alias("component"))

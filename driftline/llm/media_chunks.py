@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.common import parts, read_table, slices, small_batches, stage, stage_path, text_buffer
+from driftline.llm.common import giving_back, parts, read_table, slices, small_batches, stage, stage_path, text_buffer
 from driftline.llm.hashing import mix
 
 #: Payload bytes a text is padded to, and the byte that pads.
@@ -151,7 +151,7 @@ def ingest(docs: DataFrame, folder: str) -> DataFrame:
         if writer:
             writer.close()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, row_id long, n_bytes long, seq int, digest binary, length int, pack string")
+    return docs.select("doc_id", "text").mapInArrow(giving_back(run), f"doc_id {kind}, row_id long, n_bytes long, seq int, digest binary, length int, pack string")
 
 
 def compact(refs: DataFrame, folder: str) -> DataFrame:
@@ -179,7 +179,7 @@ def compact(refs: DataFrame, folder: str) -> DataFrame:
                 made = Pack(folder, name)
                 yield pa.RecordBatch.from_arrays([pa.array(made.digests, pa.binary()), pa.array([name] * len(made.digests), pa.string()), pa.array(made.places[:, 0]), pa.array(made.places[:, 1])], ["digest", "pack", "offset", "size"])
 
-    return mine.repartition("pack").mapInArrow(run, "digest binary, pack string, offset long, size long")
+    return mine.repartition("pack").mapInArrow(giving_back(run), "digest binary, pack string, offset long, size long")
 
 
 def store_media(docs: DataFrame, folder: str) -> DataFrame:
@@ -266,7 +266,7 @@ def read_media(recipes: DataFrame, folder: str) -> DataFrame:
     # By the place of the first chunk: a task reads its packs from front to back.
     placed = recipes.withColumn("_pack", F.get("chunks", 0)["pack"]).withColumn("_offset", F.get("chunks", 0)["offset"])
     placed = placed.repartitionByRange(parts(recipes), "_pack", "_offset", "row_id").sortWithinPartitions("_pack", "_offset")
-    return placed.select("doc_id", "n_bytes", "chunks").mapInArrow(run, schema)
+    return placed.select("doc_id", "n_bytes", "chunks").mapInArrow(giving_back(run), schema)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from driftline.llm.common import parts, read_table, slices, small_batches, stage
+from driftline.llm.common import giving_back, parts, read_table, slices, small_batches, stage
 from driftline.llm.word_tokens import BATCH_BYTES, default_path, word_tokens
 
 CAPACITY = 2048
@@ -234,7 +234,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, en
                 serial += len(row)
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64()), pa.array(names)], ["doc_id", "piece", "start", "length", "ids_crc32", "rid"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, rid long")
+    return docs.select("doc_id", "text").mapInArrow(giving_back(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, rid long")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.common import keep_ids, read_table, slices, small_batches, stage, text_buffer
-from driftline.llm.hashing import IS_SPACE, U64, span_hashes, word_hashes
+from driftline.llm.common import giving_back, keep_ids, read_table, slices, small_batches, stage, text_buffer
+from driftline.llm.hashing import IS_SPACE, LOWER_BYTES, U64, span_hashes, word_hashes
 
 FEATURES = (
     "log_bytes", "log_words", "upper", "digit", "sign", "mark", "bar", "high", "space", "log_lines", "line_length",
@@ -101,7 +101,9 @@ def statistics(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     line_at = np.flatnonzero(breaks)
     line_owner = doc[line_at] if len(buf) else np.zeros(0, np.int64)
     lines = np.bincount(line_owner, minlength=n).astype(float)
-    unlike, _ = _runs(span_hashes(buf, line_at, np.append(line_at[1:], len(buf))), line_owner, n) if len(line_at) else (np.zeros(n), None)
+    line_end = np.append(line_at[1:], len(buf))
+    line_end -= buf[line_end - 1] == 10 if len(line_at) else 0
+    unlike, _ = _runs(span_hashes(LOWER_BYTES[buf], line_at, line_end), line_owner, n) if len(line_at) else (np.zeros(n), None)
     many = np.maximum(lines, 1)
     out = np.stack([
         np.log1p(size), np.log1p(number), part(_UPPER), part(_DIGIT), part(_SIGN), part(_MARK), part(_BAR), part(_HIGH), part(_SPACE) + part(_NEWLINE), np.log1p(lines), np.log1p(size / many),
@@ -120,7 +122,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
                 values = pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), len(FEATURES)).cast(pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), values], ["doc_id", "features"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, features array<double>")
+    return docs.select("doc_id", "text").mapInArrow(giving_back(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, features array<double>")
 
 
 @dataclass(frozen=True)
@@ -156,7 +158,7 @@ def fit(labelled: DataFrame, to_pooled: float = TO_POOLED, to_identity: float =
         yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array([s.reshape(-1).tolist() for s in sums], pa.list_(pa.float64()))], ["label", "sums"])
 
     width = len(FEATURES)
-    parts = labelled.where("label in (0, 1)").select("features", F.col("label").cast("int").alias("label")).mapInArrow(moments, "label int, sums array<double>")
+    parts = labelled.where("label in (0, 1)").select("features", F.col("label").cast("int").alias("label")).mapInArrow(giving_back(moments), "label int, sums array<double>")
     cells = parts.select("label", F.posexplode("sums").alias("cell", "value")).groupBy("label", "cell").agg(F.sum("value").alias("value")).collect()
     sums = np.zeros((2, (1 + width) ** 2))
     for r in cells:
@@ -210,7 +212,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return stats.select("doc_id", "held_out", "features").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return stats.select("doc_id", "held_out", "features").mapInArrow(giving_back(run), f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

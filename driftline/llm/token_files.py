@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.common import parts, read_table, slices, small_batches, stage_path
+from driftline.llm.common import giving_back, parts, read_table, slices, small_batches, stage_path
 from driftline.llm.word_tokens import BATCH_BYTES, default_path, word_tokens
 
 MAGIC = b"DLTOKEN1"
@@ -140,7 +140,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
                 ids, at = tokens.encode(piece.column("text"))
                 yield pa.RecordBatch.from_arrays([pa.array([np.append(ids[a:b], end_id).astype("<u2" if len(tokens.ends) <= 1 << 16 else "<u4").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["ids"])
 
-    rows = docs.where(F.col("doc_id").isin(chosen)).mapInArrow(sample, "ids binary").collect() if chosen else []
+    rows = docs.where(F.col("doc_id").isin(chosen)).mapInArrow(giving_back(sample), "ids binary").collect() if chosen else []
     dictionary = train_dictionary(sorted(bytes(r[0]) for r in rows))
     fs, path = _open(folder)
     fs.create_dir(path, recursive=True)
@@ -167,7 +167,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "documents": pa.array([len(writer.docs)]), "tokens": pa.array([total])})
 
     ordered = docs.repartitionByRange(parts(docs), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    done = ordered.mapInArrow(write, "shard int, documents long, tokens long").collect()
+    done = ordered.mapInArrow(giving_back(write), "shard int, documents long, tokens long").collect()
     manifest, start = [], 0
     for r in sorted(done):
         manifest.append({"shard": r["shard"], "path": f"{folder}/shard-{r['shard']:06d}.tok", "documents": r["documents"], "tokens": r["tokens"], "start": start})
@@ -196,7 +196,7 @@ def read_token_files(spark: SparkSession, manifest: list[dict], dictionary: byte
                     )
 
     rows = spark.createDataFrame([(m["shard"], m["path"], m["start"]) for m in manifest], "shard int, path string, start long")
-    return rows.repartitionByRange(len(manifest), "shard").mapInArrow(read, schema)
+    return rows.repartitionByRange(len(manifest), "shard").mapInArrow(giving_back(read), schema)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,10 @@
 
 The word tokenizer cuts a text at white space and between letters, digits and
 punctuation, and never joins tokens across such cuts. Texts are therefore cut
-into units by numpy, units are named by a hash, and the library encodes a
-unit only when a worker first meets it. Results equal those of the library
-on the whole text; a tokenizer file of another shape, and texts that hold the
-beginning of a special token, are given to the library whole.
+into units by numpy, equal units are found by comparing their bytes, and the
+library encodes a unit only when a task first meets it. Results equal those of
+the library on the whole text; a tokenizer file of another shape, and texts that
+hold the beginning of a special token, are given to the library whole.
 """
 
 from __future__ import annotations
@@ -16,12 +16,12 @@ import numpy as np
 import pyarrow as pa
 
 from driftline.llm.common import text_buffer
-from driftline.llm.hashing import IS_SPACE, U64, span_hashes
+from driftline.llm.hashing import IS_SPACE, distinct_spans
 
 _NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 _PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-#: Units a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 1_000_000
+#: Bytes of units that a task remembers; beyond it the memory starts anew.
+REMEMBERED = 4 << 20
 #: Bytes of text handled at a time.
 BATCH_BYTES = 4 << 20
 
@@ -75,17 +75,17 @@ class WordTokens:
         self.forget()
 
     def forget(self) -> None:
-        self.keys = np.empty(0, U64)
-        self.slots = np.empty(0, np.int64)
+        self.slots: dict[bytes, int] = {}
+        self.size = 0
         self.at = np.zeros(1, np.int64)
         self.ids = np.empty(0, np.uint32)
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, np.uint32) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, keys: np.ndarray, texts: list[bytes], plain: np.ndarray) -> None:
-        """keys: new ones, sorted."""
-        found: list[np.ndarray] = [np.empty(0, np.uint32)] * len(keys)
+    def _learn(self, texts: list[bytes], plain: np.ndarray) -> None:
+        """texts: new units, each once."""
+        found: list[np.ndarray] = [np.empty(0, np.uint32)] * len(texts)
         single = np.flatnonzero(plain)
         joined = [b" ".join([texts[i] for i in single[k : k + 500]]).decode() for k in range(0, len(single), 500)]
         if joined:
@@ -99,30 +99,27 @@ class WordTokens:
         for i, ids in zip(rest, self._library([texts[i].decode() for i in rest]), strict=True):
             found[i] = ids
         lengths = np.array([len(x) for x in found], np.int64)
-        slots = np.arange(len(self.at) - 1, len(self.at) - 1 + len(keys))
+        self.slots.update(zip(texts, range(len(self.at) - 1, len(self.at) - 1 + len(texts)), strict=True))
+        self.size += sum(map(len, texts))
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(lengths)])
         self.ids = np.concatenate([self.ids, *found])
-        place = np.searchsorted(self.keys, keys)
-        self.keys, self.slots = np.insert(self.keys, place, keys), np.insert(self.slots, place, slots)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (null: empty), and the offsets of each text's."""
         buf, off = text_buffer(column)
         if not self.by_unit:
             return _chain(self._library([bytes(buf[a:b]).decode() for a, b in zip(off[:-1], off[1:], strict=True)]))
-        if len(self.keys) > REMEMBERED:
+        if self.size > REMEMBERED:
             self.forget()
         starts, at, plain = units(buf, off)
         ends = np.append(starts[1:], len(buf))
-        keys, first, which = np.unique(span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
-        place = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-        new = self.keys[place] != keys if len(self.keys) else np.ones(len(keys), bool)
-        if new.any():
-            raw = buf.tobytes()
-            lead = first[new]
-            self._learn(keys[new], [raw[s:e].rstrip(b" \t\n\x0b\x0c\r") for s, e in zip(starts[lead].tolist(), ends[lead].tolist(), strict=True)], plain[lead])
-            place = np.searchsorted(self.keys, keys)
-        slot = self.slots[place][which]
+        lead, which = distinct_spans(buf, starts, ends)
+        raw = buf.tobytes()
+        texts = [raw[s:e].rstrip(b" \t\n\x0b\x0c\r") for s, e in zip(starts[lead].tolist(), ends[lead].tolist(), strict=True)]
+        new = {t: k for k, t in enumerate(texts) if t not in self.slots}
+        if new:
+            self._learn(list(new), plain[lead[list(new.values())]])
+        slot = np.array([self.slots[t] for t in texts], np.int64)[which]
         lengths = self.at[slot + 1] - self.at[slot]
         total = np.concatenate([[0], np.cumsum(lengths)])
         ids = self.ids[np.arange(total[-1]) + np.repeat(self.at[slot] - total[:-1], lengths)]
@@ -141,14 +138,9 @@ def _chain(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.empty(0, np.uint32), *texts]), np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
 
 
-_made: dict[str, WordTokens] = {}
-
-
 def word_tokens(path: str) -> WordTokens:
-    """The worker's own; it lives as long as the worker."""
-    if path not in _made:
-        _made[path] = WordTokens(path)
-    return _made[path]
+    """One for each task: what it remembers goes with it."""
+    return WordTokens(path)
 
 
 def default_path() -> str:
