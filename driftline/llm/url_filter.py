@@ -1,9 +1,11 @@
 """Operator 7: pages judged by rules and by their host's place in the link graph (DataFrame functions only).
 
-Hosts are nodes. Edges are the links of the pages (``href`` with a host) and,
-since a site's hosts vouch for one another, one each way between a host and
-its parent, the name without its first label, if the parent is a host of the
-pages or links itself or has two such hosts below it. Trust is personalised PageRank from the
+Hosts are nodes. Edges are the links of the pages: ``href`` with a host, with
+or without a scheme; relative ones stay on their host. Since a site's hosts
+vouch for one another, there is also one edge each way between a host and its
+parent, the name without its first label, if the parent is a host of the pages,
+is linked to, or has two such hosts below it. Seeds are hosts that the rules
+judge, and those a caller names. Trust is personalised PageRank from the
 trusted seeds along the edges; distrust is the same from the blocked seeds
 along the reversed edges, as who links to a bad host is suspect. A host is
 blocked if its distrust outweighs its trust.
@@ -20,9 +22,8 @@ from driftline.llm.common import lower_ascii, read_table, stage
 
 #: (host, start of path, verdict); a longer host and path wins. A small list: it becomes one CASE expression.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: Words that make a host a blocked seed where they are whole parts of its name, between dots and hyphens.
-BLOCKED_NAMES = ("casino", "pills", "viagra", "porn", "xxx")
-DAMPING, ITERATIONS, CUT_EVERY = 0.85, 20, 5
+#: Scores are final when all together move by less than TOLERANCE in a round, which the damping brings about within some 57; looked at and written every CUT_EVERY rounds.
+DAMPING, TOLERANCE, CUT_EVERY = 0.85, 1e-4, 5
 
 
 def _after_scheme(url: Column) -> Column:
@@ -50,7 +51,7 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
 def host_edges(pages: DataFrame) -> DataFrame:
     """(src, dst, weight): links between different hosts, and hosts with the parent that they share or that is found."""
     links = pages.select(F.col("_host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit("(?i)href\\s*=\\s*[\"']?([^\"' >]+)"), F.lit(1))).alias("link"))
-    linked = links.where(F.instr("link", "://") > 0).select("src", host_of(F.col("link")).alias("dst"))
+    linked = links.select("src", lower_ascii(F.regexp_extract("link", "^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1)).alias("dst"))
     linked = linked.where("src != '' and dst != '' and src != dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
     hosts = pages.where("_host != ''").select(F.col("_host").alias("src")).union(linked.select("dst")).distinct()
     # Two labels at least, no address, and no suffix that is sold by the name (co.uk).
@@ -67,32 +68,37 @@ def propagate(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(host, trust, distrust). edges: (src, dst, weight); seeds: (host, kind), kind 0 trusted, 1 blocked.
 
     Personalised PageRank of each kind, the mass of hosts without out-edges
-    not passed on. No seeds: no scores.
+    not passed on, until all scores together move by less than TOLERANCE in a
+    round. No seeds: no scores.
     """
     ways = edges.select(F.lit(0).alias("kind"), "src", "dst", "weight").union(edges.select(F.lit(1).alias("kind"), "dst", "src", "weight"))
     total = ways.groupBy("kind", "src").agg(F.sum("weight").alias("all"))
     ways = stage(ways.join(total, ["kind", "src"]).select(F.col("kind").alias("way"), "src", "dst", (F.col("weight") / F.col("all")).alias("share")), "ways")
     start = seeds.join(seeds.groupBy("kind").agg(F.count("*").alias("n")), "kind").select("kind", "host", (1 / F.col("n")).alias("start"))
     start = stage(start, "seeds")
-    score = start.withColumnRenamed("start", "score")
-    for k in range(ITERATIONS):
-        moved = score.join(ways, (F.col("kind") == F.col("way")) & (F.col("host") == F.col("src"))).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("share") * DAMPING).alias("score"))
-        back = start.select("kind", "host", (F.col("start") * (1 - DAMPING)).alias("score"))
-        score = moved.union(back).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if k % CUT_EVERY == CUT_EVERY - 1:
-            score = stage(score, "scores")
+    score = start.select("kind", "host", F.col("start").alias("score"), F.lit(0.0).alias("moved"))
+    while True:
+        for _ in range(CUT_EVERY):
+            passed = score.join(ways, (F.col("kind") == F.col("way")) & (F.col("host") == F.col("src"))).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("share") * DAMPING).alias("score"), F.lit(0.0).alias("old"))
+            back = start.select("kind", "host", (F.col("start") * (1 - DAMPING)).alias("score"), F.lit(0.0).alias("old"))
+            old = score.select("kind", "host", F.lit(0.0), F.col("score"))
+            score = passed.union(back).union(old).groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("old").alias("old"))
+            score = score.select("kind", "host", "score", F.abs(F.col("score") - F.col("old")).alias("moved"))
+        score = stage(score, "scores")
+        if (score.agg(F.sum("moved")).first()[0] or 0.0) < TOLERANCE:
+            break
     pick = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("score")).otherwise(0.0))
     return score.groupBy("host").agg(pick(0).alias("trust"), pick(1).alias("distrust"))
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, blocked_names: Sequence[str] = BLOCKED_NAMES, threshold: float = 0.5, given: DataFrame | None = None) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, threshold: float = 0.5, given: DataFrame | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) of every row of pages (page_id, url, html).
 
     Trusted seeds are hosts of which half of the pages or more match an allow
-    rule, blocked seeds those of which half or more match a block rule, and
-    hosts with a word of blocked_names in their names. given (host, kind), a
-    host at most once, are seeds beside them, kind 0 trusted and 1 blocked;
-    they need no page, and go before what rules and names say. Without a rule a page is blocked if
+    rule, blocked seeds those of which half or more match a block rule. given
+    (host, kind), a host at most once, are seeds beside them, kind 0 trusted
+    and 1 blocked;
+    they need no page, and go before what rules say. Without a rule a page is blocked if
     distrust / (trust + distrust) of its host exceeds the threshold, else
     allowed; so are pages of no host (null url, no ``://``) or of a host that
     no score reaches. Null html has no links. Repeated rows are judged alike.
@@ -102,8 +108,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     marked = marked.withColumn("_rule", rule_of(F.col("_host"), F.col("_path"), rules))
     share = lambda verdict: F.avg(F.when(F.col("_rule.verdict") == verdict, 1.0).otherwise(0.0))
     hosts = marked.where("_host != ''").groupBy("_host").agg(share("allow").alias("allowed"), share("block").alias("blocked"))
-    named = F.arrays_overlap(F.split("_host", "[.:-]"), F.array(*[F.lit(name) for name in blocked_names]).cast("array<string>"))
-    kind = F.when(named | (F.col("blocked") >= 0.5), 1).when(F.col("allowed") >= 0.5, 0)
+    kind = F.when(F.col("blocked") >= 0.5, 1).when(F.col("allowed") >= 0.5, 0)
     seeds = hosts.select(F.col("_host").alias("host"), kind.alias("kind")).where("kind is not null")
     if given is not None:
         given = given.select(lower_ascii(F.col("host")).alias("host"), F.col("kind").cast("int").alias("kind"))
