@@ -1,12 +1,15 @@
 """Operator 3: similarity digests of improbable features.
 
-Every window of a text's bytes has an entropy; how rare that entropy is among
-all windows of the corpus (a Spark aggregate) ranks the window, the rarest
-first, windows of little entropy last. A window that is the best of many of
-its neighbourhoods is a feature. Features go, in order, into Bloom filters of
-2048 bits, a new one after every 160 features: the chain of filters is the
-fingerprint. Two fingerprints are compared filter by filter: the common bits
-beyond chance, as a share of the most there could be.
+Every place of a text's bytes has the window of bytes that ends there, zeros
+standing before the text. How rare a window's entropy is among all windows of
+the corpus (a Spark aggregate) ranks it, the rarest first, windows of little
+entropy last. A window that is the best of many of its neighbourhoods is a
+feature, and so are the windows after the first 1, 2, 4 and 8 bytes and, in a
+text without another, the last one: texts of any length have features of the
+same kind, and what keeps its beginning keeps some of them. Features go, in
+order, into Bloom filters of 2048 bits, a new one after every 160 features: the
+chain of filters is the fingerprint. Two fingerprints are compared filter by
+filter: the common bits beyond chance, as a share of the most there could be.
 """
 
 from __future__ import annotations
@@ -23,10 +26,8 @@ from pyspark.sql import functions as F
 from driftline.llm.common import giving_back, parts, read_table, slices, small_batches, text_buffer
 from driftline.llm.hashing import U64, span_hashes
 
-#: Bytes of a window, by the least number of code points that a text has: eight windows at least, 4 bytes for the shortest texts.
-WINDOWS = ((256, 32), (128, 16), (64, 8), (0, 4))
-#: A text below this many times the least number of its width has features of the next narrower width too.
-NEAR = 2
+#: Bytes of a window; bytes after which the beginning of a text is a feature.
+WINDOW, BEGINNINGS = 16, (1, 2, 4, 8)
 #: Steps that entropies are rounded to, and the step below which a window tells little.
 BINS, DULL = 1000, 400
 #: A feature is the best in at least this share of the neighbourhoods it could be the best in.
@@ -37,22 +38,8 @@ NOISE = 0.1
 BATCH_BYTES = 1 << 20
 
 
-Fingerprint = tuple[tuple[int, np.ndarray], ...]
-
-
-def window_of(n_chars: int) -> int:
-    return next(w for least, w in WINDOWS if n_chars >= least)
-
-
-def windows_of(n_chars: int) -> tuple[int, ...]:
-    """The width of a text, and the narrower one if it is near enough to the boundary."""
-    k = next(k for k, (least, _) in enumerate(WINDOWS) if n_chars >= least)
-    near = k + 1 < len(WINDOWS) and n_chars < NEAR * WINDOWS[k][0]
-    return tuple(w for _, w in WINDOWS[k : k + 1 + near])
-
-
 def entropies(buf: np.ndarray, width: int) -> np.ndarray:
-    """The entropy of buf[i : i + width] for each i, in steps from 0 to BINS (all bytes different).
+    """The entropy of buf[i : i + width] for each i, in steps from 0 to BINS (all bytes different; a zero byte is one of them).
 
     Many stretches of buf are scanned side by side, a byte each at a time.
     """
@@ -86,76 +73,76 @@ def entropies(buf: np.ndarray, width: int) -> np.ndarray:
     return BINS - out.T.reshape(-1)[:n].astype(np.int64) * BINS // int(cost[width])
 
 
-def _ends(off: np.ndarray) -> np.ndarray:
-    return np.repeat(off[1:], np.diff(off))
+def spaced(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with WINDOW - 1 zeros before each, so that a window starts at as many places as a text has bytes, and their new offsets."""
+    new = off + (WINDOW - 1) * np.arange(len(off))
+    out = np.zeros(int(new[-1]), np.uint8)
+    out[np.arange(len(buf)) + np.repeat((WINDOW - 1) * np.arange(1, len(off)), np.diff(off))] = buf
+    return out, new
 
 
-def entropy_counts(docs: DataFrame) -> dict[int, np.ndarray]:
-    """For each window width, how many windows of all texts have each entropy: at most 4 * (BINS + 1) numbers."""
+def _starts(new: np.ndarray, size: int) -> np.ndarray:
+    """Which of size places a window of a text starts at."""
+    inside = np.zeros(size + 1, np.int64)
+    np.add.at(inside, new[:-1], 1)
+    np.add.at(inside, new[1:] - (WINDOW - 1), -1)
+    return np.cumsum(inside[:-1]) > 0
+
+
+def entropy_counts(docs: DataFrame) -> np.ndarray:
+    """How many windows of all texts have each entropy: BINS + 1 numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = {w: np.zeros(BINS + 1, np.int64) for _, w in WINDOWS}
+        counts = np.zeros(BINS + 1, np.int64)
         for batch in batches:
             for piece in slices(batch, limit=BATCH_BYTES):
-                for w, texts in _by_window(piece.column("text").to_pylist()).items():
-                    buf, off = text_buffer(pa.array([x for _, x in texts], pa.large_string()))
-                    bins = entropies(buf, w)
-                    counts[w] += np.bincount(bins[np.arange(len(bins)) + w <= _ends(off)[: len(bins)]], minlength=BINS + 1)
-        yield pa.RecordBatch.from_arrays([pa.array([w for w in counts], pa.int32()), pa.array([x.tolist() for x in counts.values()], pa.list_(pa.int64()))], ["width", "counts"])
-
-    cells = docs.select("text").mapInArrow(giving_back(run), "width int, counts array<long>").select("width", F.posexplode("counts").alias("bin", "n"))
-    out = {w: np.zeros(BINS + 1, np.int64) for _, w in WINDOWS}
-    for r in cells.where("n > 0").groupBy("width", "bin").agg(F.sum("n").alias("n")).collect():
-        out[r["width"]][r["bin"]] = r["n"]
+                buf, new = spaced(*text_buffer(piece.column("text")))
+                bins = entropies(buf, WINDOW)
+                counts += np.bincount(bins[_starts(new, len(bins))], minlength=BINS + 1)
+        yield pa.RecordBatch.from_arrays([pa.array([counts.tolist()], pa.list_(pa.int64()))], ["counts"])
+
+    cells = docs.select("text").mapInArrow(giving_back(run), "counts array<long>").select(F.posexplode("counts").alias("bin", "n"))
+    out = np.zeros(BINS + 1, np.int64)
+    for r in cells.where("n > 0").groupBy("bin").agg(F.sum("n").alias("n")).collect():
+        out[r["bin"]] = r["n"]
     return out
 
 
-def rarity(counts: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+def rarity(counts: np.ndarray) -> np.ndarray:
     """The rank of each entropy, 0 for the rarest; dull ones last, the dullest at the very end."""
-    ranks = {}
-    for w, n in counts.items():
-        order = sorted(range(BINS + 1), key=lambda b, n=n: (b < DULL, int(n[b]) if b >= DULL else -b, b))
-        ranks[w] = np.empty(BINS + 1, np.int64)
-        ranks[w][order] = np.arange(BINS + 1)
+    order = sorted(range(BINS + 1), key=lambda b: (b < DULL, int(counts[b]) if b >= DULL else -b, b))
+    ranks = np.empty(BINS + 1, np.int64)
+    ranks[order] = np.arange(BINS + 1)
     return ranks
 
 
-def _by_window(texts: list[str | None]) -> dict[int, list[tuple[int, str]]]:
-    out: dict[int, list[tuple[int, str]]] = {}
-    for k, x in enumerate(texts):
-        out.setdefault(window_of(len(x or "")), []).append((k, x or ""))
-    return out
-
-
-def features(buf: np.ndarray, off: np.ndarray, width: int, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each text's features in order, equal ones once, and the text of each; a text of under two windows is its own feature."""
+def features(buf: np.ndarray, off: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each text's features in order, equal ones once, and the text of each."""
     docs = len(off) - 1
-    ends = _ends(off)
-    bins = entropies(buf, width)
+    data, new = spaced(buf, off)
+    bins = entropies(data, WINDOW)
     at = np.arange(len(bins))
-    whole = at + width <= ends[: len(bins)]
+    whole = _starts(new, len(bins))
     key = (np.where(whole, ranks[bins], BINS + 1) << 32) | at
     span = 1
-    while span < width and len(key) > span:  # the best of width windows in a row, the first of equals
+    while span < WINDOW and len(key) > span:  # the best of WINDOW windows in a row, the first of equals
         key = np.minimum(key[:-span], key[span:])
         span *= 2
-    inner = np.flatnonzero(at[: len(key)] + 2 * width - 1 <= ends[: len(key)]) if span == width else at[:0]
-    votes = np.bincount(key[inner] & 0xFFFFFFFF, minlength=len(buf))
-    found = np.flatnonzero(votes >= max(1, width // POPULAR))
-    doc = np.searchsorted(off, found, "right") - 1
-    without = np.flatnonzero((np.bincount(doc, minlength=docs) == 0) & (np.diff(off) >= 2 * width))
-    if len(without):
-        best = np.array([off[d] + int(votes[off[d] : off[d + 1]].argmax()) for d in without.tolist()], np.int64)
-        found, doc = np.concatenate([found, best]), np.concatenate([doc, without])
-    stops = found + width
-    short = np.flatnonzero((np.diff(off) > 0) & (np.diff(off) < 2 * width))
-    found, stops, doc = np.concatenate([found, off[short]]), np.concatenate([stops, off[short + 1]]), np.concatenate([doc, short])
-    hashes = span_hashes(buf, found, stops)
+    inner = np.flatnonzero(whole[: len(key)] & whole[WINDOW - 1 : WINDOW - 1 + len(key)]) if span == WINDOW else at[:0]
+    inner = inner[np.searchsorted(new, inner, "right") == np.searchsorted(new, inner + WINDOW - 1, "right")]
+    votes = np.bincount(key[inner] & 0xFFFFFFFF, minlength=len(data))
+    found = np.flatnonzero(votes >= WINDOW // POPULAR)
+    size = np.diff(off)
+    doc = np.searchsorted(new, found, "right") - 1
+    without = np.flatnonzero((np.bincount(doc, minlength=docs) == 0) & (size > 0))
+    found = np.concatenate([found, new[without] + size[without] - 1, *[new[:-1][size >= n] + n - 1 for n in BEGINNINGS]])
+    found = np.unique(found)
+    doc = np.searchsorted(new, found, "right") - 1
+    hashes = span_hashes(data, found, found + WINDOW)
     order = np.lexsort((found, hashes, doc))
     first = np.ones(len(order), bool)
     first[1:] = (hashes[order][1:] != hashes[order][:-1]) | (doc[order][1:] != doc[order][:-1])
     kept = np.sort(order[first])
-    kept = kept[np.lexsort((found[kept], doc[kept]))]
     return hashes[kept], doc[kept]
 
 
@@ -172,34 +159,24 @@ def filters(hashes: np.ndarray, doc: np.ndarray, docs: int) -> tuple[np.ndarray,
     return np.packbits(bits, axis=1), at
 
 
-def fingerprints(texts: list[str | None], ranks: dict[int, np.ndarray]) -> list[Fingerprint]:
-    """(window width, filters) of each text, for each of its widths, the widest first."""
-    out: list[Fingerprint] = [()] * len(texts)
-    for _, w in WINDOWS:
-        chosen = [(k, x or "") for k, x in enumerate(texts) if w in windows_of(len(x or ""))]
-        if not chosen:
-            continue
-        buf, off = text_buffer(pa.array([x for _, x in chosen], pa.large_string()))
-        made, at = filters(*features(buf, off, w, ranks[w]), len(chosen))
-        for (k, _), a, b in zip(chosen, at[:-1].tolist(), at[1:].tolist(), strict=True):
-            out[k] += ((w, made[a:b]),)
-    return out
+def fingerprints(texts: list[str | None], ranks: np.ndarray) -> list[np.ndarray]:
+    """The filters of each text, a row of FILTER_BITS / 8 bytes each; an empty text has none."""
+    buf, off = text_buffer(pa.array(texts, pa.large_string()))
+    made, at = filters(*features(buf, off, ranks), len(texts))
+    return [made[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
-def written(fingerprint: Fingerprint) -> str:
-    return ",".join(f"{w}:{base64.b64encode(f.tobytes()).decode()}" for w, f in fingerprint)
+def written(fingerprint: np.ndarray) -> str:
+    return base64.b64encode(fingerprint.tobytes()).decode()
 
 
-def parsed(text: str) -> Fingerprint:
-    cut = [x.split(":") for x in text.split(",")]
-    return tuple((int(w), np.frombuffer(base64.b64decode(blob), np.uint8).reshape(-1, FILTER_BITS // 8)) for w, blob in cut)
+def parsed(text: str) -> np.ndarray:
+    return np.frombuffer(base64.b64decode(text), np.uint8).reshape(-1, FILTER_BITS // 8)
 
 
-def likeness(one: Fingerprint, other: Fingerprint) -> float:
-    """From 0 to 1, at the widest width that both have; 1 for equal fingerprints, those of empty texts among them, and 0 for those without a common width."""
-    there = dict(other)
-    a, b = next(((f, there[w]) for w, f in one if w in there), (None, None))
-    if a is None or (len(a) == 0) != (len(b) == 0):
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """From 0 to 1; 1 for equal fingerprints, those of empty texts among them, and 0 if only one is empty."""
+    if (len(a) == 0) != (len(b) == 0):
         return 0.0
     if a.shape == b.shape and (a == b).all():
         return 1.0
