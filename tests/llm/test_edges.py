@@ -104,8 +104,29 @@ def test_a_group_larger_than_a_block(spark):
     assert {r["component_id"] for r in got} == {0}
 
 
+def turing(counts):
+    """The discount of each count, anew: Good-Turing for 1 to 5 where it lies between 0.02 and 0.98, else by a line through log n_r over log r."""
+    n = Counter(counts)
+    some = [r for r in sorted(n) if r <= 40]
+    slope = -2.0
+    if len(some) >= 2:
+        points = []
+        for k, r in enumerate(some):
+            before = some[k - 1] if k else 0
+            after = some[k + 1] if k + 1 < len(some) else 2 * r - before
+            points.append((math.log(r), math.log(n[r] / (0.5 * (after - before)))))
+        mx, my = (sum(p[i] for p in points) / len(points) for i in (0, 1))
+        slope = min(sum((x - mx) * (y - my) for x, y in points) / sum((x - mx) ** 2 for x, _ in points), -1.05)
+
+    def share(r):
+        estimate = (r + 1) * n[r + 1] / (r * n[r]) if r <= 5 and n[r] else 0
+        return estimate if r <= 5 and 0.02 < estimate < 0.98 else (1 + 1 / r) ** (slope + 1)
+
+    return share
+
+
 def brute_katz(rows, held):
-    """The same model by dictionaries: discounts by the operator's own formula, everything else anew."""
+    """The same model by dictionaries."""
     seqs = [["<s>", *words(t), "</s>"] for _, t in rows]
     count = [Counter(), Counter(), Counter()]
     for s, out in zip(seqs, held, strict=True):
@@ -114,8 +135,8 @@ def brute_katz(rows, held):
             count[1].update(zip(s, s[1:], strict=False))
             count[2].update(zip(s, s[1:], s[2:], strict=False))
     starts = sum(not x for x in held)
-    d = [katz.good_turing(dict(Counter(c.values()))) for c in count]
-    mass = lambda o, c: round(float(d[o](np.array([c]))[0]) * c * katz.GRAIN) / katz.GRAIN
+    d = [turing(c.values()) for c in count]
+    mass = lambda o, c: round(d[o](c) * c * 65536) / 65536
     n = sum(count[0].values())
     unseen = 1 - sum(mass(0, c) for c in count[0].values()) / n
     follow = {}
@@ -137,25 +158,37 @@ def brute_katz(rows, held):
         return left / (1 - sum(p(g[1:]) for g in follow[h])) * p(gram[1:])
 
     scores = [sum(math.log10(p(tuple(s[max(0, k - 2) : k + 1]))) for k in range(1, len(s))) for s in seqs]
-    return scores, p, count, follow
+    base = [sum(math.log10((count[0][w] + 0.5) / (n + 0.5 * (len(count[0]) + 1))) for w in s[1:]) for s in seqs]
+    known = [sum(count[0][w] > 0 for w in s[1:]) for s in seqs]
+    return scores, base, known, p, count, follow
 
 
 def test_katz(docs, empty):
     held = [d is not None and zlib.crc32(str(d).encode()) % 5 == 1 for d, _ in ROWS]
     assert any(held) and not all(held)
-    scores, p, count, follow = brute_katz(ROWS, held)
+    scores, base, known, p, count, follow = brute_katz(ROWS, held)
     vocabulary = [*count[0], "never seen"]
     for h in [("short",), *list(follow)[:3], *[h for h in follow if len(h) == 2][:3]]:
         assert sum(p((*h, w)) for w in vocabulary) == pytest.approx(1, abs=1e-6)
     got = katz.katz_scores(docs).collect()
-    want = Counter((d, out, len(words(t)) + 1, round(s, 6)) for (d, t), out, s in zip(ROWS, held, scores, strict=True))
-    assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], round(r["score"], 6)) for r in got) == want
+    want = Counter((d, out, len(words(t)) + 1, k, round(b, 5), round(s, 5)) for (d, t), out, s, b, k in zip(ROWS, held, scores, base, known, strict=True))
+    assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], round(r["base_score"], 5), round(r["score"], 5)) for r in got) == want
     train = sum(len(words(t)) + 1 for (_, t), out in zip(ROWS, held, strict=True) if not out)
     assert {r["train_tokens"] for r in got} == {train}
     assert katz.katz_scores(empty).count() == 0
     assert {r["score"] for r in katz.katz_scores(docs, F.lit(True)).collect()} == {0.0}
 
 
+def test_katz_counts_words_apart_that_a_polynomial_hash_does_not(spark):
+    from tests.llm.test_exact_ids import morse
+
+    rows = [(k, f"{morse(2048, k % 2)} x") for k in range(6)]
+    held = [zlib.crc32(str(d).encode()) % 5 == 1 for d, _ in rows]
+    got = katz.katz_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    _, base, known, *_ = brute_katz(rows, held)
+    assert Counter((r["doc_id"], r["n_known"], round(r["base_score"], 6)) for r in got) == Counter((d, k, round(b, 6)) for (d, _), k, b in zip(rows, known, base, strict=True))
+
+
 def test_digests_of_equal_and_of_no_rows(docs, empty):
     got = digest.digest_documents(docs).collect()
     of = {r["doc_id"]: r for r in got}
