@@ -38,8 +38,10 @@ from driftline.llm.common import giving_back, parts, read_table, slices, small_b
 from driftline.llm.word_tokens import BATCH_BYTES, default_path, word_tokens
 
 MAGIC = b"DLTOKEN1"
-#: Documents the dictionary is trained on: those of the smallest hashes of doc_id.
+#: Documents the dictionary is trained on: those of the smallest hashes of doc_id and text.
 SAMPLE_DOCS = 512
+#: Bytes of text in a shard, about; where the shuffle has more partitions, there are as many shards. Bytes of ids that a reader holds at a time.
+SHARD_BYTES, READ_BYTES = 256 << 20, 4 << 20
 SAMPLE_PIECE = 16384
 DICTIONARY_BYTES = 112_640
 LEVEL = 3
@@ -131,7 +133,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    chosen = [r[0] for r in docs.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()]
+    docs = docs.withColumn("_k", F.xxhash64("doc_id", "text"))
+    chosen = [r[0] for r in docs.where("doc_id is not null").select("_k").orderBy("_k").limit(SAMPLE_DOCS).collect()]
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = word_tokens(tokenizer_path)
@@ -140,7 +144,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
                 ids, at = tokens.encode(piece.column("text"))
                 yield pa.RecordBatch.from_arrays([pa.array([np.append(ids[a:b], end_id).astype("<u2" if len(tokens.ends) <= 1 << 16 else "<u4").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["ids"])
 
-    rows = docs.where(F.col("doc_id").isin(chosen)).mapInArrow(giving_back(sample), "ids binary").collect() if chosen else []
+    rows = docs.where(F.col("_k").isin(chosen)).dropDuplicates(["_k"]).select("doc_id", "text").mapInArrow(giving_back(sample), "ids binary").collect() if chosen else []
     dictionary = train_dictionary(sorted(bytes(r[0]) for r in rows))
     fs, path = _open(folder)
     fs.create_dir(path, recursive=True)
@@ -166,7 +170,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
             fs.move(draft, name)
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "documents": pa.array([len(writer.docs)]), "tokens": pa.array([total])})
 
-    ordered = docs.repartitionByRange(parts(docs), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    ordered = docs.drop("_k").repartitionByRange(max(parts(docs), size // SHARD_BYTES), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     done = ordered.mapInArrow(giving_back(write), "shard int, documents long, tokens long").collect()
     manifest, start = [], 0
     for r in sorted(done):
@@ -187,8 +191,9 @@ def read_token_files(spark: SparkSession, manifest: list[dict], dictionary: byte
             for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist(), strict=True):
                 shard = ShardReader(path, held.value)
                 starts = start + np.concatenate([[0], np.cumsum(shard.sizes)])
-                for k in range(0, len(shard.ids), 5000):
-                    ids = [shard.read(i) for i in range(k, min(k + 5000, len(shard.ids)))]
+                rooms = np.searchsorted(np.cumsum(shard.sizes * shard.width) // READ_BYTES, np.arange(shard.sizes.sum() * shard.width // READ_BYTES + 2))
+                for k, end in zip(rooms[:-1].tolist(), rooms[1:].tolist(), strict=True):
+                    ids = [shard.read(i) for i in range(k, end)]
                     here = slice(k, k + len(ids))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(shard.ids[here], mask=shard.null[here]), pa.array(starts[here]), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()), pa.array(np.diff(shard.offsets)[here])],
