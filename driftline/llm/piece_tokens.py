@@ -29,8 +29,8 @@ from driftline.llm.hashing import distinct_spans
 SPACE = "▁"
 _SPACE = SPACE.encode()
 #: Bytes of units that a task remembers; beyond it the memory starts anew.
-REMEMBERED = 4 << 20
-BATCH_BYTES = 1 << 20
+REMEMBERED = 2 << 20
+BATCH_BYTES = 1 << 19
 
 
 class CharacterMap:

@@ -21,9 +21,9 @@ from driftline.llm.hashing import IS_SPACE, distinct_spans
 _NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 _PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 #: Bytes of units that a task remembers; beyond it the memory starts anew.
-REMEMBERED = 4 << 20
+REMEMBERED = 2 << 20
 #: Bytes of text handled at a time.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 LETTER, DIGIT, SIGN, OTHER = 1, 2, 3, 4
 
@@ -41,8 +41,8 @@ def _classes() -> np.ndarray:
 _CLASS = _classes()
 
 
-def units(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of all units, their offsets by text, and whether each is a single word, digit or run of signs."""
+def units(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all units, their offsets by text, and whether each is a single word, digit or run of signs."""
     kind = _CLASS[buf]
     lead = np.flatnonzero(buf[:-1] == 0xC3) if len(buf) else np.empty(0, np.int64)
     lead = lead[(buf[lead + 1] != 0x97) & (buf[lead + 1] != 0xB7)]  # U+00C0 to U+00FF but the two signs among them
@@ -56,7 +56,9 @@ def units(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
         first[begins] = kind[begins] != 0
     starts = np.flatnonzero(first)
     plain = np.add.reduceat((kind == OTHER).astype(np.int64), starts) == 0 if len(starts) else np.empty(0, bool)
-    return starts, np.searchsorted(starts, off), plain
+    solid = np.maximum.accumulate(np.where(kind != 0, np.arange(1, len(buf) + 1, dtype=np.int64), 0))
+    ends = solid[np.append(starts[1:], len(buf)) - 1] if len(starts) else starts
+    return starts, ends, np.searchsorted(starts, off), plain
 
 
 class WordTokens:
@@ -85,24 +87,18 @@ class WordTokens:
 
     def _learn(self, texts: list[bytes], plain: np.ndarray) -> None:
         """texts: new units, each once."""
-        found: list[np.ndarray] = [np.empty(0, np.uint32)] * len(texts)
-        single = np.flatnonzero(plain)
+        single, rest = np.flatnonzero(plain).tolist(), np.flatnonzero(~plain).tolist()
         joined = [b" ".join([texts[i] for i in single[k : k + 500]]).decode() for k in range(0, len(single), 500)]
-        if joined:
-            ids = np.concatenate(self._library(joined))
-            ends = np.flatnonzero(self.ends[ids[ids < len(self.ends)]]) + 1
-            if len(ends) != len(single):
-                raise RuntimeError("a word of the tokenizer has not one end token")
-            for i, piece in zip(single.tolist(), np.split(ids, ends[:-1]), strict=True):
-                found[i] = piece
-        rest = np.flatnonzero(~plain).tolist()
-        for i, ids in zip(rest, self._library([texts[i].decode() for i in rest]), strict=True):
-            found[i] = ids
-        lengths = np.array([len(x) for x in found], np.int64)
-        self.slots.update(zip(texts, range(len(self.at) - 1, len(self.at) - 1 + len(texts)), strict=True))
+        ids = np.concatenate([np.empty(0, np.uint32), *self._library(joined)])
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(single):
+            raise RuntimeError("a word of the tokenizer has not one end token")
+        others = self._library([texts[i].decode() for i in rest])
+        lengths = np.concatenate([np.diff(ends, prepend=0), np.array([len(x) for x in others], np.int64)])
+        self.slots.update(zip([texts[i] for i in single + rest], range(len(self.at) - 1, len(self.at) - 1 + len(texts)), strict=True))
         self.size += sum(map(len, texts))
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(lengths)])
-        self.ids = np.concatenate([self.ids, *found])
+        self.ids = np.concatenate([self.ids, ids, *others])
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (null: empty), and the offsets of each text's."""
@@ -111,11 +107,10 @@ class WordTokens:
             return _chain(self._library([bytes(buf[a:b]).decode() for a, b in zip(off[:-1], off[1:], strict=True)]))
         if self.size > REMEMBERED:
             self.forget()
-        starts, at, plain = units(buf, off)
-        ends = np.append(starts[1:], len(buf))
+        starts, ends, at, plain = units(buf, off)
         lead, which = distinct_spans(buf, starts, ends)
         raw = buf.tobytes()
-        texts = [raw[s:e].rstrip(b" \t\n\x0b\x0c\r") for s, e in zip(starts[lead].tolist(), ends[lead].tolist(), strict=True)]
+        texts = [raw[s:e] for s, e in zip(starts[lead].tolist(), ends[lead].tolist(), strict=True)]
         new = {t: k for k, t in enumerate(texts) if t not in self.slots}
         if new:
             self._learn(list(new), plain[lead[list(new.values())]])
