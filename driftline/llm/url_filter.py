@@ -22,8 +22,8 @@ from driftline.llm.common import lower_ascii, read_table, stage
 
 #: (host, start of path, verdict); a longer host and path wins. A small list: it becomes one CASE expression.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: Scores are final when all together move by less than TOLERANCE in a round, which the damping brings about within some 57; looked at and written every CUT_EVERY rounds.
-DAMPING, TOLERANCE, CUT_EVERY = 0.85, 1e-4, 5
+#: Scores are looked at and written every CUT_EVERY rounds, and final when all together moved by less than TOLERANCE (of each kind's mass of 1) since; the damping alone brings that about within some 30.
+DAMPING, TOLERANCE, CUT_EVERY = 0.85, 1e-2, 5
 
 
 def _after_scheme(url: Column) -> Column:
@@ -64,34 +64,34 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return linked.union(both).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, trust, distrust). edges: (src, dst, weight); seeds: (host, kind), kind 0 trusted, 1 blocked.
 
     Personalised PageRank of each kind, the mass of hosts without out-edges
-    not passed on, until all scores together move by less than TOLERANCE in a
-    round. No seeds: no scores.
+    not passed on, until all scores together move by less than tolerance in
+    CUT_EVERY rounds. No seeds: no scores.
     """
     ways = edges.select(F.lit(0).alias("kind"), "src", "dst", "weight").union(edges.select(F.lit(1).alias("kind"), "dst", "src", "weight"))
     total = ways.groupBy("kind", "src").agg(F.sum("weight").alias("all"))
     ways = stage(ways.join(total, ["kind", "src"]).select(F.col("kind").alias("way"), "src", "dst", (F.col("weight") / F.col("all")).alias("share")), "ways")
     start = seeds.join(seeds.groupBy("kind").agg(F.count("*").alias("n")), "kind").select("kind", "host", (1 / F.col("n")).alias("start"))
     start = stage(start, "seeds")
-    score = start.select("kind", "host", F.col("start").alias("score"), F.lit(0.0).alias("moved"))
+    score = start.withColumnRenamed("start", "score")
+    back = start.select("kind", "host", (F.col("start") * (1 - DAMPING)).alias("score"))
     while True:
+        before = score
         for _ in range(CUT_EVERY):
-            passed = score.join(ways, (F.col("kind") == F.col("way")) & (F.col("host") == F.col("src"))).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("share") * DAMPING).alias("score"), F.lit(0.0).alias("old"))
-            back = start.select("kind", "host", (F.col("start") * (1 - DAMPING)).alias("score"), F.lit(0.0).alias("old"))
-            old = score.select("kind", "host", F.lit(0.0), F.col("score"))
-            score = passed.union(back).union(old).groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("old").alias("old"))
-            score = score.select("kind", "host", "score", F.abs(F.col("score") - F.col("old")).alias("moved"))
+            passed = score.join(ways, (F.col("kind") == F.col("way")) & (F.col("host") == F.col("src"))).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("share") * DAMPING).alias("score"))
+            score = passed.union(back).groupBy("kind", "host").agg(F.sum("score").alias("score"))
         score = stage(score, "scores")
-        if (score.agg(F.sum("moved")).first()[0] or 0.0) < TOLERANCE:
+        moved = score.union(before.select("kind", "host", -F.col("score"))).groupBy("kind", "host").agg(F.abs(F.sum("score")).alias("moved"))
+        if (moved.agg(F.sum("moved")).first()[0] or 0.0) < tolerance:
             break
     pick = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("score")).otherwise(0.0))
     return score.groupBy("host").agg(pick(0).alias("trust"), pick(1).alias("distrust"))
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, threshold: float = 0.5, given: DataFrame | None = None) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, threshold: float = 0.5, given: DataFrame | None = None, tolerance: float = TOLERANCE) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) of every row of pages (page_id, url, html).
 
     Trusted seeds are hosts of which half of the pages or more match an allow
@@ -113,7 +113,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     if given is not None:
         given = given.select(lower_ascii(F.col("host")).alias("host"), F.col("kind").cast("int").alias("kind"))
         seeds = seeds.join(given, "host", "left_anti").union(given)
-    scores = propagate(host_edges(marked), seeds)
+    scores = propagate(host_edges(marked), seeds, tolerance)
     scores = scores.select(F.col("host").alias("_of"), "trust", "distrust", (F.col("distrust") > threshold * (F.col("trust") + F.col("distrust")) + 1e-12).alias("_bad"))
     out = marked.drop("html").join(scores, F.col("_host") == F.col("_of"), "left")
     verdict = F.coalesce("_rule.verdict", F.when(F.col("_bad"), "block").otherwise("allow"))

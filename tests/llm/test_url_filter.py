@@ -82,10 +82,10 @@ def url_of(url):
 
 
 def test_scores_against_numpy(spark):
-    got = {r["page_id"]: r for r in url_filter.judge_urls(spark.createDataFrame(WEB, "page_id long, url string, html string")).collect()}
+    got = {r["page_id"]: r for r in url_filter.judge_urls(spark.createDataFrame(WEB, "page_id long, url string, html string"), tolerance=1e-7).collect()}
     trust, distrust = ranked(WEB)
     for k, u, _ in WEB:
-        assert got[k]["trust"] == pytest.approx(trust[url_of(u)], abs=1e-3) and got[k]["distrust"] == pytest.approx(distrust[url_of(u)], abs=1e-3)
+        assert got[k]["trust"] == pytest.approx(trust[url_of(u)], abs=1e-6) and got[k]["distrust"] == pytest.approx(distrust[url_of(u)], abs=1e-6)
     assert [got[k]["verdict"] for k in range(1, 8)] == ["allow", "allow", "allow", "block", "block", "block", "allow"]
 
 
