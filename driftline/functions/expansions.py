@@ -6,7 +6,9 @@ degree); ``<u|s><power>`` (absolute or signed power, 08 is 0.8); ``adjK`` and
 ``mixK`` (a pair function at index distances 0 to K - 1, or 1 to K); ``selN_<name>``
 (of the first N components); ``chC_oO_sS_<name>`` (a slice of each of C equal
 channels); ``<QT|CT>_<n>_AP<power>`` and ``<Q|C>_<AN|N|E|AE|AP>`` (monomials
-with normalised input or output); ``cosD`` (cosines of sums of D components).
+with normalised input or output); with ``_exp`` also the lower degrees, as in
+``S_exp``, ``Q_exp`` and ``C_exp`` without a normaliser; ``cosD`` (cosines of
+sums of D components).
 """
 
 from __future__ import annotations
@@ -42,23 +44,31 @@ def _terms(places: Sequence[Sequence[int]]) -> Column:
     return F.array(*[F.array(*[F.lit(p) for p in t]) for t in places])
 
 
-def monomials(degree: int) -> Expansion:
-    """All products of degree components, each set of places once, in order of the places."""
+def multisets(degree: int, combine: Pair) -> Expansion:
+    """combine of degree components, each multiset of places once, in order of the places."""
 
     def made(x: Column, size: int) -> Column:
-        places = list(itertools.combinations_with_replacement(range(size), degree))
-        return F.transform(_terms(places), lambda t: F.aggregate(t, F.lit(1.0), lambda s, p: s * F.get(x, p)))
+        def of(start: Column, depth: int) -> Column:
+            if depth == 1:
+                return F.slice(x, start + 1, F.lit(size) - start)
+            return F.flatten(F.transform(F.sequence(start, F.lit(size - 1)), lambda i: F.transform(of(i, depth - 1), lambda v: combine(F.get(x, i), v))))
+
+        return of(F.lit(0), degree)
 
     return made
 
 
+def monomials(degree: int) -> Expansion:
+    """All products of degree components."""
+    return multisets(degree, lambda a, b: a * b)
+
+
 def pairs_at(fn: Pair, distances: Sequence[int], anchors: int | None = None) -> Expansion:
     """fn of the components at each anchor and at each distance after it, anchor by anchor."""
 
     def made(x: Column, size: int) -> Column:
         last = size - max(distances) if anchors is None else anchors
-        places = [(i, i + d) for i in range(last) for d in distances]
-        return F.transform(_terms(places), lambda t: fn(F.get(x, F.get(t, 0)), F.get(x, F.get(t, 1))))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(last - 1)), lambda i: F.array(*[fn(F.get(x, i), F.get(x, i + d)) for d in distances])))
 
     return made
 
@@ -119,39 +129,64 @@ def put_together(*inner: Expansion) -> Expansion:
     return lambda x, size: F.concat(*[e(x, size) for e in inner])
 
 
-def length(x: Column) -> Column:
-    return F.sqrt(dot(x, x))
+#: Exponents of the normalisers: fixed values, by the name of the expansion. The constant that is added is 1 in all.
+EXPONENTS = {
+    "Q_AN": 0.6, "Q_N": 0.6, "Q_E": 0.6, "Q_AE": 0.6, "Q_AP": 0.4,
+    "C_AN": 0.73, "C_N": 0.73, "C_E": 0.73, "C_AE": 0.73, "C_AP": 0.3,
+    "Q_AN_exp": 0.6, "Q_N_exp": 0.6, "Q_E_exp": 1.0, "Q_AE_exp": 1.0, "Q_AP_exp": 1.0,
+    "C_AN_exp": 0.7333, "C_N_exp": 0.7333, "C_E_exp": 1.0, "C_AE_exp": 1.0, "C_AP_exp": 1.0,
+    "S_exp": 0.8, "Q_exp": 2.0, "C_exp": 3.0,
+}
 
 
-#: Normalisers with constants k and d: by each component or by the whole vector, by a power or an exponential.
-NORMALISERS: dict[str, Callable[[Column, float, float], Column]] = {
-    "AN": lambda x, k, d: F.transform(x, lambda v: v / (k + F.pow(F.abs(v), F.lit(d)))),
-    "N": lambda x, k, d: F.transform(x, lambda v: v / (k + F.pow(length(x), F.lit(d)))),
-    "E": lambda x, k, d: F.transform(x, lambda v: v / (k + F.exp(d * length(x)))),
-    "AE": lambda x, k, d: F.transform(x, lambda v: v / (k + F.exp(d * F.abs(v)))),
-    "AP": lambda x, k, d: F.transform(x, lambda v: signed_power(v, d)),
-}
-#: Those that normalise what goes into the monomials; the others what comes out.
-BEFORE = ("AN", "AE", "AP")
+def by_component(kind: str, x: Column, d: float, k: float = 1.0) -> Column:
+    """x with each component normalised: AN by its power, AE by its exponential; AP its signed power."""
+    if kind == "AP":
+        return F.transform(x, lambda v: signed_power(v, d))
+    size = (lambda v: F.pow(F.abs(v), F.lit(d))) if kind == "AN" else (lambda v: F.exp(d * F.abs(v)))
+    return F.transform(x, lambda v: v / (k + size(v)))
+
+
+def by_vector(kind: str, x: Column, y: Column, d: float, k: float = 1.0) -> Column:
+    """y divided by what the root mean square of x gives: N its power, E its exponential."""
+    size = root_mean_square(x)
+    factor = 1 / (k + (F.pow(size, F.lit(d)) if kind == "N" else F.exp(d * size)))
+    # One element that holds the factor: the vector's size is not worked out anew for each component.
+    return F.flatten(F.transform(F.array(factor), lambda f: F.transform(y, lambda v: v * f)))
+
+
+def normalised(kind: str, degree: int, d: float, k: float = 1.0) -> Expansion:
+    """The monomials of a degree: of the normalised components, or themselves normalised by the vector."""
+    inner = monomials(degree)
+    if kind in ("N", "E"):
+        return lambda x, size: by_vector(kind, x, inner(x, size), d, k)
+    return lambda x, size: inner(by_component(kind, x, d, k), size)
 
 
-def normalised(kind: str, degree: int, k: float = 1.0, d: float = 0.6) -> Expansion:
-    norm, inner = NORMALISERS[kind], monomials(degree)
-    if kind in BEFORE:
-        return lambda x, size: inner(norm(x, k, d), size)
-    return lambda x, size: norm(inner(x, size), k, d)
+def with_lower(kind: str, degree: int, d: float, k: float = 1.0) -> Expansion:
+    """The normalised vector, then the monomials from degree 2 to this one, normalised too; those of C_AN_exp are of the vector as it is."""
+    if kind in ("N", "E"):
+        first_of = lambda x, size: by_vector(kind, x, x, d, k)
+    else:
+        first_of = lambda x, size: by_component(kind, x, d, k)
+    plain = kind == "AN" and degree == 3
+    return put_together(first_of, *[monomials(g) if plain else normalised(kind, g, d, k) for g in range(2, degree + 1)])
 
 
-def with_lower(kind: str, degree: int, k: float = 1.0, d: float = 0.6) -> Expansion:
-    """The normalised vector, then its normalised monomials up to the degree."""
-    return put_together(lambda x, size: NORMALISERS[kind](x, k, d), *[normalised(kind, g, k, d) for g in range(2, degree + 1)])
+def powers_to(degree: int, d: float) -> Expansion:
+    """The signed power d / degree of each component, then its monomials from degree 2 on; of degree 1, the vector and its absolute power d."""
+    if degree == 1:
+        return lambda x, size: F.concat(x, F.transform(x, lambda v: F.pow(F.abs(v), F.lit(d))))
+    return with_lower("AP", degree, d / degree)
 
 
 def cosines(degree: int, most_variables: int | None = None) -> Expansion:
     """cos(pi * sum) of each multiset of degree components of at most so many different ones."""
 
     def made(x: Column, size: int) -> Column:
-        places = [t for t in itertools.combinations_with_replacement(range(size), degree) if most_variables is None or len(set(t)) <= most_variables]
+        if most_variables is None or most_variables >= degree:
+            return F.transform(multisets(degree, lambda a, b: a + b)(x, size), lambda v: F.cos(math.pi * v))
+        places = [t for t in itertools.combinations_with_replacement(range(size), degree) if len(set(t)) <= most_variables]
         return F.transform(_terms(places), lambda t: F.cos(math.pi * F.aggregate(t, F.lit(0.0), lambda s, p: s + F.get(x, p))))
 
     return made
@@ -259,10 +294,14 @@ def expansion(name: str) -> Expansion:
     if m := re.fullmatch(r"ch(\d+)_o(\d+)_s(\d+)_(\w+)", name):
         return channels(int(m[1]), int(m[2]), int(m[3]), expansion(m[4]), m[4] not in ("QT", "CT", "P4"))
     if m := re.fullmatch(r"([QC])T_(\d+)_AP(\d+)", name):
-        return first(int(m[2]), normalised("AP", 2 if m[1] == "Q" else 3, d=_power(m[3])))
-    if m := re.fullmatch(r"([QC])_(AN|N|E|AE|AP)(_exp)?", name):
-        degree = 2 if m[1] == "Q" else 3
-        return with_lower(m[2], degree) if m[3] else normalised(m[2], degree)
+        return first(int(m[2]), normalised("AP", 2 if m[1] == "Q" else 3, _power(m[3])))
+    if m := re.fullmatch(r"([SQC])(?:_(AN|N|E|AE|AP))?(_exp)?", name):
+        degree = "SQC".index(m[1]) + 1
+        if name in EXPONENTS:
+            made = with_lower if m[3] else normalised
+            return made(m[2], degree, EXPONENTS[name]) if m[2] else powers_to(degree, EXPONENTS[name])
+    if name == "I_exp":
+        return SIMPLE["identity"]
     if m := re.fullmatch(r"cos(\d+)(?:_v(\d+))?", name):
         return cosines(int(m[1]), int(m[2]) if m[2] else None)
     if m := re.fullmatch(r"control(\d+)_(\w+)", name):

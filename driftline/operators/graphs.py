@@ -107,6 +107,10 @@ def sliding_window(spark: SparkSession, n: int, width: int) -> tuple[DataFrame,
     return uniform_nodes(spark, n), edges.unionByName(loops)
 
 
+#: Ties that add_unlabelled lists at most.
+MOST_TIES = 100_000_000
+
+
 def add_unlabelled(nodes: DataFrame, edges: DataFrame, new: DataFrame, share: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """new (sample_id) samples share so much of the labelled ones' weight, and are tied to all of them, both ways, evenly.
 
@@ -114,6 +118,8 @@ def add_unlabelled(nodes: DataFrame, edges: DataFrame, new: DataFrame, share: fl
     """
     q, n1 = nodes.agg(F.sum("v"), F.count("*")).first()
     n2 = new.count()
+    if n1 * n2 > MOST_TIES:
+        raise ValueError(f"{n1} x {n2} ties are over {MOST_TIES}; with_unlabelled needs none of them")
     v2 = q * share / max(n2, 1)
     ties = nodes.select(F.col("sample_id").alias("src")).join(F.broadcast(new.select(F.col("sample_id").alias("dst"))), F.lit(True)).withColumn("w", F.lit(v2 / max(n1, 1)))
     return nodes.unionByName(new.select("sample_id", F.lit(v2).alias("v"))), add_up(edges, ties, ties.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
@@ -212,13 +218,14 @@ def eigenvectors(nodes: DataFrame, edges: DataFrame, least: int = 10_000) -> tup
     ids = [r[0] for r in nodes.select("sample_id").orderBy("sample_id").limit(least + 1).collect()]
     if len(ids) > least:
         raise ValueError(f"graphs of over {least} nodes are not solved densely")
-    place = {x: k for k, x in enumerate(ids)}
+    names = np.array(ids, np.int64)
     m = np.zeros((len(ids), len(ids)))
-    for src, dst, w in normalised(nodes, symmetric(edges)).collect():
-        m[place[src], place[dst]] += w
+    found = normalised(nodes, symmetric(edges)).select("src", "dst", "w").toArrow()
+    src, dst, w = (found.column(c).to_numpy() for c in ("src", "dst", "w"))
+    np.add.at(m, (np.searchsorted(names, src), np.searchsorted(names, dst)), w)
     values, vectors = np.linalg.eigh(m)
     vectors = vectors * np.where(vectors[:1] > 0, -1, 1)
-    return values[::-1], vectors[:, ::-1], np.array(ids)
+    return values[::-1], vectors[:, ::-1], names
 
 
 def deltas_of(eigenvalues: np.ndarray, q: float, r: float) -> np.ndarray:

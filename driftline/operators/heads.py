@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from driftline.functions.vectors import squared_distance
 from driftline.operators.estimators import map_vectors
-from driftline.operators.moments import Moments, group_sums, matrix, merge, partial
+from driftline.operators.moments import Moments, add_up, group_sums, matrix
+from driftline.session import ship
 
 #: Rows of a reference set that may be sent to every task.
 BROADCAST_ROWS = 50_000
+#: Class means that may be sent to every task; rows of queries that a task holds.
+BROADCAST_CLASSES, QUERY_ROWS = 1_000, 20_000
 
 
 def class_means(samples: DataFrame, key: str = "class") -> DataFrame:
@@ -21,26 +27,39 @@ def class_means(samples: DataFrame, key: str = "class") -> DataFrame:
     return sums.select(F.col("key").alias("class"), "n", F.transform("total", lambda v: v / F.col("n")).alias("mean"))
 
 
-def _checked(small: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(small) if rows <= BROADCAST_ROWS else small
-
-
 def nearest_mean(samples: DataFrame, means: DataFrame) -> DataFrame:
-    """samples with predicted: the class of the nearest mean, the lesser of equals. means: (class, mean), one row a class."""
+    """samples with predicted: the class of the nearest mean, the lesser of equals. means: (class, mean), one row a class.
+
+    Up to BROADCAST_CLASSES means go to every task; more are searched by
+    nearest_neighbours, for which samples need a sample_id.
+    """
     table = means.select(F.col("class").alias("_class"), "mean")
-    listed = table.agg(F.sort_array(F.collect_list(F.struct("_class", "mean"))).alias("_means"))  # classes are few
+    if table.count() > BROADCAST_CLASSES:
+        near = nearest_neighbours(samples.select(F.col("sample_id").alias("query_id"), "features"), table.select(F.col("_class").cast("long").alias("reference_id"), F.col("mean").alias("features")), 1)
+        return samples.join(near.select(F.col("query_id").alias("sample_id"), F.col("reference_id").alias("predicted")), "sample_id")
+    listed = table.agg(F.sort_array(F.collect_list(F.struct("_class", "mean"))).alias("_means"))
     rows = samples.crossJoin(F.broadcast(listed))
     best = F.array_min(F.transform("_means", lambda m: F.struct(squared_distance(F.col("features"), m["mean"]).alias("d"), m["_class"].alias("c"))))
     return rows.withColumn("predicted", best["c"]).drop("_means")
 
 
 def gaussian_classifier(samples: DataFrame, size: int, key: str = "class", ridge: float = 1e-6):
-    """A function of a feature matrix that gives the probabilities of all classes (in rising order), and the classes. One pass."""
-    classes = [r[0] for r in samples.select(key).distinct().orderBy(key).collect()]
-    states = {}
-    for c in classes:
-        states[c] = merge(partial(samples.where(F.col(key) == c).select("features"), lambda s, b: s.nodes(matrix(b)), size), size)
-    return gaussian_of(states, ridge), classes
+    """A function of a feature matrix that gives the probabilities of all classes (in rising order), and the classes, which are integers. One pass."""
+    ship(samples.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        states: dict[int, Moments] = {}
+        for batch in batches:
+            if batch.num_rows:
+                of, x = batch.column("k").to_numpy(), matrix(batch)
+                for c in np.unique(of).tolist():
+                    states.setdefault(c, Moments.zero(size)).nodes(x[of == c])
+        yield pa.RecordBatch.from_arrays([pa.array(list(states), pa.int32()), pa.array([s.flat().tolist() for s in states.values()], pa.list_(pa.float64()))], ["k", "state"])
+
+    rows = samples.where(F.col(key).isNotNull()).select(F.col(key).cast("int").alias("k"), "features")
+    found = add_up(rows.mapInArrow(run, "k int, state array<double>"), "k").toArrow()
+    states = {k: Moments.of(v.values.to_numpy(zero_copy_only=False), size) for k, v in sorted(zip(found.column("k").to_pylist(), found.column("state"), strict=True), key=lambda x: x[0])}
+    return gaussian_of(states, ridge), list(states)
 
 
 def gaussian_of(states: dict[int, Moments], ridge: float = 1e-6):
@@ -88,13 +107,12 @@ def nearest_neighbours(queries: DataFrame, reference: DataFrame, k: int, skip_sa
     blocks are left, of which the k best stay. Ties go to the lesser id.
     skip_same leaves out distances of 0.
     """
-    import pyarrow as pa
-
     blocks = max(1, -(-reference.count() // BROADCAST_ROWS))
+    parts = max(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")) // blocks, -(-queries.count() // QUERY_ROWS), 1)
     q = queries.select("query_id", "features", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    q = q.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(64)))
+    q = q.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
     r = reference.select("reference_id", F.col("features").alias("other"), F.pmod(F.xxhash64("reference_id"), F.lit(blocks)).alias("block"))
-    r = r.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    r = r.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         a, b = matrix(left) if left.num_rows else None, matrix(right, "other") if right.num_rows else None

@@ -3,7 +3,8 @@
 Samples are rows (ord BIGINT, features ARRAY<DOUBLE>, ...). Each mode names a
 graph of node and edge weights, but no mode lists its pairs: a sample goes to
 at most two buckets of neighbours, or its class or block is summed up first.
-Tasks hold one state of D squared numbers each; states are added cell by cell.
+Tasks hold one state of D squared numbers each; states are added in rounds of
+ever fewer tasks, which stream them.
 """
 
 from __future__ import annotations
@@ -96,13 +97,39 @@ def partial(rows: DataFrame, add: Callable[[Moments, pa.RecordBatch], None], siz
     return rows.mapInArrow(run, "state array<double>")
 
 
+#: Tasks of the first round that adds states; the second has one, or some for states of several keys.
+ADDERS, KEYED = 32, 8
+
+
+def add_up(partials: DataFrame, key: str | None = None) -> DataFrame:
+    """The sums of the states, one for all or one for each value of key (an integer of few values): a task adds what it is given, one after another."""
+    ship(partials.sparkSession)
+    columns = [*([key] if key else []), "state"]
+    kind = f"{key} int, state array<double>" if key else "state array<double>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            keys = batch.column(key).to_pylist() if key else [0] * batch.num_rows
+            column = batch.column("state")
+            for k, name in enumerate(keys):
+                state = column[k].values.to_numpy(zero_copy_only=False)
+                sums[name] = sums[name] + state if name in sums else state.copy()
+        states = pa.array([x.tolist() for x in sums.values()], pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([*([pa.array(list(sums), pa.int32())] if key else []), states], columns)
+
+    first, last = ([key], [key]) if key else ([], [])
+    spread = [*first, F.pmod(F.hash("state"), F.lit(ADDERS))] if key else first
+    out = partials.select(*columns).repartition(ADDERS, *spread).mapInArrow(run, kind)
+    return out.repartition(KEYED if key else 1, *last).mapInArrow(run, kind)
+
+
 def merge(partials: DataFrame, size: int) -> Moments:
     """The sum of all states. None: all zero."""
-    cells = partials.select(F.posexplode("state").alias("cell", "value")).groupBy("cell").agg(F.sum("value").alias("value"))
-    flat = np.zeros(2 + size + 2 * size * size)
-    for r in cells.collect():
-        flat[r["cell"]] = r["value"]
-    return Moments.of(flat, size)
+    found = add_up(partials).toArrow().column("state")
+    if not len(found):
+        return Moments.zero(size)
+    return Moments.of(found[0].values.to_numpy(zero_copy_only=False), size)
 
 
 def dimension(samples: DataFrame) -> int:
@@ -238,8 +265,11 @@ def clustered(samples: DataFrame, size: int, key: Column, weight: float | Column
             s.r -= float(w.sum())
 
     sums = group_sums(rows, key)
-    weights = rows.groupBy(key.cast("long").alias("k")).agg(F.max("_w").alias("_w"))
-    sums = sums.join(weights, sums["key"] == weights["k"])
+    if isinstance(weight, Column):
+        weights = rows.groupBy(key.cast("long").alias("k")).agg(F.max("_w").alias("_w"))
+        sums = sums.join(weights, sums["key"] == weights["k"])
+    else:
+        sums = sums.withColumn("_w", F.lit(float(weight)))
 
     def outer(s: Moments, b: pa.RecordBatch) -> None:
         n, w = b.column("n").to_numpy().astype(float), b.column("_w").to_numpy(zero_copy_only=False)
@@ -316,24 +346,25 @@ def graph(samples: DataFrame, size: int, nodes: DataFrame, edges: DataFrame) ->
 def compact_labels(classes: int, labels: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Labels +1 or -1 of each class (a power of two of them), and the weights of the labels.
 
-    A label for each bit, the highest first; further ones are products of
-    bits, those of many bits first, with falling weights.
+    A label belongs to a set of the bits of a class's number: +1 where the
+    class has an odd number of them, else -1. The sets of one bit come first,
+    the highest bit before the lower ones, with equal weights; further ones
+    hold several bits, those of many bits before those of few and, of equally
+    many, the set of the lesser number first. Their weights fall evenly.
     """
     bits = classes.bit_length() - 1
-    if classes != 1 << bits:
+    if classes < 2 or classes != 1 << bits:
         raise ValueError(f"{classes} classes are not a power of two")
-    extra = max((bits if labels is None else labels) - bits, 0)
-    k = np.arange(classes)
-    out = [(k >> (bits - 1 - j) & 1) * 2 - 1 for j in range(bits)]
-    free = [d for d in range(classes) if d.bit_count() != 1]
-    order = np.argsort([d.bit_count() for d in free])[::-1]
-    for j in range(extra):
-        digit = free[order[j]]
-        chosen = [out[c] for c in range(bits) if digit >> c & 1]
-        label = np.prod(chosen, axis=0) if chosen else np.ones(classes, int)
-        out.append(-label if digit.bit_count() % 2 == 0 else label)
-    weights = np.concatenate([np.ones(bits - 1), np.arange(1.0, 0.0, -1.0 / (extra + 1))])[: bits + extra]
-    return np.stack(out, axis=1), weights / weights.sum()
+    wanted = bits if labels is None else labels
+    single = [1 << b for b in reversed(range(bits))]
+    several = sorted((s for s in range(1, classes) if s & (s - 1)), key=lambda s: (-s.bit_count(), s))
+    sets = (single + several)[: max(wanted, bits)]
+    if len(sets) < wanted:
+        raise ValueError(f"{classes} classes have {len(sets)} labels, not {wanted}")
+    table = np.array([[1 if (c & s).bit_count() % 2 else -1 for s in sets] for c in range(classes)])
+    falling = len(sets) - bits + 1  # the last single bit and all others
+    weights = np.array([1.0] * (bits - 1) + [1 - k / falling for k in range(falling)])
+    return table, weights / weights.sum()
 
 
 def compact_classes(samples: DataFrame, size: int, block: int, rows: int, labels: int | None = None) -> DataFrame:

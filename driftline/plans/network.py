@@ -13,13 +13,13 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.functions.expansions import expand
 from driftline.functions.vectors import gather
 from driftline.operators.estimators import Linear, map_vectors, principal_components, slow_features
-from driftline.operators.moments import Moments, matrix
+from driftline.operators.moments import Moments, add_up, dimension, matrix
 from driftline.session import ship
 
 
@@ -85,6 +85,8 @@ class TrainedLayer:
     spec: Layer
     before: dict[int, Linear]
     models: dict[int, Linear]
+    size: int  # of a field
+    wide: int  # of a field's expansion
 
 
 def fields(samples: DataFrame, layer: Layer) -> DataFrame:
@@ -140,11 +142,8 @@ def _states(rows: DataFrame, group: Column, size: int) -> dict[int, Moments]:
     schema = "node_id int, state array<double>"
     totals = grouped.mapInArrow(sums, "node_id int, _g string, n long, total array<double>")
     partials = grouped.mapInArrow(own, schema).union(totals.groupBy("node_id", "_g").applyInArrow(less, schema))
-    cells = partials.select("node_id", F.posexplode("state").alias("cell", "value")).groupBy("node_id", "cell").agg(F.sum("value").alias("value"))
-    out: dict[int, np.ndarray] = {}
-    for r in cells.collect():
-        out.setdefault(r["node_id"], np.zeros(2 + size + 2 * size * size))[r["cell"]] = r["value"]
-    return {k: Moments.of(v, size) for k, v in out.items()}
+    found = add_up(partials, "node_id").toArrow()
+    return {k: Moments.of(v.values.to_numpy(zero_copy_only=False), size) for k, v in zip(found.column("node_id").to_pylist(), found.column("state"), strict=True)}
 
 
 def train_layer(samples: DataFrame, layer: Layer, group: str) -> TrainedLayer:
@@ -152,15 +151,20 @@ def train_layer(samples: DataFrame, layer: Layer, group: str) -> TrainedLayer:
     rows = fields(samples, layer)
     if layer.shared:
         rows = rows.withColumn("node_id", F.lit(0))
-    size = len(layer.connections[0]) if layer.connections else len(samples.first()["features"])
+    field = size = len(layer.connections[0]) if layer.connections else dimension(samples)
     before: dict[int, Linear] = {}
     if layer.pca:
         before = {k: principal_components(s, layer.pca) for k, s in _states(rows, F.col(group), size).items()}
         rows = _by_node(rows, before)
         size = min(layer.pca, size)
     wide = rows.withColumn("features", expand(F.col("features"), size, *layer.expansions))
-    width = len(wide.first()["features"])
-    return TrainedLayer(layer, before, {k: slow_features(s, layer.outputs, layer.ridge) for k, s in _states(wide, F.col(group), width).items()})
+    width = expanded_size(samples.sparkSession, size, layer.expansions)
+    return TrainedLayer(layer, before, {k: slow_features(s, layer.outputs, layer.ridge) for k, s in _states(wide, F.col(group), width).items()}, field, width)
+
+
+def expanded_size(spark: SparkSession, size: int, expansions: Sequence[str]) -> int:
+    """How long the expansions of a vector of so many components are; no sample is looked at."""
+    return spark.range(1).select(F.size(expand(F.array_repeat(F.lit(0.5), size), size, *expansions))).first()[0]
 
 
 def _by_node(rows: DataFrame, models: dict[int, Linear]) -> DataFrame:
@@ -182,25 +186,20 @@ def apply_layer(samples: DataFrame, trained: TrainedLayer) -> DataFrame:
     """samples with features: the outputs of all nodes, node by node. One row stays one row: nothing is shuffled."""
     spec = trained.spec
     connections = spec.connections or (None,)
-    size = len(spec.connections[0]) if spec.connections else None
-    pick = lambda k: trained.models[0 if spec.shared else k]
-    out = samples
-    for k, c in enumerate(connections):
-        x = F.col("features") if c is None else gather(F.col("features"), c)
-        out = out.withColumn(f"_n{k}", x)
-        if trained.before:
-            out = map_vectors(out, trained.before[0 if spec.shared else k], f"_n{k}", f"_n{k}")
-        width = spec.pca if trained.before else size or len(samples.first()["features"])
-        out = out.withColumn(f"_n{k}", expand(F.col(f"_n{k}"), width, *spec.expansions))
-    models = [pick(k) for k in range(len(connections))]
-    wide = out.withColumn("_all", F.concat(*[F.col(f"_n{k}") for k in range(len(connections))]))
-    widths = np.cumsum([0, *[len(m.mean) for m in models]])
-
-    def run(x: np.ndarray) -> np.ndarray:
-        y = np.concatenate([m(x[:, a:b]) for m, a, b in zip(models, widths[:-1], widths[1:], strict=True)], axis=1)
-        return y if spec.clip is None else np.clip(y, -spec.clip, spec.clip)
-
-    return map_vectors(wide, run, "_all", "features").drop("_all", *[f"_n{k}" for k in range(len(connections))])
+    n = range(len(connections))
+    of = lambda found: [found[0 if spec.shared else k] for k in n]
+
+    def side_by_side(models: list[Linear], width: int):
+        return lambda x: np.concatenate([m(x[:, k * width : (k + 1) * width]) for k, m in enumerate(models)], axis=1)
+
+    size = trained.size
+    out = samples.withColumn("_all", F.concat(*[F.col("features") if c is None else gather(F.col("features"), c) for c in connections]))
+    if trained.before:
+        out = map_vectors(out, side_by_side(of(trained.before), size), "_all", "_all")
+        size = min(spec.pca, size)
+    out = out.withColumn("_all", F.concat(*[expand(F.slice("_all", k * size + 1, size), size, *spec.expansions) for k in n]))
+    last = side_by_side(of(trained.models), trained.wide)
+    return map_vectors(out, last if spec.clip is None else lambda x: np.clip(last(x), -spec.clip, spec.clip), "_all", "features").drop("_all")
 
 
 def train_network(samples: DataFrame, network: Network, group: str) -> tuple[list[TrainedLayer], DataFrame]:
