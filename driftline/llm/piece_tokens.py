@@ -247,6 +247,17 @@ class PieceModel:
         return (*lists, self._decode(ids, piece_at))
 
 
+_made: dict[str, PieceModel] = {}
+
+
+def piece_model(path: str) -> PieceModel:
+    """The worker's own, without the units of earlier tasks; the library's part, which does not grow, is read once."""
+    if path not in _made:
+        _made[path] = PieceModel(path)
+    _made[path].forget()
+    return _made[path]
+
+
 def encode_pieces(docs: DataFrame, model_path: str) -> DataFrame:
     """(doc_id, ids, begins, ends: ARRAY<INT>, decoded STRING) of every row of docs (doc_id, text).
 
@@ -258,7 +269,7 @@ def encode_pieces(docs: DataFrame, model_path: str) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = PieceModel(model_path)
+        model = piece_model(model_path)
         for batch in batches:
             for piece in slices(batch, limit=BATCH_BYTES):
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *model.encode(piece.column("text"))], ["doc_id", "ids", "begins", "ends", "decoded"])

@@ -133,9 +133,15 @@ def _chain(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.empty(0, np.uint32), *texts]), np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
 
 
+_made: dict[str, WordTokens] = {}
+
+
 def word_tokens(path: str) -> WordTokens:
-    """One for each task: what it remembers goes with it."""
-    return WordTokens(path)
+    """The worker's own, without the units of earlier tasks; the library's part, which does not grow, is read once."""
+    if path not in _made:
+        _made[path] = WordTokens(path)
+    _made[path].forget()
+    return _made[path]
 
 
 def default_path() -> str:
