@@ -44,16 +44,21 @@ def _terms(places: Sequence[Sequence[int]]) -> Column:
     return F.array(*[F.array(*[F.lit(p) for p in t]) for t in places])
 
 
+def once(x: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn of a vector, which is held in an array of one element: what makes it is worked out once and not for each component."""
+    return F.flatten(F.transform(F.array(x), fn))
+
+
 def multisets(degree: int, combine: Pair) -> Expansion:
     """combine of degree components, each multiset of places once, in order of the places."""
 
     def made(x: Column, size: int) -> Column:
-        def of(start: Column, depth: int) -> Column:
+        def of(y: Column, start: Column, depth: int) -> Column:
             if depth == 1:
-                return F.slice(x, start + 1, F.lit(size) - start)
-            return F.flatten(F.transform(F.sequence(start, F.lit(size - 1)), lambda i: F.transform(of(i, depth - 1), lambda v: combine(F.get(x, i), v))))
+                return F.slice(y, start + 1, F.lit(size) - start)
+            return F.flatten(F.transform(F.sequence(start, F.lit(size - 1)), lambda i: F.transform(of(y, i, depth - 1), lambda v: combine(F.get(y, i), v))))
 
-        return of(F.lit(0), degree)
+        return once(x, lambda y: of(y, F.lit(0), degree))
 
     return made
 
@@ -151,8 +156,7 @@ def by_vector(kind: str, x: Column, y: Column, d: float, k: float = 1.0) -> Colu
     """y divided by what the root mean square of x gives: N its power, E its exponential."""
     size = root_mean_square(x)
     factor = 1 / (k + (F.pow(size, F.lit(d)) if kind == "N" else F.exp(d * size)))
-    # One element that holds the factor: the vector's size is not worked out anew for each component.
-    return F.flatten(F.transform(F.array(factor), lambda f: F.transform(y, lambda v: v * f)))
+    return once(factor, lambda f: F.transform(y, lambda v: v * f))
 
 
 def normalised(kind: str, degree: int, d: float, k: float = 1.0) -> Expansion:
@@ -311,4 +315,4 @@ def expansion(name: str) -> Expansion:
 
 def expand(x: Column, size: int, *names: str) -> Column:
     """The named expansions of a vector of known size, one after another."""
-    return F.concat(*[expansion(n)(x, size) for n in names])
+    return once(x, lambda y: F.concat(*[expansion(n)(y, size) for n in names]))

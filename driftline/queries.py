@@ -31,6 +31,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "classify_slow_features"
 GRAIN = 0.001
+#: What sums of products are rounded to: coarse enough for sums in any order, and odd, so that none lies on a half.
+UNIT = 97.3
 
 
 def query(sql: str | None = None):
@@ -47,21 +49,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def four(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first four components in thousandths."""
-    return synthetic.embeddings(spark, sf_dir, 4, GRAIN)
+def thousandths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All components in whole thousandths."""
+    return synthetic.embeddings(spark, sf_dir, grain=GRAIN)
 
 
 def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synthetic.embeddings(spark, sf_dir)
 
 
-def _f(size: int) -> str:
-    return ", ".join(f"round(embedding[{k}]::DOUBLE / 0.001) + 0.0" for k in range(1, size + 1))
-
-
-S4 = f"s AS (SELECT vec_id AS ord, label AS class, [{_f(4)}] AS f FROM embeddings), c AS (SELECT count(*) AS n FROM s)"
-LONG = f"{S4}, l AS (SELECT ord, class, i - 1 AS i, f[i] AS x FROM s, (SELECT unnest([1, 2, 3, 4]) AS i))"
+SIZE = 64
+S64 = "s AS (SELECT vec_id AS ord, label AS class, [round(v::DOUBLE / 0.001) + 0.0 for v in embedding] AS f FROM embeddings), c AS (SELECT count(*) AS n FROM s), k64 AS (SELECT unnest(range(1, 65)) AS i)"
+LONG = f"{S64}, l AS (SELECT ord, class, i, f[i] AS x FROM s, k64)"
 
 
 def r(x: Column, digits: int = 6) -> Column:
@@ -76,17 +75,22 @@ def moments_rows(spark: SparkSession, m: M.Moments) -> DataFrame:
     size = len(m.sx)
     rows = [(i, j, float(m.q), float(m.r), float(m.sx[i]), float(m.sxx[i, j]), float(m.sdd[i, j])) for i in range(size) for j in range(size)]
     out = spark.createDataFrame(rows, "i int, j int, q double, r double, sx double, sxx double, sdd double")
-    return out.select("i", "j", *[r(F.col(c), 3).alias(c) for c in ("q", "r", "sx", "sxx", "sdd")])
+    sums = [r(F.col(c) / UNIT, 0).alias(c) for c in ("sxx", "sdd")]
+    return out.select("i", "j", *[r(F.col(c), 3).alias(c) for c in ("q", "r", "sx")], *sums)
 
 
 def moments_sql(nodes: str, edges: str, q: str = "(SELECT sum(v) FROM v)", more: str = "") -> str:
+    """From the graph's edges, each listed; near: what the edges of a sample lead to."""
     return f"""
-WITH {S4}{more}, v AS ({nodes}), e AS ({edges}), k AS (SELECT unnest([1, 2, 3, 4]) AS k),
-x AS (SELECT a.k AS i, b.k AS j, sum(v.v * s.f[a.k]) AS sx, sum(v.v * s.f[a.k] * s.f[b.k]) AS sxx FROM s JOIN v USING (ord), k a, k b GROUP BY ALL),
-d AS (SELECT a.k AS i, b.k AS j, sum(e.w * (t.f[a.k] - s.f[a.k]) * (t.f[b.k] - s.f[b.k])) AS sdd
-  FROM e JOIN s ON e.src = s.ord JOIN s t ON e.dst = t.ord, k a, k b GROUP BY ALL)
+WITH {LONG}{more}, v AS ({nodes}), e AS ({edges}),
+x AS (SELECT a.i AS i, b.i AS j, sum(v.v * a.x) AS sx, sum(v.v * a.x * b.x) AS sxx FROM l a JOIN l b USING (ord) JOIN v USING (ord) GROUP BY ALL),
+deg AS (SELECT ord, sum(w) AS w FROM (SELECT src AS ord, w FROM e UNION ALL SELECT dst, w FROM e) GROUP BY 1),
+near AS (SELECT e.src AS ord, l.i, sum(e.w * l.x) AS y FROM e JOIN l ON l.ord = e.dst GROUP BY 1, 2),
+own AS (SELECT a.i, b.i AS j, sum(deg.w * a.x * b.x) AS t FROM l a JOIN l b USING (ord) JOIN deg USING (ord) GROUP BY ALL),
+met AS (SELECT a.i, b.i AS j, sum(a.x * b.y) AS t FROM l a JOIN near b USING (ord) GROUP BY ALL),
+d AS (SELECT own.i, own.j, own.t - m.t - n.t AS sdd FROM own JOIN met m ON m.i = own.i AND m.j = own.j JOIN met n ON n.i = own.j AND n.j = own.i)
 SELECT (i - 1)::INT AS i, (j - 1)::INT AS j, round({q}, 3) + 0.0 AS q, round((SELECT sum(w) FROM e), 3) + 0.0 AS r,
-  round(sx, 3) + 0.0 AS sx, round(sxx, 3) + 0.0 AS sxx, round(sdd, 3) + 0.0 AS sdd FROM x JOIN d USING (i, j)
+  round(sx, 3) + 0.0 AS sx, round(sxx / {UNIT}) + 0.0 AS sxx, round(sdd / {UNIT}) + 0.0 AS sdd FROM x JOIN d USING (i, j)
 """
 
 
@@ -100,33 +104,33 @@ _INNER = f"SELECT b.ord AS src, t.ord AS dst, (CASE WHEN b.k IN (0, b.last) THEN
 
 @query(moments_sql(ALL_ONE, "SELECT a.ord AS src, b.ord AS dst, 1.0 AS w FROM s a JOIN s b ON b.ord = a.ord + 1"))
 def moments_regular(spark, sf_dir):
-    return moments_rows(spark, M.train(four(spark, sf_dir), "regular"))
+    return moments_rows(spark, M.train(thousandths(spark, sf_dir), "regular"))
 
 
 @query(moments_sql(ALL_ONE, "SELECT a.ord AS src, b.ord AS dst, 1.0 / z.n AS w FROM s a JOIN s b ON a.class = b.class JOIN (SELECT class, count(*) AS n FROM s GROUP BY 1) z ON z.class = a.class"))
 def moments_classification(spark, sf_dir):
-    return moments_rows(spark, M.train(four(spark, sf_dir), "classification", key=F.col("class")))
+    return moments_rows(spark, M.train(thousandths(spark, sf_dir), "classification", key=F.col("class")))
 
 
 @query(moments_sql(ALL_ONE, "SELECT a.ord AS src, b.ord AS dst, 1.0 / (z.n - 1) AS w FROM s a JOIN s b ON a.class = b.class AND a.ord != b.ord JOIN (SELECT class, count(*) AS n FROM s GROUP BY 1) z ON z.class = a.class"))
 def moments_clustered_without_loops(spark, sf_dir):
-    rows = four(spark, sf_dir)
-    return moments_rows(spark, M.merge(M.clustered(rows, 4, F.col("class"), loops=False), 4))
+    rows = thousandths(spark, sf_dir)
+    return moments_rows(spark, M.merge(M.clustered(rows, SIZE, F.col("class"), loops=False), SIZE))
 
 
 @query(moments_sql(f"SELECT ord, {_ENDS} AS v FROM b", _SERIAL, more=_K))
 def moments_serial(spark, sf_dir):
-    return moments_rows(spark, M.train(four(spark, sf_dir), "serial", block=_BLOCK))
+    return moments_rows(spark, M.train(thousandths(spark, sf_dir), "serial", block=_BLOCK))
 
 
 @query(moments_sql(f"SELECT ord, 3.0 AS v FROM b", f"{_SERIAL} UNION ALL {_INNER}", more=_K))
 def moments_mixed(spark, sf_dir):
-    return moments_rows(spark, M.train(four(spark, sf_dir), "mixed", block=_BLOCK))
+    return moments_rows(spark, M.train(thousandths(spark, sf_dir), "mixed", block=_BLOCK))
 
 
 @query(moments_sql(f"SELECT ord, {_ENDS} AS v FROM b", _SERIAL, more=f", o AS (SELECT ord, row_number() OVER (ORDER BY class, ord) - 1 AS p FROM s), b AS (SELECT ord, p // {_BLOCK} AS k, (SELECT n FROM c) // {_BLOCK} - 1 AS last FROM o)"))
 def moments_serial_regression(spark, sf_dir):
-    return moments_rows(spark, M.train(four(spark, sf_dir), "serial_regression", key=F.col("class"), block=_BLOCK))
+    return moments_rows(spark, M.train(thousandths(spark, sf_dir), "serial_regression", key=F.col("class"), block=_BLOCK))
 
 
 _RAMP = "SELECT ord, least(least(ord + 3, n - 1 - ord + 3), 6) / 6.0 AS v FROM s, c"
@@ -134,17 +138,17 @@ _RAMP = "SELECT ord, least(least(ord + 3, n - 1 - ord + 3), 6) / 6.0 AS v FROM s
 
 @query(moments_sql(_RAMP, "SELECT a.ord AS src, b.ord AS dst, 1.0 AS w FROM s a JOIN s b ON b.ord - a.ord BETWEEN 1 AND 3", q="(SELECT n - 1.0 FROM c)"))
 def moments_window(spark, sf_dir):
-    return moments_rows(spark, M.train(four(spark, sf_dir), "window3"))
+    return moments_rows(spark, M.train(thousandths(spark, sf_dir), "window3"))
 
 
 @query(moments_sql(_RAMP, "SELECT a.ord AS src, b.ord AS dst, 1.0 AS w FROM s a JOIN s b ON abs(b.ord - a.ord) BETWEEN 1 AND 3", q="(SELECT n - 1.0 FROM c)"))
 def moments_window_both_ways(spark, sf_dir):
-    return moments_rows(spark, M.train(four(spark, sf_dir), "fwindow3"))
+    return moments_rows(spark, M.train(thousandths(spark, sf_dir), "fwindow3"))
 
 
 @query(moments_sql(ALL_ONE, "SELECT ord AS src, CASE WHEN ord + d < 0 THEN -1 - ord - d WHEN ord + d >= n THEN 2 * n - 1 - ord - d ELSE ord + d END AS dst, 1.0 AS w FROM s, c, (SELECT unnest([-3, -2, -1, 1, 2, 3]) AS d)"))
 def moments_mirror_window(spark, sf_dir):
-    return moments_rows(spark, M.train(four(spark, sf_dir), "mirror_window3"))
+    return moments_rows(spark, M.train(thousandths(spark, sf_dir), "mirror_window3"))
 
 
 _RING = "SELECT ord AS src, (ord * 7 + 3) % n AS dst, 1.0 + ord % 5 AS w FROM s, c"
@@ -157,7 +161,7 @@ def ring(spark: SparkSession, n: int) -> tuple[DataFrame, DataFrame]:
 
 @query(moments_sql("SELECT ord, 1.0 + ord % 3 AS v FROM s", _RING))
 def moments_graph(spark, sf_dir):
-    rows = four(spark, sf_dir)
+    rows = thousandths(spark, sf_dir)
     nodes, edges = ring(spark, rows.count())
     return moments_rows(spark, M.train(rows, "graph", nodes=nodes, edges=edges))
 
@@ -166,7 +170,7 @@ _HALVES = ", b AS (SELECT ord, ord // 125 AS k FROM s), g AS (SELECT b.ord, b.k,
 
 
 def moments_compact_classes(spark, sf_dir):
-    rows = four(spark, sf_dir)
+    rows = thousandths(spark, sf_dir)
     return moments_rows(spark, M.train(rows, "compact_classes3", block=rows.count() // 4))
 
 
@@ -181,16 +185,16 @@ o AS (SELECT ord FROM s WHERE ord % 2 = 1), h AS (SELECT ord, class, count(*) OV
 UNION ALL SELECT h.ord, o.ord, p.u * (1 / p.a + 1 / p.b) FROM h, o, p UNION ALL SELECT o.ord, t.ord, p.u * p.u / p.b * (p.n2 - 1) * 10 / p.n2 FROM o, o t, p""", more=_MORE))
 def moments_unlabelled_in_classes(spark, sf_dir):
     """The samples of odd order without their labels."""
-    rows = four(spark, sf_dir)
+    rows = thousandths(spark, sf_dir)
     labelled = M.train(rows.where("ord % 2 = 0"), "classification", key=F.col("class"))
     return moments_rows(spark, M.with_unlabelled_in_classes(labelled, rows.where("ord % 2 = 1")))
 
 
-@query(f"WITH {LONG} SELECT a.i::INT AS i, b.i::INT AS j, round(covar_pop(a.x, b.x), 4) + 0.0 AS covariance FROM l a JOIN l b USING (ord) GROUP BY 1, 2")
+@query(f"WITH {LONG} SELECT (a.i - 1)::INT AS i, (b.i - 1)::INT AS j, round(covar_pop(a.x, b.x), 2) + 0.0 AS covariance FROM l a JOIN l b USING (ord) GROUP BY 1, 2")
 def covariance(spark, sf_dir):
-    _, cov, _ = M.train(four(spark, sf_dir), "unlabeled").fix()
-    rows = [(i, j, float(cov[i, j])) for i in range(4) for j in range(4)]
-    return spark.createDataFrame(rows, "i int, j int, covariance double").select("i", "j", r(F.col("covariance"), 4).alias("covariance"))
+    _, cov, _ = M.train(thousandths(spark, sf_dir), "unlabeled").fix()
+    rows = [(i, j, float(cov[i, j])) for i in range(SIZE) for j in range(SIZE)]
+    return spark.createDataFrame(rows, "i int, j int, covariance double").select("i", "j", r(F.col("covariance"), 2).alias("covariance"))
 
 
 # Slowness of series.
@@ -215,11 +219,11 @@ def event_windows(spark, sf_dir):
     return windowed_deltas(table(spark, sf_dir, "events")).select(F.col("window.start").alias("start"), "user_id", "n", F.round("mean", 4).alias("mean"), F.round("spread", 4).alias("spread"))
 
 
-@query(f"WITH {LONG}, m AS (SELECT class, i, count(*) AS n, avg(x) AS m FROM l GROUP BY 1, 2) SELECT i::INT AS i, round(sum(2.0 * n / (n - 1) * (q / n - m * m) * n) / (SELECT n FROM c), 4) AS delta FROM m JOIN (SELECT class, i, sum(x * x) AS q FROM l GROUP BY 1, 2) USING (class, i) GROUP BY i")
+@query(f"WITH {LONG}, m AS (SELECT class, i, count(*) AS n, avg(x) AS m FROM l GROUP BY 1, 2) SELECT (i - 1)::INT AS i, round(sum(2.0 * n / (n - 1) * (q / n - m * m) * n) / (SELECT n FROM c), 4) AS delta FROM m JOIN (SELECT class, i, sum(x * x) AS q FROM l GROUP BY 1, 2) USING (class, i) GROUP BY i")
 def typical_delta_of_classes(spark, sf_dir):
     """The mean squared difference of two different samples of one class."""
-    m = M.merge(M.clustered(four(spark, sf_dir), 4, F.col("class"), loops=False), 4)
-    rows = [(i, float(m.sdd[i, i] / m.r)) for i in range(4)]
+    m = M.merge(M.clustered(thousandths(spark, sf_dir), SIZE, F.col("class"), loops=False), SIZE)
+    rows = [(i, float(m.sdd[i, i] / m.r)) for i in range(SIZE)]
     return spark.createDataFrame(rows, "i int, delta double").select("i", F.round("delta", 4).alias("delta"))
 
 
@@ -230,130 +234,166 @@ def long_rows(rows: DataFrame, column: str = "y", digits: int = 4) -> DataFrame:
     return rows.select(F.col("sample_id").alias("ord"), F.posexplode(column).alias("k", "v")).select("ord", "k", r(F.col("v"), digits).alias("v"))
 
 
-def long_sql(terms: list[str], digits: int = 4, source: str = S4) -> str:
-    return f"WITH {source}, t AS (SELECT ord, [{', '.join(terms)}]::DOUBLE[] AS y FROM s) SELECT ord, (k - 1)::INT AS k, round(y[k], {digits}) + 0.0 AS v FROM t, (SELECT unnest(range(1, {len(terms) + 1})) AS k)"
+def long_sql(body: str, digits: int = 4) -> str:
+    """body: (ord, k, v)."""
+    return f"WITH {VECTORS} SELECT ord, k::INT AS k, round(v, {digits}) + 0.0 AS v FROM ({body})"
 
 
-def _expanded(spark, sf_dir, *names: str, scale: float = 1.0) -> DataFrame:
-    x = F.transform("features", lambda v: v * scale)
-    return long_rows(four(spark, sf_dir).withColumn("y", expand(x, 4, *names)))
+def placed(rows: DataFrame, column: str = "y") -> DataFrame:
+    """A row for each place of a long vector: how many samples, and the mean, least and most there."""
+    out = rows.select(F.posexplode(column).alias("k", "v")).groupBy("k").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.min("v").alias("low"), F.max("v").alias("high"))
+    return out.select("k", "n", *[r(F.col(c)).alias(c) for c in ("mean", "low", "high")])
 
 
-def _multisets(degree: int) -> list[tuple[int, ...]]:
-    import itertools
+def placed_sql(body: str, more: str = "") -> str:
+    """body: (k, v)."""
+    return f"WITH {VECTORS}{more} SELECT k::INT AS k, count(*) AS n, round(avg(v), 6) + 0.0 AS mean, round(min(v), 6) + 0.0 AS low, round(max(v), 6) + 0.0 AS high FROM ({body}) GROUP BY 1"
 
-    return list(itertools.combinations_with_replacement(range(1, 5), degree))
 
+#: f: whole thousandths, x: the components as they are, whose products never lie on a half of the last digit; k2 and k3: pairs and triples of places, in order.
+VECTORS = f"""{S64}, x AS (SELECT vec_id AS ord, s.f, [v::DOUBLE for v in embedding] AS x FROM embeddings JOIN s ON s.ord = vec_id),
+k2 AS (SELECT a.i AS a, b.i AS b, row_number() OVER (ORDER BY a.i, b.i) - 1 AS k FROM k64 a, k64 b WHERE b.i >= a.i),
+k3 AS (SELECT k2.a, k2.b, t.i AS c, row_number() OVER (ORDER BY a, b, t.i) - 1 AS k FROM k2, k64 t WHERE t.i >= k2.b)"""
+PAIRS, TRIPLES = SIZE * (SIZE + 1) // 2, SIZE * (SIZE + 1) * (SIZE + 2) // 6
 
-def _scaled(k: int) -> str:
-    return f"(f[{k}] * 0.001)"
 
+def expanded(rows: DataFrame, *names: str) -> DataFrame:
+    return rows.withColumn("y", expand(F.col("features"), SIZE, *names))
 
-@query(long_sql(["f[3]", "f[1]", "f[1]", "f[4]"]))
+
+@query(long_sql("SELECT ord, i - 1 AS k, f[(7 * (i - 1) + 3) % 64 + 1] AS v FROM x, k64"))
 def gather_components(spark, sf_dir):
-    return long_rows(four(spark, sf_dir).withColumn("y", V.gather(F.col("features"), [2, 0, 0, 3])))
+    return long_rows(thousandths(spark, sf_dir).withColumn("y", V.gather(F.col("features"), [(7 * i + 3) % SIZE for i in range(SIZE)])))
 
 
-@query(long_sql(["f[1]", "f[2]", "0", "0"]))
+@query(long_sql("SELECT ord, i - 1 AS k, CASE WHEN i <= 32 THEN f[i] ELSE 0 END AS v FROM x, k64"))
 def head_and_its_inverse(spark, sf_dir):
-    return long_rows(four(spark, sf_dir).withColumn("y", V.head_inverse(V.head(F.col("features"), 2), 4)))
+    return long_rows(thousandths(spark, sf_dir).withColumn("y", V.head_inverse(V.head(F.col("features"), 32), SIZE)))
 
 
-@query(long_sql(["f[1] / sqrt(2)", "f[1] / sqrt(2)", "f[3]", "f[2] / sqrt(3)", "f[2] / sqrt(3)", "f[2] / sqrt(3)"]))
+@query(long_sql("SELECT ord, k, f[i] / sqrt(1 + (i - 1) % 3) AS v FROM x, (SELECT i, row_number() OVER (ORDER BY i, t) - 1 AS k FROM k64, (SELECT unnest(range(0, 3)) AS t) WHERE t <= (i - 1) % 3)"))
 def switchboard(spark, sf_dir):
-    return long_rows(four(spark, sf_dir).withColumn("y", V.switchboard(F.col("features"), [0, 0, 2, 1, 1, 1])))
+    """Every component goes to one, two or three outputs."""
+    return long_rows(thousandths(spark, sf_dir).withColumn("y", V.switchboard(F.col("features"), [i for i in range(SIZE) for _ in range(1 + i % 3)])))
 
 
-@query(long_sql(["f[1]", "f[2]", "f[3]", "0"]))
+@query(long_sql("SELECT ord, i - 1 AS k, CASE WHEN i % 2 = 1 THEN f[i] ELSE 0 END AS v FROM x, k64"))
 def switchboard_and_its_inverse(spark, sf_dir):
-    wired = [0, 0, 2, 1, 1, 1]
-    return long_rows(four(spark, sf_dir).withColumn("y", V.switchboard_inverse(V.switchboard(F.col("features"), wired), wired, 4)))
+    """Every second component goes to outputs; the inverse gives 0 for the others."""
+    wired = [i for i in range(0, SIZE, 2) for _ in range(1 + i % 3)]
+    return long_rows(thousandths(spark, sf_dir).withColumn("y", V.switchboard_inverse(V.switchboard(F.col("features"), wired), wired, SIZE)))
 
 
-@query(long_sql(["f[1]", "f[1]", "f[2]", "f[2]", "f[3]", "f[3]", "f[4]", "f[4]"]))
+@query(long_sql("SELECT ord, 2 * (i - 1) + t AS k, f[i] AS v FROM x, k64, (SELECT unnest([0, 1]) AS t)"))
 def wider(spark, sf_dir):
-    return long_rows(four(spark, sf_dir).withColumn("y", V.wider(F.col("features"), 2)))
+    return long_rows(thousandths(spark, sf_dir).withColumn("y", V.wider(F.col("features"), 2)))
 
 
-@query(long_sql(["least(greatest(f[1], -50), 80)", "least(greatest(f[2], -50), 80)", "100 * tanh(f[3] / 100)", "sqrt((f[1] ** 2 + f[2] ** 2 + f[3] ** 2 + f[4] ** 2) / 4)"]))
+@query(long_sql("SELECT ord, i - 1 AS k, least(greatest(f[i], -50), 80) AS v FROM x, k64 UNION ALL SELECT ord, 63 + i, 100 * tanh(f[i] / 100) FROM x, k64 UNION ALL SELECT ord, 128, sqrt(list_sum([v * v for v in f]) / 64) FROM x"))
 def clipped_values(spark, sf_dir):
+    """Clipped, clipped softly, and the vector's root mean square."""
     x = F.col("features")
-    y = F.array(F.get(V.clip(x, -50, 80), 0), F.get(V.clip(x, -50, 80), 1), F.get(V.soft_clip(x, 100.0), 2), V.root_mean_square(x))
-    return long_rows(four(spark, sf_dir).withColumn("y", y))
+    return long_rows(thousandths(spark, sf_dir).withColumn("y", F.concat(V.clip(x, -50, 80), V.soft_clip(x, 100.0), F.array(V.root_mean_square(x)))))
+
 
+_QUAD = "SELECT k, x[a] * x[b] AS v FROM x, k2"
+_CUBE = "SELECT k, x[a] * (x[b] * x[c]) AS v FROM x, k3"
 
-@query(long_sql([" * ".join(_scaled(k) for k in t) for t in _multisets(2)], 6))
+
+@query(placed_sql(_QUAD))
 def expand_quadratic(spark, sf_dir):
-    rows = four(spark, sf_dir)
-    return long_rows(rows.withColumn("y", expand(F.transform("features", lambda v: v * 0.001), 4, "QT")), digits=6)
+    return placed(expanded(whole(spark, sf_dir), "QT"))
 
 
-@query(long_sql([" * ".join(_scaled(k) for k in t) for t in _multisets(3)], 6))
+@query(placed_sql(_CUBE))
 def expand_cubic(spark, sf_dir):
-    return long_rows(four(spark, sf_dir).withColumn("y", expand(F.transform("features", lambda v: v * 0.001), 4, "CT")), digits=6)
+    return placed(expanded(whole(spark, sf_dir), "CT"))
 
 
-@query(long_sql([f"f[{i}] * f[{i + d}]" for i in (1, 2, 3) for d in (0, 1)] + [f"sqrt(abs(f[{i}] - f[{i + d}]))" for i in (1, 2) for d in (1, 2)]))
+@query(long_sql("SELECT ord, 2 * (i - 1) + d AS k, f[i] * f[i + d] AS v FROM x, k64, (SELECT unnest([0, 1]) AS d) WHERE i < 64 UNION ALL SELECT ord, 126 + 2 * (i - 1) + d - 1, sqrt(abs(f[i] - f[i + d])) FROM x, k64, (SELECT unnest([1, 2]) AS d) WHERE i < 63"))
 def expand_neighbours(spark, sf_dir):
-    return _expanded(spark, sf_dir, "product_adj2", "sqrt_abs_dif_mix2")
+    return long_rows(expanded(thousandths(spark, sf_dir), "product_adj2", "sqrt_abs_dif_mix2"))
 
 
-@query(long_sql([f"cos(pi() * ({' + '.join(_scaled(k) for k in t)}))" for d in (1, 2) for t in _multisets(d)], 6))
+@query(placed_sql("SELECT i - 1 AS k, cos(pi() * x[i]) AS v FROM x, k64 UNION ALL SELECT 64 + k, cos(pi() * (x[a] + x[b])) FROM x, k2"))
 def expand_cosines(spark, sf_dir):
-    return long_rows(four(spark, sf_dir).withColumn("y", expand(F.transform("features", lambda v: v * 0.001), 4, "cos1", "cos2")), digits=6)
+    return placed(expanded(whole(spark, sf_dir), "cos1", "cos2"))
 
 
-@query(long_sql([f"pow(abs({_scaled(k)}), 0.8)" for k in (1, 2, 3, 4)] + [f"sign(f[{k}]) * pow(abs({_scaled(k)}), 1.5)" for k in (1, 2, 3, 4)] + [f"exp(-{_scaled(k)} * {_scaled(k)})" for k in (1, 2, 3, 4)], 6))
+@query(long_sql("SELECT ord, i - 1 AS k, pow(abs(x[i]), 0.8) AS v FROM x, k64 UNION ALL SELECT ord, 63 + i, sign(x[i]) * pow(abs(x[i]), 1.5) FROM x, k64 UNION ALL SELECT ord, 127 + i, exp(-x[i] * x[i]) FROM x, k64", 6))
 def expand_powers(spark, sf_dir):
-    return long_rows(four(spark, sf_dir).withColumn("y", expand(F.transform("features", lambda v: v * 0.001), 4, "u08", "s15", "gauss")), digits=6)
+    return long_rows(expanded(whole(spark, sf_dir), "u08", "s15", "gauss"), digits=6)
 
 
-@query(long_sql(["f[1] * f[1]", "f[1] * f[3]", "f[3] * f[3]", "greatest(f[1], f[2])", "greatest(f[2], f[3])", "greatest(f[3], f[4])", "f[1] * f[3]", "f[1] * f[4]", "f[2] * f[3]", "f[2] * f[4]"]))
+@query(placed_sql("SELECT k, z[a] * z[b] AS v FROM z, k2 WHERE b <= 32 AND a <= 32".replace("k2 WHERE", "(SELECT a, b, row_number() OVER (ORDER BY a, b) - 1 AS k FROM k2 WHERE b <= 32) WHERE") + """
+UNION ALL SELECT 527 + i, greatest(x[i], x[i + 1]) FROM x, k64 WHERE i < 64 UNION ALL SELECT 591 + 32 * (a.i - 1) + b.i - 1, x[a.i] * x[32 + b.i] FROM x, k64 a, k64 b WHERE a.i <= 32 AND b.i <= 32""", ", z AS (SELECT ord, x[3:10] || x[19:26] || x[35:42] || x[51:58] AS z FROM x)"))
 def expand_channels(spark, sf_dir):
-    return _expanded(spark, sf_dir, "ch2_o0_s1_QT", "neighbour_max", "halves_product")
-
-
-_G = [f"f[{k}] * 0.001" for k in (1, 2, 3, 4)]
+    """Pairs of eight components of each of four channels, neighbours' maxima, and products of the halves."""
+    return placed(expanded(whole(spark, sf_dir), "ch4_o2_s8_QT", "neighbour_max", "halves_product"))
 
 
 def _signed(x: str, p: float) -> str:
     return f"sign({x}) * pow(abs({x}), {p})"
 
 
-@query(long_sql(
-    [f"CASE WHEN {x} < 0 THEN 2 - exp(-pow({x}, 2)) ELSE exp(-pow({x}, 2)) END" for x in _G]
-    + [f"tanh(0.5 * {_signed(x, 1.5)}) / 0.5" for x in _G]
-    + [f"{_signed(_G[k], 0.2)} * {_signed(_G[k + 1], 0.7)}" for k in range(3)]
-    + [f"(least({a}, {b}, {c}) + greatest({a}, {b}, {c})) / 2" for a, b, c in (_G[:3], _G[1:])]
-    + [f"greatest({a}, {b}, {c})" for a, b, c in (_G[:3], _G[1:])], 6))
+@query(long_sql(f"""SELECT ord, i - 1 AS k, CASE WHEN x[i] < 0 THEN 2 - exp(-pow(x[i], 2)) ELSE exp(-pow(x[i], 2)) END AS v FROM x, k64
+UNION ALL SELECT ord, 63 + i, tanh(0.5 * {_signed('x[i]', 1.5)}) / 0.5 FROM x, k64
+UNION ALL SELECT ord, 127 + i, {_signed('x[i]', 0.2)} * {_signed('x[i + 1]', 0.7)} FROM x, k64 WHERE i < 64
+UNION ALL SELECT ord, 190 + i, (least(x[i], x[i + 1], x[i + 2]) + greatest(x[i], x[i + 1], x[i + 2])) / 2 FROM x, k64 WHERE i < 63
+UNION ALL SELECT ord, 252 + i, greatest(x[i], x[i + 1], x[i + 2]) FROM x, k64 WHERE i < 63""", 6))
 def expand_folded_and_modulated(spark, sf_dir):
-    return long_rows(four(spark, sf_dir).withColumn("y", expand(F.transform("features", lambda v: v * 0.001), 4, "folded_gauss", "tanh_s15_05", "modulate_02_07", "midrange3", "max3")), digits=6)
+    return long_rows(expanded(whole(spark, sf_dir), "folded_gauss", "tanh_s15_05", "modulate_02_07", "midrange3", "max3"), digits=6)
+
+
+#: What each normaliser does, as the method defines it: z is the normalised vector, g the factor of all monomials. d: exponent.
+_BY = {
+    "AN": ("[v / (1.0 + pow(abs(v), {d})) for v in x]", "1.0"),
+    "AE": ("[v / (1.0 + exp(abs(v) * {d})) for v in x]", "1.0"),
+    "AP": ("[sign(v) * pow(abs(v), {d}) for v in x]", "1.0"),
+    "N": ("x", "1 / (1.0 + pow(sqrt(list_sum([v * v for v in x]) / 64), {d}))"),
+    "E": ("x", "1 / (1.0 + exp({d} * sqrt(list_sum([v * v for v in x]) / 64)))"),
+}
+_NORMED = [(f"{q}_{kind}{e}", kind, d) for q, low, high, e, special in (("Q", 0.6, 0.4, "", None), ("C", 0.73, 0.3, "", None), ("Q", 1.0, 1.0, "_exp", 0.6), ("C", 1.0, 1.0, "_exp", 0.7333)) for kind in _BY for d in [special if special and kind in ("AN", "N") else high if kind == "AP" else low]]
+_NORMED += [("S_exp", "", 0.8), ("Q_exp", "AP", 1.0), ("C_exp", "AP", 1.0)]
 
 
-_NORM = "sqrt(list_sum([v * v for v in [" + ", ".join(" * ".join(_scaled(k) for k in t) for t in _multisets(2)) + "]]))"
+def normalised_sql(name: str, kind: str, d: float) -> str:
+    if name == "S_exp":
+        return placed_sql("SELECT i - 1 AS k, x[i] AS v FROM x, k64 UNION ALL SELECT 63 + i, pow(abs(x[i]), 0.8) FROM x, k64")
+    z, g = (t.format(d=d) for t in _BY[kind])
+    of = "x" if name == "C_AN_exp" else "z"  # there only the vector itself is normalised
+    quad, cube = (lambda at: f"SELECT {at} + k, ({of}[a] * {of}[b]) * g FROM z, k2"), (lambda at: f"SELECT {at} + k, ({of}[a] * ({of}[b] * {of}[c])) * g FROM z, k3")
+    if not name.endswith("_exp"):
+        body = (quad if name[0] == "Q" else cube)(0).replace("* g", "* g AS v", 1).replace("+ k,", "+ k AS k,", 1)
+    else:
+        body = f"SELECT i - 1 AS k, z[i] * g AS v FROM z, k64 UNION ALL {quad(64)}" + (f" UNION ALL {cube(64 + PAIRS)}" if name[0] == "C" else "")
+    return placed_sql(body, f", z AS (SELECT ord, x, {z} AS z, {g} AS g FROM x)")
 
 
-@query(long_sql([f"{' * '.join(_scaled(k) for k in t)} / (1 + pow({_NORM}, 0.6))" for t in _multisets(2)], 6))
-def expand_normalised_output(spark, sf_dir):
-    return long_rows(four(spark, sf_dir).withColumn("y", expand(F.transform("features", lambda v: v * 0.001), 4, "Q_N")), digits=6)
+def _normalised_query(name: str):
+    def run(spark, sf_dir):
+        return placed(expanded(whole(spark, sf_dir), name))
 
+    run.__name__ = f"expand_{name}"
+    run.__doc__ = f"The expansion {name} of all vectors, by place."
+    return run
 
-@query(long_sql([" * ".join(f"({_scaled(k)} / (1 + pow(abs({_scaled(k)}), 0.6)))" for k in t) for t in [*[(k,) for k in (1, 2, 3, 4)], *_multisets(2)]], 6))
-def expand_normalised_input(spark, sf_dir):
-    return long_rows(four(spark, sf_dir).withColumn("y", expand(F.transform("features", lambda v: v * 0.001), 4, "Q_AN_exp")), digits=6)
 
+for _name, _kind, _d in _NORMED:
+    query(normalised_sql(_name, _kind, _d))(_normalised_query(_name))
 
-@query(f"WITH {S4} SELECT ord AS sample_id, class || ' ' || array_to_string([z[1]::INT || ':' || z[2] for z in list_zip([1.0, 2.0, 3.0, 4.0]::DOUBLE[], f)], ' ') AS line FROM s")
+
+@query(f"WITH {S64} SELECT ord AS sample_id, class || ' ' || array_to_string([z[1]::INT || ':' || z[2] for z in list_zip(range(1, 65)::DOUBLE[], f)], ' ') AS line FROM s")
 def libsvm_lines(spark, sf_dir):
-    return four(spark, sf_dir).select("sample_id", files.libsvm_line(F.col("class"), F.col("features")).alias("line"))
+    return thousandths(spark, sf_dir).select("sample_id", files.libsvm_line(F.col("class"), F.col("features")).alias("line"))
 
 
 # Ranges, cut-off, equalisation.
 
 
-@query(f"WITH {LONG} SELECT i::INT AS i, min(x) AS low, max(x) AS high FROM l GROUP BY i")
+@query(f"WITH {LONG} SELECT (i - 1)::INT AS i, min(x) AS low, max(x) AS high FROM l GROUP BY i")
 def component_ranges(spark, sf_dir):
-    return E.ranges(four(spark, sf_dir))
+    return E.ranges(thousandths(spark, sf_dir))
 
 
 @query(f"""WITH {LONG}, b AS (SELECT i, min(x) AS low, max(x) AS high FROM l WHERE class < 2 GROUP BY i),
@@ -361,21 +401,21 @@ d AS (SELECT ord, i, least(greatest(x, low), high) AS y, abs(x - least(greatest(
 SELECT ord, round(sum(y), 4) + 0.0 AS total, round(product(1 - pow(d / (d + 150), 2)), 6) AS correction FROM d GROUP BY ord""")
 def cut_off(spark, sf_dir):
     """All samples cut to the bounds that those of classes 0 and 1 have."""
-    rows = four(spark, sf_dir)
+    rows = thousandths(spark, sf_dir)
     low, high = E.bounds(rows.where("class < 2"))
     out = E.cut_off(rows, low, high, 150.0)
     return out.select(F.col("sample_id").alias("ord"), r(V.total(F.col("features")), 4).alias("total"), F.round("correction", 6).alias("correction"))
 
 
-@query(f"WITH {LONG}, b AS (SELECT i, min(x) AS low, max(x) AS high FROM l GROUP BY i) SELECT ord, i::INT AS k, round(-1 + 2 * (x - low) / (high - low), 6) + 0.0 AS v FROM l JOIN b USING (i)")
+@query(f"WITH {LONG}, b AS (SELECT i, min(x) AS low, max(x) AS high FROM l GROUP BY i) SELECT ord, (i - 1)::INT AS k, round(-1 + 2 * (x - low) / (high - low), 6) + 0.0 AS v FROM l JOIN b USING (i)")
 def normalise_to_range(spark, sf_dir):
-    rows = four(spark, sf_dir)
+    rows = thousandths(spark, sf_dir)
     return long_rows(rows.withColumn("y", E.fit_range(rows)), digits=6)
 
 
-@query(f"WITH {LONG}, b AS (SELECT i, avg(x) AS m, stddev_pop(x) AS s FROM l GROUP BY i) SELECT ord, i::INT AS k, round((x - m) / s, 6) + 0.0 AS v FROM l JOIN b USING (i)")
+@query(f"WITH {LONG}, b AS (SELECT i, avg(x) AS m, stddev_pop(x) AS s FROM l GROUP BY i) SELECT ord, (i - 1)::INT AS k, round((x - m) / s, 6) + 0.0 AS v FROM l JOIN b USING (i)")
 def standardise(spark, sf_dir):
-    return long_rows(E.standardise(four(spark, sf_dir)), "features", 6)
+    return long_rows(E.standardise(thousandths(spark, sf_dir)), "features", 6)
 
 
 @query("""
@@ -393,7 +433,12 @@ def equalise_prices(spark, sf_dir):
 
 # Graphs.
 
-_N = 60
+BLOCK = 10
+
+
+def number(spark, sf_dir) -> int:
+    """Nodes of the graphs below: the rows of the embeddings table, by their place."""
+    return table(spark, sf_dir, "embeddings").count()
 
 
 def edge_rows(edges: DataFrame) -> DataFrame:
@@ -401,17 +446,17 @@ def edge_rows(edges: DataFrame) -> DataFrame:
 
 
 def edges_sql(body: str, head: str = "") -> str:
-    return f"WITH n AS (SELECT unnest(range(0, {_N})) AS id){head}, e AS ({body}) SELECT src, dst, round(sum(w), 6) + 0.0 AS w FROM e GROUP BY 1, 2"
+    return f"WITH n AS (SELECT vec_id AS id FROM embeddings), m AS (SELECT count(*) AS m FROM n){head}, e AS ({body}) SELECT src, dst, round(sum(w), 6) + 0.0 AS w FROM e GROUP BY 1, 2"
 
 
-_GB = ", b AS (SELECT id, id // 10 AS k FROM n)"
+_GB = f", b AS (SELECT id, id // {BLOCK} AS k, m // {BLOCK} - 1 AS last FROM n, m)"
 _G_SERIAL = "SELECT b.id AS src, t.id AS dst, 1.0 AS w FROM b JOIN b t ON abs(b.k - t.k) = 1"
-_G_MIXED = f"{_G_SERIAL} UNION ALL SELECT b.id, t.id, CASE WHEN b.k IN (0, 5) THEN 2.0 ELSE 1.0 END FROM b JOIN b t ON b.k = t.k"
+_G_MIXED = f"{_G_SERIAL} UNION ALL SELECT b.id, t.id, CASE WHEN b.k IN (0, b.last) THEN 2.0 ELSE 1.0 END FROM b JOIN b t ON b.k = t.k"
 
 
-@query(edges_sql(f"SELECT a.id AS src, b.id AS dst, 1.0 AS w FROM n a JOIN n b ON abs(a.id - b.id) = 1 UNION ALL SELECT id, id, 1.0 FROM n WHERE id IN (0, {_N - 1})"))
+@query(edges_sql("SELECT a.id AS src, b.id AS dst, 1.0 AS w FROM n a JOIN n b ON abs(a.id - b.id) = 1 UNION ALL SELECT id, id, 1.0 FROM n, m WHERE id IN (0, m - 1)"))
 def graph_linear(spark, sf_dir):
-    return edge_rows(G.linear(spark, _N)[1])
+    return edge_rows(G.linear(spark, number(spark, sf_dir))[1])
 
 
 @query("WITH z AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1) SELECT a.vec_id AS src, b.vec_id AS dst, round(1.0 / (n - 1), 6) + 0.0 AS w FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id != b.vec_id JOIN z ON z.label = a.label")
@@ -421,67 +466,68 @@ def graph_clustered(spark, sf_dir):
 
 @query(edges_sql(_G_SERIAL, _GB))
 def graph_serial(spark, sf_dir):
-    return edge_rows(G.serial(spark, _N, 10)[1])
+    return edge_rows(G.serial(spark, number(spark, sf_dir), BLOCK)[1])
 
 
 @query(edges_sql(_G_MIXED, _GB))
 def graph_mixed(spark, sf_dir):
-    return edge_rows(G.mixed(spark, _N, 10)[1])
+    return edge_rows(G.mixed(spark, number(spark, sf_dir), BLOCK)[1])
 
 
-@query(edges_sql(f"{_G_SERIAL} UNION ALL SELECT b.id, t.id, 0.5 * CASE WHEN b.k IN (0, 5) THEN 2.0 ELSE 1.0 END FROM b JOIN b t ON b.k = t.k AND b.id != t.id", _GB))
+@query(edges_sql(f"{_G_SERIAL} UNION ALL SELECT b.id, t.id, 0.5 * CASE WHEN b.k IN (0, b.last) THEN 2.0 ELSE 1.0 END FROM b JOIN b t ON b.k = t.k AND b.id != t.id", _GB))
 def graph_improved(spark, sf_dir):
-    return edge_rows(G.improved(spark, _N, 10, 0.5)[1])
+    return edge_rows(G.improved(spark, number(spark, sf_dir), BLOCK, 0.5)[1])
 
 
-_WINDOW = f", p AS (SELECT a.id AS src, b.id AS dst, (CASE WHEN a.id + b.id + 2 <= 5 OR a.id + b.id + 2 >= {2 * _N - 1} THEN 2.0 ELSE 1.0 END) / 8 AS w FROM n a JOIN n b ON a.id != b.id AND abs(a.id - b.id) <= 4)"
+_WINDOW = ", p AS (SELECT a.id AS src, b.id AS dst, (CASE WHEN a.id + b.id + 2 <= 5 OR a.id + b.id + 2 >= 2 * m - 1 THEN 2.0 ELSE 1.0 END) / 8 AS w FROM m, n a JOIN n b ON a.id != b.id AND abs(a.id - b.id) <= 4)"
 
 
 @query(edges_sql("SELECT * FROM p UNION ALL SELECT src, src, 1 - sum(w) FROM p GROUP BY src HAVING sum(w) < 1 - 1e-12", _WINDOW))
 def graph_sliding_window(spark, sf_dir):
-    return edge_rows(G.sliding_window(spark, _N, 4)[1])
+    return edge_rows(G.sliding_window(spark, number(spark, sf_dir), 4)[1])
 
 
-@query(edges_sql("SELECT a.id AS src, b.id AS dst, a.wj / 29.0 AS w FROM g a JOIN g b ON a.j = b.j AND a.sign = b.sign AND a.id != b.id", ", g AS (SELECT id, j, CASE j WHEN 0 THEN id // 30 ELSE id // 15 % 2 END AS sign, 0.5 AS wj FROM n, (SELECT unnest([0, 1]) AS j))"))
+@query(edges_sql("SELECT a.id AS src, b.id AS dst, a.wj / (2.0 * a.size - 1) AS w FROM g a JOIN g b ON a.j = b.j AND a.sign = b.sign AND a.id != b.id", ", g AS (SELECT id, m // 4 AS size, j, CASE j WHEN 0 THEN id // (2 * (m // 4)) ELSE id // (m // 4) % 2 END AS sign, 0.5 AS wj FROM n, m, (SELECT unnest([0, 1]) AS j) WHERE id < m // 4 * 4)"))
 def graph_compact_classes(spark, sf_dir):
-    return edge_rows(G.compact_classes(spark, 4, 15)[1])
+    return edge_rows(G.compact_classes(spark, 4, number(spark, sf_dir) // 4)[1])
 
 
-_RG = ", g AS (SELECT id AS src, (id * 7 + 3) % 60 AS dst, (1.0 + id % 5)::DOUBLE AS w FROM n), v AS (SELECT id, (1.0 + id % 3)::DOUBLE AS v FROM n)"
+_RG = ", g AS (SELECT id AS src, (id * 7 + 3) % m AS dst, (1.0 + id % 5)::DOUBLE AS w FROM n, m), v AS (SELECT id, (1.0 + id % 3)::DOUBLE AS v FROM n)"
 
 
 @query(edges_sql("SELECT src, dst, w / 2 AS w FROM g UNION ALL SELECT dst, src, w / 2 FROM g", _RG))
 def graph_symmetric(spark, sf_dir):
-    return edge_rows(G.symmetric(ring(spark, _N)[1]))
+    return edge_rows(G.symmetric(ring(spark, number(spark, sf_dir))[1]))
 
 
 @query(edges_sql("SELECT src, dst, w / sqrt(a.v * b.v) AS w FROM g JOIN v a ON a.id = src JOIN v b ON b.id = dst", _RG))
 def graph_normalised(spark, sf_dir):
-    nodes, edges = ring(spark, _N)
+    nodes, edges = ring(spark, number(spark, sf_dir))
     return edge_rows(G.normalised(nodes, edges))
 
 
 @query(edges_sql("SELECT src, dst, w / (1 + k * q * q / r) AS w FROM (SELECT src, dst, w - 4.0 AS w FROM g UNION ALL SELECT a.id, b.id, k * a.v * b.v FROM v a, v b, t), t", _RG + ", t AS (SELECT -min((w - 4.0) / (a.v * b.v)) AS k, (SELECT sum(v) FROM v) AS q, sum(w - 4.0) AS r FROM g JOIN v a ON a.id = src JOIN v b ON b.id = dst)"))
 def graph_without_negative_weights(spark, sf_dir):
-    nodes, edges = ring(spark, _N)
+    nodes, edges = ring(spark, number(spark, sf_dir))
     return edge_rows(G.without_negative_weights(nodes, edges.withColumn("w", F.col("w") - 4.0)))
 
 
-@query(edges_sql("SELECT * FROM g UNION ALL SELECT id, u, 0.5 * q / 6 / 60 FROM n, t, (SELECT unnest(range(100, 106)) AS u) UNION ALL SELECT u, id, 0.5 * q / 6 / 60 FROM n, t, (SELECT unnest(range(100, 106)) AS u)", _RG + ", t AS (SELECT sum(v) AS q FROM v)"))
+@query(edges_sql("SELECT * FROM g UNION ALL SELECT id, m + u, 0.5 * q / 6 / m FROM n, m, t, (SELECT unnest(range(0, 6)) AS u) UNION ALL SELECT m + u, id, 0.5 * q / 6 / m FROM n, m, t, (SELECT unnest(range(0, 6)) AS u)", _RG + ", t AS (SELECT sum(v) AS q FROM v)"))
 def graph_with_unlabelled(spark, sf_dir):
-    nodes, edges = ring(spark, _N)
-    return edge_rows(G.add_unlabelled(nodes, edges, spark.range(100, 106).select(F.col("id").alias("sample_id")))[1])
+    n = number(spark, sf_dir)
+    nodes, edges = ring(spark, n)
+    return edge_rows(G.add_unlabelled(nodes, edges, spark.range(n, n + 6).select(F.col("id").alias("sample_id")))[1])
 
 
-@query(f"WITH n AS (SELECT unnest(range(0, {_N})) AS id){_RG}, o AS (SELECT src AS id, sum(w) AS o FROM g GROUP BY 1), i AS (SELECT dst AS id, sum(w) AS i FROM g GROUP BY 1), t AS (SELECT sum(v) AS q, (SELECT sum(w) FROM g) AS r FROM v) SELECT id AS sample_id, round(v / q, 6) AS node_share, round(coalesce(o, 0) / r, 6) AS out_share, round(coalesce(i, 0) / r, 6) AS in_share, abs(v / q - coalesce(o, 0) / r) <= 1e-6 AND abs(v / q - coalesce(i, 0) / r) <= 1e-6 AS consistent FROM v LEFT JOIN o USING (id) LEFT JOIN i USING (id), t")
+@query(f"WITH n AS (SELECT vec_id AS id FROM embeddings), m AS (SELECT count(*) AS m FROM n){_RG}, o AS (SELECT src AS id, sum(w) AS o FROM g GROUP BY 1), i AS (SELECT dst AS id, sum(w) AS i FROM g GROUP BY 1), t AS (SELECT sum(v) AS q, (SELECT sum(w) FROM g) AS r FROM v) SELECT id AS sample_id, round(v / q, 6) AS node_share, round(coalesce(o, 0) / r, 6) AS out_share, round(coalesce(i, 0) / r, 6) AS in_share, abs(v / q - coalesce(o, 0) / r) <= 1e-6 AND abs(v / q - coalesce(i, 0) / r) <= 1e-6 AS consistent FROM v LEFT JOIN o USING (id) LEFT JOIN i USING (id), t")
 def graph_consistency(spark, sf_dir):
-    rows = G.consistency(*ring(spark, _N))
+    rows = G.consistency(*ring(spark, number(spark, sf_dir)))
     return rows.select("sample_id", *[F.round(c, 6).alias(c) for c in ("node_share", "out_share", "in_share")], "consistent")
 
 
-@query(f"WITH {S4}, e AS ({_RING}) SELECT (k - 1)::INT AS i, round(sum(w * (t.f[k] - s.f[k]) ** 2) / sum(w), 4) AS delta FROM e JOIN s ON s.ord = e.src JOIN s t ON t.ord = e.dst, (SELECT unnest([1, 2, 3, 4]) AS k) GROUP BY k")
+@query(f"WITH {S64}, e AS ({_RING}) SELECT (k - 1)::INT AS i, round(sum(w * (t.f[k] - s.f[k]) ** 2) / sum(w), 4) AS delta FROM e JOIN s ON s.ord = e.src JOIN s t ON t.ord = e.dst, (SELECT unnest(range(1, 65)) AS k) GROUP BY k")
 def graph_deltas(spark, sf_dir):
-    rows = four(spark, sf_dir)
+    rows = thousandths(spark, sf_dir)
     return G.graph_deltas(rows, ring(spark, rows.count())[1]).select("i", F.round("delta", 4).alias("delta"))
 
 
@@ -493,14 +539,9 @@ def free_response_of_label(spark, sf_dir):
 
 # Heads and measures.
 
-S64 = f"s AS (SELECT vec_id AS ord, label AS class, [{_f(64)}] AS f FROM embeddings)"
 _DIST = "list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(a.f, b.f)])"
 
 
-def thousandths(spark, sf_dir):
-    return synthetic.embeddings(spark, sf_dir, grain=GRAIN)
-
-
 @query("SELECT label AS class, k AS i, round(avg(round(embedding[k + 1]::DOUBLE / 0.001)), 4) + 0.0 AS mean FROM embeddings, (SELECT unnest(range(0, 64))::INT AS k) GROUP BY 1, 2")
 def class_means(spark, sf_dir):
     rows = H.class_means(thousandths(spark, sf_dir)).select("class", F.posexplode("mean").alias("i", "mean"))
@@ -553,13 +594,10 @@ def _reconstructed(spark, sf_dir, kind: str) -> DataFrame:
     return I.explained_by(made.join(queries, "query_id"), "features", "made").select("n", r(F.col("explained")).alias("explained"))
 
 
-_EACH = ", ".join(f"({k}, {' * '.join(f'f[{p}]' for p in t)})" for k, t in enumerate(_multisets(2)))
-
-
-@query(f"WITH {LONG}, q AS (SELECT ord, u.k, u.v FROM s, LATERAL (SELECT * FROM (VALUES {_EACH}) AS z(k, v)) u), c2 AS (SELECT k, i, covar_pop(v, x) AS c, var_pop(v) AS v FROM q JOIN l USING (ord) GROUP BY 1, 2) SELECT k::INT AS place, round(sum(c * c / v) / (SELECT sum(w) FROM (SELECT var_pop(x) AS w FROM l GROUP BY i)), 6) + 0.0 AS explained FROM c2 GROUP BY k")
+@query(f"WITH {VECTORS}, l AS (SELECT ord, i, x[i] AS x FROM x, k64), q AS (SELECT ord, k, x[a] * x[b] AS v FROM x, k2), c2 AS (SELECT k, i, covar_pop(v, l.x) AS c, var_pop(v) AS v FROM q JOIN l USING (ord) GROUP BY 1, 2) SELECT k::INT AS place, round(sum(c * c / v) / (SELECT sum(w) FROM (SELECT var_pop(x) AS w FROM l GROUP BY i)), 6) + 0.0 AS explained FROM c2 GROUP BY k")
 def explained_by_each_monomial(spark, sf_dir):
     """The share of the vectors' variance that each monomial of degree 2 explains by itself."""
-    joint, n = S.joint_moments(four(spark, sf_dir), expand(F.col("features"), 4, "QT"), F.col("features"))
+    joint, n = S.joint_moments(whole(spark, sf_dir), expand(F.col("features"), SIZE, "QT"), F.col("features"))
     rows = [(k, float(v)) for k, v in enumerate(S.explained_by_each(joint, n))]
     return spark.createDataFrame(rows, "place int, explained double").select("place", r(F.col("explained")).alias("explained"))
 
@@ -567,21 +605,21 @@ def explained_by_each_monomial(spark, sf_dir):
 @query()
 def ranked_expansion(spark, sf_dir):
     """Components of an expansion in the order in which they explain the class best."""
-    rows = synthetic.embeddings(spark, sf_dir, 8)
+    rows = whole(spark, sf_dir)
     ranked = S.rank_expansion(rows, ("identity", "u08"), 10, F.array(F.col("class").cast("double")))
     return spark.createDataFrame([(k, x.place, x.gain, x.explained) for k, x in enumerate(ranked)], "rank int, place int, gain double, explained double")
 
 
 @query()
 def expansion_search(spark, sf_dir):
-    rows = synthetic.embeddings(spark, sf_dir, 8)
+    rows = whole(spark, sf_dir)
     choices = {"linear": ("identity",), "powers": ("identity", "u08"), "quadratic": ("identity", "QT")}
     return spark.createDataFrame(S.search_expansions(rows, choices, F.array(F.col("class").cast("double"))), "choice string, size int, explained double")
 
 
 @query()
 def adapted_sigmoid_features(spark, sf_dir):
-    rows = synthetic.embeddings(spark, sf_dir, 8)
+    rows = whole(spark, sf_dir)
     model = S.adapt_sigmoids(rows, "classification", 24, 4, key=F.col("class"))
     return long_rows(E.map_vectors(rows, model), "features", 6)
 
@@ -705,15 +743,15 @@ def whitened(spark, sf_dir):
 
 @query()
 def slow_features_and_rest(spark, sf_dir):
-    rows = synthetic.embeddings(spark, sf_dir, 8)
+    rows = whole(spark, sf_dir)
     model = E.fit_slow_and_rest(rows, "classification", delta_threshold=1.98, key=F.col("class"))
     return long_rows(model.apply(rows), "features", 6)
 
 
 @query()
 def gaussian_classes(spark, sf_dir):
-    rows = synthetic.embeddings(spark, sf_dir, 8)
-    probabilities, classes = H.gaussian_classifier(rows, 8)
+    rows = whole(spark, sf_dir)
+    probabilities, classes = H.gaussian_classifier(rows, SIZE)
     p = H.with_probabilities(rows, probabilities)
     label = F.round(H.expected_label(F.col("p"), classes), 6)
     return p.select("sample_id", "class", label.alias("expected"), H.median_label(F.col("p"), classes).alias("median"))
@@ -734,15 +772,15 @@ def shared_weights_network(spark, sf_dir):
 @query()
 def label_graph_slow_features(spark, sf_dir):
     """Slow features of the graph that the labels alone define; its edges are never made."""
-    rows = G.free_responses(synthetic.embeddings(spark, sf_dir, 16), [F.col("class")], F.lit(1.0)).withColumn("v", F.lit(1.0))
-    m = G.label_moments(rows, 16, [0.0])
+    rows = G.free_responses(whole(spark, sf_dir), [F.col("class")], F.lit(1.0)).withColumn("v", F.lit(1.0))
+    m = G.label_moments(rows, SIZE, [0.0])
     return long_rows(E.map_vectors(rows.select("sample_id", "features"), E.slow_features(m, 2)), "features", 6)
 
 
-@query()
+@query(f"WITH m AS (SELECT count(*) AS n, count(*) // {BLOCK} - 1 AS last FROM embeddings), d AS (SELECT 2 - 2 * cos(pi() * j / last) AS delta FROM m, LATERAL (SELECT unnest(range(0, last + 1)) AS j) UNION ALL SELECT 2.0 FROM m, LATERAL (SELECT unnest(range(last + 1, n)))) SELECT (row_number() OVER (ORDER BY delta) - 1)::INT AS k, round(delta, 6) + 0.0 AS delta FROM d")
 def graph_responses(spark, sf_dir):
-    """Deltas of the free responses of a small graph, by its eigenvalues."""
-    nodes, edges = G.serial(spark, _N, 10)
+    """Deltas of the free responses of a serial graph, by its eigenvalues; those of a chain of blocks have a closed form."""
+    nodes, edges = G.serial(spark, number(spark, sf_dir), BLOCK)
     values, _, _ = G.eigenvectors(nodes, edges)
     q, w = nodes.agg(F.sum("v")).first()[0], edges.agg(F.sum("w")).first()[0]
     return spark.createDataFrame([(k, float(d)) for k, d in enumerate(G.deltas_of(values, q, w))], "k int, delta double").select("k", r(F.col("delta")).alias("delta"))
@@ -750,8 +788,8 @@ def graph_responses(spark, sf_dir):
 
 @query()
 def nonlinear_components(spark, sf_dir):
-    rows = synthetic.embeddings(spark, sf_dir, 8)
-    stages = E.nonlinear_components(rows, 8, 2)
+    rows = whole(spark, sf_dir)
+    stages = E.nonlinear_components(rows, SIZE, 2)
     return spark.createDataFrame([(k, float(a.values[0])) for k, (a, _) in enumerate(stages)], "k int, variance double")
 
 
@@ -760,11 +798,12 @@ def random_latent_source(spark, sf_dir):
     return synthetic.splits(synthetic.random_latent(spark, 2000, 16)).groupBy("class", "split").agg(F.count("*").alias("n"), F.round(F.avg("label"), 6).alias("label"))
 
 
-@query()
-def sigmoid_expansion(spark, sf_dir):
-    rng = np.random.default_rng(0)
-    weights = rng.normal(size=(4, 6))
-    rows = synthetic.embeddings(spark, sf_dir, 4)
-    return long_rows(rows.withColumn("y", sigmoid_features(weights.tolist(), [0.1, 0.2, 0.8, 1.0, -0.3, 0.0])(F.col("features"), 4)))
+_W = np.round(np.random.default_rng(0).normal(size=(SIZE, 6)), 6)
+_OFFSETS = [0.1, 0.2, 0.8, 1.0, -0.3, 0.0]
 
 
+@query(long_sql(" UNION ALL ".join(
+    f"SELECT ord, {j}{' AS k' if not j else ''}, {f'pow(abs({y}), 0.8)' if o == 0.8 else y if o == 1.0 else f'tanh({y} + {o})'}{' AS v' if not j else ''} FROM x"
+    for j, o in enumerate(_OFFSETS) for y in [f"list_sum([z[1] * z[2] for z in list_zip(x, {_W[:, j].tolist()}::DOUBLE[])])"])))
+def sigmoid_expansion(spark, sf_dir):
+    return long_rows(whole(spark, sf_dir).withColumn("y", sigmoid_features(_W.tolist(), _OFFSETS)(F.col("features"), SIZE)))
