@@ -190,6 +190,58 @@ def fit_slow_and_rest(samples: DataFrame, mode: str, names: tuple[str, ...] = ("
     return SlowAndRest(center, names, slow, spread, back, _scales(scaling, back.weights, rest.values), rest)
 
 
+class SlowBesideComponents:
+    """Slow features of an expansion beside principal components of the input itself, learnt from any number of sample sets.
+
+    The slow part is not taken out of the input first, so every set only adds
+    to two states of moments; finish gives the model. A slow part has variance
+    1 as it is learnt, and scaling None leaves it so; data_dependent gives it
+    the median variance of the components that stay, data_dependent2
+    variances between the first and the third quarter of theirs, evenly by
+    their logarithms. most_slow: slow features at most.
+    """
+
+    def __init__(self, names: tuple[str, ...] = ("identity", "QT"), delta_threshold: float | int = 1.95, outputs: int | None = None, scaling: str | None = None, most_slow: int | None = None, ridge: float = 0.0) -> None:
+        if scaling not in (None, "data_dependent", "data_dependent2"):
+            raise ValueError(f"the scaling {scaling} needs the slow part taken out of the input")
+        self.names, self.threshold, self.outputs, self.scaling, self.most, self.ridge = names, delta_threshold, outputs, scaling, most_slow, ridge
+        self.slow: Moments | None = None
+        self.plain: Moments | None = None
+
+    def train(self, samples: DataFrame, mode, **graph) -> SlowBesideComponents:
+        """Adds samples under a mode (or several, as in moments.train)."""
+        size = dimension(samples)
+        wide = samples.withColumn("features", expand(F.col("features"), size, *self.names))
+        slow, plain = train(wide, mode, **graph), merge(unlabelled(samples, size), size)
+        self.slow = slow if self.slow is None else self.slow + slow
+        self.plain = plain if self.plain is None else self.plain + plain
+        return self
+
+    def finish(self) -> SlowAndRest:
+        if self.slow is None or self.plain is None:
+            raise ValueError("no samples were given")
+        size = len(self.plain.sx)
+        outputs = self.outputs or size
+        slow = slow_features(self.slow, ridge=self.ridge)
+        most = min(len(slow.values), outputs, self.most or outputs)
+        if isinstance(self.threshold, int):
+            if self.threshold > most:
+                raise ValueError(f"{self.threshold} slow features of at most {most}")
+            keep = self.threshold
+        else:
+            keep = min(int((slow.values <= self.threshold).sum()), most)
+        rest = principal_components(self.plain, outputs - keep)
+        center = np.zeros(size)
+        nothing = Linear(np.zeros(keep), np.zeros((keep, size)), np.zeros(size), np.zeros(size))
+        scale = np.ones(keep)
+        n = len(rest.values)
+        if self.scaling == "data_dependent" and n:
+            scale = np.full(keep, np.sqrt(np.median(rest.values)))
+        elif self.scaling == "data_dependent2" and n:
+            scale = np.sqrt(np.logspace(np.log10(rest.values[n // 4]), np.log10(rest.values[3 * n // 4]), num=keep))
+        return SlowAndRest(center, self.names, slow.cut(keep), np.ones(keep), nothing, scale, rest)
+
+
 # Bounds, ranges and ranks.
 
 

@@ -100,6 +100,26 @@ def median_label(p: Column, labels: list[float]) -> Column:
     return F.coalesce(F.aggregate(pairs, start, step)["l"], F.lit(float(labels[-1])))
 
 
+def bar_median_label(p: Column, labels: list[float]) -> Column:
+    """The label of least absolute error if a class's probability lies evenly over a bar between the middles to its neighbours' labels.
+
+    The median within the bar of the first class at which the summed
+    probability is over a half; the outer bars are as wide on both sides.
+    Two classes at least.
+    """
+    if len(labels) < 2:
+        raise ValueError("bars need two classes at least")
+    middles = [(a + b) / 2 for a, b in zip(labels, labels[1:], strict=False)]
+    low = [labels[0] - (middles[0] - labels[0]), *middles]
+    high = [*middles, labels[-1] + (labels[-1] - middles[-1])]
+    numbers = lambda values: F.array(*[F.lit(float(v)) for v in values])
+    cells = F.zip_with(F.zip_with(p, numbers(low), lambda a, b: F.struct(a.alias("p"), b.alias("low"))), numbers(high), lambda c, h: F.struct(c["p"].alias("p"), c["low"].alias("low"), h.alias("high")))
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(None).cast("double").alias("l"))
+    inside = lambda s, v: v["low"] + (0.5 - s["s"]) * (v["high"] - v["low"]) / v["p"]
+    step = lambda s, v: F.struct((s["s"] + v["p"]).alias("s"), F.coalesce(s["l"], F.when(s["s"] + v["p"] > 0.5, inside(s, v))).alias("l"))
+    return F.coalesce(F.aggregate(cells, start, step)["l"], F.lit(float(labels[-1])))
+
+
 def nearest_neighbours(queries: DataFrame, reference: DataFrame, k: int, skip_same: bool = False) -> DataFrame:
     """(query_id, reference_id, rank, distance2): the k nearest of reference (reference_id, features) for each of queries (query_id, features).
 

@@ -9,7 +9,7 @@ ever fewer tasks, which stream them.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -412,8 +412,8 @@ def with_unlabelled_in_classes(labelled: Moments, more: DataFrame, classes: int
     return Moments(labelled.q + weight * n2, old.r + labelled.q * n2 * tie + inner * n2, labelled.sx + weight * new.sx, labelled.sxx + weight * new.sxx, old.sdd + ties + among)
 
 
-def train(samples: DataFrame, mode: str, *, size: int | None = None, block: int | None = None, key: Column | None = None, nodes: DataFrame | None = None, edges: DataFrame | None = None, labels: int | None = None) -> Moments:
-    """The moments of samples under a mode, by its name.
+def states_of(samples: DataFrame, mode: str, *, size: int | None = None, block: int | None = None, key: Column | None = None, nodes: DataFrame | None = None, edges: DataFrame | None = None, labels: int | None = None) -> DataFrame:
+    """(state) of samples under a mode, by its name; their sum are its moments.
 
     regular, unlabeled, clustered (with key or block), classification (key),
     serial, serial_regression (samples ordered by key first), mixed,
@@ -427,7 +427,7 @@ def train(samples: DataFrame, mode: str, *, size: int | None = None, block: int
     named = re.fullmatch(r"(f|mirror_|smirror_)?window(\d+)", mode)
     blocks = F.floor(F.col("ord") / block) if block else None
     if mode == "ignore_data":
-        return Moments.zero(size)
+        return samples.sparkSession.createDataFrame([], "state array<double>")
     if mode == "regular":
         states = regular(samples, size)
     elif mode == "unlabeled":
@@ -451,4 +451,53 @@ def train(samples: DataFrame, mode: str, *, size: int | None = None, block: int
         states = compact_classes(samples, size, block, rows, int(mode[15:]) if mode[15:] else labels)
     else:
         raise ValueError(f"no training mode is called {mode}")
-    return merge(states, size)
+    return states
+
+
+def train(samples: DataFrame, mode: str | Sequence[str | tuple[str, dict]], **graph) -> Moments:
+    """The moments of samples under a mode, or the sum of those under several, which are added up in one pass.
+
+    mode: a name that states_of knows, or a list of names and of pairs (name,
+    its own arguments); graph are the arguments of all.
+    """
+    graph = {**graph, "size": graph.get("size") or dimension(samples)}
+    several = [mode] if isinstance(mode, str) else list(mode)
+    states = None
+    for one in several:
+        name, own = (one, {}) if isinstance(one, str) else one
+        made = states_of(samples, name, **{**graph, **own})
+        states = made if states is None else states.union(made)
+    return Moments.zero(graph["size"]) if states is None else merge(states, graph["size"])
+
+
+# Slowness.
+
+
+def deltas(state: Moments, normalised: bool = False) -> np.ndarray:
+    """The mean squared difference of each component along the graph; normalised: at variance 1."""
+    out = np.diag(state.sdd) / state.r
+    return out / np.diag(state.fix()[1]) if normalised else out
+
+
+def eta(rows: int, delta: np.ndarray) -> np.ndarray:
+    """How often a sine of the same delta would swing over so many rows."""
+    return rows / (2 * np.pi) * np.sqrt(delta)
+
+
+def typical_deltas(samples: DataFrame, mode: str, block: int | None = None, key: Column | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Deltas and etas that a sequence drawn along the mode has on average.
+
+    serial and mixed: one sample of each block after another, by any draw;
+    clustered, classification and compact_classes: two different samples of a
+    group; others: the samples in their order.
+    """
+    size, rows = dimension(samples), samples.count()
+    if mode in ("serial", "mixed"):
+        delta = deltas(merge(serial(samples, size, block, rows), size))
+        return delta, eta(rows // block, delta)
+    if mode in ("clustered", "classification", "compact_classes"):
+        groups = F.floor(F.col("ord") / block) if key is None else key
+        delta = deltas(merge(clustered(samples, size, groups, loops=False), size))
+    else:
+        delta = deltas(merge(regular(samples, size), size))
+    return delta, eta(rows, delta)

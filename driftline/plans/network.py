@@ -202,6 +202,21 @@ def apply_layer(samples: DataFrame, trained: TrainedLayer) -> DataFrame:
     return map_vectors(out, last if spec.clip is None else lambda x: np.clip(last(x), -spec.clip, spec.clip), "_all", "features").drop("_all")
 
 
+def with_more_features(samples: DataFrame, more: DataFrame) -> DataFrame:
+    """samples whose vectors go on with those of more (sample_id, features); a sample that more does not have raises when it is read."""
+    added = more.select("sample_id", F.col("features").alias("_more"))
+    joined = samples.join(added, "sample_id", "left")
+    there = F.when(F.col("_more").isNull(), F.raise_error(F.concat(F.lit("no further features for sample "), F.col("sample_id").cast("string")))).otherwise(F.col("_more"))
+    return joined.withColumn("features", F.concat("features", there)).drop("_more")
+
+
+def with_more_connections(layer: Layer, inputs: int, more: int) -> Layer:
+    """layer whose every field also sees the more components that stand after its inputs."""
+    if layer.connections is None:
+        return layer
+    return replace(layer, connections=tuple((*c, *range(inputs, inputs + more)) for c in layer.connections))
+
+
 def train_network(samples: DataFrame, network: Network, group: str) -> tuple[list[TrainedLayer], DataFrame]:
     """The trained layers, and samples with the last one's features."""
     trained = []

@@ -227,6 +227,30 @@ def typical_delta_of_classes(spark, sf_dir):
     return spark.createDataFrame(rows, "i int, delta double").select("i", F.round("delta", 4).alias("delta"))
 
 
+def _delta_rows(spark, delta, eta) -> DataFrame:
+    return spark.createDataFrame([(i, float(d), float(e)) for i, (d, e) in enumerate(zip(delta, eta, strict=True))], "i int, delta double, eta double").select("i", F.round("delta", 4).alias("delta"), F.round("eta", 6).alias("eta"))
+
+
+@query(f"WITH {LONG}, b AS (SELECT ord // {_BLOCK} AS k, i, avg(x) AS m, avg(x * x) AS q FROM l GROUP BY 1, 2), d AS (SELECT a.i, avg(a.q + b.q - 2 * a.m * b.m) AS d, count(*) + 1 AS n FROM b a JOIN b ON b.k = a.k + 1 AND b.i = a.i GROUP BY 1) SELECT (i - 1)::INT AS i, round(d, 4) AS delta, round(n / (2 * pi()) * sqrt(d), 6) AS eta FROM d")
+def typical_delta_of_blocks(spark, sf_dir):
+    """Of a sequence of one sample from each block after another."""
+    return _delta_rows(spark, *M.typical_deltas(thousandths(spark, sf_dir), "serial", block=_BLOCK))
+
+
+@query(f"WITH {LONG}, d AS (SELECT i, x, x - lag(x) OVER (PARTITION BY i ORDER BY ord) AS d FROM l) SELECT (i - 1)::INT AS i, round(avg(d * d), 4) AS delta, round(any_value((SELECT n FROM c)) / (2 * pi()) * sqrt(avg(d * d)), 6) AS eta FROM d GROUP BY i")
+def slowness_of_components(spark, sf_dir):
+    return _delta_rows(spark, *M.typical_deltas(thousandths(spark, sf_dir), "regular"))
+
+
+_BOTH = "SELECT src, dst, w FROM (SELECT a.ord AS src, b.ord AS dst, 1.0 AS w FROM s a JOIN s b ON b.ord = a.ord + 1 UNION ALL SELECT a.ord, b.ord, 1.0 / z.n FROM s a JOIN s b ON a.class = b.class JOIN (SELECT class, count(*) AS n FROM s GROUP BY 1) z ON z.class = a.class)"
+
+
+@query(moments_sql("SELECT ord, 2.0::DOUBLE AS v FROM s", _BOTH))
+def moments_of_two_modes(spark, sf_dir):
+    """The samples in order, and the classes, in one pass."""
+    return moments_rows(spark, M.train(thousandths(spark, sf_dir), ["regular", ("classification", {"key": F.col("class")})]))
+
+
 # Projections and expansions, a row for each number.
 
 
@@ -537,6 +561,15 @@ def free_response_of_label(spark, sf_dir):
     return rows.select("sample_id", r(F.get("free", 1)).alias("response"))
 
 
+@query("SELECT vec_id AS sample_id, 64 + 2 AS size, round(embedding[1]::DOUBLE, 6) + 0.0 AS first, round(l.a, 6) + 0.0 AS added, round(l.b, 6) + 0.0 AS last FROM embeddings JOIN (SELECT o_orderkey % (SELECT count(*) FROM embeddings) AS k, avg(o_totalprice) AS a, count(*)::DOUBLE AS b FROM orders GROUP BY 1) l ON k = vec_id")
+def features_of_two_sources(spark, sf_dir):
+    """Vectors that go on with two numbers from the orders."""
+    rows = whole(spark, sf_dir)
+    more = table(spark, sf_dir, "orders").groupBy((F.col("o_orderkey") % rows.count()).alias("sample_id")).agg(F.array(F.avg("o_totalprice"), F.count("*").cast("double")).alias("features"))
+    out = N.with_more_features(rows, more)
+    return out.select("sample_id", F.size("features").alias("size"), *[r(F.get("features", k)).alias(n) for k, n in ((0, "first"), (64, "added"), (65, "last"))])
+
+
 # Heads and measures.
 
 _DIST = "list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(a.f, b.f)])"
@@ -613,14 +646,14 @@ def ranked_expansion(spark, sf_dir):
 @query()
 def expansion_search(spark, sf_dir):
     rows = whole(spark, sf_dir)
-    choices = {"linear": ("identity",), "powers": ("identity", "u08"), "quadratic": ("identity", "QT")}
+    choices = {"linear": ("identity",), "powers": ("identity", "u08"), "neighbours": ("identity", "product_adj4")}
     return spark.createDataFrame(S.search_expansions(rows, choices, F.array(F.col("class").cast("double"))), "choice string, size int, explained double")
 
 
 @query()
 def adapted_sigmoid_features(spark, sf_dir):
     rows = whole(spark, sf_dir)
-    model = S.adapt_sigmoids(rows, "classification", 24, 4, key=F.col("class"))
+    model = S.adapt_sigmoids(rows, "classification", 96, 4, key=F.col("class"))
     return long_rows(E.map_vectors(rows, model), "features", 6)
 
 
@@ -741,10 +774,38 @@ def whitened(spark, sf_dir):
     return long_rows(E.map_vectors(rows, E.principal_components(M.train(rows, "unlabeled"), 8, whiten=True)), "features", 6)
 
 
+def covariances(rows: DataFrame) -> DataFrame:
+    """(i, j, covariance) of the vectors, by sums over all pairs of components."""
+    cells = rows.select(F.explode(F.flatten(F.transform("features", lambda a, i: F.transform("features", lambda b, j: F.struct(i.alias("i"), j.alias("j"), a.alias("a"), b.alias("b")))))).alias("c"))
+    return cells.groupBy("c.i", "c.j").agg(F.covar_pop("c.a", "c.b").alias("covariance")).select("i", "j", r(F.col("covariance")).alias("covariance"))
+
+
+@query("SELECT a.i::INT AS i, b.i::INT AS j, (a.i = b.i)::INT::DOUBLE AS covariance FROM (SELECT unnest(range(0, 8)) AS i) a, (SELECT unnest(range(0, 8)) AS i) b")
+def covariance_of_whitened(spark, sf_dir):
+    """One on the diagonal, else none."""
+    rows = whole(spark, sf_dir)
+    return covariances(E.map_vectors(rows, E.principal_components(M.train(rows, "unlabeled"), 8, whiten=True)))
+
+
+@query("SELECT a.i::INT AS i, b.i::INT AS j, (a.i = b.i)::INT::DOUBLE AS covariance FROM (SELECT unnest(range(0, 9)) AS i) a, (SELECT unnest(range(0, 9)) AS i) b")
+def covariance_of_slow_features(spark, sf_dir):
+    rows = whole(spark, sf_dir)
+    return covariances(E.map_vectors(rows, slow_model(rows)))
+
+
+@query(f"WITH {LONG}, w AS (SELECT var_pop(x) AS w FROM (SELECT unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY i) SELECT (SELECT count(*) FROM s) AS n, round(sum(w), 6) AS variance FROM w")
+def variance_of_principal_components(spark, sf_dir):
+    """All components together have the variance of the vectors."""
+    rows = whole(spark, sf_dir)
+    y = E.map_vectors(rows, E.principal_components(M.train(rows, "unlabeled")))
+    each = y.select(F.posexplode("features").alias("i", "v")).groupBy("i").agg(F.var_pop("v").alias("w"), F.count("*").alias("n"))
+    return each.agg(F.max("n").alias("n"), F.round(F.sum("w"), 6).alias("variance"))
+
+
 @query()
 def slow_features_and_rest(spark, sf_dir):
     rows = whole(spark, sf_dir)
-    model = E.fit_slow_and_rest(rows, "classification", delta_threshold=1.98, key=F.col("class"))
+    model = E.fit_slow_and_rest(rows, "classification", names=("identity", "u08"), delta_threshold=1.98, key=F.col("class"))
     return long_rows(model.apply(rows), "features", 6)
 
 
@@ -757,6 +818,27 @@ def gaussian_classes(spark, sf_dir):
     return p.select("sample_id", "class", label.alias("expected"), H.median_label(F.col("p"), classes).alias("median"))
 
 
+@query(f"""WITH {S64}, p AS (SELECT vec_id AS ord, [v::DOUBLE * v for v in embedding] AS q FROM embeddings), t AS (SELECT ord, i, q[i] / list_sum(q) AS p FROM p, k64),
+a AS (SELECT ord, i, p, sum(p) OVER (PARTITION BY ord ORDER BY i) AS s FROM t), f AS (SELECT ord, min(i) AS i FROM a WHERE s > 0.5 GROUP BY 1)
+SELECT ord AS sample_id, round(CASE WHEN i = 1 THEN 0 ELSE ((i - 1) * (i - 1) + (i - 2) * (i - 2)) / 2.0 END + (CASE WHEN i = 1 THEN -0.5 ELSE 0 END) + (0.5 - (s - p)) / p * (CASE WHEN i = 1 THEN 1 WHEN i = 64 THEN 63 * 63 - 62 * 62 ELSE (i * i - (i - 2) * (i - 2)) / 2.0 END), 6) + 0.0 AS label
+FROM f JOIN a USING (ord, i)""")
+def bar_median_labels(spark, sf_dir):
+    """Squared components as probabilities of classes with the labels 0, 1, 4, 9, ..."""
+    x = F.col("features")
+    rows = whole(spark, sf_dir).withColumn("p", F.transform(x, lambda v: v * v / V.dot(x, x)))
+    return rows.select("sample_id", r(H.bar_median_label(F.col("p"), [float(k * k) for k in range(SIZE)])).alias("label"))
+
+
+@query()
+def slow_beside_components(spark, sf_dir):
+    """Learnt from two halves of the samples, one after the other."""
+    rows = whole(spark, sf_dir)
+    learner = E.SlowBesideComponents(("identity", "u08"), 9, scaling="data_dependent2")
+    for half in (0, 1):
+        learner.train(rows.where(F.col("ord") % 2 == half), "classification", key=F.col("class"))
+    return long_rows(learner.finish().apply(rows), "features", 6)
+
+
 @query()
 def two_layer_network(spark, sf_dir):
     rows = whole(spark, sf_dir)
