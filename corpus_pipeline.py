@@ -1,7 +1,9 @@
 """The corpus pipeline: documents of good quality, without shared lines and near copies, packed into sequences.
 
 Every stage works on all that its predecessor kept, which is written and read
-again between them.
+again between them. The functions of the stages say what becomes of null, empty
+and very long texts, repeated rows and rows without a doc_id; other columns go
+through as they are, whatever their names, and empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -17,22 +19,22 @@ from driftline.llm.word_tokens import default_path
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the classifier rejects."""
+    """Without the documents that the classifier rejects, each judged by its own text, null and empty ones too."""
     return keep_good(docs, read_table(spark, sf_dir, "labels"))
 
 
 def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that ten documents or more share lose all copies but the first."""
+    """Lines that ten documents or more share lose all copies but the first. A null text comes out empty; no document goes."""
     return drop_frequent_lines(docs, keep_first=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near copies."""
+    """One document, that of the smallest doc_id, of each group of near copies; documents without words all stay."""
     return drop_near_duplicates(docs)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 2048 tokens."""
+    """The pieces of all documents in sequences of at most 2048 tokens; a document without text is its end id alone."""
     return pack_documents(docs, default_path())
 
 

@@ -126,6 +126,13 @@ def keep_ids(docs: DataFrame, ids: DataFrame, n_ids: int, how: str = "left_semi"
     return docs.join(right, docs["doc_id"].eqNullSafe(right["_id"]), how)
 
 
+def keep_rows(docs: DataFrame, rows: DataFrame, n_rows: int, key: Column, how: str = "left_semi") -> DataFrame:
+    """docs with (left_semi) or without (left_anti) the rows that rows (doc_id, _row) names; key gives a row's _row. Broadcast as in keep_ids."""
+    right = rows.select(F.col("doc_id").alias("_id"), F.col("_row").alias("_named"))
+    right = F.broadcast(right) if n_rows <= BROADCAST_IDS else right
+    return docs.join(right, docs["doc_id"].eqNullSafe(right["_id"]) & (key == right["_named"]), how)
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column (null: empty) and the n + 1 offsets."""
     column = pc.fill_null(column, "") if column.null_count else column

@@ -430,7 +430,9 @@ def jaccard_join(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFram
 def drop_near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     """docs without those that link to a document of a smaller doc_id; of rows that repeat a doc_id one stays.
 
-    Columns and types are those of docs.
+    Null and wordless texts link with nothing and stay, and so does one row
+    without a doc_id. Columns and types are those of docs, whatever their
+    names. An empty table stays empty.
     """
     found = jaccard_join(docs, percent, width)
     ids = stage(found.groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("rows")), "kept").where("doc_id <=> c")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.common import giving_back, keep_ids, read_table, slices, small_batches, stage, text_buffer
+from driftline.llm.common import giving_back, keep_rows, read_table, slices, small_batches, stage, text_buffer
 from driftline.llm.hashing import IS_SPACE, LOWER_BYTES, U64, span_hashes, word_hashes
 
 FEATURES = (
@@ -112,17 +112,19 @@ def statistics(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
-def document_statistics(docs: DataFrame) -> DataFrame:
-    """(doc_id, features ARRAY<DOUBLE>) of every row of docs (doc_id, text); a null text is empty."""
+def document_statistics(docs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, also, features ARRAY<DOUBLE>) of every row of docs (doc_id, text, also); a null text is empty."""
+    held = ("doc_id", *also)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch):
                 x = statistics(*text_buffer(piece.column("text")))
                 values = pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), len(FEATURES)).cast(pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), values], ["doc_id", "features"])
+                yield pa.RecordBatch.from_arrays([*[piece.column(c) for c in held], values], [*held, "features"])
 
-    return docs.select("doc_id", "text").mapInArrow(giving_back(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, features array<double>")
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in held)
+    return docs.select(*held, "text").mapInArrow(giving_back(run), f"{kinds}, features array<double>")
 
 
 @dataclass(frozen=True)
@@ -191,8 +193,8 @@ def held_out() -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row of docs (doc_id, text), learnt from labels (doc_id, quality).
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, also, held_out, score, predicted) of every row of docs (doc_id, text, also), learnt from labels (doc_id, quality).
 
     Learns only from rows whose crc32(doc_id as text) mod 5 is not 0, all of
     them, and only from the text. Null texts count as empty and are scored
@@ -201,24 +203,32 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    stats = stage(document_statistics(docs), "statistics").withColumn("held_out", held_out())
+    stats = stage(document_statistics(docs, also), "statistics").withColumn("held_out", held_out())
     marks = labels.select(F.col("doc_id").alias("_id"), F.col("quality").alias("label"))
     model = fit(stats.where("not held_out").join(marks, F.col("doc_id") == F.col("_id")))
     held = docs.sparkSession.sparkContext.broadcast(model)
+    kept = ["doc_id", *also, "held_out"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = held.value.score(batch.column("features").flatten().to_numpy().reshape(-1, len(FEATURES)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*kept, "score", "predicted"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return stats.select("doc_id", "held_out", "features").mapInArrow(giving_back(run), f"doc_id {kind}, held_out boolean, score double, predicted int")
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *also))
+    return stats.select(*kept, "features").mapInArrow(giving_back(run), f"{kinds}, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows that classify rejects, by doc_id; rows of a null doc_id stay."""
-    bad = stage(classify(docs, labels, threshold).where("predicted = 0 and doc_id is not null").select("doc_id").distinct(), "rejected")
-    return keep_ids(docs, bad, bad.count(), "left_anti")
+    """docs without the rows that classify rejects; columns and types are those of docs, whatever their names.
+
+    Each row is judged by its own text: rows that repeat a doc_id with other
+    texts, and rows without one, stay or go on their own; null and empty texts
+    are judged like any other. An empty table stays empty.
+    """
+    key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    named = docs.select("doc_id", "text", key.alias("_row"))
+    bad = stage(classify(named, labels, threshold, ("_row",)).where("predicted = 0").select("doc_id", "_row").distinct(), "rejected")
+    return keep_rows(docs, bad, bad.count(), key, "left_anti")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
