@@ -11,6 +11,7 @@ hold the beginning of a special token, are given to the library whole.
 from __future__ import annotations
 
 import json
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +64,7 @@ def units(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 class WordTokens:
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are parallel already; its threads take some 40 MB
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
