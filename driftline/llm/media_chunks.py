@@ -211,16 +211,17 @@ def features(payload: bytes, chunks: int) -> str:
 
 
 class ChunkReader:
-    """Fetches and verifies chunks; keeps the open packs and the last few megabytes of chunks."""
+    """Fetches and verifies chunks; keeps the open packs and the last few megabytes of chunks with their frames."""
 
     def __init__(self, folder: str, kept_bytes: int = 8 << 20) -> None:
         self.fs, self.path = pafs.FileSystem.from_uri(folder)
         self.files: OrderedDict[str, pa.NativeFile] = OrderedDict()
-        self.kept: OrderedDict[bytes, bytes] = OrderedDict()
+        self.kept: OrderedDict[bytes, tuple[bytes, bytes]] = OrderedDict()
         self.size, self.kept_bytes = 0, kept_bytes
         self.unzip = zstandard.ZstdDecompressor()
 
-    def read(self, digest: bytes, pack: str, offset: int, size: int) -> bytes:
+    def read(self, digest: bytes, pack: str, offset: int, size: int) -> tuple[bytes, bytes]:
+        """The chunk, and its frame as it is stored."""
         if digest in self.kept:
             self.kept.move_to_end(digest)
             return self.kept[digest]
@@ -228,14 +229,15 @@ class ChunkReader:
             if len(self.files) >= 64:
                 self.files.popitem(last=False)[1].close()
             self.files[pack] = self.fs.open_input_file(f"{self.path}/{pack}")
-        chunk = self.unzip.decompress(self.files[pack].read_at(size, offset))
+        frame = self.files[pack].read_at(size, offset)
+        chunk = self.unzip.decompress(frame)
         if hashlib.sha256(chunk).digest() != digest:
             raise ValueError(f"a chunk of {pack} is not what its digest says")
-        self.kept[digest] = chunk
-        self.size += len(chunk)
+        self.kept[digest] = chunk, frame
+        self.size += len(chunk) + len(frame)
         while self.size > self.kept_bytes:
-            self.size -= len(self.kept.popitem(last=False)[1])
-        return chunk
+            self.size -= sum(map(len, self.kept.popitem(last=False)[1]))
+        return chunk, frame
 
 
 def read_media(recipes: DataFrame, folder: str) -> DataFrame:
@@ -243,7 +245,7 @@ def read_media(recipes: DataFrame, folder: str) -> DataFrame:
 
     The stored form of a document, of which media_bytes and media_sha256 are
     size and digest, is its chunk list (magic, number, digests and lengths)
-    and the chunks in order.
+    and the frames of its chunks in order, as the packs hold them.
     """
     kind = recipes.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -254,11 +256,12 @@ def read_media(recipes: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             rows = []
             for doc_id, n_bytes, chunks in zip(batch.column("doc_id").to_pylist(), batch.column("n_bytes").to_pylist(), batch.column("chunks").to_pylist(), strict=True):
-                payload = b"".join([reader.read(c["digest"], c["pack"], c["offset"], c["size"]) for c in chunks])
+                read = [reader.read(c["digest"], c["pack"], c["offset"], c["size"]) for c in chunks]
+                payload, frames = (b"".join([x[k] for x in read]) for k in (0, 1))
                 listed = b"DLCHUNK1" + len(chunks).to_bytes(4, "little") + b"".join([c["digest"] + c["length"].to_bytes(4, "little") for c in chunks])
                 media = hashlib.sha256(listed)
-                media.update(payload)
-                rows.append((doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(listed) + len(payload), media.hexdigest(), features(payload, len(chunks))))
+                media.update(frames)
+                rows.append((doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(listed) + len(frames), media.hexdigest(), features(payload, len(chunks))))
             if rows:
                 types = [batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
