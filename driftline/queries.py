@@ -190,11 +190,11 @@ def moments_unlabelled_in_classes(spark, sf_dir):
     return moments_rows(spark, M.with_unlabelled_in_classes(labelled, rows.where("ord % 2 = 1")))
 
 
-@query(f"WITH {LONG} SELECT (a.i - 1)::INT AS i, (b.i - 1)::INT AS j, round(covar_pop(a.x, b.x), 2) + 0.0 AS covariance FROM l a JOIN l b USING (ord) GROUP BY 1, 2")
+@query(f"WITH {LONG} SELECT (a.i - 1)::INT AS i, (b.i - 1)::INT AS j, round(covar_pop(a.x, b.x) / {UNIT}, 4) + 0.0 AS covariance FROM l a JOIN l b USING (ord) GROUP BY 1, 2")
 def covariance(spark, sf_dir):
     _, cov, _ = M.train(thousandths(spark, sf_dir), "unlabeled").fix()
     rows = [(i, j, float(cov[i, j])) for i in range(SIZE) for j in range(SIZE)]
-    return spark.createDataFrame(rows, "i int, j int, covariance double").select("i", "j", r(F.col("covariance"), 2).alias("covariance"))
+    return spark.createDataFrame(rows, "i int, j int, covariance double").select("i", "j", r(F.col("covariance") / UNIT, 4).alias("covariance"))
 
 
 # Slowness of series.
