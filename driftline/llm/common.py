@@ -71,7 +71,18 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = stage_path(spark, label)
     with release_shuffles(spark):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def unstage(staged: DataFrame) -> None:
+    """Deletes the folder of a staged table that nothing reads any more; of another table, nothing."""
+    path = getattr(staged, "_staged_at", None)
+    if path:
+        context = staged.sparkSession.sparkContext
+        where = context._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import giving_back, stage
+from driftline.llm.common import giving_back, stage, unstage
 
 
 class Forest:
@@ -71,5 +71,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if mark == seen or not mark[0]:
             break
         seen = mark
-        now = stage(_small_star(_large_star(now)), "edges")
+        before, now = now, stage(_small_star(_large_star(now)), "edges")
+        unstage(before)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())

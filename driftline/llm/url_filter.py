@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.common import lower_ascii, read_table, stage
+from driftline.llm.common import lower_ascii, read_table, stage, unstage
 
 #: (host, start of path, verdict); a longer host and path wins. A small list: it becomes one CASE expression.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -76,7 +76,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE)
     ways = stage(ways.join(total, ["kind", "src"]).select(F.col("kind").alias("way"), "src", "dst", (F.col("weight") / F.col("all")).alias("share")), "ways")
     start = seeds.join(seeds.groupBy("kind").agg(F.count("*").alias("n")), "kind").select("kind", "host", (1 / F.col("n")).alias("start"))
     start = stage(start, "seeds")
-    score = start.withColumnRenamed("start", "score")
+    score = start.withColumnRenamed("start", "score")  # another frame, which names no folder: start is read in every round
     back = start.select("kind", "host", (F.col("start") * (1 - DAMPING)).alias("score"))
     while True:
         before = score
@@ -85,7 +85,9 @@ def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE)
             score = passed.union(back).groupBy("kind", "host").agg(F.sum("score").alias("score"))
         score = stage(score, "scores")
         moved = score.union(before.select("kind", "host", -F.col("score"))).groupBy("kind", "host").agg(F.abs(F.sum("score")).alias("moved"))
-        if (moved.agg(F.sum("moved")).first()[0] or 0.0) < tolerance:
+        change = moved.agg(F.sum("moved")).first()[0] or 0.0
+        unstage(before)
+        if change < tolerance:
             break
     pick = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("score")).otherwise(0.0))
     return score.groupBy("host").agg(pick(0).alias("trust"), pick(1).alias("distrust"))
