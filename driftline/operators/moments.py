@@ -144,7 +144,9 @@ def with_ord(rows: DataFrame, *by: Column) -> DataFrame:
     """rows with ord: their places 0, 1, ... in the order of by, without one task for all of them."""
     spark = rows.sparkSession
     ranged = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), *by).sortWithinPartitions(*by)
-    ranged = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_serial", F.monotonically_increasing_id()).persist()
+    ranged = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_serial", F.monotonically_increasing_id())
+    # Places are told by partition, so what is counted here must be what is read later: written where there is a shared folder, else held.
+    ranged = ranged.checkpoint() if spark.sparkContext.getCheckpointDir() else ranged.persist()
     counts = sorted(ranged.groupBy("_part").agg(F.count("*").alias("n"), F.min("_serial").alias("least")).collect())
     starts, start = [], 0
     for part, n, least in counts:
