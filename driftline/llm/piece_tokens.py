@@ -109,13 +109,14 @@ class PieceModel:
         """The normalised bytes of all texts and each text's offsets among them; the place in buf that each byte was made from, and for each text the place where its last piece ends."""
         lead = np.flatnonzero((buf & 0xC0) != 0x80)
         width = np.diff(np.append(lead, len(buf)))
-        doc = np.searchsorted(off, lead, "right") - 1
+        doc = np.repeat(np.arange(len(off) - 1), np.diff(np.searchsorted(lead, off)))
         match, value = self.map.longest(buf, lead, off[doc + 1])
         passed = np.zeros(len(lead), bool)
         for k in np.flatnonzero(match > width).tolist():  # prefixes of several characters
             if not passed[k]:
                 passed[k + 1 : np.searchsorted(lead, lead[k] + match[k])] = True
-        lead, width, doc, match, value = (x[~passed] for x in (lead, width, doc, match, value))
+        if passed.any():
+            lead, width, doc, match, value = (x[~passed] for x in (lead, width, doc, match, value))
         mapped = match > 0
         made, which = np.unique(value[mapped], return_inverse=True)
         strings = [self.map.string(x) for x in made.tolist()]
@@ -147,8 +148,9 @@ class PieceModel:
             data, origin, owner = np.insert(data, edge, 32), np.insert(origin, edge, begin), np.insert(owner, edge, full)
         blank = data == 32
         if self.escape:
-            of = np.repeat(np.arange(len(data)), np.where(blank, len(_SPACE), 1))
-            new = np.arange(len(of)) - np.searchsorted(of, np.arange(len(data)))[of] if len(of) else of
+            wide = np.where(blank, len(_SPACE), 1)
+            of = np.repeat(np.arange(len(data)), wide)
+            new = np.arange(len(of)) - (np.cumsum(wide) - wide)[of]
             data = np.where(blank[of], np.frombuffer(_SPACE, np.uint8)[np.minimum(new, 2)], data[of])
             origin, owner = origin[of], owner[of]
             blank = self._blanks(data)
