@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftline.llm import digest, jaccard_join, katz, line_dedup, lloyd, media_chunks, packing, piece_tokens, quality, token_files, url_filter
+from driftline.llm import digest, heap_codes, jaccard_join, katz, line_dedup, lloyd, media_chunks, packing, piece_tokens, quality, token_files, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": jaccard_join.op1,
@@ -20,9 +20,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_media_chunks": media_chunks.op9,
     "op10_token_files": token_files.op10,
     "op12_lloyd": lloyd.op12,
+    "op13_heap_codes": heap_codes.op13,
 }
 
 ORACLES: dict[str, str] = {
     "op8_line_dedup": line_dedup.OP8_SQL,
     "op12_lloyd": lloyd.OP12_SQL,
+    "op13_heap_codes": heap_codes.OP13_SQL,
 }
