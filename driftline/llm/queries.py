@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftline.llm import digest, heap_codes, jaccard_join, katz, line_dedup, lloyd, media_chunks, packing, piece_tokens, quality, token_files, url_filter
+from driftline.llm import digest, heap_codes, jaccard_join, katz, line_dedup, lloyd, media_chunks, packing, piece_tokens, quality, token_files, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": jaccard_join.op1,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": line_dedup.op8,
     "op9_media_chunks": media_chunks.op9,
     "op10_token_files": token_files.op10,
+    "op11_channel_toxicity": toxicity.op11,
     "op12_lloyd": lloyd.op12,
     "op13_heap_codes": heap_codes.op13,
 }
