@@ -294,7 +294,7 @@ def vector_codes(table: DataFrame, parts: int = PARTS, entries: int = ENTRIES, r
     that of the row of the smallest vec_id with such a length; rows of another
     one have a null code and error and take no part. Repeated rows count as
     often as they stand; equal vec_ids start entries in the order of their
-    vectors; a row without a vec_id is coded but starts none. Fewer vectors
+    vectors, and rows without a vec_id come after all others. Fewer vectors
     than entries make smaller codebooks. label_error adds up the errors of
     equal labels, nulls together. An empty table gives no rows. Ties go to
     the lowest entry; components of over 2**24 / grain raise.
@@ -303,7 +303,7 @@ def vector_codes(table: DataFrame, parts: int = PARTS, entries: int = ENTRIES, r
     small_batches(spark)
     kept = stage(vectors(table, None, grain, "label", largest=LARGEST), "vectors")
     able = kept.where(f"size(v) > 0 and size(v) % {parts} = 0")
-    start = able.where("vec_id is not null").orderBy("vec_id", "v").select(F.size("v")).first()
+    start = able.orderBy(F.asc_nulls_last("vec_id"), "v").select(F.size("v")).first()
     kinds = ", ".join(f"{c} {kept.schema[c].dataType.simpleString()}" for c in ("vec_id", "label"))
     nothing = spark.createDataFrame([], f"{kinds}, code string, error long")
     if start is None:
@@ -311,7 +311,7 @@ def vector_codes(table: DataFrame, parts: int = PARTS, entries: int = ENTRIES, r
     else:
         size = start[0]
         rows, others = kept.where(F.size("v") == size), kept.where(F.size("v") != size)
-        first = np.array([r["v"] for r in rows.where("vec_id is not null").select("vec_id", "v").orderBy("vec_id", "v").limit(entries).collect()], np.int64)
+        first = np.array([r["v"] for r in rows.select("vec_id", "v").orderBy(F.asc_nulls_last("vec_id"), "v").limit(entries).collect()], np.int64)
         first = first.reshape(len(first), parts, size // parts).transpose(1, 0, 2)
         books, blocks, form, _ = learn(rows, first, rounds)
         coded, name = _codes(blocks, form, books), digest(books.entries)

@@ -51,9 +51,9 @@ def vectors(table: DataFrame, size: int | None, grain: int, *also: str, largest:
 
 
 def first_centroids(kept: DataFrame, count: int, prefix: str = "1:") -> np.ndarray:
-    """The vectors whose sha256 of prefix and vec_id come first; fewer vectors, fewer centroids. Of equal vec_ids the lesser vector comes first."""
+    """The vectors whose sha256 of prefix and vec_id come first, those without a vec_id last; fewer vectors, fewer centroids. Of equal vec_ids the lesser vector comes first."""
     name = F.sha2(F.concat(F.lit(prefix), F.col("vec_id").cast("string")).cast("binary"), 256)
-    rows = kept.where("vec_id is not null").select(name.alias("h"), "v").orderBy("h", "v").limit(count).collect()
+    rows = kept.select(name.alias("h"), "v").orderBy(F.asc_nulls_last("h"), "v").limit(count).collect()
     return np.array([r["v"] for r in rows], np.int64)
 
 
@@ -81,7 +81,8 @@ def _sums(centroids: np.ndarray) -> Callable[[Iterator[pd.DataFrame]], Iterator[
                 n += np.bincount(best, minlength=len(n))
                 np.add.at(total, best, x)
         some = np.flatnonzero(n)
-        yield pd.DataFrame({"cluster": some.astype(np.int32), "n": n[some], "total": list(total[some])})
+        if len(some):
+            yield pd.DataFrame({"cluster": some.astype(np.int32), "n": n[some], "total": list(total[some])})
 
     return run
 
@@ -118,8 +119,8 @@ def lloyd(table: DataFrame, clusters: int = 16, rounds: int = 3, size: int = 64,
     """(vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256) of each kept row of table (vec_id, embedding; other columns are ignored).
 
     Rows are kept whose embedding has exactly size components, none of them
-    null or not finite. Repeated rows count as often as they stand. A row
-    without a vec_id is clustered but is never a first centroid. With fewer
+    null or not finite. Repeated rows count as often as they stand. Rows
+    without a vec_id are first centroids only after all others. With fewer
     rows than clusters there are fewer centroids; with none, or an empty
     table, no rows come out. Ties go to the lowest number. A component of
     over 2**26 times 1 / grain raises.
