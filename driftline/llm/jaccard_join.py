@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.llm import packed
-from driftline.llm.common import giving_back, keep_ids, parts, read_table, slices, small_batches, stage, text_buffer
+from driftline.llm.common import giving_back, keep_ids, keep_rows, parts, read_table, slices, small_batches, stage, text_buffer
 from driftline.llm.components import Forest, connected_components
 from driftline.llm.hashing import U64, mix, shingle_sets
 
@@ -71,17 +71,18 @@ def _set_ids(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(U64)).view(np.int64)
 
 
-def document_sets(docs: DataFrame, width: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, set_id) of every row; set_id is null for texts without words."""
+def document_sets(docs: DataFrame, width: int = 5, also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, also, n_shingles, set_id) of every row; set_id is null for texts without words."""
+    held = ("doc_id", *also)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece, values, at in _sets(batch, width):
                 n = np.diff(at)
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(n), pa.array(_set_ids(values, at), mask=n == 0)], ["doc_id", "n_shingles", "set_id"])
+                yield pa.RecordBatch.from_arrays([*[piece.column(c) for c in held], pa.array(n), pa.array(_set_ids(values, at), mask=n == 0)], [*held, "n_shingles", "set_id"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(giving_back(run), f"doc_id {kind}, n_shingles long, set_id long")
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in held)
+    return docs.select(*held, "text").mapInArrow(giving_back(run), f"{kinds}, n_shingles long, set_id long")
 
 
 def _frequencies(docs: DataFrame, width: int, shards: int) -> DataFrame:
@@ -369,21 +370,12 @@ def _tasks(pairs: DataFrame, ties: DataFrame, classes: DataFrame) -> tuple[DataF
     return seats.union(some), listed.select("task", F.col("u").alias("set_id"), F.col("v").alias("other"))
 
 
-def jaccard_join(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) of every row of docs (doc_id, text; other columns are ignored).
-
-    Two rows link when 100 * |A & B| >= percent * |A | B| for their shingle
-    sets. component_id is the smallest doc_id that links reach, itself
-    included; n_links is the number of different other sets that this row's
-    set links to. Null or wordless texts have no shingles, link with nothing
-    and have their own doc_id as component_id. Rows with equal sets, repeated
-    rows among them, link. Rows with a null doc_id link with nothing and have
-    a null component_id. An empty table gives no rows.
-    """
+def _joined(docs: DataFrame, percent: int, width: int, also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, also, n_shingles, component, component_id, n_links) of every row; component names what links reach, and is null for rows that link with nothing."""
     spark = docs.sparkSession
     small_batches(spark)
+    sets = stage(document_sets(docs, width, also), "sets")
     docs = docs.select("doc_id", "text")
-    sets = stage(document_sets(docs, width), "sets")
     docs = docs.where("doc_id is not null")
     classes = sets.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
     classes = stage(classes, "classes")
@@ -421,24 +413,53 @@ def jaccard_join(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFram
     mapped = classes.join(component, classes["set_id"] == component["node"], "left").drop("node").join(degree, F.col("set_id") == degree["node"], "left")
     mapped = mapped.select("set_id", "doc_id", F.coalesce("component", "set_id").alias("component"), F.coalesce("links", F.lit(0).cast("long")).alias("n_links"))
     least = mapped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    mapped = stage(mapped.join(least, "component").select(F.col("set_id").alias("_set"), "component_id", "n_links"), "mapped")
+    mapped = stage(mapped.join(least, "component").select(F.col("set_id").alias("_set"), "component", "component_id", "n_links"), "mapped")
     out = sets.join(mapped, sets["set_id"] == mapped["_set"], "left")
-    own = F.when(F.col("set_id").isNull() | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"))
+    alone = F.col("set_id").isNull() | F.col("doc_id").isNull()
+    return out.select(
+        "doc_id", *also, "n_shingles", F.when(~alone, F.col("component")).alias("component"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"),
+    )
 
 
-def drop_near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
-    """docs without those that link to a document of a smaller doc_id; of rows that repeat a doc_id one stays.
+def jaccard_join(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) of every row of docs (doc_id, text; other columns are ignored).
+
+    Two rows link when 100 * |A & B| >= percent * |A | B| for their shingle
+    sets. component_id is the smallest doc_id that links reach, itself
+    included; n_links is the number of different other sets that this row's
+    set links to. Null or wordless texts have no shingles, link with nothing
+    and have their own doc_id as component_id. Rows with equal sets, repeated
+    rows among them, link. Rows with a null doc_id link with nothing and have
+    a null component_id. An empty table gives no rows.
+    """
+    return _joined(docs, percent, width).drop("component")
+
 
-    Null and wordless texts link with nothing and stay, and so does one row
-    without a doc_id. Columns and types are those of docs, whatever their
-    names. An empty table stays empty.
+def drop_near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
+    """docs without the rows that link to an earlier one: of the rows that links reach the first stays, by doc_id and then by a hash of the text.
+
+    Rows are judged by their own texts: unlike texts under one doc_id all
+    stay. Null and wordless texts, and rows without a doc_id, link with
+    nothing and stay. Of rows that repeat doc_id and text one stays, that of
+    the least hash of all columns. Columns and types are those of docs,
+    whatever their names. An empty table stays empty. Very long texts are
+    compared whole.
     """
-    found = jaccard_join(docs, percent, width)
-    ids = stage(found.groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("rows")), "kept").where("doc_id <=> c")
-    n, most = ids.agg(F.count("*"), F.max("rows")).first()
-    kept = keep_ids(docs, ids, n)
-    return kept.dropDuplicates(["doc_id"]) if (most or 0) > 1 else kept
+    key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    rows = _joined(docs.select("doc_id", "text", key.alias("_row")), percent, width, ("_row",)).where("component is not null")
+    rows = stage(rows.groupBy("component", "doc_id", "_row").agg(F.count("*").alias("times")), "reached")
+    first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "_row")).alias("first"))
+    rows = rows.join(first, "component").withColumn("late", F.struct("doc_id", "_row") != F.col("first"))
+    rows = stage(rows.where("late or times > 1").select("doc_id", "_row", "late"), "told")
+    late, again = rows.where("late"), rows.where("not late")
+    n_late, n_again = late.count(), again.count()
+    kept = keep_rows(docs, late, n_late, key, "left_anti") if n_late else docs
+    if not n_again:
+        return kept
+    named = [c for c in docs.columns if not docs.schema[c].dataType.simpleString().startswith("map")]
+    once = keep_rows(kept, again, n_again, key).groupBy(F.col("doc_id").alias("_doc"), key.alias("_key")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*named)).alias("_all"))
+    return keep_rows(kept, again, n_again, key, "left_anti").unionByName(once.select("_all.*"))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from driftline.llm import line_dedup, packing, quality
+from driftline.llm import jaccard_join, line_dedup, packing, quality
 from driftline.llm.common import read_table
 from driftline.llm.word_tokens import default_path
 from tests.llm.test_edges import LOWER, prose, words
@@ -80,6 +80,7 @@ def plain_lines(docs):
 
 
 def plain_near(docs):
+    """Of the rows that links reach those of the least doc_id stay, and of repeated rows one; every row that links with nothing stays."""
     sets = [frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if (w := words(t)) else frozenset() for _, t in docs]
     up = list(range(len(docs)))
 
@@ -93,17 +94,36 @@ def plain_near(docs):
             both = len(sets[a] & sets[b])
             if docs[a][0] is not None and docs[b][0] is not None and both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
                 up[find(a)] = find(b)
-    least = {}
-    for k, (d, _) in enumerate(docs):
-        least[find(k)] = min(d if d is not None else -1, least.get(find(k), 10**9))
-    kept, seen = [], set()
+    groups = {}
     for k, (d, t) in enumerate(docs):
-        if (d if d is not None else -1) == least[find(k)] and d not in seen:
-            seen.add(d)
-            kept.append((d, t))
+        groups.setdefault(find(k), []).append((d, t))
+    kept = []
+    for g in groups.values():
+        first = {r for r in g if r[0] == min(d for d, _ in g)} if len(g) > 1 else set(g)
+        assert len(first) == 1
+        kept += first
     return kept
 
 
+NEAR = [(1, prose(40, 1)), (2, prose(40, 1) + " more"), (2, prose(50, 2)), (3, prose(50, 2)), (3, "short"), (None, "short"), (None, "short"), (None, prose(40, 1)), (None, None), (4, None), (4, None), (4, ""), (5, prose(30, 4)), (5, prose(30, 4)), (6, prose(60, 5)), (6, prose(60, 6)), (6, prose(60, 7))]
+
+
+def test_near_duplicates_by_rows(spark):
+    """Unlike texts under one doc_id, rows without one, and repeated rows."""
+    docs = spark.createDataFrame([(i, t, k % 3, {"k": 1}) for k, (i, t) in enumerate(NEAR)], "doc_id long, text string, component int, _row map<string,int>").repartition(3)
+    got = jaccard_join.drop_near_duplicates(docs)
+    assert got.dtypes == docs.dtypes
+    first = sorted(map(str, got.collect()))
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter(plain_near(NEAR))
+    assert sorted(map(str, jaccard_join.drop_near_duplicates(docs.repartition(1)).collect())) == first
+
+
+def test_of_linked_texts_under_one_id_one_stays(spark):
+    docs = spark.createDataFrame([(1, prose(60, 1)), (1, prose(60, 1) + " x"), (1, prose(60, 1) + " y"), (1, prose(60, 8))], "doc_id long, text string")
+    got = [r["text"] for r in jaccard_join.drop_near_duplicates(docs).collect()]
+    assert len(got) == 2 and prose(60, 8) in got
+
+
 def test_scores_against_numpy(spark, tables):
     got = quality.classify(read_table(spark, tables, "documents"), read_table(spark, tables, "labels")).collect()
     want = Counter((d, round(float(s), 6), int(s >= 0.3)) for (d, _), s in zip(rows(), plain_scores(rows(), LABELS), strict=True))
