@@ -29,7 +29,7 @@ def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near copies; documents without words all stay."""
+    """One row, that of the smallest doc_id, of each group of near copies; rows without words or a doc_id, and unlike texts under one doc_id, all stay."""
     return drop_near_duplicates(docs)
 
 
