@@ -1,15 +1,16 @@
 """Operator 3: similarity digests of improbable features.
 
-Every place of a text's bytes has the window of bytes that ends there, zeros
-standing before the text. How rare a window's entropy is among all windows of
-the corpus (a Spark aggregate) ranks it, the rarest first, windows of little
-entropy last. A window that is the best of many of its neighbourhoods is a
-feature, and so are the windows after the first 1, 2, 4 and 8 bytes and, in a
-text without another, the last one: texts of any length have features of the
-same kind, and what keeps its beginning keeps some of them. Features go, in
-order, into Bloom filters of 2048 bits, a new one after every 160 features: the
-chain of filters is the fingerprint. Two fingerprints are compared filter by
-filter: the common bits beyond chance, as a share of the most there could be.
+Every place of a text has the window of bytes that begins there and lies in
+the text. How rare a window's entropy is among all windows of the corpus (a
+Spark aggregate) ranks it, the rarest first, windows of little entropy last. A
+window that is the best of many of its neighbourhoods is a feature; in a text
+whose windows all fit into one filter every window is. Short texts have
+features of narrower windows beside them, by their length: any two texts of
+which one is at most twice as long as the other have windows of a common width.
+Features go, in order, into Bloom filters of 2048 bits, a new one after every
+160 features: the chains of filters, one for each width, are the fingerprint.
+Two fingerprints are compared filter by filter: the common bits beyond chance,
+as a share of the most there could be, by the width that tells most.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 from driftline.llm.common import giving_back, parts, read_table, slices, small_batches, text_buffer
 from driftline.llm.hashing import U64, span_hashes
 
-#: Bytes of a window; bytes after which the beginning of a text is a feature.
-WINDOW, BEGINNINGS = 16, (1, 2, 4, 8)
+#: Bytes of a window, and of the windows of texts that are at least so long and less than NARROW times as long.
+WINDOW, WIDTHS, NARROW = 16, (1, 2, 4, 8), 8
 #: Steps that entropies are rounded to, and the step below which a window tells little.
 BINS, DULL = 1000, 400
 #: A feature is the best in at least this share of the neighbourhoods it could be the best in.
@@ -36,10 +37,12 @@ FILTER_BITS, FILTER_FEATURES, HASHES = 2048, 160, 5
 #: Overlap that counts as none: this share of the way from chance to the most.
 NOISE = 0.1
 BATCH_BYTES = 1 << 20
+#: Filters of a text that are compared at a time with as many of another.
+COMPARED = 512
 
 
 def entropies(buf: np.ndarray, width: int) -> np.ndarray:
-    """The entropy of buf[i : i + width] for each i, in steps from 0 to BINS (all bytes different; a zero byte is one of them).
+    """The entropy of buf[i : i + width] for each i, in steps from 0 to BINS (all bytes different).
 
     Many stretches of buf are scanned side by side, a byte each at a time.
     """
@@ -73,19 +76,12 @@ def entropies(buf: np.ndarray, width: int) -> np.ndarray:
     return BINS - out.T.reshape(-1)[:n].astype(np.int64) * BINS // int(cost[width])
 
 
-def spaced(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The texts with WINDOW - 1 zeros before each, so that a window starts at as many places as a text has bytes, and their new offsets."""
-    new = off + (WINDOW - 1) * np.arange(len(off))
-    out = np.zeros(int(new[-1]), np.uint8)
-    out[np.arange(len(buf)) + np.repeat((WINDOW - 1) * np.arange(1, len(off)), np.diff(off))] = buf
-    return out, new
-
-
-def _starts(new: np.ndarray, size: int) -> np.ndarray:
-    """Which of size places a window of a text starts at."""
-    inside = np.zeros(size + 1, np.int64)
-    np.add.at(inside, new[:-1], 1)
-    np.add.at(inside, new[1:] - (WINDOW - 1), -1)
+def _whole(off: np.ndarray, width: int) -> np.ndarray:
+    """At which places a window of width bytes lies in one text."""
+    inside = np.zeros(int(off[-1]) + 1, np.int64)
+    some = np.diff(off) >= width
+    np.add.at(inside, off[:-1][some], 1)
+    np.add.at(inside, off[1:][some] - (width - 1), -1)
     return np.cumsum(inside[:-1]) > 0
 
 
@@ -96,9 +92,9 @@ def entropy_counts(docs: DataFrame) -> np.ndarray:
         counts = np.zeros(BINS + 1, np.int64)
         for batch in batches:
             for piece in slices(batch, limit=BATCH_BYTES):
-                buf, new = spaced(*text_buffer(piece.column("text")))
+                buf, off = text_buffer(piece.column("text"))
                 bins = entropies(buf, WINDOW)
-                counts += np.bincount(bins[_starts(new, len(bins))], minlength=BINS + 1)
+                counts += np.bincount(bins[_whole(off, WINDOW)[: len(bins)]], minlength=BINS + 1)
         yield pa.RecordBatch.from_arrays([pa.array([counts.tolist()], pa.list_(pa.int64()))], ["counts"])
 
     cells = docs.select("text").mapInArrow(giving_back(run), "counts array<long>").select(F.posexplode("counts").alias("bin", "n"))
@@ -116,78 +112,111 @@ def rarity(counts: np.ndarray) -> np.ndarray:
     return ranks
 
 
-def features(buf: np.ndarray, off: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each text's features in order, equal ones once, and the text of each."""
-    docs = len(off) - 1
-    data, new = spaced(buf, off)
-    bins = entropies(data, WINDOW)
-    at = np.arange(len(bins))
-    whole = _starts(new, len(bins))
-    key = (np.where(whole, ranks[bins], BINS + 1) << 32) | at
+def popular(buf: np.ndarray, off: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """Places of the windows of WINDOW bytes that are features: all of a text that has no more than FILTER_FEATURES, else the popular ones (any that is best somewhere, if none is popular)."""
+    bins = entropies(buf, WINDOW)
+    whole = _whole(off, WINDOW)[: len(bins)]
+    key = (np.where(whole, ranks[bins], BINS + 1) << 32) | np.arange(len(bins))
     span = 1
     while span < WINDOW and len(key) > span:  # the best of WINDOW windows in a row, the first of equals
         key = np.minimum(key[:-span], key[span:])
         span *= 2
-    inner = np.flatnonzero(whole[: len(key)] & whole[WINDOW - 1 : WINDOW - 1 + len(key)]) if span == WINDOW else at[:0]
-    inner = inner[np.searchsorted(new, inner, "right") == np.searchsorted(new, inner + WINDOW - 1, "right")]
-    votes = np.bincount(key[inner] & 0xFFFFFFFF, minlength=len(data))
-    found = np.flatnonzero(votes >= WINDOW // POPULAR)
+    inner = np.flatnonzero(whole[: len(key)] & whole[WINDOW - 1 : WINDOW - 1 + len(key)]) if span == WINDOW else np.zeros(0, np.int64)
+    text_of = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    inner = inner[text_of[inner] == text_of[inner + WINDOW - 1]]
+    votes = np.bincount(key[inner] & 0xFFFFFFFF, minlength=len(bins))
+    few = np.diff(off) < FILTER_FEATURES + WINDOW
+    chosen = votes >= WINDOW // POPULAR
+    none = ~few & (np.bincount(text_of[np.flatnonzero(chosen)], minlength=len(few)) == 0)
+    at = text_of[: len(bins)]
+    return np.flatnonzero(whole & np.where(few[at], True, chosen | (none[at] & (votes > 0))))
+
+
+def features(buf: np.ndarray, off: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each text's features in order, equal ones once, and the chain of each: the text's number times len(WIDTHS) + 1, and the number of the width."""
+    chains = len(WIDTHS) + 1
     size = np.diff(off)
-    doc = np.searchsorted(new, found, "right") - 1
-    without = np.flatnonzero((np.bincount(doc, minlength=docs) == 0) & (size > 0))
-    found = np.concatenate([found, new[without] + size[without] - 1, *[new[:-1][size >= n] + n - 1 for n in BEGINNINGS]])
-    found = np.unique(found)
-    doc = np.searchsorted(new, found, "right") - 1
-    hashes = span_hashes(data, found, found + WINDOW)
-    order = np.lexsort((found, hashes, doc))
+    text_of = np.repeat(np.arange(len(size)), size)
+    hashes, chain, place = [], [], []
+    for k, width in enumerate((*WIDTHS, WINDOW)):
+        if width == WINDOW:
+            at = popular(buf, off, ranks)
+        else:
+            at = np.flatnonzero(_whole(off, width) & ((size >= width) & (size < NARROW * width))[text_of])
+        hashes.append(span_hashes(buf, at, at + width))
+        chain.append(text_of[at] * chains + k)
+        place.append(at)
+    hashes, chain, place = (np.concatenate(x) for x in (hashes, chain, place))
+    order = np.lexsort((place, hashes, chain))
     first = np.ones(len(order), bool)
-    first[1:] = (hashes[order][1:] != hashes[order][:-1]) | (doc[order][1:] != doc[order][:-1])
-    kept = np.sort(order[first])
-    return hashes[kept], doc[kept]
-
-
-def filters(hashes: np.ndarray, doc: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """The chained filters of all texts (rows of FILTER_BITS / 8 bytes), and the offsets of each text's."""
-    counts = np.bincount(doc, minlength=docs)
-    chain = -(-counts // FILTER_FEATURES)
-    at = np.concatenate([[0], np.cumsum(chain)])
-    place = np.arange(len(doc)) - np.concatenate([[0], np.cumsum(counts)])[doc]
-    row = at[doc] + place // FILTER_FEATURES
-    bits = np.zeros((at[-1], FILTER_BITS), bool)
+    first[1:] = (hashes[order][1:] != hashes[order][:-1]) | (chain[order][1:] != chain[order][:-1])
+    kept = order[first]
+    kept = kept[np.lexsort((place[kept], chain[kept]))]
+    return hashes[kept], chain[kept]
+
+
+def filters(hashes: np.ndarray, chain: np.ndarray, chains: int) -> tuple[np.ndarray, np.ndarray]:
+    """The filters of all chains (rows of FILTER_BITS / 8 bytes), and the offsets of each chain's."""
+    counts = np.bincount(chain, minlength=chains)
+    at = np.concatenate([[0], np.cumsum(-(-counts // FILTER_FEATURES))])
+    place = np.arange(len(chain)) - np.concatenate([[0], np.cumsum(counts)])[chain]
+    row = at[chain] + place // FILTER_FEATURES
+    made = np.zeros(int(at[-1]) * (FILTER_BITS // 8), np.uint8)
     for k in range(HASHES):
-        bits[row, (hashes >> U64(11 * k) & U64(FILTER_BITS - 1)).astype(np.int64)] = True
-    return np.packbits(bits, axis=1), at
+        bit = (hashes >> U64(11 * k) & U64(FILTER_BITS - 1)).astype(np.int64)
+        np.bitwise_or.at(made, row * (FILTER_BITS // 8) + (bit >> 3), (128 >> (bit & 7)).astype(np.uint8))
+    return made.reshape(-1, FILTER_BITS // 8), at
+
+
+#: A fingerprint: the filters of each width that the text has, a row of FILTER_BITS / 8 bytes each.
+Fingerprint = dict[int, np.ndarray]
 
 
-def fingerprints(texts: list[str | None], ranks: np.ndarray) -> list[np.ndarray]:
-    """The filters of each text, a row of FILTER_BITS / 8 bytes each; an empty text has none."""
+def fingerprints(texts: list[str | None], ranks: np.ndarray) -> list[Fingerprint]:
+    """The fingerprint of each text; an empty text has no filters."""
     buf, off = text_buffer(pa.array(texts, pa.large_string()))
-    made, at = filters(*features(buf, off, ranks), len(texts))
-    return [made[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    widths = (*WIDTHS, WINDOW)
+    made, at = filters(*features(buf, off, ranks), len(texts) * len(widths))
+    at = at.tolist()
+    return [{w: made[at[k + j] : at[k + j + 1]] for j, w in enumerate(widths) if at[k + j + 1] > at[k + j]} for k in range(0, len(texts) * len(widths), len(widths))]
 
 
-def written(fingerprint: np.ndarray) -> str:
-    return base64.b64encode(fingerprint.tobytes()).decode()
+def written(fingerprint: Fingerprint) -> str:
+    return ";".join(f"{w}:{base64.b64encode(f.tobytes()).decode()}" for w, f in fingerprint.items())
 
 
-def parsed(text: str) -> np.ndarray:
-    return np.frombuffer(base64.b64decode(text), np.uint8).reshape(-1, FILTER_BITS // 8)
+def parsed(text: str) -> Fingerprint:
+    parts_ = [x.split(":") for x in text.split(";") if x]
+    return {int(w): np.frombuffer(base64.b64decode(f), np.uint8).reshape(-1, FILTER_BITS // 8) for w, f in parts_}
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """From 0 to 1; 1 for equal fingerprints, those of empty texts among them, and 0 if only one is empty."""
-    if (len(a) == 0) != (len(b) == 0):
-        return 0.0
+def _alike(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two chains: each filter of the shorter one by the most like of the other. Some filters of each are unpacked at a time."""
     if a.shape == b.shape and (a == b).all():
         return 1.0
-    x, y = (np.unpackbits(f, axis=1).astype(np.float32) for f in (a, b))
-    m, n = x.sum(axis=1), y.sum(axis=1)
-    chance = np.outer(m, n) / FILTER_BITS
-    most = np.minimum(m[:, None], n[None, :])
-    floor = chance + NOISE * (most - chance)
-    score = np.clip((x @ y.T - floor) / np.maximum(most - floor, 1e-6), 0, 1)
-    ways = [(score.max(axis=1) * m).sum() / m.sum(), (score.max(axis=0) * n).sum() / n.sum()]
-    return float(ways[0] if len(m) < len(n) else ways[1] if len(n) < len(m) else sum(ways) / 2)
+    best = [np.zeros(len(a)), np.zeros(len(b))]
+    bits = [np.zeros(len(a)), np.zeros(len(b))]
+    for i in range(0, len(a), COMPARED):
+        x = np.unpackbits(a[i : i + COMPARED], axis=1).astype(np.float32)
+        m = bits[0][i : i + COMPARED] = x.sum(axis=1)
+        for j in range(0, len(b), COMPARED):
+            y = np.unpackbits(b[j : j + COMPARED], axis=1).astype(np.float32)
+            n = bits[1][j : j + COMPARED] = y.sum(axis=1)
+            most = np.minimum(m[:, None], n[None, :])
+            chance = np.outer(m, n) / FILTER_BITS
+            floor = chance + NOISE * (most - chance)
+            score = np.clip((x @ y.T - floor) / np.maximum(most - floor, 1e-6), 0, 1)
+            best[0][i : i + COMPARED] = np.maximum(best[0][i : i + COMPARED], score.max(axis=1))
+            best[1][j : j + COMPARED] = np.maximum(best[1][j : j + COMPARED], score.max(axis=0))
+    ways = [float((s * n).sum() / n.sum()) for s, n in zip(best, bits, strict=True)]
+    return ways[0] if len(a) < len(b) else ways[1] if len(b) < len(a) else sum(ways) / 2
+
+
+def likeness(a: Fingerprint, b: Fingerprint) -> float:
+    """From 0 to 1; 1 for equal fingerprints, those of empty texts among them, and 0 without a common width. The most that a common width tells."""
+    if not a or not b:
+        return float(not a and not b)
+    return max((_alike(a[w], b[w]) for w in a if w in b), default=0.0)
 
 
 def edited(text: str, following: str) -> str:
