@@ -18,12 +18,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.common import lower_ascii, read_table, stage, unstage
+from driftline.llm.common import lower_ascii, parts, read_table, stage, unstage
 
 #: (host, start of path, verdict); a longer host and path wins. A small list: it becomes one CASE expression.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: Scores are looked at and written every CUT_EVERY rounds, and final when all together moved by less than TOLERANCE (of each kind's mass of 1) since; the damping alone brings that about within some 30.
-DAMPING, TOLERANCE, CUT_EVERY = 0.85, 1e-2, 5
+DAMPING = 0.85
+#: Scores are looked at and written every LOOK rounds, and final when no host was newly reached and no host's share of distrust moved by more than TOLERANCE since: a bound for each host, whatever the number of hosts and seeds.
+TOLERANCE, LOOK = 1e-4, 10
+#: Edges that may be broadcast (some 100 bytes each). More are dealt out once, a host's in up to SALTS places, and only scores move from then on.
+BROADCAST_EDGES, SALTS = 200_000, 16
 
 
 def _after_scheme(url: Column) -> Column:
@@ -64,33 +67,53 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return linked.union(both).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
+def _ways(edges: DataFrame) -> DataFrame:
+    """(src, dst, f, b): what share of the trust of src goes to dst, along links, and of its distrust, against them."""
+    out = edges.groupBy("src").agg(F.sum("weight").alias("all")).withColumnRenamed("src", "_s")
+    into = edges.groupBy("dst").agg(F.sum("weight").alias("all")).withColumnRenamed("dst", "_d")
+    none = F.lit(0.0)
+    along = edges.join(out, F.col("src") == F.col("_s")).select("src", "dst", (F.col("weight") / F.col("all")).alias("f"), none.alias("b"))
+    against = edges.join(into, F.col("dst") == F.col("_d")).select(F.col("dst").alias("src"), F.col("src").alias("dst"), none.alias("f"), (F.col("weight") / F.col("all")).alias("b"))
+    return along.union(against).groupBy("src", "dst").agg(F.sum("f").alias("f"), F.sum("b").alias("b"))
+
+
 def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, trust, distrust). edges: (src, dst, weight); seeds: (host, kind), kind 0 trusted, 1 blocked.
 
     Personalised PageRank of each kind, the mass of hosts without out-edges
-    not passed on, until all scores together move by less than tolerance in
-    CUT_EVERY rounds. No seeds: no scores.
+    not passed on. It ends when no host was newly reached in LOOK rounds and
+    no host's distrust, as a share of its trust and distrust, moved by more
+    than tolerance. No seeds: no scores.
     """
-    ways = edges.select(F.lit(0).alias("kind"), "src", "dst", "weight").union(edges.select(F.lit(1).alias("kind"), "dst", "src", "weight"))
-    total = ways.groupBy("kind", "src").agg(F.sum("weight").alias("all"))
-    ways = stage(ways.join(total, ["kind", "src"]).select(F.col("kind").alias("way"), "src", "dst", (F.col("weight") / F.col("all")).alias("share")), "ways")
-    start = seeds.join(seeds.groupBy("kind").agg(F.count("*").alias("n")), "kind").select("kind", "host", (1 / F.col("n")).alias("start"))
+    ways = stage(_ways(edges), "ways")
+    is_kind = lambda k: F.when(F.col("kind") == k, 1.0).otherwise(0.0)
+    number = seeds.agg(*[F.greatest(F.sum(is_kind(k)), F.lit(1.0)).alias(f"n{k}") for k in (0, 1)]).first()
+    start = seeds.groupBy("host").agg(*[(F.sum(is_kind(k)) / (number[f"n{k}"] or 1.0)).alias(c) for k, c in enumerate(("trust", "distrust"))])
     start = stage(start, "seeds")
-    score = start.withColumnRenamed("start", "score")  # another frame, which names no folder: start is read in every round
-    back = start.select("kind", "host", (F.col("start") * (1 - DAMPING)).alias("score"))
+    back = start.select("host", *[(F.col(c) * (1 - DAMPING)).alias(c) for c in ("trust", "distrust")])
+    few = ways.count() <= BROADCAST_EDGES
+    if few:
+        dealt, places = F.broadcast(ways), None
+    else:
+        dealt = ways.withColumn("salt", F.pmod(F.xxhash64("dst"), F.lit(SALTS)).cast("int")).repartition(parts(edges), "src", "salt").persist()
+        places = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    now = start.select("host", "trust", "distrust")  # another frame, which names no folder: start is read in every round
+    share = lambda t: t["distrust"] / (t["trust"] + t["distrust"])
     while True:
-        before = score
-        for _ in range(CUT_EVERY):
-            passed = score.join(ways, (F.col("kind") == F.col("way")) & (F.col("host") == F.col("src"))).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("share") * DAMPING).alias("score"))
-            score = passed.union(back).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        score = stage(score, "scores")
-        moved = score.union(before.select("kind", "host", -F.col("score"))).groupBy("kind", "host").agg(F.abs(F.sum("score")).alias("moved"))
-        change = moved.agg(F.sum("moved")).first()[0] or 0.0
+        score = now
+        for _ in range(LOOK):
+            met = score.join(dealt, F.col("host") == F.col("src")) if few else score.withColumn("_p", places).join(dealt, (F.col("host") == F.col("src")) & (F.col("_p") == F.col("salt")))
+            passed = met.select(F.col("dst").alias("host"), (F.col("trust") * F.col("f") * DAMPING).alias("trust"), (F.col("distrust") * F.col("b") * DAMPING).alias("distrust"))
+            score = passed.union(back).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")).where("trust > 0 or distrust > 0")
+        before, now = now, stage(score, "scores")
+        old = before.select(F.col("host").alias("_h"), share(before).alias("_was"))
+        moved = now.join(old, F.col("host") == F.col("_h"), "left").agg(F.max(F.coalesce(F.abs(share(now) - F.col("_was")), F.lit(1.0)))).first()[0]
         unstage(before)
-        if change < tolerance:
+        if (moved or 0.0) <= tolerance:
             break
-    pick = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("score")).otherwise(0.0))
-    return score.groupBy("host").agg(pick(0).alias("trust"), pick(1).alias("distrust"))
+    if not few:
+        dealt.unpersist()
+    return now.select("host", "trust", "distrust")
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, threshold: float = 0.5, given: DataFrame | None = None, tolerance: float = TOLERANCE) -> DataFrame:
@@ -101,9 +124,11 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     (host, kind), a host at most once, are seeds beside them, kind 0 trusted
     and 1 blocked;
     they need no page, and go before what rules say. Without a rule a page is blocked if
-    distrust / (trust + distrust) of its host exceeds the threshold, else
+    distrust / (trust + distrust) of its host exceeds the threshold (by more
+    than a billionth of it, so that equal scores allow), else
     allowed; so are pages of no host (null url, no ``://``) or of a host that
-    no score reaches. Null html has no links. Repeated rows are judged alike.
+    no score reaches. Null html has no links. Repeated rows are judged alike. Very long pages
+    are read whole. An empty table gives no rows.
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     marked = pages.select("page_id", host.alias("_host"), path.alias("_path"), "html")
@@ -116,7 +141,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
         given = given.select(lower_ascii(F.col("host")).alias("host"), F.col("kind").cast("int").alias("kind"))
         seeds = seeds.join(given, "host", "left_anti").union(given)
     scores = propagate(host_edges(marked), seeds, tolerance)
-    scores = scores.select(F.col("host").alias("_of"), "trust", "distrust", (F.col("distrust") > threshold * (F.col("trust") + F.col("distrust")) + 1e-12).alias("_bad"))
+    scores = scores.select(F.col("host").alias("_of"), "trust", "distrust", (F.col("distrust") > threshold * (1 + 1e-9) * (F.col("trust") + F.col("distrust"))).alias("_bad"))
     out = marked.drop("html").join(scores, F.col("_host") == F.col("_of"), "left")
     verdict = F.coalesce("_rule.verdict", F.when(F.col("_bad"), "block").otherwise("allow"))
     return out.select("page_id", F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
