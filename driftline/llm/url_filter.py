@@ -51,20 +51,21 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
     return out
 
 
-def host_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, weight): links between different hosts, and hosts with the parent that they share or that is found."""
+def host_edges(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """(src, dst, weight): links of pages (_host, html) between different hosts, and hosts with the parent that they share or that is found. found: (_host) of all pages, each at least once."""
     links = pages.select(F.col("_host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit("(?i)href\\s*=\\s*[\"']?([^\"' >]+)"), F.lit(1))).alias("link"))
     linked = links.select("src", lower_ascii(F.regexp_extract("link", "^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1)).alias("dst"))
     linked = linked.where("src != '' and dst != '' and src != dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
-    hosts = pages.where("_host != ''").select(F.col("_host").alias("src")).union(linked.select("dst")).distinct()
+    linked = stage(linked, "links")
+    hosts = stage(found.select(F.col("_host").alias("src")).union(linked.select("dst")).distinct(), "hosts")
     # Two labels at least, no address, and no suffix that is sold by the name (co.uk).
     above = F.when(F.size(F.split("src", "\\.")) >= 3, F.expr("substring(src, instr(src, '.') + 1)"))
     below = hosts.withColumn("dst", above).where(F.col("dst").isNotNull() & ~F.col("dst").rlike("[.][0-9:]+$|^[^.]{0,3}[.][a-z]{2}$"))
     shared = below.groupBy("dst").agg(F.count("*").alias("n")).where("n > 1").select("dst")
-    found = shared.union(hosts.select("src")).distinct()
-    pairs = below.join(found, "dst", "left_semi").select("src", "dst")
+    parents = shared.union(hosts.select("src")).distinct()
+    pairs = below.join(parents, "dst", "left_semi").select("src", "dst")
     both = pairs.union(pairs.select("dst", "src")).withColumn("weight", F.lit(1.0))
-    return linked.union(both).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    return stage(linked.union(both).groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "edges")
 
 
 def _ways(edges: DataFrame) -> DataFrame:
@@ -134,13 +135,13 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     marked = pages.select("page_id", host.alias("_host"), path.alias("_path"), "html")
     marked = marked.withColumn("_rule", rule_of(F.col("_host"), F.col("_path"), rules))
     share = lambda verdict: F.avg(F.when(F.col("_rule.verdict") == verdict, 1.0).otherwise(0.0))
-    hosts = marked.where("_host != ''").groupBy("_host").agg(share("allow").alias("allowed"), share("block").alias("blocked"))
+    hosts = stage(marked.where("_host != ''").groupBy("_host").agg(share("allow").alias("allowed"), share("block").alias("blocked")), "judged")
     kind = F.when(F.col("blocked") >= 0.5, 1).when(F.col("allowed") >= 0.5, 0)
     seeds = hosts.select(F.col("_host").alias("host"), kind.alias("kind")).where("kind is not null")
     if given is not None:
         given = given.select(lower_ascii(F.col("host")).alias("host"), F.col("kind").cast("int").alias("kind"))
         seeds = seeds.join(given, "host", "left_anti").union(given)
-    scores = propagate(host_edges(marked), seeds, tolerance)
+    scores = propagate(host_edges(marked, hosts), seeds, tolerance)
     scores = scores.select(F.col("host").alias("_of"), "trust", "distrust", (F.col("distrust") > threshold * (1 + 1e-9) * (F.col("trust") + F.col("distrust"))).alias("_bad"))
     out = marked.drop("html").join(scores, F.col("_host") == F.col("_of"), "left")
     verdict = F.coalesce("_rule.verdict", F.when(F.col("_bad"), "block").otherwise("allow"))
