@@ -43,8 +43,8 @@ def nearest_mean(samples: DataFrame, means: DataFrame) -> DataFrame:
     return rows.withColumn("predicted", best["c"]).drop("_means")
 
 
-def gaussian_classifier(samples: DataFrame, size: int, key: str = "class", ridge: float = 1e-6):
-    """A function of a feature matrix that gives the probabilities of all classes (in rising order), and the classes, which are integers. One pass."""
+def class_states(samples: DataFrame, size: int, key: str = "class") -> dict[int, Moments]:
+    """The moments of each class, an integer, in rising order. One pass."""
     ship(samples.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,7 +58,12 @@ def gaussian_classifier(samples: DataFrame, size: int, key: str = "class", ridge
 
     rows = samples.where(F.col(key).isNotNull()).select(F.col(key).cast("int").alias("k"), "features")
     found = add_up(rows.mapInArrow(run, "k int, state array<double>"), "k").toArrow()
-    states = {k: Moments.of(v.values.to_numpy(zero_copy_only=False), size) for k, v in sorted(zip(found.column("k").to_pylist(), found.column("state"), strict=True), key=lambda x: x[0])}
+    return {k: Moments.of(v.values.to_numpy(zero_copy_only=False), size) for k, v in sorted(zip(found.column("k").to_pylist(), found.column("state"), strict=True), key=lambda x: x[0])}
+
+
+def gaussian_classifier(samples: DataFrame, size: int, key: str = "class", ridge: float = 1e-6):
+    """A function of a feature matrix that gives the probabilities of all classes (in rising order), and the classes, which are integers. One pass."""
+    states = class_states(samples, size, key)
     return gaussian_of(states, ridge), list(states)
 
 

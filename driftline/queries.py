@@ -17,14 +17,21 @@ from pyspark.sql import functions as F
 
 from driftline.functions import vectors as V
 from driftline.functions.expansions import expand, sigmoid_features
+from driftline.operators import cutoff as CO
 from driftline.operators import estimators as E
+from driftline.operators import graphblocks as GB
 from driftline.operators import graphs as G
 from driftline.operators import heads as H
 from driftline.operators import inversion as I
+from driftline.operators import linear_view as LV
 from driftline.operators import moments as M
+from driftline.operators import neighbours as NB
 from driftline.operators import selection as S
+from driftline.operators import spectra as SP
 from driftline.plans import network as N
+from driftline.plans import slots as SL
 from driftline.sources import files, synthetic
+from driftline.streaming.chunks import chunked
 from driftline.streaming.folds import windowed_deltas
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -516,36 +523,44 @@ def graph_compact_classes(spark, sf_dir):
     return edge_rows(G.compact_classes(spark, 4, number(spark, sf_dir) // 4)[1])
 
 
-_RG = ", g AS (SELECT id AS src, (id * 7 + 3) % m AS dst, (1.0 + id % 5)::DOUBLE AS w FROM n, m), v AS (SELECT id, (1.0 + id % 3)::DOUBLE AS v FROM n)"
+_RG = ", g AS (SELECT a.l_suppkey AS src, b.l_suppkey AS dst, count(*)::DOUBLE AS w FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 GROUP BY 1, 2), v AS (SELECT s_suppkey AS id, (1.0 + s_nationkey % 3)::DOUBLE AS v FROM supplier)"
+
+
+def supplies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Suppliers, and how often one's line of an order is followed by another's."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
+    after = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_suppkey").alias("dst"))
+    edges = lines.join(after, ["l_orderkey", "l_linenumber"]).groupBy(F.col("l_suppkey").alias("src"), "dst").agg(F.count("*").cast("double").alias("w"))
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("sample_id"), (1.0 + F.col("s_nationkey") % 3).alias("v")), edges
 
 
 @query(edges_sql("SELECT src, dst, w / 2 AS w FROM g UNION ALL SELECT dst, src, w / 2 FROM g", _RG))
 def graph_symmetric(spark, sf_dir):
-    return edge_rows(G.symmetric(ring(spark, number(spark, sf_dir))[1]))
+    return edge_rows(G.symmetric(supplies(spark, sf_dir)[1]))
 
 
 @query(edges_sql("SELECT src, dst, w / sqrt(a.v * b.v) AS w FROM g JOIN v a ON a.id = src JOIN v b ON b.id = dst", _RG))
 def graph_normalised(spark, sf_dir):
-    nodes, edges = ring(spark, number(spark, sf_dir))
-    return edge_rows(G.normalised(nodes, edges))
+    return edge_rows(G.normalised(*supplies(spark, sf_dir)))
 
 
-@query(edges_sql("SELECT src, dst, w / (1 + k * q * q / r) AS w FROM (SELECT src, dst, w - 4.0 AS w FROM g UNION ALL SELECT a.id, b.id, k * a.v * b.v FROM v a, v b, t), t", _RG + ", t AS (SELECT -min((w - 4.0) / (a.v * b.v)) AS k, (SELECT sum(v) FROM v) AS q, sum(w - 4.0) AS r FROM g JOIN v a ON a.id = src JOIN v b ON b.id = dst)"))
+@query(edges_sql("SELECT src, dst, w / (1 + k * q * q / r) AS w FROM (SELECT src, dst, w - h AS w FROM g, h UNION ALL SELECT a.id, b.id, k * a.v * b.v FROM v a, v b, t WHERE k > 0), t", _RG + ", h AS (SELECT 0.5 * avg(w) AS h FROM g), t AS (SELECT greatest(-min((w - h) / (a.v * b.v)), 0) AS k, (SELECT sum(v) FROM v) AS q, sum(w - h) AS r FROM g JOIN v a ON a.id = src JOIN v b ON b.id = dst, h)"))
 def graph_without_negative_weights(spark, sf_dir):
-    nodes, edges = ring(spark, number(spark, sf_dir))
-    return edge_rows(G.without_negative_weights(nodes, edges.withColumn("w", F.col("w") - 4.0)))
+    """The suppliers' graph less half of its mean weight."""
+    nodes, edges = supplies(spark, sf_dir)
+    half = 0.5 * edges.agg(F.avg("w")).first()[0]
+    return edge_rows(G.without_negative_weights(nodes, edges.withColumn("w", F.col("w") - half)))
 
 
-@query(edges_sql("SELECT * FROM g UNION ALL SELECT id, m + u, 0.5 * q / 6 / m FROM n, m, t, (SELECT unnest(range(0, 6)) AS u) UNION ALL SELECT m + u, id, 0.5 * q / 6 / m FROM n, m, t, (SELECT unnest(range(0, 6)) AS u)", _RG + ", t AS (SELECT sum(v) AS q FROM v)"))
+@query(edges_sql("SELECT * FROM g UNION ALL SELECT id, -u, 0.5 * q / 6 / c FROM v, t, (SELECT unnest(range(1, 7)) AS u) UNION ALL SELECT -u, id, 0.5 * q / 6 / c FROM v, t, (SELECT unnest(range(1, 7)) AS u)", _RG + ", t AS (SELECT sum(v) AS q, count(*) AS c FROM v)"))
 def graph_with_unlabelled(spark, sf_dir):
-    n = number(spark, sf_dir)
-    nodes, edges = ring(spark, n)
-    return edge_rows(G.add_unlabelled(nodes, edges, spark.range(n, n + 6).select(F.col("id").alias("sample_id")))[1])
+    nodes, edges = supplies(spark, sf_dir)
+    return edge_rows(G.add_unlabelled(nodes, edges, spark.range(1, 7).select((-F.col("id")).alias("sample_id")))[1])
 
 
 @query(f"WITH n AS (SELECT vec_id AS id FROM embeddings), m AS (SELECT count(*) AS m FROM n){_RG}, o AS (SELECT src AS id, sum(w) AS o FROM g GROUP BY 1), i AS (SELECT dst AS id, sum(w) AS i FROM g GROUP BY 1), t AS (SELECT sum(v) AS q, (SELECT sum(w) FROM g) AS r FROM v) SELECT id AS sample_id, round(v / q, 6) AS node_share, round(coalesce(o, 0) / r, 6) AS out_share, round(coalesce(i, 0) / r, 6) AS in_share, abs(v / q - coalesce(o, 0) / r) <= 1e-6 AND abs(v / q - coalesce(i, 0) / r) <= 1e-6 AS consistent FROM v LEFT JOIN o USING (id) LEFT JOIN i USING (id), t")
 def graph_consistency(spark, sf_dir):
-    rows = G.consistency(*ring(spark, number(spark, sf_dir)))
+    rows = G.consistency(*supplies(spark, sf_dir))
     return rows.select("sample_id", *[F.round(c, 6).alias(c) for c in ("node_share", "out_share", "in_share")], "consistent")
 
 
@@ -591,7 +606,7 @@ def nearest_mean_confusion(spark, sf_dir):
 
 def _near(spark, sf_dir, k: int) -> DataFrame:
     rows = thousandths(spark, sf_dir)
-    return H.nearest_neighbours(rows.select(F.col("sample_id").alias("query_id"), "features"), rows.select(F.col("sample_id").alias("reference_id"), "features"), k, skip_same=True)
+    return NB.nearest(rows.select(F.col("sample_id").alias("query_id"), "features"), rows.select(F.col("sample_id").alias("reference_id"), "features"), k, skip_same=True).select("query_id", "reference_id", "rank", "distance2")
 
 
 _NEAR = f"{S64}, d AS (SELECT a.ord AS query_id, b.ord AS reference_id, b.class, {_DIST} AS d FROM s a, s b), p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, reference_id) AS rank FROM d WHERE d > 0)"
@@ -729,15 +744,22 @@ def without_identities(spark, sf_dir):
     return synthetic.without_identities(table(spark, sf_dir, "customer"), held, "c_custkey").select("c_custkey")
 
 
-@query("SELECT a.a + 4 * b.b + 12 * c.c AS ord, 'age' || c.c || '_pose' || a.a || '_light' || b.b || '.jpg' AS file FROM (SELECT unnest(range(0, 4)) AS a) a, (SELECT unnest(range(0, 3)) AS b) b, (SELECT unnest(range(0, 5)) AS c) c")
+@query("WITH a AS (SELECT c_nationkey AS n, row_number() OVER (ORDER BY c_nationkey) - 1 AS i FROM (SELECT DISTINCT c_nationkey FROM customer)), b AS (SELECT c_mktsegment AS m, row_number() OVER (ORDER BY c_mktsegment) - 1 AS i FROM (SELECT DISTINCT c_mktsegment FROM customer)) SELECT a.i + (SELECT count(*) FROM a) * b.i AS ord, 'nation' || n || '_segment' || b.i || '_' || m || '.jpg' AS file FROM a, b")
 def factor_files(spark, sf_dir):
-    return synthetic.file_names(synthetic.factor_grid(spark, pose=4, light=3, age=5), "age%d_pose%d_light%d.jpg", "age", "pose", "light").select("ord", "file")
+    """A file name for each nation and segment that customers have."""
+    found = table(spark, sf_dir, "customer")
+    nations, segments = (sorted(x[0] for x in found.select(c).distinct().collect()) for c in ("c_nationkey", "c_mktsegment"))
+    grid = synthetic.factor_grid(spark, nation=len(nations), segment=len(segments))
+    pick = lambda values, at: F.element_at(F.array(*[F.lit(v) for v in values]), F.col(at).cast("int") + 1)
+    grid = grid.withColumn("key", pick(nations, "nation")).withColumn("name", pick(segments, "segment"))
+    return synthetic.file_names(grid, "nation%d_segment%d_%s.jpg", "key", "segment", "name").select("ord", "file")
 
 
-@query("SELECT o.x + 4 * o.y AS node_id, (o.y * 2 + b) * 8 + o.x * 2 + a AS input FROM (SELECT x, y FROM (SELECT unnest(range(0, 4)) AS x), (SELECT unnest(range(0, 4)) AS y)) o, (SELECT unnest(range(0, 2)) AS a), (SELECT unnest(range(0, 2)) AS b)")
+@query(f"WITH {S64}, p AS (SELECT o.x + 4 * o.y AS node_id, (o.y * 2 + b) * 8 + o.x * 2 + a AS input FROM (SELECT x, y FROM (SELECT unnest(range(0, 4)) AS x), (SELECT unnest(range(0, 4)) AS y)) o, (SELECT unnest(range(0, 2)) AS a), (SELECT unnest(range(0, 2)) AS b)) SELECT ord, node_id::INT AS node_id, sum(f[input + 1]) + 0.0 AS total FROM s, p GROUP BY 1, 2")
 def lattice_inputs(spark, sf_dir):
-    rows = [(k, i) for k, c in enumerate(N.lattice_connections(8, 8, 2, 2, 2, 2)) for i in c]
-    return spark.createDataFrame(rows, "node_id long, input long")
+    """What each field of a lattice over an 8 x 8 grid sees of every vector, added up."""
+    layer = N.Layer(tuple(tuple(c) for c in N.lattice_connections(8, 8, 2, 2, 2, 2)))
+    return N.fields(thousandths(spark, sf_dir), layer).select(F.col("sample_id").alias("ord"), "node_id", (V.total(F.col("features")) + 0.0).alias("total"))
 
 
 # Learnt models: rows only; tests hold their invariants.
@@ -859,13 +881,11 @@ def label_graph_slow_features(spark, sf_dir):
     return long_rows(E.map_vectors(rows.select("sample_id", "features"), E.slow_features(m, 2)), "features", 6)
 
 
-@query(f"WITH m AS (SELECT count(*) AS n, count(*) // {BLOCK} - 1 AS last FROM embeddings), d AS (SELECT 2 - 2 * cos(pi() * j / last) AS delta FROM m, LATERAL (SELECT unnest(range(0, last + 1)) AS j) UNION ALL SELECT 2.0 FROM m, LATERAL (SELECT unnest(range(last + 1, n)))) SELECT (row_number() OVER (ORDER BY delta) - 1)::INT AS k, round(delta, 6) + 0.0 AS delta FROM d")
+@query(f"WITH m AS (SELECT count(*) // {BLOCK} - 1 AS last FROM embeddings) SELECT j::INT AS k, round(2 - 2 * cos(pi() * j / last), 6) + 0.0 AS delta FROM m, (SELECT unnest(range(0, 5)) AS j)")
 def graph_responses(spark, sf_dir):
-    """Deltas of the free responses of a serial graph, by its eigenvalues; those of a chain of blocks have a closed form."""
-    nodes, edges = G.serial(spark, number(spark, sf_dir), BLOCK)
-    values, _, _ = G.eigenvectors(nodes, edges)
-    q, w = nodes.agg(F.sum("v")).first()[0], edges.agg(F.sum("w")).first()[0]
-    return spark.createDataFrame([(k, float(d)) for k, d in enumerate(G.deltas_of(values, q, w))], "k int, delta double").select("k", r(F.col("delta")).alias("delta"))
+    """Deltas of the five slowest free responses of a serial graph; those of a chain of blocks have a closed form. No matrix of the graph is made."""
+    found = SP.leading_responses(*G.serial(spark, number(spark, sf_dir), BLOCK), 5)
+    return spark.createDataFrame([(k, float(d)) for k, d in enumerate(found.deltas)], "k int, delta double").select("k", r(F.col("delta")).alias("delta"))
 
 
 @query()
@@ -877,7 +897,8 @@ def nonlinear_components(spark, sf_dir):
 
 @query()
 def random_latent_source(spark, sf_dir):
-    return synthetic.splits(synthetic.random_latent(spark, 2000, 16)).groupBy("class", "split").agg(F.count("*").alias("n"), F.round(F.avg("label"), 6).alias("label"))
+    """As many random samples as there are vectors."""
+    return synthetic.splits(synthetic.random_latent(spark, number(spark, sf_dir), 16)).groupBy("class", "split").agg(F.count("*").alias("n"), F.round(F.avg("label"), 6).alias("label"))
 
 
 _W = np.round(np.random.default_rng(0).normal(size=(SIZE, 6)), 6)
@@ -889,3 +910,81 @@ _OFFSETS = [0.1, 0.2, 0.8, 1.0, -0.3, 0.0]
     for j, o in enumerate(_OFFSETS) for y in [f"list_sum([z[1] * z[2] for z in list_zip(x, {_W[:, j].tolist()}::DOUBLE[])])"])))
 def sigmoid_expansion(spark, sf_dir):
     return long_rows(whole(spark, sf_dir).withColumn("y", sigmoid_features(_W.tolist(), _OFFSETS)(F.col("features"), SIZE)))
+
+
+# Cut-offs under rotations, chunks, parts and blocks, linear views.
+
+#: Pairs of components turned by the angle of the triangle 3, 4, 5.
+_TURN = np.kron(np.eye(SIZE // 2), np.array([[0.6, -0.8], [0.8, 0.6]]))
+
+
+@query(f"""WITH {LONG}, y0 AS (SELECT i, min(x) AS low, max(x) AS high, avg(x) AS mean, stddev_pop(x) AS spread FROM l WHERE class < 2 GROUP BY i),
+turned AS (SELECT a.ord, a.class, a.i AS i, 0.6 * a.x + 0.8 * b.x AS y, b.i AS j, -0.8 * a.x + 0.6 * b.x AS z FROM l a JOIN l b ON b.ord = a.ord AND b.i = a.i + 1 WHERE a.i % 2 = 1),
+y1 AS (SELECT i, min(y) AS low, max(y) AS high FROM turned WHERE class < 2 GROUP BY i UNION ALL SELECT j, min(z), max(z) FROM turned WHERE class < 2 GROUP BY j),
+c0 AS (SELECT ord, i, x, least(greatest(x, low), high) AS y, high - low AS wide, -0.5 * ((x - mean) / (4 * spread)) ** 2 - ln(4 * spread * sqrt(2 * pi())) AS normal FROM l JOIN y0 USING (i)),
+t1 AS (SELECT a.ord, a.i AS i, 0.6 * a.y + 0.8 * b.y AS y FROM c0 a JOIN c0 b ON b.ord = a.ord AND b.i = a.i + 1 WHERE a.i % 2 = 1 UNION ALL SELECT a.ord, b.i, -0.8 * a.y + 0.6 * b.y FROM c0 a JOIN c0 b ON b.ord = a.ord AND b.i = a.i + 1 WHERE a.i % 2 = 1),
+c1 AS (SELECT ord, i, y AS x, least(greatest(y, low), high) AS y, high - low AS wide FROM t1 JOIN y1 USING (i)),
+n1 AS (SELECT c0.ord, sum(-0.5 * ((c0.y - mean) / (4 * spread)) ** 2 - ln(4 * spread * sqrt(2 * pi()))) AS normal FROM c0 JOIN y0 USING (i) GROUP BY 1),
+f AS (SELECT ord, product(1 - pow((abs(y - x) / wide) / (abs(y - x) / wide + 0.15), 2)) AS f FROM (SELECT ord, x, y, wide FROM c0 UNION ALL SELECT ord, x, y, wide FROM c1) GROUP BY 1),
+g AS (SELECT ord, sum(normal) AS normal FROM c0 GROUP BY 1), q AS (SELECT ord, sum(y * y) AS q FROM c1 GROUP BY 1)
+SELECT ord, round(f, 6) AS correction, round((g.normal + n1.normal) / {UNIT}, 4) AS log_normal, round(q / {UNIT}, 1) AS square FROM f JOIN g USING (ord) JOIN n1 USING (ord) JOIN q USING (ord)""")
+def rotated_cut_off(spark, sf_dir):
+    """All samples cut to the bounds of classes 0 and 1, as they are and turned; how unusual each is, and its squared length after."""
+    rows = thousandths(spark, sf_dir)
+    out = CO.apply_cut_off(rows, CO.fit_cut_off(rows.where("class < 2"), (np.eye(SIZE), _TURN)))
+    square = F.aggregate("features", F.lit(0.0), lambda s, v: s + v * v)
+    return out.select(F.col("sample_id").alias("ord"), F.round("correction", 6).alias("correction"), r(F.col("log_normal") / UNIT, 4).alias("log_normal"), r(square / UNIT, 1).alias("square"))
+
+
+@query("WITH b AS (SELECT vec_id AS ord, vec_id // 4 AS b, max(vec_id) OVER () AS last FROM embeddings), c AS (SELECT ord, b // 5 AS chunk FROM b UNION ALL SELECT ord, b // 5 - 1 FROM b WHERE b % 5 = 0 AND b > 0), k AS (SELECT c.chunk, c.ord FROM c, (SELECT any_value(last) AS last FROM b) WHERE c.chunk * 20 + 4 <= last OR c.chunk = 0) SELECT chunk, count(*) AS n, min(ord) AS first, max(ord) AS last FROM k GROUP BY 1")
+def overlapping_chunks(spark, sf_dir):
+    """Chunks of six blocks of four samples, each of which begins with the last block of the one before."""
+    rows = chunked(whole(spark, sf_dir), 6, 4, continuous=True)
+    return rows.groupBy("chunk").agg(F.count("*").alias("n"), F.min("ord").alias("first"), F.max("ord").alias("last"))
+
+
+@query("WITH z AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1), p AS (SELECT label::INT AS class, part::INT AS part, (n + 2 - part) // 3 AS n FROM z, (SELECT unnest(range(0, 3)) AS part)) SELECT class, part, n, n * greatest(n - 1, 1) AS edges, 0::BIGINT AS inconsistent FROM p WHERE n > 0")
+def parts_of_classes(spark, sf_dir):
+    """Three parts of the samples, each with an even share of every class and its own consistent graph."""
+    rows = GB.split_groups(whole(spark, sf_dir), F.col("class"), 3)
+    out = None
+    for part in range(3):
+        mine = rows.where(F.col("part") == part)
+        nodes, edges = GB.part_graph(rows, part, F.col("class"))
+        bad = G.consistency(nodes, edges).where("not consistent").count()
+        ends = edges.join(mine.select(F.col("sample_id").alias("src"), "class"), "src").groupBy("class").agg(F.count("*").alias("edges"))
+        one = mine.groupBy("class").agg(F.count("*").alias("n")).join(ends, "class").select("class", F.lit(part).alias("part"), "n", "edges", F.lit(bad).cast("long").alias("inconsistent"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query(f"WITH x AS (SELECT 1){_RG}, b AS (SELECT src // 16 AS i, dst // 16 AS j, src, dst, w FROM g) SELECT i, j, count(*) AS n, sum(w) AS total, max(w) AS most FROM b GROUP BY 1, 2")
+def graph_in_blocks(spark, sf_dir):
+    """The suppliers' graph as dense blocks of 16 by 16: how many weights each holds, their sum and the largest."""
+    blocks = GB.to_blocks(supplies(spark, sf_dir)[1], 16)
+    some = F.filter("cells", lambda w: w != 0)
+    return blocks.select("i", "j", F.size(some).cast("long").alias("n"), F.aggregate("cells", F.lit(0.0), lambda s, w: s + w).alias("total"), F.array_max("cells").alias("most"))
+
+
+@query(f"WITH {LONG}, y AS (SELECT ord, sum(x * i) AS y FROM l WHERE i <= 3 GROUP BY 1), cv AS (SELECT i, covar_pop(x, y) AS c, var_pop(x) AS v, any_value((SELECT var_pop(y) FROM y)) AS w FROM l JOIN y USING (ord) GROUP BY i) SELECT round(sum(c * c) / any_value(w) / sum(v), 6) AS explained, round(sum((c / w) ** 2), 6) AS sensitivity FROM cv")
+def linear_view_of_one_output(spark, sf_dir):
+    """How much of the vectors a linear map gives back from one weighted sum of their first components, and how far it moves them."""
+    x = F.col("features")
+    view = LV.linear_view(thousandths(spark, sf_dir).withColumn("outputs", F.array(F.get(x, 0) + 2 * F.get(x, 1) + 3 * F.get(x, 2))))
+    return spark.createDataFrame([(float(view.explained), float(view.sensitivity[0]))], "explained double, sensitivity double").select(r(F.col("explained")).alias("explained"), r(F.col("sensitivity")).alias("sensitivity"))
+
+
+@query()
+def probes_of_vectors(spark, sf_dir):
+    """The share of samples whose class is told from 4 to 64 random sigmoids of the vectors."""
+    rows = whole(spark, sf_dir)
+    return LV.probe_classes(rows, [4, 16, 64])
+
+
+@query("SELECT class, dim, count(*) AS n, 0::BIGINT AS wrong FROM (SELECT label::INT AS class, unnest(range(0, 8)) AS dim FROM embeddings) GROUP BY 1, 2")
+def slots_network(spark, sf_dir):
+    """A layer of four fields with every slot filled; of each class and output, how many samples there are and how many outputs are not finite."""
+    layer = SL.SlotLayer(tuple(tuple(range(k, k + 16)) for k in range(0, SIZE, 16)), pca="PrincipalComponents", order="Ordering", expansions=("identity", "u08"), reduction="Whitening", parameters={"pca": {"outputs": 6}, "reduction": {"outputs": 5}, "outputs": 2, "ridge": 1e-6})
+    rows = whole(spark, sf_dir)
+    out = SL.apply_slots(rows, SL.train_slots(rows, layer, "class"))
+    return out.select("class", F.posexplode("features").alias("dim", "v")).groupBy("class", F.col("dim").cast("long").alias("dim")).agg(F.count("*").alias("n"), F.sum(F.when(F.isnan("v") | (F.abs("v") == float("inf")), 1).otherwise(0)).alias("wrong"))
