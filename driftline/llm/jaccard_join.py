@@ -26,8 +26,8 @@ Steps, all of them Spark jobs over all documents:
 
 Every link between different sets is found: prefixes are exact and nothing is
 capped. Which shingles count as frequent changes the way, not the result: it
-is kept in bit tables of a fixed size, where a shingle may be taken for a more
-frequent one. Shingles are compared by 64-bit hashes.
+is kept in bit tables of up to 64 MB, sized by what they hold, where a shingle
+may be taken for a more frequent one. Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -45,8 +45,10 @@ from driftline.llm.common import giving_back, keep_ids, keep_rows, parts, read_t
 from driftline.llm.components import Forest, connected_components
 from driftline.llm.hashing import U64, mix, shingle_sets
 
-#: A shingle in more than so many classes is frequent, and the more so the more of these it exceeds; with the bits (as a power of two) of the table that tells. All tables: 11 MB.
-FREQUENT = ((16, 26), (256, 24), (4096, 22), (65536, 20))
+#: A shingle in more than so many classes is frequent, and the more so the more of these it exceeds.
+FREQUENT = (16, 256, 4096, 65536)
+#: Bits of the tables that tell frequent shingles, for each shingle that a table holds, and bits of a table at most (64 MB), as a power of two.
+TABLE_LOAD, TABLE_MOST = 8, 29
 #: Bits of a piece of a table, as a power of two: what one row brings to the driver.
 _PIECE = 18
 #: Seeds of the orders; order 0 is that of the hashes themselves.
@@ -114,7 +116,7 @@ def _frequencies(docs: DataFrame, width: int, shards: int) -> DataFrame:
             keys = np.sort(np.concatenate([packed.unpack_sorted(x.as_py()) for x in group.column("keys")]))
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             df = np.diff(np.append(first, len(keys)))
-            often = df > FREQUENT[0][0]
+            often = df > FREQUENT[0]
             yield pa.RecordBatch.from_arrays([pa.array(keys[first[often]].view(np.int64)), pa.array(df[often])], ["bucket", "df"])
 
     cells = docs.select("doc_id", "text").mapInArrow(giving_back(send), "shard int, keys binary")
@@ -127,12 +129,14 @@ def _table_places(shingles: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _frequent(table: DataFrame) -> list[np.ndarray]:
-    """A packed bit table for each bound of FREQUENT."""
+    """A packed bit table for each bound of FREQUENT, as large as the number of its shingles asks for."""
+    number = table.agg(*[F.count(F.when(F.col("df") > least, 1)) for least in FREQUENT]).first()
+    sizes = [min(max((TABLE_LOAD * n).bit_length(), _PIECE), TABLE_MOST) for n in number]
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, df = batch.column("bucket").to_numpy().view(U64) << U64(64 - _KEY_BITS), batch.column("df").to_numpy()
-            for level, (least, bits) in enumerate(FREQUENT):
+            for level, (least, bits) in enumerate(zip(FREQUENT, sizes, strict=True)):
                 places = np.unique(_table_places(keys[df > least], bits))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(places), level, np.int32)), pa.array(places >> _PIECE), pa.array(places & ((1 << _PIECE) - 1))], ["level", "piece", "bit"])
 
@@ -144,7 +148,7 @@ def _frequent(table: DataFrame) -> list[np.ndarray]:
 
     rows = table.mapInArrow(giving_back(mark), "level int, piece long, bit long").withColumn("name", F.col("piece") * len(FREQUENT) + F.col("level"))
     pieces = rows.repartition("name").sortWithinPartitions("name").mapInArrow(giving_back(fill), "level int, piece long, cells binary").collect()
-    out = [np.zeros((1 << bits) // 8, np.uint8) for _, bits in FREQUENT]
+    out = [np.zeros((1 << bits) // 8, np.uint8) for bits in sizes]
     for r in pieces:
         out[r["level"]][r["piece"] << (_PIECE - 3) : (r["piece"] + 1) << (_PIECE - 3)] = np.frombuffer(r["cells"], np.uint8)
     return out
@@ -154,8 +158,8 @@ def _levels(shingles: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
     """How frequent each shingle is: 0 for a rare one."""
     out = np.zeros(len(shingles), np.int64)
     some = np.arange(len(shingles))
-    for level, ((_, bits), table) in enumerate(zip(FREQUENT, tables, strict=True), 1):
-        at = _table_places(shingles[some], bits)
+    for level, table in enumerate(tables, 1):
+        at = _table_places(shingles[some], (8 * len(table)).bit_length() - 1)
         some = some[table[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 == 1]
         out[some] = level
     return out
@@ -431,7 +435,8 @@ def jaccard_join(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFram
     set links to. Null or wordless texts have no shingles, link with nothing
     and have their own doc_id as component_id. Rows with equal sets, repeated
     rows among them, link. Rows with a null doc_id link with nothing and have
-    a null component_id. An empty table gives no rows.
+    a null component_id. Very long texts are read whole. An empty table gives
+    no rows.
     """
     return _joined(docs, percent, width).drop("component")
 

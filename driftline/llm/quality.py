@@ -5,8 +5,8 @@ be nearer to normal. Each class has a mean and a covariance, shrunk towards
 the pooled covariance and that towards a multiple of the identity; the
 moments are sums that Spark gathers over all labelled rows. The score is the
 posterior of class 1 from the difference of the classes' log densities:
-Mahalanobis distances by triangular solves with Cholesky factors, which are
-computed once when the model is made.
+Mahalanobis distances by products with the inverses of the Cholesky factors,
+which are computed once when the model is made and kept.
 """
 
 from __future__ import annotations

@@ -63,7 +63,7 @@ def test_links_of_groups_with_frequent_shingles(spark, seed):
 
 def test_links_when_every_shingle_is_taken_for_a_frequent_one(spark, monkeypatch):
     """Bit tables that are full change the way, not the result."""
-    monkeypatch.setattr(jaccard_join, "_frequent", lambda table: [np.full((1 << bits) // 8, 255, np.uint8) for _, bits in jaccard_join.FREQUENT])
+    monkeypatch.setattr(jaccard_join, "_frequent", lambda table: [np.full(1 << 17, 255, np.uint8) for _ in jaccard_join.FREQUENT])
     rows = mixed(9)
     assert found(spark, rows) == brute(rows)
 
@@ -86,3 +86,17 @@ def test_words_that_a_polynomial_hash_takes_for_equal(spark):
     rest = " ".join(f"r{k}" for k in range(4))
     rows = [(k, f"{morse(2048, k)} {rest}") for k in (0, 1)]
     assert found(spark, rows) == brute(rows) == Counter({(0, 1, 0, 0): 1, (1, 1, 1, 0): 1})
+
+
+def test_tables_are_sized_by_what_they_hold(spark):
+    """All frequent shingles are told, few others are, and more of them make larger tables."""
+    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 48, 60_000))
+    df = np.where(np.arange(len(keys)) % 100 == 0, 300, 20)
+    table = spark.createDataFrame(__import__("pandas").DataFrame({"bucket": keys, "df": df}))
+    tables = jaccard_join._frequent(table)
+    assert 8 * len(tables[0]) >= 8 * len(keys) > 8 * len(tables[1]) / 4 and len(tables[2]) == 1 << 15
+    shingles = keys.astype(np.uint64) << np.uint64(16)
+    levels = jaccard_join._levels(shingles, tables)
+    assert (levels >= np.where(df > 256, 2, 1)).all() and (levels == np.where(df > 256, 2, 1)).mean() > 0.9
+    others = np.random.default_rng(2).integers(0, 1 << 63, 20_000).astype(np.uint64)
+    assert (jaccard_join._levels(others, tables) > 0).mean() < 0.15
