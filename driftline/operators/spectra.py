@@ -28,6 +28,8 @@ from driftline.staging import settled
 DEGREE, WRITTEN = 20, 10
 #: Edges that may be broadcast (some 50 bytes each); more are joined by a shuffle.
 BROADCAST_EDGES = 500_000
+#: Graphs of at most so many edges and nodes are worked on as arrays of the driver (some 50 MB).
+LOCAL_EDGES = 500_000
 
 
 @dataclass(frozen=True)
@@ -95,18 +97,101 @@ def product(vectors: DataFrame, edges: DataFrame, size: int, factor: float = 1.0
     return rows.repartition(parts, "sample_id").mapInArrow(meet, schema)
 
 
-def _filtered(vectors: DataFrame, edges: DataFrame, size: int, low: float, cut: float, top: float) -> DataFrame:
-    """A scaled Chebyshev polynomial of the graph on x, small between low and cut and large from there to top."""
+def _steps(low: float, cut: float, top: float) -> list[tuple[float, float, float]]:
+    """The factors of the graph's product, of the block and of the block before in each step of a scaled Chebyshev polynomial, small between low and cut and large from there to top."""
     half, middle = (cut - low) / 2, (cut + low) / 2
     first = sigma = half / (top - middle)
-    now = product(vectors, edges, size, sigma / half, -middle * sigma / half)
-    for k in range(2, DEGREE + 1):
+    out = [(sigma / half, -middle * sigma / half, 0.0)]
+    for _ in range(DEGREE - 1):
         step = 1 / (2 / first - sigma)
-        now = product(now, edges, size, 2 * step / half, -2 * middle * step / half, -sigma * step)
+        out.append((2 * step / half, -2 * middle * step / half, -sigma * step))
         sigma = step
-        if k % WRITTEN == 0 and k < DEGREE:
-            now = settled(now)
-    return now.select("sample_id", "x", F.col("x").alias("past"))
+    return out
+
+
+def _drawn(first: int, last: int, seed: int) -> list:
+    """Numbers from -1 to 1 by hashes of sample_id, for the columns from first to last."""
+    return [F.xxhash64("sample_id", F.lit(seed), F.lit(k)) / float(2**63) for k in range(first, last)]
+
+
+class _Tables:
+    """The block as a table; graph (src, dst, w) and roots (sample_id, s) are tables too."""
+
+    def __init__(self, graph: DataFrame, roots: DataFrame, size: int, seed: int) -> None:
+        self.graph, self.roots, self.size = F.broadcast(graph) if graph.count() <= BROADCAST_EDGES else graph, roots, size
+        drawn = F.array(*_drawn(0, size, seed))
+        self.block = settled(roots.select("sample_id", drawn.alias("x"), drawn.alias("past")))
+
+    def gram(self) -> np.ndarray:
+        """Of the block, its image and the constant."""
+        image = product(self.block, self.graph, self.size)
+        self.joint = settled(image.join(self.roots, "sample_id").select("sample_id", F.concat("past", "x", F.array("s")).alias("features")))
+        n = 2 * self.size + 1
+        return merge(unlabelled(self.joint, n), n).sxx
+
+    def turn(self, change: np.ndarray) -> None:
+        """The block becomes what change makes of the block, its image and the constant."""
+        made = map_vectors(self.joint, lambda x: x @ change, "features", "x").select("sample_id", "x")
+        self.block = made.withColumn("past", F.col("x"))
+
+    def redraw(self, first: int, seed: int) -> None:
+        kept = [F.get("x", k) for k in range(first)]
+        made = self.block.select("sample_id", F.array(*kept, *_drawn(first, self.size, seed)).alias("x"))
+        self.block = made.withColumn("past", F.col("x"))
+
+    def filter(self, steps: list[tuple[float, float, float]]) -> None:
+        now = self.block
+        for k, (factor, own, before) in enumerate(steps, 1):
+            now = product(now, self.graph, self.size, factor, own, before)
+            if k % WRITTEN == 0 and k < len(steps):
+                now = settled(now)
+        self.block = settled(now.select("sample_id", "x", F.col("x").alias("past")))
+
+    def table(self) -> DataFrame:
+        return self.block.select("sample_id", "x")
+
+
+class _Arrays:
+    """The same for a graph of at most LOCAL_EDGES edges and nodes, as arrays of the driver."""
+
+    def __init__(self, graph: DataFrame, roots: DataFrame, size: int, seed: int) -> None:
+        self.spark, self.size = roots.sparkSession, size
+        drawn = [c.alias(f"x{k}") for k, c in enumerate(_drawn(0, size, seed))]
+        held = roots.select(F.col("sample_id").cast("long").alias("sample_id"), "s", *drawn).toArrow()
+        ids = held.column("sample_id").to_numpy()
+        order = np.argsort(ids)
+        self.ids, self.s = ids[order], held.column("s").to_numpy()[order]
+        self.x = np.stack([held.column(f"x{k}").to_numpy()[order] for k in range(size)], axis=1)
+        edges = graph.toArrow()
+        src, dst = (np.searchsorted(self.ids, edges.column(c).to_numpy()) for c in ("src", "dst"))
+        by = np.argsort(dst, kind="stable")
+        self.src, self.w = src[by], edges.column("w").to_numpy()[by]
+        self.rows, self.starts = np.unique(dst[by], return_index=True)
+
+    def product(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros_like(x)
+        if len(self.rows):
+            out[self.rows] = np.add.reduceat(x[self.src] * self.w[:, None], self.starts, axis=0)
+        return out
+
+    def gram(self) -> np.ndarray:
+        self.joint = np.concatenate([self.x, self.product(self.x), self.s[:, None]], axis=1)
+        return self.joint.T @ self.joint
+
+    def turn(self, change: np.ndarray) -> None:
+        self.x = self.joint @ change
+
+    def redraw(self, first: int, seed: int) -> None:
+        self.x[:, first:] = np.random.default_rng(seed).uniform(-1, 1, (len(self.x), self.size - first))
+
+    def filter(self, steps: list[tuple[float, float, float]]) -> None:
+        now, past = self.x, np.zeros_like(self.x)
+        for factor, own, before in steps:
+            now, past = factor * self.product(now) + own * now + before * past, now
+        self.x = now
+
+    def table(self) -> DataFrame:
+        return self.spark.createDataFrame(pa.table({"sample_id": self.ids, "x": _lists(self.x)}))
 
 
 def leading_responses(nodes: DataFrame, edges: DataFrame, count: int, *, constant: bool = True, tolerance: float = 1e-5, extra: int | None = None, rounds: int = 100, seed: int = 0) -> Responses:
@@ -126,21 +211,17 @@ def leading_responses(nodes: DataFrame, edges: DataFrame, count: int, *, constan
     wanted = count - int(constant)
     size = min(wanted + (extra if extra is not None else max(8, wanted)), n - int(constant))
     graph = settled(normalised(nodes, symmetric(edges)).select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "w"))
-    graph = F.broadcast(graph) if graph.count() <= BROADCAST_EDGES else graph
     # No eigenvalue is larger than the largest row sum of W / v; the constant is one's vector if the row sums are those of v, times R / Q.
     sums = symmetric(edges).groupBy(F.col("src").alias("sample_id")).agg(F.sum(F.abs("w")).alias("a"), F.sum("w").alias("b"))
     told = nodes.join(sums, "sample_id", "left").agg(F.max(F.col("a") / F.col("v")), F.max(F.abs(F.coalesce("b", F.lit(0.0)) / F.col("v") - float(r or 0.0) / float(q)))).first()
     bound = float(told[0] or 0.0) or 1.0
     if constant and told[1] > 1e-6 * bound:
         raise ValueError("the graph is not consistent, so the constant is no response of it; see with_constant")
-    draw = [F.xxhash64("sample_id", F.lit(seed), F.lit(k)) / float(2**63) for k in range(size)]
-    block = settled(roots.select("sample_id", F.array(*draw).alias("x"))).withColumn("past", F.col("x"))
     values = residuals = np.zeros(0)
-    for turn in range(rounds if size else 0):
-        image = product(block, graph, size)  # x: the image, past: the block
-        joint = image.join(roots, "sample_id").select("sample_id", F.concat("past", "x", F.array("s")).alias("features"))
-        joint = settled(joint)
-        gram = merge(unlabelled(joint, 2 * size + 1), 2 * size + 1).sxx
+    few = graph.count() <= LOCAL_EDGES and n <= LOCAL_EDGES
+    block = (_Arrays if few else _Tables)(graph, roots, max(size, 1), seed)
+    for turn in range(rounds if wanted else 0):
+        gram = block.gram()
         along = gram[: 2 * size, -1] if constant else np.zeros(2 * size)  # what the block and its image have of the constant
         clean = gram[: 2 * size, : 2 * size] - np.outer(along, along)
         own, cross, far = clean[:size, :size], clean[:size, size:], clean[size:, size:]
@@ -155,21 +236,18 @@ def leading_responses(nodes: DataFrame, edges: DataFrame, count: int, *, constan
         full = np.zeros((2 * size + 1, size))
         full[:size, : change.shape[1]] = change
         full[-1, : change.shape[1]] = -along[:size] @ change
-        fresh = size - change.shape[1]
-        block = map_vectors(joint, lambda x, m=full: x @ m, "features", "x").select("sample_id", "x")
-        if fresh:  # directions that vanished are drawn anew
-            redrawn = [F.get("x", k) if k < size - fresh else F.xxhash64("sample_id", F.lit(seed + turn + 1), F.lit(k)) / float(2**63) for k in range(size)]
-            block = block.select("sample_id", F.array(*redrawn).alias("x"))
-        block = block.withColumn("past", F.col("x"))
+        block.turn(full)
         if len(theta) >= wanted and (residuals[:wanted] <= tolerance * bound).all():
             break
-        if not wanted:
-            break
-        cut = float(theta[-1]) if theta[-1] < theta[wanted - 1] else float(theta[wanted - 1]) - 1e-3 * bound
-        block = settled(_filtered(block, graph, size, -bound * (1 + 1e-9), max(cut, -bound * 0.999), max(float(theta[0]), cut + 1e-3 * bound)))
+        if len(theta) < size:  # directions that vanished are drawn anew
+            block.redraw(len(theta), seed + turn + 1)
+        cut = float(theta[-1]) if len(theta) > wanted and theta[-1] < theta[wanted - 1] else float(theta[min(wanted, len(theta)) - 1]) - 1e-3 * bound
+        cut = max(cut, -bound * 0.999)
+        block.filter(_steps(-bound * (1 + 1e-9), cut, max(float(theta[0]), cut + 1e-3 * bound)))
     else:
-        if size:
-            raise ValueError(f"residuals of up to {residuals[:wanted].max():.2g} after {rounds} rounds")
+        if wanted:
+            raise ValueError(f"residuals of up to {residuals[:wanted].max(initial=0):.2g} after {rounds} rounds")
+    block = block.table()
     response = F.transform(F.slice("x", 1, max(wanted, 1)), lambda e: e / F.col("s")) if wanted else F.array().cast("array<double>")
     found = block.join(roots, "sample_id").select("sample_id", response.alias("response"))
     if constant:

@@ -72,6 +72,20 @@ def test_consistent_graph(spark):
     assert np.allclose([along[k] for k in range(5)], got.deltas, atol=1e-7)
 
 
+def test_tables_and_arrays_take_the_same_steps(spark):
+    """One round of either way from the same block: products, Gram matrix, change and filter."""
+    _, _, nodes, edges = random_graph(spark, 40, 200, 7, uniform=True)
+    graph = G.normalised(nodes, G.symmetric(edges)).select("src", "dst", "w")
+    roots = nodes.select("sample_id", F.sqrt(F.col("v") / 40).alias("s"))
+    one, two = S._Tables(graph, roots, 3, 5), S._Arrays(graph, roots, 3, 5)
+    change = np.random.default_rng(1).normal(size=(7, 3))
+    assert np.allclose(one.gram(), two.gram())
+    for way in (one, two):
+        way.turn(change)
+        way.filter(S._steps(-3.0, 0.5, 2.0)[:3])
+    assert np.allclose(arrays(one.table(), "x"), arrays(two.table(), "x"))
+
+
 def test_many_nodes(spark):
     """Twenty loosely tied groups of 1000 nodes each; the response tells the groups apart."""
     n, groups = 10_000, 10
