@@ -14,6 +14,7 @@ from driftline.functions.expansions import expand
 from driftline.functions.vectors import clip_between
 from driftline.operators.moments import Moments, dimension, matrix, merge, train, unlabelled
 from driftline.session import ship
+from driftline.staging import settled
 
 
 @dataclass(frozen=True)
@@ -286,7 +287,7 @@ def pivots(values: DataFrame, count: int) -> list[float]:
     wanted = sorted({int(np.round(k)) for k in np.linspace(0, n - 1, count)})
     spark = values.sparkSession
     counted = values.groupBy("x").count()
-    ranged = counted.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), "x").withColumn("part", F.spark_partition_id()).persist()
+    ranged = settled(counted.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), "x").withColumn("part", F.spark_partition_id()))
     totals, start, starts = sorted(ranged.groupBy("part").agg(F.sum("count").alias("n")).collect()), 0, []
     for part, m in totals:
         starts.append((part, start))
@@ -298,7 +299,6 @@ def pivots(values: DataFrame, count: int) -> list[float]:
     placed = placed.select("x", (last - F.col("count")).alias("first"), last.alias("last"))
     ranks = F.broadcast(spark.createDataFrame([(k,) for k in wanted], "rank long"))
     found = {r["rank"]: r["x"] for r in placed.join(ranks, (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last"))).select("rank", "x").collect()}
-    ranged.unpersist()
     return [found[int(np.round(k))] for k in np.linspace(0, n - 1, count)]
 
 
@@ -335,5 +335,6 @@ def nonlinear_components(samples: DataFrame, size: int, outputs: int, factor: fl
         fitted = regression(merge(unlabelled(joint, inputs + size), inputs + size), inputs)
         both = scored.withColumn("_w", F.concat(wide, "features"))
         rows = map_vectors(both, lambda z, m=fitted, f=factor: z[:, inputs:] - f * m(z[:, :inputs]), "_w", "features").select("features")
+        rows = settled(rows)  # the next round reads it twice
         stages.append((first, fitted))
     return stages

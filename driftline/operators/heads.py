@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions.vectors import squared_distance
 from driftline.operators.estimators import map_vectors
-from driftline.operators.moments import Moments, add_up, group_sums, matrix
+from driftline.operators.moments import Moments, add_up, group_sums, lists, matrix
 from driftline.session import ship
 
 #: Rows of a reference set that may be sent to every task.
@@ -54,7 +54,7 @@ def class_states(samples: DataFrame, size: int, key: str = "class") -> dict[int,
                 of, x = batch.column("k").to_numpy(), matrix(batch)
                 for c in np.unique(of).tolist():
                     states.setdefault(c, Moments.zero(size)).nodes(x[of == c])
-        yield pa.RecordBatch.from_arrays([pa.array(list(states), pa.int32()), pa.array([s.flat().tolist() for s in states.values()], pa.list_(pa.float64()))], ["k", "state"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(states), pa.int32()), lists([s.flat() for s in states.values()])], ["k", "state"])
 
     rows = samples.where(F.col(key).isNotNull()).select(F.col(key).cast("int").alias("k"), "features")
     found = add_up(rows.mapInArrow(run, "k int, state array<double>"), "k").toArrow()

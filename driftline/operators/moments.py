@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.session import ship
+from driftline.staging import settled
 
 #: Rows of a bucket of neighbours, less the few that it shares with the next.
 BUCKET = 4096
@@ -77,9 +78,14 @@ def matrix(batch: pa.RecordBatch | pa.Table, name: str = "features") -> np.ndarr
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
+def lists(rows: Sequence[np.ndarray]) -> pa.Array:
+    """Arrays as a column of lists, without a Python object for each number."""
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows).astype(float) if len(rows) else np.zeros(0)))
+
+
 def _row(state: Moments | None) -> pa.RecordBatch:
-    rows = [state.flat().tolist()] if state is not None else []
-    return pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64()))], ["state"])
+    return pa.RecordBatch.from_arrays([lists([state.flat()] if state is not None else [])], ["state"])
 
 
 def partial(rows: DataFrame, add: Callable[[Moments, pa.RecordBatch], None], size: int) -> DataFrame:
@@ -115,8 +121,7 @@ def add_up(partials: DataFrame, key: str | None = None) -> DataFrame:
             for k, name in enumerate(keys):
                 state = column[k].values.to_numpy(zero_copy_only=False)
                 sums[name] = sums[name] + state if name in sums else state.copy()
-        states = pa.array([x.tolist() for x in sums.values()], pa.list_(pa.float64()))
-        yield pa.RecordBatch.from_arrays([*([pa.array(list(sums), pa.int32())] if key else []), states], columns)
+        yield pa.RecordBatch.from_arrays([*([pa.array(list(sums), pa.int32())] if key else []), lists(list(sums.values()))], columns)
 
     first, last = ([key], [key]) if key else ([], [])
     spread = [*first, F.pmod(F.hash("state"), F.lit(ADDERS))] if key else first
@@ -145,8 +150,8 @@ def with_ord(rows: DataFrame, *by: Column) -> DataFrame:
     spark = rows.sparkSession
     ranged = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), *by).sortWithinPartitions(*by)
     ranged = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_serial", F.monotonically_increasing_id())
-    # Places are told by partition, so what is counted here must be what is read later: written where there is a shared folder, else held.
-    ranged = ranged.checkpoint() if spark.sparkContext.getCheckpointDir() else ranged.persist()
+    # Places are told by partition, so what is counted here must be what is read later.
+    ranged = settled(ranged)
     counts = sorted(ranged.groupBy("_part").agg(F.count("*").alias("n"), F.min("_serial").alias("least")).collect())
     starts, start = [], 0
     for part, n, least in counts:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from driftline.functions.expansions import expand
 from driftline.functions.vectors import gather
 from driftline.operators.estimators import Linear, map_vectors, principal_components, slow_features
-from driftline.operators.moments import Moments, add_up, dimension, matrix
+from driftline.operators.moments import Moments, add_up, dimension, lists, matrix
 from driftline.session import ship
 
 
@@ -118,7 +118,7 @@ def _states(rows: DataFrame, group: Column, size: int) -> dict[int, Moments]:
                     s.r += len(mine)
         for s in states.values():
             s.sdd = 2 * s.sxx
-        yield pa.RecordBatch.from_arrays([pa.array(list(states), pa.int32()), pa.array([s.flat().tolist() for s in states.values()], numbers)], ["node_id", "state"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(states), pa.int32()), lists([s.flat() for s in states.values()])], ["node_id", "state"])
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,7 +136,7 @@ def _states(rows: DataFrame, group: Column, size: int) -> dict[int, Moments]:
         total = matrix(table, "total").sum(axis=0)
         s = Moments.zero(size)
         s.sdd = np.outer(total, total) * (-2 / table.column("n").to_numpy().sum())
-        return pa.table({"node_id": table.column("node_id")[:1], "state": pa.array([s.flat().tolist()], numbers)})
+        return pa.table({"node_id": table.column("node_id")[:1], "state": lists([s.flat()])})
 
     grouped = rows.select("node_id", group.cast("string").alias("_g"), "features")
     schema = "node_id int, state array<double>"
