@@ -1,9 +1,11 @@
 """The corpus pipeline: documents of good quality, without shared lines and near copies, packed into sequences.
 
 Every stage works on all that its predecessor kept, which is written and read
-again between them. The functions of the stages say what becomes of null, empty
-and very long texts, repeated rows and rows without a doc_id; other columns go
-through as they are, whatever their names, and empty tables give no rows.
+again between them. The functions of the stages say what becomes of null and
+empty texts, repeated rows and rows without a doc_id; other columns go through
+as they are, whatever their names, and empty tables give no rows. Very long
+texts are read, judged, compared and packed whole, each within one task, which
+takes some tens of times a text's size in memory.
 """
 
 from __future__ import annotations
