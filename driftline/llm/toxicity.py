@@ -44,7 +44,7 @@ _HIDDEN, _FOREIGN = 1, 2  # raw bytes of characters without width, and of all be
 #: What a digit or sign may stand for.
 LOOK_ALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
 #: Logarithms of what the channel does: a look-alike for a letter, a digit or sign meant as such beside letters, a sign put between letters, a blank meant or put between single characters, a letter doubled, or kept and put in where there are three or more.
-LOOKS, MEANT, PUT_IN, APART, SPACED, DOUBLED, STAYS, MANY = -1.5, -3.0, -2.0, -2.0, -0.5, -4.0, -3.0, -0.5
+LOOKS, MEANT, PUT_IN, APART, SPACED, DOUBLED, STAYS, MANY = -1.5, -3.0, -3.5, -2.0, -0.5, -4.0, -3.0, -0.5
 #: Characters of a unit that are decoded together.
 PIECE = 64
 #: Shares of trigrams, bigrams and single characters; an even share of all codes is the rest.
@@ -123,11 +123,15 @@ def count_characters(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for _, buf, off in pieces(batch):
                 raw, at = raw_text(buf, off)
-                # A blank before, between and after the texts; blanks in a row count as one.
+                # A blank before, between and after the texts; blanks in a row count as one. What lies around an end is of two texts.
                 code = np.insert(CODE[raw], at, BLANK).astype(np.int64)
-                code = code[np.concatenate([[True], (code[1:] != BLANK) | (code[:-1] != BLANK)])]
+                kept = np.concatenate([[True], (code[1:] != BLANK) | (code[:-1] != BLANK)])
+                end = np.zeros(int(kept.sum()), bool)
+                end[(np.cumsum(kept) - 1)[np.insert(np.zeros(len(raw), bool), at, True)]] = True
+                code = code[kept]
                 if len(code) > 2:
-                    total += np.bincount((code[:-2] << 12) | (code[1:-1] << 6) | code[2:], minlength=len(total))
+                    cells = (code[:-2] << 12) | (code[1:-1] << 6) | code[2:]
+                    total += np.bincount(cells[~end[1:-1]], minlength=len(total))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["cell", "n"])
 
@@ -550,6 +554,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, m
     """
     spark = docs.sparkSession
     small_batches(spark)
+    docs = docs.select("doc_id", "text")
     model = spark.sparkContext.broadcast(language_model(count_characters(docs)))
     texts = stage(restored_words(labelled_texts(docs, labels, most), model), "restored")
     evidence = spark.sparkContext.broadcast(learn(texts))

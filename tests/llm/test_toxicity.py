@@ -15,8 +15,8 @@ from driftline.llm import toxicity as T
 
 SF = "/root/testdata/sf0.01"
 BAD = ["idiot", "stupid", "worthless", "scum"]
-GOOD = ["river", "green", "little", "account", "window", "seven", "butter", "harbour", "lesson", "morning"]
-DISGUISES = ["1d10t", "$tup1d", "w0rthle$$", "s c u m", "i.d.i.o.t", "stuuuupid", "i-d-i-o-t", "5tup!d", "sss c c c uuu m"]
+GOOD = ["river", "green", "little", "account", "window", "seven", "butter", "harbour", "unless", "morning"]
+DISGUISES = ["1d10t", "$tup1d", "w0rthle$$", "s c u m", "i.d.i.o.t", "stuuuupid", "i-d-i-o-t", "5tup!d", "s_c_u_m"]
 
 
 def prose(n, seed, bad=0):
@@ -62,7 +62,7 @@ def test_restores_disguised_words(model, text):
 
 
 def test_leaves_plain_words_alone(model):
-    assert restored(model, "A little butter, the account; (lesson) 12345 seven!") == ["a", "little", "butter", "the", "account", "lesson", "#####", "seven"]
+    assert restored(model, "A little butter, the account; (unless) 12345 seven!") == ["a", "little", "butter", "the", "account", "unless", "#####", "seven"]
 
 
 def test_viterbi_finds_the_best_of_all_readings(model):
@@ -82,14 +82,15 @@ def test_viterbi_finds_the_best_of_all_readings(model):
 
 def test_language_model_counts(spark, model):
     """The trigrams of all texts by a dictionary."""
-    texts = ["ab 1", "", "a  b\n", "ß?"]
-    counts = {r["cell"]: r["n"] for r in T.count_characters(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
-    seen = []
+    texts = ["ab 1", "", "a  b\n", "ß?", None, " x"]
+    want = Counter()
     for t in texts:
-        seen += [0, *[{"a": 1, "b": 2, "1": T.DIGIT, "ß": 27, "?": T.SIGN}.get(c, 0) for c in t]]
-    seen.append(0)
-    seen = [c for k, c in enumerate(seen) if c or not k or seen[k - 1]]
-    assert counts == dict(Counter((a << 12) | (b << 6) | c for a, b, c in zip(seen, seen[1:], seen[2:], strict=False)))
+        seen = [0, *[{"a": 1, "b": 2, "x": 24, "1": T.DIGIT, "ß": 27, "?": T.SIGN}.get(c, 0) for c in t or ""], 0]
+        seen = [c for k, c in enumerate(seen) if c or not k or seen[k - 1]]
+        want.update((a << 12) | (b << 6) | c for a, b, c in zip(seen, seen[1:], seen[2:], strict=False))
+    for parts in (1, 4):
+        rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(parts)
+        assert {r["cell"]: r["n"] for r in T.count_characters(rows).collect()} == dict(want)
     assert np.allclose(np.exp(model.astype(float)).reshape(-1, 64).sum(axis=1).max(), 1, atol=1e-3)
 
 
