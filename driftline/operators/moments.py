@@ -239,6 +239,21 @@ def window(samples: DataFrame, size: int, width: int, rows: int, both_ways: bool
     return neighbourhoods(samples, width, work)
 
 
+def truncating_window(samples: DataFrame, size: int, width: int, rows: int) -> DataFrame:
+    """Samples up to width apart, both ways; node weights 1, and nothing beyond the ends."""
+    if 2 * width >= rows:
+        raise ValueError(f"a window of {width} needs more than {rows} samples")
+
+    def work(x: np.ndarray, at: np.ndarray, own: np.ndarray) -> Moments:
+        state = Moments.zero(size)
+        state.nodes(x[own])
+        for d in range(1, width + 1):
+            state.edges((x[d:] - x[:-d])[own[:-d]], 2.0)
+        return state
+
+    return neighbourhoods(samples, width, work)
+
+
 def mirror_window(samples: DataFrame, size: int, width: int, rows: int) -> DataFrame:
     """As window in both directions, the sequence mirrored at both ends, node weights 1."""
     if 2 * width >= rows:
@@ -424,14 +439,14 @@ def states_of(samples: DataFrame, mode: str, *, size: int | None = None, block:
 
     regular, unlabeled, clustered (with key or block), classification (key),
     serial, serial_regression (samples ordered by key first), mixed,
-    dual_serial, window<w>, fwindow<w>, mirror_window<w>, smirror_window<w>,
+    dual_serial, window<w>, fwindow<w>, mirror_window<w>, smirror_window<w>, truncating_window<w>,
     graph, compact_classes<J>, ignore_data. Another name raises ValueError.
     """
     import re
 
     size = size or dimension(samples)
     rows = samples.count()
-    named = re.fullmatch(r"(f|mirror_|smirror_)?window(\d+)", mode)
+    named = re.fullmatch(r"(f|mirror_|smirror_|truncating_)?window(\d+)", mode)
     blocks = F.floor(F.col("ord") / block) if block else None
     if mode == "ignore_data":
         return samples.sparkSession.createDataFrame([], "state array<double>")
@@ -451,7 +466,7 @@ def states_of(samples: DataFrame, mode: str, *, size: int | None = None, block:
         states = dual_serial(samples, size, block, block, rows)
     elif named:
         width = int(named[2])
-        states = mirror_window(samples, size, width, rows) if "mirror" in (named[1] or "") else window(samples, size, width, rows, named[1] == "f")
+        states = truncating_window(samples, size, width, rows) if named[1] == "truncating_" else mirror_window(samples, size, width, rows) if "mirror" in (named[1] or "") else window(samples, size, width, rows, named[1] == "f")
     elif mode in ("graph", "graph_old"):
         states = graph(samples, size, nodes, edges)
     elif mode.startswith("compact_classes"):

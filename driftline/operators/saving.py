@@ -7,12 +7,16 @@ from dataclasses import fields, is_dataclass
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from driftline.operators.cutoff import CutOff
 from driftline.operators.estimators import Linear, SlowAndRest
+from driftline.operators.linear_view import LinearView
 from driftline.operators.moments import Moments
+from driftline.operators.selection import AdaptedSigmoids
 from driftline.plans.network import Layer, TrainedLayer
+from driftline.plans.slots import Preserved, SlotLayer, TrainedSlots
 
 #: What may be saved, by name.
-KINDS = {c.__name__: c for c in (Linear, SlowAndRest, Moments, Layer, TrainedLayer)}
+KINDS = {c.__name__: c for c in (Linear, SlowAndRest, Moments, Layer, TrainedLayer, CutOff, LinearView, AdaptedSigmoids, Preserved, SlotLayer, TrainedSlots)}
 _SCHEMA = "path string, kind string, value string, shape array<int>, numbers array<double>"
 
 

@@ -153,6 +153,11 @@ def moments_window_both_ways(spark, sf_dir):
     return moments_rows(spark, M.train(thousandths(spark, sf_dir), "fwindow3"))
 
 
+@query(moments_sql(ALL_ONE, "SELECT a.ord AS src, b.ord AS dst, 1.0 AS w FROM s a JOIN s b ON abs(b.ord - a.ord) BETWEEN 1 AND 3"))
+def moments_truncating_window(spark, sf_dir):
+    return moments_rows(spark, M.train(thousandths(spark, sf_dir), "truncating_window3"))
+
+
 @query(moments_sql(ALL_ONE, "SELECT ord AS src, CASE WHEN ord + d < 0 THEN -1 - ord - d WHEN ord + d >= n THEN 2 * n - 1 - ord - d ELSE ord + d END AS dst, 1.0 AS w FROM s, c, (SELECT unnest([-3, -2, -1, 1, 2, 3]) AS d)"))
 def moments_mirror_window(spark, sf_dir):
     return moments_rows(spark, M.train(thousandths(spark, sf_dir), "mirror_window3"))
@@ -988,3 +993,17 @@ def slots_network(spark, sf_dir):
     rows = whole(spark, sf_dir)
     out = SL.apply_slots(rows, SL.train_slots(rows, layer, "class"))
     return out.select("class", F.posexplode("features").alias("dim", "v")).groupBy("class", F.col("dim").cast("long").alias("dim")).agg(F.count("*").alias("n"), F.sum(F.when(F.isnan("v") | (F.abs("v") == float("inf")), 1).otherwise(0)).alias("wrong"))
+
+
+@query("WITH p AS (SELECT vec_id AS place, (vec_id * 7 + 3) % (SELECT count(*) // 2 FROM embeddings) AS spot FROM embeddings) SELECT place, vec_id AS ord, label::INT AS class FROM p JOIN embeddings ON vec_id = spot")
+def rows_by_a_list(spark, sf_dir):
+    """As many rows as there are, by a list of places in the first half of them."""
+    rows = whole(spark, sf_dir)
+    half = rows.count() // 2
+    places = rows.select(F.col("ord").alias("place"), ((F.col("ord") * 7 + 3) % half).alias("ord"))
+    return synthetic.rows_at(rows, places).select("place", "ord", "class")
+
+
+@query("SELECT c::INT AS class, count(label) AS n FROM (SELECT unnest(range(0, 43)) AS c) LEFT JOIN embeddings ON label = c GROUP BY 1")
+def histogram_of_classes(spark, sf_dir):
+    return synthetic.class_histogram(whole(spark, sf_dir), 43)

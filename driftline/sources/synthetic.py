@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.session import ship
@@ -104,3 +104,25 @@ def fingerprint(samples: DataFrame) -> DataFrame:
     """(n, digest): the same for the same rows in any order."""
     row = F.xxhash64("sample_id", F.to_json(F.struct("features")))
     return samples.agg(F.count("*").alias("n"), F.hex(F.bit_xor(row)).alias("digest"))
+
+
+def rows_at(samples: DataFrame, places: DataFrame) -> DataFrame:
+    """The samples (ord) that places (place, ord) names, with place: in any order, as often as they are named; an ord that is not there gives no row."""
+    return samples.join(places.select("place", F.col("ord").alias("_at")), F.col("ord") == F.col("_at")).drop("_at")
+
+
+def class_histogram(samples: DataFrame, classes: int, key: str = "class") -> DataFrame:
+    """(class, n) of the classes 0, 1, ..., those without a sample with 0; other values of key are left out."""
+    every = samples.sparkSession.range(classes).select(F.col("id").cast("int").alias("class"))
+    found = samples.groupBy(F.col(key).cast("int").alias("_c")).agg(F.count("*").alias("n"))
+    return every.join(F.broadcast(found.where(F.col("_c").between(0, classes - 1))), F.col("class") == F.col("_c"), "left").select("class", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def coin(*of: str, seed: int = 0) -> Column:
+    """True or false by a fair hash of the named columns: the same for a row that is made again."""
+    return F.pmod(F.xxhash64(*of, F.lit(seed)), F.lit(2)) == 1
+
+
+def gender_code(gender: Column) -> Column:
+    """A number from -4 to 4 as 0 to 999; null as 999."""
+    return F.when(gender.isNull(), 999).otherwise(F.least(F.greatest((500 + gender * 125).cast("int"), F.lit(0)), F.lit(999)))

@@ -220,3 +220,23 @@ def test_nearest_neighbours_are_the_same_by_either_way(spark):
     r = table(spark).select(F.col("sample_id").alias("reference_id"), "features")
     key = lambda rows: {(x["query_id"], x["rank"]): x["reference_id"] for x in rows.collect()}
     assert key(H.nearest_neighbours(q, r, 3, True)) == key(NB.nearest(q, r, 3, True))
+
+
+def test_models_with_slots_and_cut_offs_are_saved(spark, tmp_path):
+    from driftline.operators import saving
+
+    layer = S.SlotLayer(((0, 1, 2), (2, 3, 4)), pca="Whitening", last="SlowFeatures", parameters={"outputs": 2, "pca": {"outputs": 3}})
+    models = [S.train_slots(table(spark), layer, "class"), C.fit_cut_off(table(spark), 2)]
+    saving.save(spark, models, str(tmp_path / "m"))
+    slots, cut = saving.load(spark, str(tmp_path / "m"))
+    assert np.allclose(features(S.apply_slots(table(spark), slots)), features(S.apply_slots(table(spark), models[0])))
+    assert all((a == b).all() for a, b in zip(cut.rotations, models[1].rotations, strict=True)) and slots.spec == layer
+
+
+def test_codes_and_coins(spark):
+    from driftline.sources import synthetic
+
+    rows = spark.createDataFrame([(-5.0,), (-1.0,), (0.004,), (3.9,), (9.0,), (None,)], "g double")
+    assert [r[0] for r in rows.select(synthetic.gender_code(F.col("g"))).collect()] == [0, 375, 500, 987, 999, 999]
+    flips = [r[0] for r in spark.range(4000).select(synthetic.coin("id", seed=1)).collect()]
+    assert 1850 < sum(flips) < 2150 and flips == [r[0] for r in spark.range(4000).repartition(3).orderBy("id").select(synthetic.coin("id", seed=1)).collect()]
