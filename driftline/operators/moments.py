@@ -318,34 +318,59 @@ def clustered(samples: DataFrame, size: int, key: Column, weight: float | Column
     return partial(joined.select("features", "_w", "n"), inner_free, size).union(partial(sums.select("n", "total", "_w"), outer_free, size))
 
 
-def serial(samples: DataFrame, size: int, block: int, rows: int, weight: float = 1.0) -> DataFrame:
-    """All pairs of samples in adjacent blocks of the order, both ways, weight 1 / block; node weights 1 in the first and last block, else 2."""
-    if rows % block or rows // block < 2:
+def serial(samples: DataFrame, size: int, block: int, rows: int, weight: float = 1.0, rest: bool = False, evenly: bool = False) -> DataFrame:
+    """All pairs of samples in adjacent blocks of the order, both ways, weight 1 / block; node weights 1 in the first and last whole block, else 2.
+
+    rest: what is left after the whole blocks is a shorter one; without it, that
+    raises. evenly: each pair of blocks counts the same, so a pair of samples
+    has the weight block over the product of its blocks' sizes; of whole blocks
+    that is 1 / block too.
+    """
+    if rows <= block or (rows % block and not rest):
         raise ValueError(f"{rows} samples are not two or more whole blocks of {block}")
     last = rows // block - 1
+    held = lambda k: np.clip(rows - k * block, 0, block) * (k >= 0)
 
     def inner(s: Moments, b: pa.RecordBatch) -> None:
         k = b.column("ord").to_numpy() // block
         v = np.where((k == 0) | (k == last), 1.0, 2.0) * weight
+        near = (np.sign(held(k - 1)) + np.sign(held(k + 1))) * block / held(k) if evenly else (held(k - 1) + held(k + 1)) / block
         x = matrix(b)
         s.nodes(x, v)
-        s.edges(x, 2 * v)
-        s.r -= float(v.sum())  # the sum of edge weights is that of the node weights
+        s.edges(x, 2 * weight * near)
+        s.r -= weight * float(near.sum())
 
     sums = group_sums(samples, F.floor(F.col("ord") / block))
-    after = sums.select((F.col("key") - 1).alias("key"), F.col("total").alias("next"))
+    after = sums.select((F.col("key") - 1).alias("key"), F.col("n").alias("more"), F.col("total").alias("next"))
 
     def outer(s: Moments, b: pa.RecordBatch) -> None:
-        cross = matrix(b, "total").T @ matrix(b, "next")
-        s.sdd -= (cross + cross.T) * (2 * weight / block)
+        pairs = b.column("n").to_numpy() * b.column("more").to_numpy()
+        w = block / pairs if evenly else np.full(len(pairs), 1 / block)
+        cross = (matrix(b, "total") * w[:, None]).T @ matrix(b, "next")
+        s.sdd -= (cross + cross.T) * (2 * weight)
+
+    return partial(samples.select("ord", "features"), inner, size).union(partial(sums.join(after, "key").select("n", "more", "total", "next"), outer, size))
 
-    return partial(samples.select("ord", "features"), inner, size).union(partial(sums.join(after, "key").select("total", "next"), outer, size))
 
+def mixed(samples: DataFrame, size: int, block: int, rows: int, rest: bool = False) -> DataFrame:
+    """serial, and all pairs within each block, weight 1 / block, doubly in the first and last whole one; node weights 3."""
+    doubled = lambda k: np.where((k == 0) | (k == rows // block - 1), 2.0, 1.0)
 
-def mixed(samples: DataFrame, size: int, block: int, rows: int) -> DataFrame:
-    """serial, and all pairs within each block, doubly in the first and last."""
-    k = F.floor(F.col("ord") / block)
-    return serial(samples, size, block, rows).union(clustered(samples, size, k, F.when((k == 0) | (k == rows // block - 1), 2.0).otherwise(1.0)))
+    def inner(s: Moments, b: pa.RecordBatch) -> None:
+        k = b.column("ord").to_numpy() // block
+        near = doubled(k) * np.minimum(rows - k * block, block) / block
+        x = matrix(b)
+        s.nodes(x, doubled(k))
+        s.edges(x, 2 * near)
+        s.r -= float(near.sum())
+
+    def outer(s: Moments, b: pa.RecordBatch) -> None:
+        t = matrix(b, "total")
+        s.sdd -= (t * (2 * doubled(b.column("key").to_numpy()) / block)[:, None]).T @ t
+
+    sums = group_sums(samples, F.floor(F.col("ord") / block))
+    within = partial(samples.select("ord", "features"), inner, size).union(partial(sums.select("key", "total"), outer, size))
+    return serial(samples, size, block, rows, rest=rest).union(within)
 
 
 def dual_serial(samples: DataFrame, size: int, block: int, second_block: int, rows: int, second_weight: float = 0.0) -> DataFrame:
@@ -389,14 +414,14 @@ def compact_labels(classes: int, labels: int | None = None) -> tuple[np.ndarray,
     return table, weights / weights.sum()
 
 
-def compact_classes(samples: DataFrame, size: int, block: int, rows: int, labels: int | None = None) -> DataFrame:
-    """Two clusters for each of the labels of compact_labels; a class is a block of the order."""
-    if rows % block:
+def compact_classes(samples: DataFrame, size: int, block: int, rows: int, labels: int | None = None, rest: bool = False) -> DataFrame:
+    """Two clusters for each of the labels of compact_labels; a class is a block of the order. rest: what is left after the last class goes on with the first; without it, that raises."""
+    if not 0 < block <= rows or (rows % block and not rest):
         raise ValueError(f"{rows} samples are not whole blocks of {block}")
     table, weights = compact_labels(rows // block, labels)
     out = None
     for j, w in enumerate(weights.tolist()):
-        sign = F.element_at(F.array(*[F.lit(int(x)) for x in table[:, j]]), (F.floor(F.col("ord") / block) + 1).cast("int"))
+        sign = F.element_at(F.array(*[F.lit(int(x)) for x in table[:, j]]), (F.floor(F.col("ord") / block) % (rows // block) + 1).cast("int"))
         states = clustered(samples, size, sign, w)
         out = states if out is None else out.union(states)
     return out
@@ -434,13 +459,14 @@ def with_unlabelled_in_classes(labelled: Moments, more: DataFrame, classes: int
     return Moments(labelled.q + weight * n2, old.r + labelled.q * n2 * tie + inner * n2, labelled.sx + weight * new.sx, labelled.sxx + weight * new.sxx, old.sdd + ties + among)
 
 
-def states_of(samples: DataFrame, mode: str, *, size: int | None = None, block: int | None = None, key: Column | None = None, nodes: DataFrame | None = None, edges: DataFrame | None = None, labels: int | None = None) -> DataFrame:
+def states_of(samples: DataFrame, mode: str, *, size: int | None = None, block: int | None = None, key: Column | None = None, nodes: DataFrame | None = None, edges: DataFrame | None = None, labels: int | None = None, rest: bool = False) -> DataFrame:
     """(state) of samples under a mode, by its name; their sum are its moments.
 
     regular, unlabeled, clustered (with key or block), classification (key),
     serial, serial_regression (samples ordered by key first), mixed,
     dual_serial, window<w>, fwindow<w>, mirror_window<w>, smirror_window<w>, truncating_window<w>,
-    graph, compact_classes<J>, ignore_data. Another name raises ValueError.
+    graph, compact_classes<J>, ignore_data. Another name raises ValueError, as do
+    rows that are no whole blocks of serial, mixed and compact_classes without rest.
     """
     import re
 
@@ -457,11 +483,11 @@ def states_of(samples: DataFrame, mode: str, *, size: int | None = None, block:
     elif mode in ("clustered", "classification"):
         states = clustered(samples, size, blocks if key is None else key)
     elif mode == "serial":
-        states = serial(samples, size, block, rows)
+        states = serial(samples, size, block, rows, rest=rest)
     elif mode == "serial_regression":
-        states = serial(with_ord(samples.drop("ord"), key, F.col("sample_id")), size, block, rows)
+        states = serial(with_ord(samples.drop("ord"), key, F.col("sample_id")), size, block, rows, rest=rest)
     elif mode == "mixed":
-        states = mixed(samples, size, block, rows)
+        states = mixed(samples, size, block, rows, rest)
     elif mode == "dual_serial":
         states = dual_serial(samples, size, block, block, rows)
     elif named:
@@ -470,7 +496,7 @@ def states_of(samples: DataFrame, mode: str, *, size: int | None = None, block:
     elif mode in ("graph", "graph_old"):
         states = graph(samples, size, nodes, edges)
     elif mode.startswith("compact_classes"):
-        states = compact_classes(samples, size, block, rows, int(mode[15:]) if mode[15:] else labels)
+        states = compact_classes(samples, size, block, rows, int(mode[15:]) if mode[15:] else labels, rest)
     else:
         raise ValueError(f"no training mode is called {mode}")
     return states
@@ -506,17 +532,17 @@ def eta(rows: int, delta: np.ndarray) -> np.ndarray:
     return rows / (2 * np.pi) * np.sqrt(delta)
 
 
-def typical_deltas(samples: DataFrame, mode: str, block: int | None = None, key: Column | None = None) -> tuple[np.ndarray, np.ndarray]:
+def typical_deltas(samples: DataFrame, mode: str, block: int | None = None, key: Column | None = None, rest: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Deltas and etas that a sequence drawn along the mode has on average.
 
-    serial and mixed: one sample of each block after another, by any draw;
+    serial and mixed: one sample of each block after another, by any draw (rest: a shorter last block too);
     clustered, classification and compact_classes: two different samples of a
     group; others: the samples in their order.
     """
     size, rows = dimension(samples), samples.count()
     if mode in ("serial", "mixed"):
-        delta = deltas(merge(serial(samples, size, block, rows), size))
-        return delta, eta(rows // block, delta)
+        delta = deltas(merge(serial(samples, size, block, rows, rest=rest, evenly=True), size))
+        return delta, eta(-(-rows // block), delta)
     if mode in ("clustered", "classification", "compact_classes"):
         groups = F.floor(F.col("ord") / block) if key is None else key
         delta = deltas(merge(clustered(samples, size, groups, loops=False), size))

@@ -127,17 +127,17 @@ def moments_clustered_without_loops(spark, sf_dir):
 
 @query(moments_sql(f"SELECT ord, {_ENDS} AS v FROM b", _SERIAL, more=_K))
 def moments_serial(spark, sf_dir):
-    return moments_rows(spark, M.train(thousandths(spark, sf_dir), "serial", block=_BLOCK))
+    return moments_rows(spark, M.train(thousandths(spark, sf_dir), "serial", block=_BLOCK, rest=True))
 
 
 @query(moments_sql(f"SELECT ord, 3.0 AS v FROM b", f"{_SERIAL} UNION ALL {_INNER}", more=_K))
 def moments_mixed(spark, sf_dir):
-    return moments_rows(spark, M.train(thousandths(spark, sf_dir), "mixed", block=_BLOCK))
+    return moments_rows(spark, M.train(thousandths(spark, sf_dir), "mixed", block=_BLOCK, rest=True))
 
 
 @query(moments_sql(f"SELECT ord, {_ENDS} AS v FROM b", _SERIAL, more=f", o AS (SELECT ord, row_number() OVER (ORDER BY class, ord) - 1 AS p FROM s), b AS (SELECT ord, p // {_BLOCK} AS k, (SELECT n FROM c) // {_BLOCK} - 1 AS last FROM o)"))
 def moments_serial_regression(spark, sf_dir):
-    return moments_rows(spark, M.train(thousandths(spark, sf_dir), "serial_regression", key=F.col("class"), block=_BLOCK))
+    return moments_rows(spark, M.train(thousandths(spark, sf_dir), "serial_regression", key=F.col("class"), block=_BLOCK, rest=True))
 
 
 _RAMP = "SELECT ord, least(least(ord + 3, n - 1 - ord + 3), 6) / 6.0 AS v FROM s, c"
@@ -183,7 +183,7 @@ _HALVES = ", b AS (SELECT ord, ord // 125 AS k FROM s), g AS (SELECT b.ord, b.k,
 
 def moments_compact_classes(spark, sf_dir):
     rows = thousandths(spark, sf_dir)
-    return moments_rows(spark, M.train(rows, "compact_classes3", block=rows.count() // 4))
+    return moments_rows(spark, M.train(rows, "compact_classes3", block=rows.count() // 4, rest=True))
 
 
 query(moments_sql("SELECT ord, 1.0::DOUBLE AS v FROM b", "SELECT a.ord AS src, b2.ord AS dst, a.wj / z.n AS w FROM g a JOIN g b2 ON a.j = b2.j AND a.sign = b2.sign JOIN z ON z.j = a.j AND z.sign = a.sign", more=_HALVES.replace("// 125", "// (SELECT n // 4 FROM c)")))(moments_compact_classes)
@@ -246,7 +246,7 @@ def _delta_rows(spark, delta, eta) -> DataFrame:
 @query(f"WITH {LONG}, b AS (SELECT ord // {_BLOCK} AS k, i, avg(x) AS m, avg(x * x) AS q FROM l GROUP BY 1, 2), d AS (SELECT a.i, avg(a.q + b.q - 2 * a.m * b.m) AS d, count(*) + 1 AS n FROM b a JOIN b ON b.k = a.k + 1 AND b.i = a.i GROUP BY 1) SELECT (i - 1)::INT AS i, round(d, 4) AS delta, round(n / (2 * pi()) * sqrt(d), 6) AS eta FROM d")
 def typical_delta_of_blocks(spark, sf_dir):
     """Of a sequence of one sample from each block after another."""
-    return _delta_rows(spark, *M.typical_deltas(thousandths(spark, sf_dir), "serial", block=_BLOCK))
+    return _delta_rows(spark, *M.typical_deltas(thousandths(spark, sf_dir), "serial", block=_BLOCK, rest=True))
 
 
 @query(f"WITH {LONG}, d AS (SELECT i, x, x - lag(x) OVER (PARTITION BY i ORDER BY ord) AS d FROM l) SELECT (i - 1)::INT AS i, round(avg(d * d), 4) AS delta, round(any_value((SELECT n FROM c)) / (2 * pi()) * sqrt(avg(d * d)), 6) AS eta FROM d GROUP BY i")
