@@ -69,9 +69,9 @@ def _adjacent(rows: DataFrame) -> DataFrame:
 
 
 def serial(spark: SparkSession, n: int, block: int) -> tuple[DataFrame, DataFrame]:
-    """All pairs of adjacent blocks, both ways, weight 1; node weights 1 in the first and last block, else 2."""
-    if n // block < 2 or n % block:
-        raise ValueError("a serial graph has two or more whole blocks")
+    """All pairs of adjacent blocks, both ways, weight 1; node weights 1 in the first and last whole block, else 2. What is left after the whole blocks is a shorter one."""
+    if n <= block:
+        raise ValueError("a serial graph has two or more blocks")
     rows = _blocks(spark, n, block)
     nodes = rows.select("sample_id", F.when(F.col("k").isin(0, n // block - 1), 1.0).otherwise(2.0).alias("v"))
     return nodes, _adjacent(rows)
