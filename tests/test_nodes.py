@@ -240,3 +240,19 @@ def test_codes_and_coins(spark):
     assert [r[0] for r in rows.select(synthetic.gender_code(F.col("g"))).collect()] == [0, 375, 500, 987, 999, 999]
     flips = [r[0] for r in spark.range(4000).select(synthetic.coin("id", seed=1)).collect()]
     assert 1850 < sum(flips) < 2150 and flips == [r[0] for r in spark.range(4000).repartition(3).orderBy("id").select(synthetic.coin("id", seed=1)).collect()]
+
+
+def test_a_query_is_sent_once_to_a_shard(spark, monkeypatch):
+    """Rows without clusters, of which balls leave nothing out: few rows are sent, and all distances by brute force."""
+    monkeypatch.setattr(NB, "LEAST_ROWS", 60)
+    x = np.round(np.random.default_rng(5).normal(size=(300, 24)), 2)
+    x[:20] = x[0]
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "reference_id long, features array<double>")
+    index = NB.BallIndex(rows)
+    assert index.shards <= 7 and len(index.pivots) == 17
+    got = {(r["query_id"], r["rank"]): (r["reference_id"], r["distance2"]) for r in index.search(rows.withColumnRenamed("reference_id", "query_id"), 4, True).collect()}
+    assert len(got) == 1200
+    for k, v in enumerate(x):
+        d = ((v - x) ** 2).sum(axis=1)
+        for n, (e, i) in enumerate(sorted((e, i) for i, e in enumerate(d) if e > 0)[:4]):
+            assert got[k, n + 1] == (i, e)
