@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from driftline.operators.estimators import map_vectors, numbers
 from driftline.operators.graphs import deltas_of, normalised, symmetric
-from driftline.operators.moments import matrix, merge, unlabelled
+from driftline.operators.moments import matrix, merge, unlabelled, with_ord
 from driftline.session import ship
 from driftline.staging import settled
 
@@ -261,6 +261,74 @@ def leading_responses(nodes: DataFrame, edges: DataFrame, count: int, *, constan
     return Responses(table, values[:count], deltas_of(values[:count], float(q), float(r)), residuals[:count])
 
 
+def _chain_values(diagonal: np.ndarray, beside: np.ndarray, low: int, high: int) -> np.ndarray:
+    """Eigenvalues low to high - 1, falling, of the symmetric matrix with these numbers on and beside its diagonal: by bisection, with counts of those below."""
+    size, rank = len(diagonal), np.arange(low, high)
+    reach = np.abs(diagonal)
+    reach[:-1] += np.abs(beside)
+    reach[1:] += np.abs(beside)
+    bound = float(reach.max(initial=0.0)) * (1 + 1e-12) + 1e-300
+    bottom, top = np.full(len(rank), -bound), np.full(len(rank), bound)
+    square = np.concatenate([[0.0], beside * beside])
+    for _ in range(56):
+        middle = (bottom + top) / 2
+        below, past = np.zeros(len(rank), np.int64), np.ones(len(rank))
+        for a, b in zip(diagonal.tolist(), square.tolist(), strict=True):
+            past = a - middle - b / past
+            past[np.abs(past) < 1e-280] = -1e-280
+            below += past < 0
+        over = size - below > rank  # so many lie at the middle or above
+        bottom, top = np.where(over, middle, bottom), np.where(over, top, middle)
+    return (bottom + top) / 2
+
+
+#: Eigenvalues that a task finds at most.
+VALUES = 512
+
+
+def chain_spectrum(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(k, value): all eigenvalues of the normalised graph, falling, of a graph whose nodes fall into a chain of classes.
+
+    Nodes of one weight with the same edges are one class: they have as many
+    eigenvalues 0 as there are nodes less one. In the order of its least node,
+    a class may have edges to itself, the one before and the next; another
+    graph raises. Two numbers a class reach the driver and go to every task,
+    which finds its share of the eigenvalues by bisection.
+    """
+    spark = nodes.sparkSession
+    ship(spark)
+    graph = symmetric(edges)
+    hashes = [F.sum(F.xxhash64("dst", "w", F.lit(seed)).cast("decimal(38,0)")).alias(f"h{seed}") for seed in (0, 1)]
+    told = nodes.join(graph.groupBy(F.col("src").alias("_n")).agg(*hashes), F.col("sample_id") == F.col("_n"), "left")
+    classes = told.groupBy("v", "h0", "h1", F.when(F.col("h0").isNull(), F.col("sample_id")).alias("_own")).agg(F.min("sample_id").alias("least"), F.count("*").alias("n")).select("least", "n", "v")
+    classes = settled(with_ord(classes, F.col("least")))
+    at = lambda name: classes.select(F.col("least").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("ord", "n", "v")])
+    # One node of a class has the edges of all; what they lead to are the nodes of a class.
+    held = graph.join(at("src"), "src").join(at("dst"), "dst")
+    scaled = F.col("w") * F.sqrt(F.col("src_n") * F.col("dst_n") / (F.col("src_v") * F.col("dst_v")))
+    held = held.select(F.col("src_ord").alias("i"), F.col("dst_ord").alias("j"), scaled.alias("x")).toArrow()
+    size = classes.count()
+    i, j, x = (held.column(c).to_numpy() for c in ("i", "j", "x"))
+    if (np.abs(i - j) > 1).any():
+        raise ValueError("the classes of the graph are no chain")
+    diagonal, beside = np.zeros(size), np.zeros(max(size - 1, 0))
+    diagonal[i[i == j]] = x[i == j]
+    beside[i[j == i + 1]] = x[j == i + 1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in (batch.column("id").to_numpy() * VALUES).tolist():
+                high = min(size, start + VALUES)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(start, high)), pa.array(_chain_values(diagonal, beside, start, high))], ["k", "value"])
+
+    shares = -(-size // VALUES)
+    found = settled(spark.range(0, shares, 1, shares).mapInArrow(run, "k long, value double"))
+    more = nodes.count() - size
+    over = found.where("value > 0").count()
+    zeros = spark.range(more).select((F.col("id") + over).alias("k"), F.lit(0.0).alias("value"))
+    return found.select((F.col("k") + F.when(F.col("value") > 0, 0).otherwise(more)).alias("k"), "value").union(zeros)
+
+
 def eigenvectors_of(responses: DataFrame, nodes: DataFrame) -> DataFrame:
     """(sample_id, vector): responses times sqrt(v / Q), which have norm 1."""
     q = nodes.agg(F.sum("v")).first()[0]

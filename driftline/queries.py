@@ -894,11 +894,14 @@ def label_graph_slow_features(spark, sf_dir):
     return long_rows(E.map_vectors(rows.select("sample_id", "features"), E.slow_features(m, 2)), "features", 6)
 
 
-@query(f"WITH m AS (SELECT count(*) // {BLOCK} - 1 AS last FROM embeddings) SELECT j::INT AS k, round(2 - 2 * cos(pi() * j / last), 6) + 0.0 AS delta FROM m, (SELECT unnest(range(0, 5)) AS j)")
+@query(f"WITH m AS (SELECT count(*) AS n, count(*) // {BLOCK} - 1 AS last FROM embeddings), d AS (SELECT 2 - 2 * cos(pi() * j / last) AS delta FROM m, LATERAL (SELECT unnest(range(0, last + 1)) AS j) UNION ALL SELECT 2.0 FROM m, LATERAL (SELECT unnest(range(last + 1, n)))) SELECT (row_number() OVER (ORDER BY delta) - 1)::INT AS k, round(delta, 6) + 0.0 AS delta FROM d")
 def graph_responses(spark, sf_dir):
-    """Deltas of the five slowest free responses of a serial graph; those of a chain of blocks have a closed form. No matrix of the graph is made."""
-    found = SP.leading_responses(*G.serial(spark, number(spark, sf_dir), BLOCK), 5)
-    return spark.createDataFrame([(k, float(d)) for k, d in enumerate(found.deltas)], "k int, delta double").select("k", r(F.col("delta")).alias("delta"))
+    """Deltas of all free responses of a serial graph; those of a chain of blocks have a closed form. No matrix of the graph is made. Samples after the last whole block are tied to none."""
+    n = number(spark, sf_dir)
+    nodes, edges = G.serial(spark, n // BLOCK * BLOCK, BLOCK)
+    q, w = nodes.agg(F.sum("v")).first()[0], edges.agg(F.sum("w")).first()[0]
+    alone = spark.range(n // BLOCK * BLOCK, n).select(F.col("id").alias("sample_id"), F.lit(1.0).alias("v"))
+    return SP.chain_spectrum(nodes.union(alone), edges).select(F.col("k").cast("int").alias("k"), r(2 - 2 * F.col("value") * q / w).alias("delta"))
 
 
 @query()

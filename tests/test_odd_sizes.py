@@ -28,3 +28,26 @@ def agrees(spark, odd, name):
 @pytest.mark.parametrize("name", ["moments_serial", "moments_mixed", "moments_serial_regression", "moments_compact_classes", "typical_delta_of_blocks", "graph_serial", "graph_mixed", "graph_improved", "graph_compact_classes"])
 def test_equals_sql_without_whole_blocks(spark, odd, name):
     assert agrees(spark, odd, name)
+
+
+def test_all_responses_of_a_chain(spark, odd):
+    """All 487 of the graph of 48 whole blocks and 7 samples that are tied to none."""
+    assert agrees(spark, odd, "graph_responses")
+    assert queries.QUERIES["graph_responses"](spark, odd[0]).count() == 487
+
+
+def test_spectrum_of_a_chain_of_classes(spark):
+    """Classes of unlike sizes and weights, one with edges to itself: the dense matrix's eigenvalues."""
+    from driftline.operators import graphs as G
+    from driftline.operators import spectra as SP
+
+    of, v = [0, 0, 0, 1, 1, 2, 2, 2, 2, 3], [1.0, 2.0, 0.5, 3.0]
+    w = {(0, 1): 1.5, (1, 2): 0.25, (2, 3): 2.0, (1, 1): -0.75}
+    edges = [(i, j, w[of[i], of[j]]) for i in range(10) for j in range(10) if (of[i], of[j]) in w]
+    nodes = spark.createDataFrame([(i, v[c]) for i, c in enumerate(of)], "sample_id long, v double")
+    graph = spark.createDataFrame(edges, "src long, dst long, w double")
+    want = G.eigenvectors(nodes, graph)[0]
+    got = sorted((r["k"], r["value"]) for r in SP.chain_spectrum(nodes, graph).collect())
+    assert [k for k, _ in got] == list(range(10)) and np.allclose([x for _, x in got], want, atol=1e-12)
+    with pytest.raises(ValueError, match="no chain"):
+        SP.chain_spectrum(nodes, graph.union(spark.createDataFrame([(0, 9, 1.0)], "src long, dst long, w double")))
