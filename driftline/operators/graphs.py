@@ -38,24 +38,53 @@ def linear(spark: SparkSession, n: int) -> tuple[DataFrame, DataFrame]:
     return uniform_nodes(spark, n), add_up(chain, back, ends)
 
 
+#: Nodes of a piece of a cluster.
+PIECE = 1024
+
+
+def pairs_within(members: DataFrame) -> DataFrame:
+    """members (sample_id, cluster, ...) with n, the size of the cluster, and dst, each node of it, itself too.
+
+    A cluster's nodes are listed in pieces. Nodes meet lists by cluster and
+    piece, in as many shares as the shuffle has partitions, so a large cluster
+    is no hot key; pairs are made of lists where they are used, not shuffled.
+    """
+    spark = members.sparkSession
+    shares = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("n")).select(F.col("cluster").alias("_c"), "n", F.ceil(F.col("n") / PIECE).cast("int").alias("_pieces"))
+    sized = members.join(F.broadcast(sizes) if sizes.count() <= 10_000 else sizes, F.col("cluster").eqNullSafe(F.col("_c")) & F.col("cluster").isNotNull()).drop("_c")
+    lists = sized.withColumn("_piece", F.pmod(F.xxhash64("sample_id"), F.col("_pieces")).cast("int")).groupBy("cluster", "_piece").agg(F.collect_list("sample_id").alias("_others"), F.first("n").alias("_n"))
+    # Clusters of one piece meet in one share; the lists of larger ones are copied to all.
+    lists = lists.withColumn("_share", F.explode(F.when(F.col("_n") > PIECE, F.sequence(F.lit(0), F.lit(shares - 1))).otherwise(F.array(F.lit(0)))))
+    share = F.when(F.col("n") > PIECE, F.pmod(F.xxhash64("sample_id", F.lit(1)), F.lit(shares)).cast("int")).otherwise(F.lit(0))
+    ones = sized.drop("_pieces").withColumn("_share", share).repartition(shares, "cluster", "_share")
+    lists = lists.drop("_n").repartition(shares, "cluster", "_share")
+    return ones.join(lists.hint("shuffle_hash"), ["cluster", "_share"]).withColumn("dst", F.explode("_others")).drop("_share", "_piece", "_others")
+
+
 def clustered(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """members (sample_id, cluster): all pairs within each cluster, weight 1 / (size - 1), no loops; node weights 1."""
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("n"))
-    one = members.join(sizes, "cluster")
-    two = members.select("cluster", F.col("sample_id").alias("dst"))
-    edges = one.join(two, "cluster").where("sample_id != dst").select(F.col("sample_id").alias("src"), "dst", (1.0 / (F.col("n") - 1)).alias("w"))
+    edges = pairs_within(members).where("sample_id != dst").select(F.col("sample_id").alias("src"), "dst", (1.0 / (F.col("n") - 1)).alias("w"))
     return members.select("sample_id", F.lit(1.0).alias("v")), edges
 
 
 def compact_classes(spark: SparkSession, classes: int, size: int, labels: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """For each label of compact_labels its two clusters, weighted and added up; a class is size samples in a row."""
+    """For each label of compact_labels its two clusters, weighted and added up; a class is size samples in a row.
+
+    What two classes share tells the weight of all pairs between them, so the
+    pairs are listed once, and nothing is shuffled.
+    """
     table, weights = compact_labels(classes, labels)
     nodes = uniform_nodes(spark, classes * size)
-    layers = []
-    for j, w in enumerate(weights.tolist()):
-        sign = F.element_at(F.array(*[F.lit(int(x)) for x in table[:, j]]), (F.floor(F.col("sample_id") / size) + 1).cast("int"))
-        layers.append(scaled(clustered(nodes.select("sample_id", sign.alias("cluster")))[1], w))
-    return nodes, add_up(*layers)
+    shared = (table[:, None, :] == table[None, :, :]) * (weights / np.maximum((table[:, None, :] == table[None, :, :]).sum(axis=1) * size - 1, 1))[:, None, :]
+    rows = [F.array(*[F.lit(float(x)) for x in row]) for row in shared.sum(axis=2)]
+    numbered = F.filter(F.transform(F.element_at(F.array(*rows), (F.floor(F.col("src") / size) + 1).cast("int")), lambda w, c: F.struct(c.alias("c"), w.alias("w"))), lambda x: x["w"] != 0)
+    # Pieces of a class, then its nodes: no list of a whole class.
+    met = spark.range(classes * size).select(F.col("id").alias("src")).select("src", F.explode(numbered).alias("x"))
+    starts = F.sequence(F.col("x.c").cast("long") * size, F.col("x.c").cast("long") * size + size - 1, F.lit(PIECE).cast("long"))
+    met = met.select("src", "x", F.explode(starts).alias("at"))
+    last = F.least(F.col("at") + PIECE - 1, F.col("x.c").cast("long") * size + size - 1)
+    return nodes, met.select("src", F.explode(F.sequence("at", last)).alias("dst"), F.col("x.w").alias("w")).where("src != dst")
 
 
 def _blocks(spark: SparkSession, n: int, block: int) -> DataFrame:
