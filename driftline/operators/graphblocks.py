@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftline.operators.graphs import pairs_within
 from driftline.operators.moments import Moments, matrix, merge, partial
 from driftline.session import ship
 
@@ -94,8 +95,6 @@ def split_groups(samples: DataFrame, group: Column, parts: int, seed: int = 0) -
 
 def part_graph(rows: DataFrame, part: int, group: Column) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of a part's own clustered graph: all pairs of each group that the part holds, weight 1 / (size - 1), node weights 1; single samples have a loop of weight 1. Consistent for itself."""
-    own = rows.where(F.col("part") == part).select("sample_id", group.alias("_g"))
-    sizes = own.groupBy("_g").agg(F.count("*").alias("n"))
-    one = own.join(sizes, "_g")
-    pairs = one.join(own.select("_g", F.col("sample_id").alias("dst")), "_g").where((F.col("sample_id") != F.col("dst")) | (F.col("n") == 1))
+    own = rows.where(F.col("part") == part).select("sample_id", group.alias("cluster"))
+    pairs = pairs_within(own).where((F.col("sample_id") != F.col("dst")) | (F.col("n") == 1))
     return own.select("sample_id", F.lit(1.0).alias("v")), pairs.select(F.col("sample_id").alias("src"), "dst", (1.0 / F.greatest(F.col("n") - 1, F.lit(1))).alias("w"))
