@@ -7,15 +7,20 @@ out; a graph of few dense groups is a few long rows instead of many edges.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.operators.graphs import pairs_within
-from driftline.operators.moments import Moments, matrix, merge, partial
+from driftline.operators.moments import Moments, lists, matrix, merge, partial
 from driftline.session import ship
 
+#: Cells that a step of to_blocks fills at most (16 MB).
+CELLS = 2_000_000
+
 
 def to_blocks(edges: DataFrame, size: int) -> DataFrame:
     """(i, j, cells) of edges (src, dst, w) between nodes numbered from 0; weights of the same pair are added. size: nodes of a block."""
@@ -23,12 +28,29 @@ def to_blocks(edges: DataFrame, size: int) -> DataFrame:
     rows = edges.groupBy("src", "dst").agg(F.sum("w").alias("w"))
     rows = rows.select(F.floor(F.col("src") / size).alias("i"), F.floor(F.col("dst") / size).alias("j"), (F.col("src") % size * size + F.col("dst") % size).alias("at"), "w")
 
-    def fill(group: pa.Table) -> pa.Table:
-        cells = np.zeros(size * size)
-        cells[group.column("at").to_numpy()] = group.column("w").to_numpy()
-        return pa.table({"i": group.column("i")[:1], "j": group.column("j")[:1], "cells": pa.array([cells], pa.list_(pa.float64()))})
-
-    return rows.groupBy("i", "j").applyInArrow(fill, "i long, j long, cells array<double>")
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows in order of their block; the last block of a step waits, as it may go on."""
+        key, last = None, np.zeros(size * size)
+        step = max(1, CELLS // (size * size))
+
+        def made(keys: np.ndarray, cells: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists(list(cells))], ["i", "j", "cells"])
+
+        for whole in batches:
+            for batch in (whole.slice(start, step) for start in range(0, whole.num_rows, step)):
+                pairs = np.stack([batch.column(c).to_numpy() for c in ("i", "j")], axis=1)
+                new = np.concatenate([[key is None or (pairs[0] != key).any()], (pairs[1:] != pairs[:-1]).any(axis=1)])
+                keys = pairs[new] if key is None else np.concatenate([[key], pairs[new]])
+                cells = np.zeros((len(keys), size * size))
+                cells[0] = last
+                cells[np.cumsum(new) - int(key is None), batch.column("at").to_numpy()] = batch.column("w").to_numpy()
+                if len(keys) > 1:
+                    yield made(keys[:-1], cells[:-1])
+                key, last = keys[-1], cells[-1]
+        if key is not None:
+            yield made(key[None], last[None])
+
+    return rows.repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(fill, "i long, j long, cells array<double>")
 
 
 def to_edges(blocks: DataFrame, size: int) -> DataFrame:

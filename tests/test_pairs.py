@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from driftline.operators import graphblocks as GB
 from driftline.operators import graphs as G
 
 
@@ -25,3 +26,16 @@ def test_a_large_cluster_is_no_hot_task(spark, monkeypatch):
     rows = edges.collect()
     assert len({(r["src"], r["dst"]) for r in rows}) == len(rows) == 200 * 199 + 2
     assert {round(r["w"], 9) for r in rows} == {1.0, round(1 / 199, 9)}
+
+
+@pytest.mark.parametrize("cells", [3 * 16, 2_000_000])
+def test_blocks_are_filled_some_at_a_time(spark, monkeypatch, cells):
+    """Blocks that go on from step to step, without a call of Python for each."""
+    monkeypatch.setattr(GB, "CELLS", cells)
+    edges = spark.range(900).select((F.col("id") * 7 % 23).alias("src"), (F.col("id") * 5 % 19).alias("dst"), (1.0 + F.col("id") % 4).alias("w"))
+    blocks = GB.to_blocks(edges, 4)
+    assert "FlatMapGroups" not in blocks._jdf.queryExecution().executedPlan().toString()
+    want = {(r["src"], r["dst"]): r["w"] for r in G.add_up(edges).collect()}
+    rows = blocks.collect()
+    assert len({(r["i"], r["j"]) for r in rows}) == len(rows)
+    assert {(4 * r["i"] + k // 4, 4 * r["j"] + k % 4): w for r in rows for k, w in enumerate(r["cells"]) if w} == want
