@@ -8,7 +8,7 @@ weights there is one model for all fields.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -97,20 +97,25 @@ def fields(samples: DataFrame, layer: Layer) -> DataFrame:
     return samples.select(*[c for c in samples.columns if c != "features"], F.explode(cells).alias("f")).select("*", F.col("f.node_id").alias("node_id"), F.col("f.x").alias("features")).drop("f")
 
 
-def _states(rows: DataFrame, group: Column, size: int) -> dict[int, Moments]:
+def _states(rows: DataFrame, group: Column, size: int, through: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> dict[int, Moments]:
     """The clustered moments of every node: pairs of samples of one group, the node's own moments less its groups' means.
 
     A task keeps a state for each node it sees; a hot group is shuffled as one
-    sum a batch and node.
+    sum a batch and node. through: a function of (nodes, vectors) that makes the
+    vectors of the size, in the same Python worker.
     """
     ship(rows.sparkSession)
     numbers = pa.list_(pa.float64())
 
+    def seen(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        node, x = batch.column("node_id").to_numpy(), matrix(batch)
+        return node, x if through is None else through(node, x)
+
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         states: dict[int, Moments] = {}
         for batch in batches:
             if batch.num_rows:
-                node, x = batch.column("node_id").to_numpy(), matrix(batch)
+                node, x = seen(batch)
                 for k in np.unique(node).tolist():
                     mine = x[node == k]
                     s = states.setdefault(k, Moments.zero(size))
@@ -124,9 +129,9 @@ def _states(rows: DataFrame, group: Column, size: int) -> dict[int, Moments]:
         for batch in batches:
             if batch.num_rows:
                 groups = batch.column("_g").dictionary_encode(null_encoding="encode")
-                pairs = np.stack([batch.column("node_id").to_numpy(), groups.indices.to_numpy()], axis=1)
+                node, x = seen(batch)
+                pairs = np.stack([node, groups.indices.to_numpy()], axis=1)
                 cells, which = np.unique(pairs, axis=0, return_inverse=True)
-                x = matrix(batch)
                 total = np.zeros((len(cells), x.shape[1]))
                 np.add.at(total, which.reshape(-1), x)
                 columns = [pa.array(cells[:, 0].astype(np.int32)), groups.dictionary.take(pa.array(cells[:, 1])), pa.array(np.bincount(which.reshape(-1))), pa.array(total.tolist(), numbers)]

@@ -9,8 +9,9 @@ to those that declare them.
 
 from __future__ import annotations
 
+import functools
 import inspect
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -160,35 +161,48 @@ class TrainedSlots:
     widths: tuple[int, ...]  # the size of a field's vector before each step
 
 
-def _mapped(rows: DataFrame, models: dict[int, Model], shared: bool) -> DataFrame:
-    def run(x: np.ndarray) -> np.ndarray:
-        if shared:
-            return models[0](x[:, 1:])
-        node = x[:, 0].astype(int)
-        out = None
-        for k, m in models.items():
-            y = m(x[node == k, 1:])
-            out = np.zeros((len(x), y.shape[1])) if out is None else out
-            out[node == k] = y
-        return out
+def _through(chain: Sequence[dict[int, Model]]) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """The models of some slots, one slot after another, as a function of (fields, vectors)."""
 
-    return map_vectors(rows.withColumn("_x", F.concat(F.array(F.col("node_id").cast("double")), F.col("features"))), run, "_x", "features").drop("_x")
+    def run(node: np.ndarray, x: np.ndarray) -> np.ndarray:
+        for models in chain:
+            out = None
+            for k, m in models.items():
+                y = m(x[node == k])
+                out = np.zeros((len(x), y.shape[1])) if out is None else out
+                out[node == k] = y
+            x = out
+        return x
+
+    return run
+
+
+def _mapped(rows: DataFrame, chain: Sequence[dict[int, Model]]) -> DataFrame:
+    if not chain:
+        return rows
+    through = _through(chain)
+    return map_vectors(rows.withColumn("_x", F.concat(F.array(F.col("node_id").cast("double")), F.col("features"))), lambda x: through(x[:, 0].astype(int), x[:, 1:]), "_x", "features").drop("_x")
 
 
 def train_slots(samples: DataFrame, layer: SlotLayer, group: str) -> TrainedSlots:
-    """Trains the slots of all fields, one grouped pass a slot. group: the column whose equal values tie samples."""
+    """Trains the slots of all fields, one grouped pass a slot. group: the column whose equal values tie samples.
+
+    Models between two expansions work in one Python worker, the last ones in
+    that of the pass itself: a task never holds more than two, whatever the slots.
+    """
     rows = fields(samples, layer)
     if layer.shared:
         rows = rows.withColumn("node_id", F.lit(0))
     field_size = size = len(layer.connections[0]) if layer.connections else dimension(samples)
-    steps, widths, kept = [], [], size
+    steps, widths, kept, chain = [], [], size, []
     for slot in SLOTS:
         if slot == "expansion":
             kept = size
             if layer.expansions:
                 steps.append((slot, {}))
                 widths.append(size)
-                rows = rows.withColumn("features", expand(F.col("features"), size, *layer.expansions))
+                rows = _mapped(rows, chain).withColumn("features", expand(F.col("features"), size, *layer.expansions))
+                chain = []
                 size = expanded_size(samples.sparkSession, size, layer.expansions)
             continue
         name = getattr(layer, slot)
@@ -196,12 +210,11 @@ def train_slots(samples: DataFrame, layer: SlotLayer, group: str) -> TrainedSlot
             continue
         node = CLASSES[name]
         options = routed(layer, slot, kept=kept)
-        models = {k: node.fit(s, **options) for k, s in _states(rows, F.col(group), size).items()}
+        models = {k: node.fit(s, **options) for k, s in _states(rows, F.col(group), size, _through(chain) if chain else None).items()}
         steps.append((slot, models))
         widths.append(size)
         size = next(iter(models.values()))(np.zeros((1, size))).shape[1]
-        if slot != "last":
-            rows = _mapped(rows, models, layer.shared)
+        chain = [*chain, models]
     return TrainedSlots(layer, field_size, tuple(steps), tuple(widths))
 
 
@@ -215,9 +228,14 @@ def apply_slots(samples: DataFrame, trained: TrainedSlots) -> DataFrame:
     def side_by_side(models: list[Model], width: int):
         return lambda x: np.concatenate([m(x[:, k * width : (k + 1) * width]) for k, m in enumerate(models)], axis=1)
 
+    def mapped(rows: DataFrame, chain: list) -> DataFrame:
+        return map_vectors(rows, lambda x: functools.reduce(lambda y, fn: fn(y), chain, x), "_all", "_all") if chain else rows
+
+    chain = []
     for (slot, models), width in zip(trained.steps, trained.widths, strict=True):
         if slot == "expansion":
+            out, chain = mapped(out, chain), []
             out = out.withColumn("_all", F.concat(*[expand(F.slice("_all", k * width + 1, width), width, *spec.expansions) for k in range(n)]))
         else:
-            out = map_vectors(out, side_by_side([models[0 if spec.shared else k] for k in range(n)], width), "_all", "_all")
-    return out.withColumn("features", F.col("_all")).drop("_all")
+            chain.append(side_by_side([models[0 if spec.shared else k] for k in range(n)], width))
+    return mapped(out, chain).withColumn("features", F.col("_all")).drop("_all")
