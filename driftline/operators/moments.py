@@ -318,23 +318,33 @@ def clustered(samples: DataFrame, size: int, key: Column, weight: float | Column
     return partial(joined.select("features", "_w", "n"), inner_free, size).union(partial(sums.select("n", "total", "_w"), outer_free, size))
 
 
+def in_blocks(samples: DataFrame, block: int) -> DataFrame:
+    """(features, key, n, before, after) of samples: their block of the order, and how many samples it, the one before and the one after hold, as counted."""
+    key = F.floor(F.col("ord") / block)
+    held = samples.groupBy(key.alias("key")).agg(F.count("*").alias("n"))
+    none = F.lit(0).cast("long")
+    told = held.select("key", "n", none.alias("before"), none.alias("after"))
+    told = told.union(held.select(F.col("key") + 1, none, "n", none)).union(held.select(F.col("key") - 1, none, none, "n"))
+    told = told.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", "before", "after")]).where("n > 0")
+    return samples.select("features", key.alias("key")).join(told, "key").select("features", "key", "n", "before", "after")
+
+
 def serial(samples: DataFrame, size: int, block: int, rows: int, weight: float = 1.0, rest: bool = False, evenly: bool = False) -> DataFrame:
     """All pairs of samples in adjacent blocks of the order, both ways, weight 1 / block; node weights 1 in the first and last whole block, else 2.
 
     rest: what is left after the whole blocks is a shorter one; without it, that
-    raises. evenly: each pair of blocks counts the same, so a pair of samples
-    has the weight block over the product of its blocks' sizes; of whole blocks
-    that is 1 / block too.
+    raises. Where ord has gaps, a block has the samples that are there. evenly:
+    each pair of blocks counts the same, so a pair of samples has the weight block
+    over the product of its blocks' sizes; of whole blocks that is 1 / block too.
     """
     if rows <= block or (rows % block and not rest):
         raise ValueError(f"{rows} samples are not two or more whole blocks of {block}")
     last = rows // block - 1
-    held = lambda k: np.clip(rows - k * block, 0, block) * (k >= 0)
 
     def inner(s: Moments, b: pa.RecordBatch) -> None:
-        k = b.column("ord").to_numpy() // block
+        k, n, before, after = (b.column(c).to_numpy() for c in ("key", "n", "before", "after"))
         v = np.where((k == 0) | (k == last), 1.0, 2.0) * weight
-        near = (np.sign(held(k - 1)) + np.sign(held(k + 1))) * block / held(k) if evenly else (held(k - 1) + held(k + 1)) / block
+        near = (np.sign(before) + np.sign(after)) * block / n if evenly else (before + after) / block
         x = matrix(b)
         s.nodes(x, v)
         s.edges(x, 2 * weight * near)
@@ -349,7 +359,7 @@ def serial(samples: DataFrame, size: int, block: int, rows: int, weight: float =
         cross = (matrix(b, "total") * w[:, None]).T @ matrix(b, "next")
         s.sdd -= (cross + cross.T) * (2 * weight)
 
-    return partial(samples.select("ord", "features"), inner, size).union(partial(sums.join(after, "key").select("n", "more", "total", "next"), outer, size))
+    return partial(in_blocks(samples, block), inner, size).union(partial(sums.join(after, "key").select("n", "more", "total", "next"), outer, size))
 
 
 def mixed(samples: DataFrame, size: int, block: int, rows: int, rest: bool = False) -> DataFrame:
