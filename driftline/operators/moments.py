@@ -367,8 +367,8 @@ def mixed(samples: DataFrame, size: int, block: int, rows: int, rest: bool = Fal
     doubled = lambda k: np.where((k == 0) | (k == rows // block - 1), 2.0, 1.0)
 
     def inner(s: Moments, b: pa.RecordBatch) -> None:
-        k = b.column("ord").to_numpy() // block
-        near = doubled(k) * np.minimum(rows - k * block, block) / block
+        k, n = (b.column(c).to_numpy() for c in ("key", "n"))
+        near = doubled(k) * n / block
         x = matrix(b)
         s.nodes(x, doubled(k))
         s.edges(x, 2 * near)
@@ -379,7 +379,7 @@ def mixed(samples: DataFrame, size: int, block: int, rows: int, rest: bool = Fal
         s.sdd -= (t * (2 * doubled(b.column("key").to_numpy()) / block)[:, None]).T @ t
 
     sums = group_sums(samples, F.floor(F.col("ord") / block))
-    within = partial(samples.select("ord", "features"), inner, size).union(partial(sums.select("key", "total"), outer, size))
+    within = partial(in_blocks(samples, block), inner, size).union(partial(sums.select("key", "total"), outer, size))
     return serial(samples, size, block, rows, rest=rest).union(within)
 
 

@@ -30,3 +30,7 @@ GAPS = "(CASE WHEN vec_id < 120 THEN vec_id WHEN vec_id < 330 THEN vec_id + 137
 @pytest.mark.parametrize("name", ["moments_serial", "typical_delta_of_blocks"])
 def test_serial_with_gaps_between_ids(agrees, name):
     assert agrees(name, GAPS)
+
+
+def test_mixed_with_gaps_between_ids(agrees):
+    assert agrees("moments_mixed", GAPS)
