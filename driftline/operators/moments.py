@@ -473,7 +473,7 @@ def states_of(samples: DataFrame, mode: str, *, size: int | None = None, block:
     """(state) of samples under a mode, by its name; their sum are its moments.
 
     regular, unlabeled, clustered (with key or block), classification (key),
-    serial, serial_regression (samples ordered by key first), mixed,
+    serial, serial_regression (samples ordered by key first, those without one last), mixed,
     dual_serial, window<w>, fwindow<w>, mirror_window<w>, smirror_window<w>, truncating_window<w>,
     graph, compact_classes<J>, ignore_data. Another name raises ValueError, as do
     rows that are no whole blocks of serial, mixed and compact_classes without rest.
@@ -495,7 +495,7 @@ def states_of(samples: DataFrame, mode: str, *, size: int | None = None, block:
     elif mode == "serial":
         states = serial(samples, size, block, rows, rest=rest)
     elif mode == "serial_regression":
-        states = serial(with_ord(samples.drop("ord"), key, F.col("sample_id")), size, block, rows, rest=rest)
+        states = serial(with_ord(samples.drop("ord"), key.asc_nulls_last(), F.col("sample_id")), size, block, rows, rest=rest)
     elif mode == "mixed":
         states = mixed(samples, size, block, rows, rest)
     elif mode == "dual_serial":

@@ -34,3 +34,8 @@ def test_serial_with_gaps_between_ids(agrees, name):
 
 def test_mixed_with_gaps_between_ids(agrees):
     assert agrees("moments_mixed", GAPS)
+
+
+def test_serial_regression_without_some_labels(agrees):
+    """Those come last."""
+    assert agrees("moments_serial_regression", "(CASE WHEN vec_id % 11 = 3 THEN NULL ELSE label END) AS label")
