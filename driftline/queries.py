@@ -283,7 +283,9 @@ def placed(rows: DataFrame, column: str = "y") -> DataFrame:
 
 
 def placed_expansion(rows: DataFrame, name: str) -> DataFrame:
-    """placed of an expansion, by tasks that keep four numbers a place where it is one into monomials."""
+    """placed of an expansion, by tasks that keep four numbers a place where it is one into monomials; vectors of another size have its places too, null where they end."""
+    x = F.col("features")
+    rows = rows.withColumn("features", F.when(F.size(x) == SIZE, x).otherwise(V.gather(x, range(SIZE))))
     if not P.told(name):
         return placed(expanded(rows, name))
     return P.place_moments(rows, SIZE, name).select("k", "n", *[r(F.col(c)).alias(c) for c in ("mean", "low", "high")])
