@@ -153,8 +153,8 @@ def by_component(kind: str, x: Column, d: float, k: float = 1.0) -> Column:
 
 
 def by_vector(kind: str, x: Column, y: Column, d: float, k: float = 1.0) -> Column:
-    """y divided by what the root mean square of x gives: N its power, E its exponential."""
-    size = root_mean_square(x)
+    """y divided by what the root mean square of x gives, nulls counted as 0: N its power, E its exponential."""
+    size = root_mean_square(F.transform(x, lambda v: F.coalesce(v, F.lit(0.0))))
     factor = 1 / (k + (F.pow(size, F.lit(d)) if kind == "N" else F.exp(d * size)))
     return once(factor, lambda f: F.transform(y, lambda v: v * f))
 
