@@ -7,6 +7,8 @@ moments need none of it, see ``label_moments``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,8 +40,11 @@ def linear(spark: SparkSession, n: int) -> tuple[DataFrame, DataFrame]:
     return uniform_nodes(spark, n), add_up(chain, back, ends)
 
 
-#: Nodes of a piece of a cluster.
-PIECE = 1024
+#: Nodes of a piece of a cluster, and pieces of a part of it. Pairs are listed by tiles, a node of a part with all of one
+#: piece: a file meets the same few nodes again and again, and keeps a pair in a small part of a byte.
+PIECE, PART = 256, 64
+#: Pairs that a task lists, about.
+TASK = 1 << 23
 
 
 def pairs_within(members: DataFrame) -> DataFrame:
@@ -68,23 +73,30 @@ def clustered(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members.select("sample_id", F.lit(1.0).alias("v")), edges
 
 
-def compact_classes(spark: SparkSession, classes: int, size: int, labels: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """For each label of compact_labels its two clusters, weighted and added up; a class is size samples in a row.
+def compact_classes(spark: SparkSession, classes: int, size: int, labels: int | None = None, weigh: Callable[[Column], Column] = lambda w: w) -> tuple[DataFrame, DataFrame]:
+    """For each label of compact_labels its two clusters, weighted and added up; a class is size samples in a row. weigh: what becomes of a weight, once for many pairs.
 
     What two classes share tells the weight of all pairs between them, so the
-    pairs are listed once, and nothing is shuffled.
+    pairs are listed once: they are numbered tile by tile, and a pair's number
+    tells its nodes. Nothing is shuffled, and no list is made.
     """
     table, weights = compact_labels(classes, labels)
     nodes = uniform_nodes(spark, classes * size)
     shared = (table[:, None, :] == table[None, :, :]) * (weights / np.maximum((table[:, None, :] == table[None, :, :]).sum(axis=1) * size - 1, 1))[:, None, :]
-    rows = [F.array(*[F.lit(float(x)) for x in row]) for row in shared.sum(axis=2)]
-    numbered = F.filter(F.transform(F.element_at(F.array(*rows), (F.floor(F.col("src") / size) + 1).cast("int")), lambda w, c: F.struct(c.alias("c"), w.alias("w"))), lambda x: x["w"] != 0)
-    # Pieces of a class, then its nodes: no list of a whole class.
-    met = spark.range(classes * size).select(F.col("id").alias("src")).select("src", F.explode(numbered).alias("x"))
-    starts = F.sequence(F.col("x.c").cast("long") * size, F.col("x.c").cast("long") * size + size - 1, F.lit(PIECE).cast("long"))
-    met = met.select("src", "x", F.explode(starts).alias("at"))
-    last = F.least(F.col("at") + PIECE - 1, F.col("x.c").cast("long") * size + size - 1)
-    return nodes, met.select("src", F.explode(F.sequence("at", last)).alias("dst"), F.col("x.w").alias("w")).where("src != dst")
+    found = [float(x) for x in shared.sum(axis=2).ravel()]
+    # A class in parts of nodes that meet pieces of it, all of one length; that of a piece is whole bytes of a file, whatever the bits of a node.
+    parts, pieces = max(-(-size // (PIECE * PART)), 1), max(-(-size // PIECE), 1)
+    long, wide = max(-(-size // parts), 1), max(-(-size // (8 * pieces)) * 8, 1)
+    numbers = classes * parts * pieces * classes * long * wide if size else 0
+    rest = spark.range(0, numbers, 1, max(spark.sparkContext.defaultParallelism, -(-numbers // TASK)))
+    # The class of dst changes from tile to tile, so that tasks have an even share of the classes that share nothing.
+    for name, n in (("d", wide), ("s", long), ("b", classes), ("piece", pieces), ("part", parts)):
+        rest = rest.withColumn(name, F.col("id") % n).withColumn("id", F.expr(f"id DIV {n}"))
+    pairs = rest.withColumnRenamed("id", "a").withColumn("s", F.col("part") * long + F.col("s")).withColumn("d", F.col("piece") * wide + F.col("d"))
+    kind = (F.col("a") * classes + F.col("b")).cast("int")
+    pairs = pairs.where((F.col("s") < size) & (F.col("d") < size) & F.get(F.array(*[F.lit(x != 0) for x in found]), kind))
+    pairs = pairs.select((F.col("a") * size + F.col("s")).alias("src"), (F.col("b") * size + F.col("d")).alias("dst"), F.get(F.array(*[weigh(F.lit(x)) for x in found]), kind).alias("w"))
+    return nodes, pairs.where("src != dst")
 
 
 def _blocks(spark: SparkSession, n: int, block: int) -> DataFrame:

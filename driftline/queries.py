@@ -535,7 +535,7 @@ def graph_sliding_window(spark, sf_dir):
 
 @query(edges_sql("SELECT a.id AS src, b.id AS dst, a.wj / (2.0 * a.size - 1) AS w FROM g a JOIN g b ON a.j = b.j AND a.sign = b.sign AND a.id != b.id", ", g AS (SELECT id, m // 4 AS size, j, CASE j WHEN 0 THEN id // (2 * (m // 4)) ELSE id // (m // 4) % 2 END AS sign, 0.5 AS wj FROM n, m, (SELECT unnest([0, 1]) AS j) WHERE id < m // 4 * 4)"))
 def graph_compact_classes(spark, sf_dir):
-    return edge_rows(G.compact_classes(spark, 4, number(spark, sf_dir) // 4)[1])
+    return G.compact_classes(spark, 4, number(spark, sf_dir) // 4, weigh=r)[1]
 
 
 _RG = ", g AS (SELECT a.l_suppkey AS src, b.l_suppkey AS dst, count(*)::DOUBLE AS w FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 GROUP BY 1, 2), v AS (SELECT s_suppkey AS id, (1.0 + s_nationkey % 3)::DOUBLE AS v FROM supplier)"
