@@ -7,6 +7,7 @@ moments need none of it, see ``label_moments``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -47,29 +48,32 @@ PIECE, PART = 256, 64
 TASK = 1 << 23
 
 
-def pairs_within(members: DataFrame) -> DataFrame:
-    """members (sample_id, cluster, ...) with n, the size of the cluster, and dst, each node of it, itself too.
+def pairs_within(members: DataFrame, *more: Column) -> DataFrame:
+    """members (sample_id, cluster): each node with n, the size of its cluster, more (columns of n), and dst, each node of it, itself too.
 
-    A cluster's nodes are listed in pieces. Nodes meet lists by cluster and
-    piece, in as many shares as the shuffle has partitions, so a large cluster
-    is no hot key; pairs are made of lists where they are used, not shuffled.
+    A cluster's nodes are listed in pieces, and a part of the pieces meets each
+    piece by itself, so a large cluster is no hot key. Pairs are made of lists
+    where they are used, not shuffled: nodes are copied once for each piece,
+    and more is computed once a copy. The join by sorting streams: what is made
+    at once is a node's pairs with a piece.
     """
     spark = members.sparkSession
-    shares = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     sizes = members.groupBy("cluster").agg(F.count("*").alias("n")).select(F.col("cluster").alias("_c"), "n", F.ceil(F.col("n") / PIECE).cast("int").alias("_pieces"))
-    sized = members.join(F.broadcast(sizes) if sizes.count() <= 10_000 else sizes, F.col("cluster").eqNullSafe(F.col("_c")) & F.col("cluster").isNotNull()).drop("_c")
-    lists = sized.withColumn("_piece", F.pmod(F.xxhash64("sample_id"), F.col("_pieces")).cast("int")).groupBy("cluster", "_piece").agg(F.collect_list("sample_id").alias("_others"), F.first("n").alias("_n"))
-    # Clusters of one piece meet in one share; the lists of larger ones are copied to all.
-    lists = lists.withColumn("_share", F.explode(F.when(F.col("_n") > PIECE, F.sequence(F.lit(0), F.lit(shares - 1))).otherwise(F.array(F.lit(0)))))
-    share = F.when(F.col("n") > PIECE, F.pmod(F.xxhash64("sample_id", F.lit(1)), F.lit(shares)).cast("int")).otherwise(F.lit(0))
-    ones = sized.drop("_pieces").withColumn("_share", share).repartition(shares, "cluster", "_share")
-    lists = lists.drop("_n").repartition(shares, "cluster", "_share")
-    return ones.join(lists.hint("shuffle_hash"), ["cluster", "_share"]).withColumn("dst", F.explode("_others")).drop("_share", "_piece", "_others")
-
-
-def clustered(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """members (sample_id, cluster): all pairs within each cluster, weight 1 / (size - 1), no loops; node weights 1."""
-    edges = pairs_within(members).where("sample_id != dst").select(F.col("sample_id").alias("src"), "dst", (1.0 / (F.col("n") - 1)).alias("w"))
+    clusters, pairs = sizes.where("_c IS NOT NULL").agg(F.count("*"), F.sum(F.col("n").cast("double") * F.col("n"))).first()
+    shares = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), math.ceil((pairs or 0) / TASK))
+    sized = members.join(F.broadcast(sizes) if clusters <= 10_000 else sizes, F.col("cluster").eqNullSafe(F.col("_c")) & F.col("cluster").isNotNull()).drop("_c")
+    lists = sized.withColumn("_piece", F.pmod(F.xxhash64("sample_id"), F.col("_pieces")).cast("int")).groupBy("cluster", "n", "_pieces", "_piece").agg(F.collect_list("sample_id").alias("_ids"))
+    upto = lambda last: F.explode(F.sequence(F.lit(0), last.cast("int")))
+    ones = lists.select("cluster", "n", *more, "_ids", F.floor(F.col("_piece") / PART).cast("int").alias("_part"), upto(F.col("_pieces") - 1).alias("_piece"))
+    others = lists.select("cluster", F.col("_ids").alias("_others"), upto(F.floor((F.col("_pieces") - 1) / PART)).alias("_part"), "_piece")
+    tile = ["cluster", "_part", "_piece"]
+    ones = ones.repartition(shares, *tile).withColumn("sample_id", F.explode("_ids")).drop("_ids")
+    return ones.join(others.repartition(shares, *tile).hint("merge"), tile).withColumn("dst", F.explode("_others")).drop("_part", "_piece", "_others")
+
+
+def clustered(members: DataFrame, weigh: Callable[[Column], Column] = lambda w: w) -> tuple[DataFrame, DataFrame]:
+    """members (sample_id, cluster): all pairs within each cluster, weight 1 / (size - 1), no loops; node weights 1. weigh: what becomes of a weight, once for many pairs."""
+    edges = pairs_within(members, weigh(1.0 / F.greatest(F.col("n") - 1, F.lit(1))).alias("w")).where("sample_id != dst").select(F.col("sample_id").alias("src"), "dst", "w")
     return members.select("sample_id", F.lit(1.0).alias("v")), edges
 
 

@@ -507,7 +507,7 @@ def graph_linear(spark, sf_dir):
 
 @query("WITH z AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1) SELECT a.vec_id AS src, b.vec_id AS dst, round(1.0 / (n - 1), 6) + 0.0 AS w FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id != b.vec_id JOIN z ON z.label = a.label")
 def graph_clustered(spark, sf_dir):
-    return edge_rows(G.clustered(whole(spark, sf_dir).select("sample_id", F.col("class").alias("cluster")))[1])
+    return G.clustered(whole(spark, sf_dir).select("sample_id", F.col("class").alias("cluster")), weigh=r)[1]
 
 
 @query(edges_sql(_G_SERIAL, _GB))
